@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import neardup, packing
 
-MODULES = (packing,)
+MODULES = (packing, neardup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
