@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import neardup, packing
+from . import decontamination, neardup, packing, toxicity
 
-MODULES = (packing, neardup)
+MODULES = (packing, neardup, decontamination, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
