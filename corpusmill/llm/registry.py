@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, neardup, packing, quality, toxicity
+from . import decontamination, neardup, packing, pii, quality, toxicity
 
-MODULES = (packing, neardup, decontamination, toxicity, quality)
+MODULES = (packing, pii, neardup, quality, decontamination, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
