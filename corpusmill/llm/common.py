@@ -55,7 +55,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.at}/{self.made:03d}-{name}"
         self.made += 1
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

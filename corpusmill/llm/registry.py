@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, neardup, packing, pii, quality, toxicity
+from . import chat, decontamination, html_text, licenses, neardup, packing, pii, quality, token_files, toxicity
 
-MODULES = (packing, pii, neardup, quality, decontamination, html_text, toxicity)
+MODULES = (packing, pii, token_files, neardup, licenses, quality, chat, decontamination, html_text, toxicity)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}
