@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import shingles as sh
 from .common import Scratch, table
@@ -76,9 +77,12 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
     return sh.mix(total + np.arange(1, bands + 1, dtype=U) * U(sh.BASE)).view(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, places: int, rows: int) -> DataFrame:
-    """(doc_id, key, bands, signature): signature holds 16 bits of each place, little-endian. Without words: no bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+def sketches(docs: DataFrame, width: int, places: int, rows: int, carry: bool = False) -> DataFrame:
+    """(doc_id, key, bands, signature, and with carry the whole row as `doc`): signature holds 16 bits of each place,
+    little-endian. Texts without words have no bands."""
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.struct("*").alias("doc")] if carry else []))
+    names = ["doc_id", "key", "bands", "signature", *(["doc"] if carry else [])]
+    fields = StructType.fromDDL("doc_id long, key binary, bands array<long>, signature binary").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -89,9 +93,10 @@ def sketches(docs: DataFrame, width: int, places: int, rows: int) -> DataFrame:
                 bands, low = band_hashes(s, rows), s.astype(np.uint16).astype("<u2")
                 some = s.any(axis=1)
                 lists = pa.array([b if x else None for b, x in zip(bands, some, strict=True)], type=pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([sh.word_key(t) for t in texts], type=pa.binary()), lists, pa.array([x.tobytes() for x in low], type=pa.binary())], schema=schema)
+                made = [batch.column("doc_id"), pa.array([sh.word_key(t) for t in texts], type=pa.binary()), lists, pa.array([x.tobytes() for x in low], type=pa.binary())]
+                yield pa.RecordBatch.from_arrays([*made, *([batch.column("doc")] if carry else [])], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key binary, bands array<long>, signature binary")
+    return own.mapInArrow(run, StructType(fields + [f for f in own.schema.fields if f.name == "doc"]))
 
 
 def likely(pairs: DataFrame, places: int, least: float) -> DataFrame:
@@ -174,7 +179,7 @@ def _verify(width: int, least: float):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, least: float = 0.8, places: int = PLACES, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """Near-duplicate classes of docs (doc_id, text; other columns are ignored).
 
     Returns a row per document: doc_id, class_id (the least doc_id of its class), class_size, keep (true for one
@@ -183,8 +188,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, least:
     with the same least doc_id one is kept. A null doc_id counts as larger than all others. An empty table gives an
     empty result.
     """
+    return _classes(spark, docs, **options)[1].drop("row")
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one of each class, with all their columns."""
+    own, classes = _classes(spark, docs, carry=True, **options)
+    return own.select("row", "doc").join(classes.where("keep").select("row"), "row").select("doc.*")
+
+
+def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float = 0.8, places: int = PLACES, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the written sketches with a row number, the classes by row number)."""
     scratch = Scratch(spark, "neardup")
-    own = scratch.keep(sketches(docs, width, places, rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    own = scratch.keep(sketches(docs, width, places, rows, carry).withColumn("row", F.monotonically_increasing_id()), "sketches")
     texts = own.groupBy("key").agg(F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")).select("key", "x.*")
     one = own.join(texts.select("row"), "row", "left_semi")
 
@@ -208,9 +224,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, least:
     big = placed.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     big = big.select("key", "family", F.col("family").alias("of"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
     little = placed.where("blocks = 1").select("key", "family", F.lit(None).cast("binary").alias("of"), F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("int").alias("a"), F.lit(0).alias("b"))
-    wanted = families.join(texts.select("key", F.col("doc_id").alias("id")), "key")
-    whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    found = wanted.join(whole, wanted["id"].eqNullSafe(whole["id"])).select("key", "text")
+    if carry:
+        found = own.select("row", "key", F.col("doc.text").cast("string").alias("text")).join(families.join(texts, "key").select("row"), "row").select("key", "text")
+    else:
+        wanted = families.join(texts.select("key", F.col("doc_id").alias("id")), "key")
+        whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+        found = wanted.join(whole, wanted["id"].eqNullSafe(whole["id"])).select("key", "text")
     units = found.join(big.unionByName(little), "key")
     links = units.select("of", "a", "b", "family", "key", "text").groupBy("of", "a", "b").applyInPandas(_verify(width, least), "u binary, v binary")
     classes = scratch.keep(components(scratch, scratch.keep(links, "links")), "classes")
@@ -219,7 +238,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, width: int = 5, least:
     named = scratch.keep(named.select("doc_id", "row", F.coalesce("root", "key").alias("root")), "named")
     head = named.groupBy("root").agg(F.count("*").alias("class_size"), F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
     head = head.select("root", "class_size", F.col("x.doc_id").alias("class_id"), F.col("x.row").alias("kept"))
-    return named.join(head, "root").select("doc_id", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keep"))
+    return own, named.join(head, "root").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keep"))
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
