@@ -29,8 +29,9 @@ IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 CONTEXT, LEAST_TEXTS = 60, 5
 #: Share of the entity's information: generalised from the first on, removed from the second on.
 GENERALISE, REMOVE, STEM = 0.8, 0.95, 3
-#: Bits of the table of candidate terms that rows are tested with before they are shuffled: of fixed size.
-BITS = 1 << 18
+#: Bits of the table of terms that rows are tested with before anything is shuffled, at two places for each term: a
+#: table of fixed size (256 KB) however many terms there are. What it lets through is decided by a join.
+BITS, PROBES = 1 << 21, (0, 1)
 
 SPAN = "struct<start:int,kind:string,end:int>"
 SPANS = f"array<{SPAN}>"
@@ -83,24 +84,37 @@ def _words(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
-def _bit(w: Column) -> Column:
-    return F.pmod(F.xxhash64(w), F.lit(BITS))
+def _bit(w: Column, probe: int) -> Column:
+    return F.pmod(F.xxhash64(w, F.lit(probe)), F.lit(BITS))
 
 
-def _bitmap(terms: DataFrame) -> list[int] | None:
-    """A table of BITS bits, as longs, of the column term: a fixed number of bytes however many terms there are."""
-    word = F.floor(_bit(F.col("term")) / 64).cast("int")
-    rows = terms.groupBy(word.alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (_bit(F.col("term")) % 64).cast("int"))).alias("b")).collect()
+def _test(terms: DataFrame):
+    """A column function that is true for every term of the table, and for few other words; None for an empty table."""
+    each = terms.select(F.explode(F.array(*(_bit(F.col("term"), k) for k in PROBES))).alias("bit"))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+    rows = each.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("i")).agg(F.bit_or(word).alias("b")).collect()
     if not rows:
         return None
-    out = [0] * (BITS // 64)
+    longs = [0] * (BITS // 64)
     for r in rows:
-        out[r.i] = r.b
-    return out
+        longs[r.i] = r.b
+    table_ = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folded to one literal
 
+    def test(w: Column) -> Column:
+        held = [F.call_function("shiftright", F.get(table_, F.floor(_bit(w, k) / 64).cast("int")), (_bit(w, k) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for k in PROBES]
+        return held[0] & held[1]
 
-def _candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(entity, term, both, texts_e): terms around an entity in enough distinct texts."""
+    return test
+
+
+def _share(both: Column, texts_e: Column, texts_t: Column, texts: Column) -> Column:
+    """PMI(e; t) / IC(e)."""
+    return F.log(both * texts / (texts_e * texts_t)) / F.log(texts / texts_e)
+
+
+def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float) -> DataFrame:
+    """(entity, term, both, texts_e): terms around an entity in enough distinct texts. A term is in at least as many
+    texts as its contexts are from, so a pair whose share is too low even with that number is left out."""
     own = base_spans(docs.select(text_of().alias("text")).where(F.col("text").rlike(r"[@+]|[0-9]")))
     text = F.col("text")
 
@@ -117,7 +131,10 @@ def _candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     own = scratch.keep(own.select("same", "x.*"), "contexts")
     seen = own.groupBy("entity", "same").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("texts_e")).where(F.col("texts_e") >= LEAST_TEXTS)
     pairs = own.join(seen, "entity").select("entity", "texts_e", "same", F.explode("terms").alias("term")).distinct()
-    return pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
+    pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
+    around = own.select("same", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts_c"))
+    pairs = pairs.join(around, "term").where(F.col("texts_e") < texts)
+    return pairs.where(_share(F.col("both"), F.col("texts_e"), F.col("texts_c"), texts) >= least).drop("texts_c")
 
 
 def _joined(spans: Column) -> Column:
@@ -138,6 +155,21 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
+def _risky(docs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(term, share): the terms that disclose at least that share of the information in some entity."""
+    texts = docs.select(F.xxhash64(text_of()).alias("same")).distinct().count()
+    total = F.lit(float(max(2, texts)))
+    candidates = scratch.keep(_candidates(docs, scratch, total, least), "candidates")
+    test = _test(candidates)
+    if test is None:
+        return scratch.keep(candidates.select("term", F.lit(1.0).alias("share")), "risky")
+    own = docs.select(text_of().alias("text"))
+    each = own.select(F.xxhash64("text").alias("same"), F.explode(F.filter(_words(F.col("text")), test)).alias("term"))
+    counts = each.distinct().groupBy("term").agg(F.count("*").alias("texts_t"))
+    shares = candidates.join(counts, "term").select("term", _share(F.col("both"), F.col("texts_e"), F.col("texts_t"), total).alias("share"))
+    return scratch.keep(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= least), "risky")
+
+
 def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = True) -> DataFrame:
     """Finds and masks personal data and what discloses it in the whole text of docs (text; all other columns stay).
 
@@ -147,30 +179,19 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
     probability, so that copies prove nothing. An empty table gives an empty result.
     """
     scratch = Scratch(spark, "pii")
-    candidates = scratch.keep(_candidates(docs, scratch), "candidates")
-    bits = _bitmap(candidates)
+    risky = _risky(docs, scratch, generalise)
+    test = _test(risky)
     own = base_spans(docs.withColumn("text", text_of()), "_base")
-    if bits is None:
-        hits = F.array().cast("array<string>")
-    else:
-        # a fixed-size table of bits drops nearly all words inside the row; the join below decides
-        table_ = F.lit(bits)
-        test = lambda w: F.call_function("shiftright", F.get(table_, F.floor(_bit(w) / 64).cast("int")), (_bit(w) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
-        hits = F.filter(_words(F.col("text")), test)
-    own = own.withColumn("_hits", hits).withColumn("_row", F.monotonically_increasing_id()).withColumn("_same", F.xxhash64("text"))
+    own = own.withColumn("_hits", F.filter(_words(F.col("text")), test) if test else F.array().cast("array<string>"))
+    own = own.withColumn("_row", F.monotonically_increasing_id())
     if not keep_text:
         own = own.withColumn("text", F.when(F.size("_hits") > 0, F.col("text")))
     own = scratch.keep(own, "texts")
     masks = F.transform("_base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
     own = own.withColumn("_spans", masks)
-    if bits is not None:
-        texts = own.select("_same").distinct().count()
-        each = own.where(F.size("_hits") > 0).select("_same", F.explode("_hits").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts_t"))
-        total = F.lit(float(max(2, texts)))
-        share = F.log(F.col("both") * total / (F.col("texts_e") * F.col("texts_t"))) / F.log(total / F.col("texts_e"))
-        risky = candidates.join(each, "term").where(F.col("texts_e") < total).groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= generalise)
-        risky = scratch.keep(risky, "risky")
-        named = own.where(F.size("_hits") > 0).select("_row", F.explode("_hits").alias("term")).join(risky, "term")
+    if test:
+        plain, own = own.where(F.size("_hits") == 0), own.where(F.size("_hits") > 0)
+        named = own.select("_row", F.explode("_hits").alias("term")).join(risky, "term")
         named = named.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))
         own = own.join(named, "_row", "left")
         pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?!\p{L})"))
@@ -179,6 +200,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
         terms = F.transform(places(F.col("text"), pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), (x["start"] + F.length(x["found"])).cast("int").alias("end"), mask(x["found"]).alias("mask")))
         outside = F.filter(terms, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         own = own.withColumn("_spans", F.when(F.col("_terms").isNotNull(), F.sort_array(F.concat("_spans", outside))).otherwise(F.col("_spans")))
+        own = plain.unionByName(own.drop("_terms"))
     if keep_text:
         own = own.withColumn("text", _masked(F.col("text"), F.col("_spans")))
     return own.select(*docs.columns, "_base", "_spans")
