@@ -137,9 +137,8 @@ def year_mentions(text: Column) -> Column:
 
 
 def grams(text: Column, n: int) -> Column:
-    """All character n-grams in order."""
-    size = F.length(text) - n + 1
-    return F.when(size > 0, F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All character n-grams in order, in one pass: each match looks n characters ahead and takes one."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def mixed_tokens(text: Column) -> Column:

@@ -139,9 +139,14 @@ def jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     s - ceil(least * s) + 1; only those are joined, and candidates are verified on the whole sets.
     """
     one = docs.groupBy(F.md5(T.filled(F.col(text))).alias("same")).agg(F.min(key).alias(key), F.first(text).alias("_t"))
-    base = one.select(key, F.filter(F.split(F.col("_t"), f"[{V.SPACE}]+"), lambda w: w != "").alias("w"))
-    base = base.withColumn("g", F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - n)), lambda i: F.xxhash64(F.array(*(F.get("w", i + k) for k in range(n)))))))
-    base = base.where(F.size("w") >= n).select(key, "g")
+    words = F.filter(F.split(T.filled(F.col("_t")), f"[{V.SPACE}]+"), lambda w: w != "")
+    base = one.select(key, F.transform(words, lambda w: F.xxhash64(w)).alias("w")).where(F.size("w") >= n)
+    # hashes of the n-grams come from whole shifted arrays: a lambda that looks words up would split the text each time
+    base = base.withColumn("g", F.col("w"))
+    for k in range(1, n):
+        m = F.size("w") - k
+        base = base.withColumn("g", F.zip_with(F.slice("g", F.lit(1), m), F.slice("w", F.lit(k + 1), m), lambda a, b: F.xxhash64(a, b)))
+    base = Scratch(docs.sparkSession, "grams").keep(base.select(key, F.array_distinct("g").alias("g")), "grams")
     often = base.select(F.explode("g").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
     ranked = base.select(key, F.explode("g").alias("h")).join(often, "h").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("o"))
     prefix = F.size("o") - F.ceil(F.size("o") * least).cast("int") + 1

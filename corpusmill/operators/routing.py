@@ -150,6 +150,6 @@ def route(chunks: DataFrame, strategy: str = "layered", text: str = "text", **op
 def best_profile(rows: DataFrame, stored: str = "experts", text: str = "text") -> DataFrame:
     """(profile, match_rate), best first: the share of rows whose stored choice each profile of thresholds repeats."""
     df = Scratch(rows.sparkSession, "profiles").keep(with_features(rows, features_15(F.col(text))).select(stored, "f"))
-    same = [F.struct(F.lit(n).alias("profile"), by_layer(F.col("f"), thresholds=t).eqNullSafe(F.col(stored)).cast("double").alias("same")) for n, t in PROFILES.items()]
-    each = df.select(F.explode(F.array(*same)).alias("x")).select("x.*")
-    return each.groupBy("profile").agg(F.avg("same").alias("match_rate")).orderBy(F.desc("match_rate"), "profile")
+    same = df.select(*(by_layer(F.col("f"), thresholds=t).eqNullSafe(F.col(stored)).cast("double").alias(n) for n, t in PROFILES.items()))
+    rates = same.agg(*(F.avg(n).alias(n) for n in PROFILES))
+    return rates.unpivot([], list(PROFILES), "profile", "match_rate").orderBy(F.desc("match_rate"), "profile")

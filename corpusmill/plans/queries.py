@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import chunking, dedup, gates, generation, knowledge, metrics, routing, sampling, stats
-from ..session import table
+from ..session import Scratch, table
 from ..streaming import streams
 
 QUERIES: dict = {}
@@ -174,13 +174,11 @@ def simhash_near_dups(spark, d):
     return dedup.near_duplicates(_docs(spark, d))
 
 
-@query("""
-WITH o AS (SELECT min(doc_id) AS id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> '') AS w FROM documents GROUP BY text),
-g AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(0)))) AS g FROM o WHERE len(w) >= 5),
-e AS (SELECT id, unnest(g) AS h FROM g), r AS (SELECT h FROM e GROUP BY h HAVING count(*) BETWEEN 2 AND 40),
-c AS (SELECT x.id AS a, y.id AS b FROM e x JOIN r USING (h) JOIN e y USING (h) WHERE x.id < y.id GROUP BY ALL),
-j AS (SELECT a, b, len(list_intersect(x.g, y.g)) AS s, len(x.g) AS m, len(y.g) AS n FROM c JOIN g x ON x.id = a JOIN g y ON y.id = b)
-SELECT a, b, s / (m + n - s) AS jaccard FROM j WHERE s / (m + n - s) > 0.85""".replace("\\\\", "\\"))
+@query(r"""
+WITH o AS (SELECT min(doc_id) AS id, list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0b]+'), lambda w: w <> '') AS w FROM documents GROUP BY text),
+e AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) AS h FROM o WHERE len(w) >= 5),
+n AS (SELECT id, count(*) AS n FROM e GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS s FROM e x JOIN e y USING (h) WHERE x.id < y.id GROUP BY ALL)
+SELECT a, b, s / (m.n + n.n - s) AS jaccard FROM c JOIN n m ON m.id = a JOIN n ON n.id = b WHERE s / (m.n + n.n - s) > 0.85""")
 def jaccard_near_dups(spark, d):
     """D4."""
     return dedup.jaccard_pairs(_docs(spark, d))
@@ -317,7 +315,8 @@ def route_appendix(spark, d):
 @query()
 def profile_match_rate(spark, d):
     """Which profile of thresholds repeats the stored choice."""
-    return routing.best_profile(routing.route(_docs(spark, d)))
+    stored = Scratch(spark, "routed").keep(routing.route(_docs(spark, d)).select("text", "experts"))
+    return routing.best_profile(stored)
 
 
 def accepted_chunks(spark, d) -> DataFrame:
