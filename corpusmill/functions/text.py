@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is worked out once a row, however often later steps use it: filters aren't pushed below an
+    exploded array, and projections aren't merged across it."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -77,13 +83,13 @@ def doc_id(relative_path: Column) -> Column:
 def year_of_id(name: Column) -> Column:
     """_YYYY_ or YYYY年 from 1900 to 2100, else 0."""
     found = [F.regexp_extract(name, p, 1) for p in (r"_([0-9]{4})_", r"([0-9]{4})年")]
-    return F.coalesce(*(F.when((x != "") & x.cast("int").between(1900, 2100), x.cast("int")) for x in found), F.lit(0))
+    return F.coalesce(*(F.when(x.try_cast("int").between(1900, 2100), x.try_cast("int")) for x in found), F.lit(0))
 
 
 def year_of_chunk(name: Column) -> Column:
     """_YYYY_, YYYY年, (YYYY) or _YYYY. from 2000 to 2024; a year out of range falls to the next pattern; else null."""
     found = [F.regexp_extract(name, p, 1) for p in (r"_([0-9]{4})_", r"([0-9]{4})年", r"\(([0-9]{4})\)", r"_([0-9]{4})\.")]
-    return F.coalesce(*(F.when((x != "") & x.cast("int").between(2000, 2024), x.cast("int")) for x in found))
+    return F.coalesce(*(F.when(x.try_cast("int").between(2000, 2024), x.try_cast("int")) for x in found))
 
 
 def token_estimate(text: Column) -> Column:

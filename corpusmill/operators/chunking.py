@@ -57,12 +57,12 @@ def cleaned(docs: DataFrame, text: str = "text", encoding: bool = False, drop_no
     from . import dedup
 
     df = docs.withColumn(text, T.fix_encoding(F.col(text)) if encoding else T.filled(F.col(text)))
-    df = df.withColumn(text, T.clean_text(F.col(text)))
+    df = T.once(df, text, T.clean_text(F.col(text)))
     df = df.withColumn("structural_noise_removed", (structural_noise(F.col(text)) & F.lit(drop_noise)).cast("int"))
     df = df.withColumn(text, F.when(F.col("structural_noise_removed") == 1, "").otherwise(T.to_simplified(F.col(text), simplified)))
     df = dedup.dedup_lines(df, text)
     df = dedup.dedup_paragraphs(df, text, near=near) if near is not None else df.withColumn("para_dedup_removed", F.lit(0))
-    return df.withColumn(text, T.sanitize(F.col(text)))
+    return T.once(df, text, T.sanitize(F.col(text)))
 
 
 def preprocess(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 80, near: int | None = 3) -> tuple[DataFrame, DataFrame]:

@@ -65,8 +65,7 @@ def features_14(text: Column) -> Column:
 
 
 def with_features(df: DataFrame, features: Column, out: str = "f") -> DataFrame:
-    """The features as a column that is worked out once: an exploded array is a barrier that the optimizer keeps."""
-    return df.withColumn(out, F.explode(F.array(features)))
+    return T.once(df, out, features)
 
 
 def scores_15(f: Column) -> dict[str, Column]:

@@ -138,8 +138,8 @@ def welch(df: DataFrame, condition: str, value: str, baseline: str) -> DataFrame
     half = 1.96 * F.col("sd") / F.sqrt("n")
     va, vb = F.col("sd") * F.col("sd") / F.col("n"), F.col("bs") * F.col("bs") / F.col("bn")
     other = (F.col(condition) != baseline) & (va + vb > 0)
-    freedom = (va + vb) * (va + vb) / (va * va / (F.col("n") - 1) + vb * vb / (F.col("bn") - 1))
-    return df.select(condition, "n", "mean", "sd", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), F.when(other, (F.col("mean") - F.col("bm")) / F.sqrt(va + vb)).alias("t"), F.when(other, freedom).alias("df"))
+    freedom = F.try_divide((va + vb) * (va + vb), F.try_divide(va * va, F.col("n") - 1) + F.try_divide(vb * vb, F.col("bn") - 1))
+    return df.select(condition, "n", "mean", "sd", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), F.when(other, F.try_divide(F.col("mean") - F.col("bm"), F.sqrt(va + vb))).alias("t"), F.when(other, freedom).alias("df"))
 
 
 def bootstrap_ci(df: DataFrame, metric: str, value: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:

@@ -320,8 +320,8 @@ def profile_match_rate(spark, d):
 
 
 def accepted_chunks(spark, d) -> DataFrame:
-    docs = _docs(spark, d).withColumn("text", T.sanitize(T.clean_text(F.col("text")))).where(gates.gate_before(F.col("text")) == "OK")
-    return chunking.chunk(docs)
+    docs = T.once(_docs(spark, d).select("doc_id", "text"), "text", T.sanitize(T.clean_text(F.col("text"))))
+    return chunking.chunk(docs.where(gates.gate_before(F.col("text")) == "OK"))
 
 
 @query()

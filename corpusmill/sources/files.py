@@ -40,7 +40,7 @@ def decoded_text(content: bytes | None, chinese: bool = True) -> str:
         valid = plain / n
         score = valid * 0.6 + cjk / n * 0.4 if chinese and cjk else valid
         score *= 0.3 if text.count("�") / n > 0.10 else 1.0
-        score *= 0.5 if len(re.findall("[-]", text)) / n > 0.05 else 1.0
+        score *= 0.5 if len(re.findall(r"[\ue000-\uf8ff]", text)) / n > 0.05 else 1.0
         score *= 0.2 if valid < 0.3 else 1.0
         if score > 0.8:
             return text
