@@ -160,7 +160,7 @@ def bootstrap_ci(df: DataFrame, metric: str, value: str, draws: int = 1000, leve
 
     kind = df.schema[metric].dataType.simpleString()
     rows = df.where(F.col(value).isNotNull()).select(metric, F.col(value).cast("double").alias(value), F.abs(F.xxhash64(*df.columns)).alias("_row"))
-    sums = rows.mapInPandas(part, f"{metric} {kind}, d int, t double, w double").groupBy(metric, "d").agg((F.sum("t") / F.sum("w")).alias("m"))
+    sums = rows.mapInPandas(part, f"{metric} {kind}, d int, t double, w double").groupBy(metric, "d").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
     alpha = (1 - level) / 2
     interval = sums.groupBy(metric).agg(F.percentile("m", F.lit(alpha)).alias("low"), F.percentile("m", F.lit(1 - alpha)).alias("high"))
     return df.groupBy(metric).agg(F.avg(value).alias("mean")).join(interval, metric)
