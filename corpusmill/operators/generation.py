@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import Scratch
 from . import knowledge, metrics, routing
 
 #: A generator takes a prompt and the source text and returns the reply; it runs in Python workers.
@@ -103,6 +104,8 @@ def pairs(chunks: DataFrame, generator: Generator = extractive, key: str = "chun
     df = chunks.where(F.length("text") >= least).withColumn("core_topics", knowledge.topics(F.col("text")))
     df = routing.route(df, **routing_options)
     df = knowledge.retrieve(df, key=key) if with_knowledge else df.withColumn("knowledge", F.array().cast(knowledge.ITEM))
+    # both sides of the join below, and every expert's row, start from this table: it is worked out once
+    df = Scratch(chunks.sparkSession, "pairs").keep(df, "routed")
     if mode == "sequential":
         df = _sequential(df, generator, passes, good)
     else:
