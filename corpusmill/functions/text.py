@@ -14,6 +14,13 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.withColumn(name, F.explode(F.array(value)))
 
 
+def count_with(items: Column, other: Column, test) -> Column:
+    """How many items pass test(item, other). A lambda works out what it captures for each item; here `other` is worked
+    out once and handed along."""
+    passed = F.zip_with(items, F.array_repeat(other, F.size(items)), test)
+    return F.size(F.filter(passed, lambda x: x))
+
+
 def filled(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

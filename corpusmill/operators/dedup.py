@@ -20,7 +20,7 @@ NEAR, EXEMPT = 3, 20
 
 def dedup_lines(docs: DataFrame, text: str = "text", removed: str = "line_dedup_removed") -> DataFrame:
     """The first of equal lines (outer white space aside) stays, blank lines stay; adds the number of removed lines."""
-    df = docs.withColumn("_lines", T.lines(T.filled(F.col(text)))).withColumn("_bare", F.transform("_lines", T.strip))
+    df = T.once(docs.withColumn("_lines", T.lines(T.filled(F.col(text)))), "_bare", F.transform(T.lines(T.filled(F.col(text))), T.strip))
     first = lambda x, i: (T.strip(x) == "") | (F.array_position("_bare", T.strip(x)) == i + 1)
     df = df.withColumn("_kept", F.filter("_lines", first))
     df = df.withColumn(removed, F.size("_lines") - F.size("_kept")).withColumn(text, F.array_join("_kept", "\n"))

@@ -84,7 +84,7 @@ def structural_noise(text: Column) -> Column:
     contents = (n > 20) & text.rlike(rf"(?m)^[{V.SPACE}]*[0-9a-z.\-]+[{V.SPACE}]+") & (short > 0.7)
     notice = (T.hits(F.lower(text), V.NOISE) > 0) & (F.length(text) < 500)
     first = T.strip(rows[0])
-    frame = (n > 5) & (first != "") & (F.size(F.filter(rows, lambda x: x == first)) >= n * 0.3)
+    frame = (n > 5) & (first != "") & (n - F.size(F.array_remove(rows, first)) >= n * 0.3)
     return contents | notice | frame
 
 

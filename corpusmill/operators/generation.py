@@ -112,7 +112,7 @@ def pairs(chunks: DataFrame, generator: Generator = extractive, key: str = "chun
         chosen = F.slice("experts", 1, 1) if mode == "single" else F.col("experts")
         each = df.select(key, "text", "knowledge", F.posexplode(chosen).alias("at", "expert"))
         each = generate(each.withColumn("prompt", knowledge.expert_prompt(F.col("expert"), F.col("text"), F.col("knowledge"))), generator)
-        each = each.withColumn("p", F.when(F.col("expert") == "qa_expert", parse_reply(F.col("reply"), "qa_expert")).otherwise(parse_reply(F.col("reply"))))
+        each = T.once(each, "p", F.when(F.col("expert") == "qa_expert", parse_reply(F.col("reply"), "qa_expert")).otherwise(parse_reply(F.col("reply"))))
         score = F.when(F.col("reply") == "", 0.0).otherwise(metrics.collaboration_quality(F.col("p.instruction"), F.col("p.response"), F.col("text")))
         best = F.max_by(F.struct("expert", "p.instruction", "p.response", F.col("q").alias("quality_score"), "error"), F.struct("q", -F.col("at")))
         df = df.join(each.withColumn("q", score).groupBy(key).agg(best.alias("best")), key)

@@ -21,10 +21,10 @@ def collaboration_quality(instruction: Column, response: Column, chunk: Column)
     its length."""
     instruction, response, head = T.filled(instruction), T.filled(response), F.substring(T.filled(chunk), 1, 200)
     grams = F.array_distinct(T.grams(head, 3))
-    share = F.size(F.filter(grams, lambda g: F.contains(response, g))) / F.size(grams)
+    share = T.count_with(grams, response, lambda g, r: F.contains(r, g)) / F.size(grams)
     first = F.substring(head, 1, 50)
     chars = T.grams(first, 1)
-    few = F.size(F.filter(chars, lambda c: F.contains(response, c))) / F.lit(50)
+    few = T.count_with(chars, response, lambda c, r: F.contains(r, c)) / F.lit(50)
     overlap = F.when(F.size(grams) > 0, F.least(share * 0.4, F.lit(0.4))).otherwise(F.least(few * 0.4, F.lit(0.4)))
     length = F.when(F.length(response) > 50, 0.2).otherwise(0.0), F.when(F.length(response) > 100, 0.1).otherwise(0.0)
     good = (F.length(instruction) > 10) & (F.length(response) > 20)
@@ -50,7 +50,7 @@ def structure(output: Column, least: int = 50, trivial: int = 20) -> Column:
 def grounding(output: Column, source: Column) -> Column:
     """Share of the output's numbers, each time they occur, that the source has; half the structure if it has none."""
     own, theirs = T.numbers(output, "decimal"), T.numbers(source, "decimal")
-    found = F.size(F.filter(own, lambda n: F.array_contains(theirs, n)))
+    found = T.count_with(own, theirs, lambda n, t: F.array_contains(t, n))
     return F.when(F.size(own) == 0, structure(output) * 0.5).otherwise(found / F.size(own))
 
 
@@ -100,7 +100,7 @@ def composite(pairs: DataFrame, output: str = "response", source: str = "source"
     w = weights or WEIGHTS
     if abs(sum(w.values()) - 1.0) > 1e-6:
         raise ValueError("weights must sum to 1")
-    df = pairs.withColumn("_c", T.mixed_tokens(F.col(output))).withColumn("_r", T.mixed_tokens(F.col(source)))
+    df = T.once(T.once(pairs, "_c", T.mixed_tokens(F.col(output))), "_r", T.mixed_tokens(F.col(source)))
     df = df.withColumn("fidelity", rouge_l("_c", "_r")).withColumn("relevance", relevance(F.col(output), F.col(source)))
     df = df.withColumn("grounding", grounding(F.col(output), F.col(source))).withColumn("structure", structure(F.col(output))).withColumn("diversity", diversity(F.col("_c")))
     total = sum((F.col(name) * weight for name, weight in w.items()), F.lit(0.0))
@@ -200,7 +200,7 @@ def distinct_n(df: DataFrame, text: str, n: int, by: list[str], unit: str = "cha
         grams = T.grams(T.filled(F.col(text)), n)
     else:
         words = F.filter(F.split(T.filled(F.col(text)), f"[{V.SPACE}]+"), lambda w: w != "")
-        df = df.withColumn("_w", words)
+        df = T.once(df, "_w", words)
         size = F.size("_w") - n + 1
         grams = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.concat_ws(" ", *(F.get("_w", i + k) for k in range(n)))))
     each = df.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("c"))
