@@ -1,69 +1,16 @@
-"""What the operators of this folder share: table access, shared scratch tables, small guards."""
+"""What the operators of this folder share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space, as the character class that every word operator splits on.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once per application, so that no executor needs a copy of its own."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{package.name}.zip"
-    with zipfile.ZipFile(archive, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, p.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(archive))
-    _shipped.add(app)
-
-
-_shipped: set[str] = set()
-
+from ..session import Scratch, ship, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["SPACE", "Scratch", "partitions", "ship", "table", "text_of"]
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints/corpusmill"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage. Tables outlive an executor; `drop` frees those that are no longer read."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.at = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        self.made = 0
-
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        path = f"{self.at}/{self.made:03d}-{name}"
-        self.made += 1
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+#: ASCII white space, as the character class that every word operator splits on.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def text_of(name: str = "text"):
