@@ -2,7 +2,8 @@
 
 Base spans (e-mail and IP addresses, card and phone numbers) name the protected entities. What else reveals them is
 estimated from the corpus: for an entity e and a term t in the words around it, PMI(e; t) / IC(e) is the share of the
-information in e that t discloses, with probabilities over distinct texts. Terms at or above a threshold are
+information in e that t discloses, with probabilities over distinct texts. One text with both is enough: what stands
+with one owner only discloses most. Terms at or above a threshold are
 generalised to their first letters or, if they disclose nearly all, removed, wherever they occur.
 """
 
@@ -25,8 +26,8 @@ PATTERNS = {
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 
-#: Characters around an entity whose words count as its context; distinct texts that must hold entity and term.
-CONTEXT, LEAST_TEXTS = 60, 5
+#: Characters around an entity whose words count as its context.
+CONTEXT = 60
 #: Share of the entity's information: generalised from the first on, removed from the second on.
 GENERALISE, REMOVE, STEM = 0.8, 0.95, 3
 #: Bits of the table of terms that rows are tested with before anything is shuffled, at two places for each term: a
@@ -113,8 +114,8 @@ def _share(both: Column, texts_e: Column, texts_t: Column, texts: Column) -> Col
 
 
 def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float) -> DataFrame:
-    """(entity, term, both, texts_e): terms around an entity in enough distinct texts. A term is in at least as many
-    texts as its contexts are from, so a pair whose share is too low even with that number is left out."""
+    """(entity, term, both, texts_e): terms around an entity, in however few texts. A term is in at least as many texts
+    as its contexts are from, so a pair whose share is too low even with that number is left out."""
     own = base_spans(docs.select(text_of().alias("text")).where(F.col("text").rlike(r"[@+]|[0-9]")))
     text = F.col("text")
 
@@ -129,9 +130,9 @@ def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float)
     # contexts are cut inside the row, so that the text isn't copied for every entity
     own = own.where(F.size("base") > 0).select(F.xxhash64("text").alias("same"), F.explode(F.transform("base", context)).alias("x"))
     own = scratch.keep(own.select("same", "x.*"), "contexts")
-    seen = own.groupBy("entity", "same").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("texts_e")).where(F.col("texts_e") >= LEAST_TEXTS)
+    seen = own.groupBy("entity", "same").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("texts_e"))
     pairs = own.join(seen, "entity").select("entity", "texts_e", "same", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both")).where(F.col("both") >= LEAST_TEXTS)
+    pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both"))
     around = own.select("same", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts_c"))
     pairs = pairs.join(around, "term").where(F.col("texts_e") < texts)
     return pairs.where(_share(F.col("both"), F.col("texts_e"), F.col("texts_c"), texts) >= least).drop("texts_c")
@@ -157,15 +158,23 @@ def _masked(text: Column, spans: Column) -> Column:
 
 def _risky(docs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
     """(term, share): the terms that disclose at least that share of the information in some entity."""
-    texts = docs.select(F.xxhash64(text_of()).alias("same")).distinct().count()
-    total = F.lit(float(max(2, texts)))
+    same = F.xxhash64("text").alias("same")
+    own = docs.select(text_of().alias("text"))
+    copies = scratch.keep(own.groupBy(same).agg(F.count("*").alias("n")), "copies")
+    total = F.lit(float(max(2, copies.count())))
     candidates = scratch.keep(_candidates(docs, scratch, total, least), "candidates")
     test = _test(candidates)
     if test is None:
         return scratch.keep(candidates.select("term", F.lit(1.0).alias("share")), "risky")
-    own = docs.select(text_of().alias("text"))
-    each = own.select(F.xxhash64("text").alias("same"), F.explode(F.filter(_words(F.col("text")), test)).alias("term"))
-    counts = each.distinct().groupBy("term").agg(F.count("*").alias("texts_t"))
+    # only texts that may have copies go through pairs of text and term; the terms of all others are counted in place
+    each = lambda rows: rows.select(same, F.explode(F.filter(_words(F.col("text")), test)).alias("term"))
+    copied = _test(copies.where("n > 1").select(F.col("same").cast("string").alias("term")))
+    if copied is None:
+        terms = each(own).select("term")
+    else:
+        repeats = copied(F.xxhash64("text").cast("string"))
+        terms = each(own.where(~repeats)).select("term").unionByName(each(own.where(repeats)).distinct().select("term"))
+    counts = terms.groupBy("term").agg(F.count("*").alias("texts_t"))
     shares = candidates.join(counts, "term").select("term", _share(F.col("both"), F.col("texts_e"), F.col("texts_t"), total).alias("share"))
     return scratch.keep(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= least), "risky")
 

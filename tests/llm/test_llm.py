@@ -190,6 +190,19 @@ def test_personal_data(spark, empty):
     assert pii.sanitise(spark, empty).collect() == []
 
 
+def test_terms_beside_rare_personal_data(spark):
+    texts = [f"lorem and more words of Wobblegate mail joe.doe@corp.example.com lorem and more {i}" for i in range(3)]
+    texts += ["lorem words of Quuxby mail +1 555 555 1234 and more", "Quuxby and lorem"]
+    texts += [f"lorem and more words of mail here {i}" for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.sanitise(spark, docs).collect()}
+    for i in range(3):  # three texts, one owner: the name stands with this address only
+        assert [s.kind for s in got[i]._spans] == ["term", "email"] and "[TERM] mail [EMAIL]" in got[i].text
+    # one text with the number, another with the name alone: generalised in both
+    assert "Quu* mail [PHONE]" in got[3].text and got[4].text == "Quu* and lorem"
+    assert all(got[i].text == texts[i] for i in range(5, len(texts)))
+
+
 def test_quality_rules(spark, empty):
     rng = random.Random(9)
     common = "this very line stands in all documents of the host and is long"
