@@ -2,9 +2,10 @@
 
 1. Texts with the same words share a 128-bit key; only one text of each key goes on, so groups of exact copies never
    meet in a task.
-2. Each text's five-word shingles, weighted by 1 + ln(count), arrive as Poisson processes: a shingle of weight w
-   sends exponential arrivals of rate w to random places of the signature and stops as soon as its next arrival is
-   later than every place's earliest. Two signatures agree at a place with the probability Jaccard similarity.
+2. Each text's distinct five-word shingles arrive as Poisson processes: a shingle of weight w sends exponential
+   arrivals of rate w to random places of the signature and stops as soon as its next arrival is later than every
+   place's earliest. All weights are 1, so that two signatures agree at a place with the Jaccard similarity of the
+   sets, the one that links are verified by, however often either text repeats a shingle.
 3. Bands of the signature make buckets. A small bucket gives its pairs that pass an estimate, a large one a star from
    its least key; the components of these edges are families that can hold a link.
 4. Families are verified whole: small ones many to a task, large ones by pairs of blocks of bounded size. A link is a
@@ -62,8 +63,8 @@ def prob_minhash(h: np.ndarray, d: np.ndarray, w: np.ndarray, texts: int, places
 def signatures(texts: list[str | None], width: int, places: int) -> np.ndarray:
     out = [np.zeros((0, places), dtype=U)]
     for _, run in sh.chunks([t or "" for t in texts]):
-        h, d, n = sh.distinct(*sh.shingle_hashes(run, width))
-        out.append(prob_minhash(h, d, 1.0 + np.log(n), len(run), places))
+        h, d, _ = sh.distinct(*sh.shingle_hashes(run, width))
+        out.append(prob_minhash(h, d, np.ones(len(h)), len(run), places))
     return np.concatenate(out)
 
 

@@ -120,6 +120,20 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, empty):
     assert neardup.near_duplicates(spark, empty).collect() == []
 
 
+def test_near_duplicates_that_repeat_lines_unequally_often(spark):
+    rng, texts = random.Random(21), []
+    for k in (10, 20, 50, 200):
+        for _ in range(8):
+            text, line = words(rng, 70), words(rng, 30)
+            texts += [f"{text}\n{line}", text + f"\n{line}" * k]
+    sets = [shingle_set(t) for t in texts]
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert linked == {(i, i + 1) for i in range(0, len(texts), 2)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, docs).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+
+
 def test_prob_minhash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     h = shingles.mix(np.arange(400, dtype=np.uint64))
