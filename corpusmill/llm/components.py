@@ -12,17 +12,17 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
-def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(u, v) of any orderable type -> (node, root): root is the least node that node is connected with.
 
     Nodes without an edge don't occur; loops and nulls are ignored; the direction doesn't matter. Every step is an
     aggregation to the least neighbour (combined before the shuffle) and a join with that unique side, so a node of
-    very many edges never comes together in one task. Edges are written after every round.
+    very many edges never comes together in one task. Edges are written after every round, until none changes.
     """
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.keep(e, "edges")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _least(both).select("u", F.least("m", "u").alias("m"))
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()

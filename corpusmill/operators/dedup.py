@@ -5,17 +5,21 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vocab as V
 from ..session import Scratch
 
 NEAR, EXEMPT = 3, 20
+#: Edges to undecided nodes that are scanned on the driver at once.
+FRONT = 100_000
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", removed: str = "line_dedup_removed") -> DataFrame:
@@ -99,26 +103,52 @@ def near_edges(signed: DataFrame, key: str = "doc_id", near: int = NEAR) -> Data
     return pairs.unionByName(star)
 
 
-def greedy(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", most_rounds: int = 100) -> DataFrame:
+def greedy(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", front: int = FRONT) -> DataFrame:
     """(key, kept) of the greedy scan in key order: a node goes iff an earlier kept node is its neighbour.
 
-    Each round keeps the nodes whose earlier neighbours are all gone and drops the neighbours of kept ones; rounds are
-    bounded by the longest chain of dependencies. State is written after every round.
+    Each round keeps the nodes whose earlier neighbours are all gone and drops the neighbours of kept ones. What still
+    waits is a chain of dependencies, which is sequential: its first `front` edges in key order are scanned at once, so
+    that a long chain takes a round for so many edges and not one for every node. Rounds go on until every node is
+    decided; each decides one at least. State is written after every round.
     """
-    scratch = Scratch(nodes.sparkSession, "greedy")
+    spark = nodes.sparkSession
+    scratch = Scratch(spark, "greedy")
     edges = scratch.keep(edges.select("a", "b").distinct(), "edges")
     state = scratch.keep(nodes.select(F.col(key).alias("id"), F.lit(None).cast("boolean").alias("kept")), "state")
-    for _ in range(most_rounds):
+    while True:
         earlier = edges.join(state.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("wait"))
         now = state.join(earlier, "id", "left").select("id", F.coalesce("kept", F.when(F.col("hit"), F.lit(False)).when(F.col("wait"), F.lit(None).cast("boolean")).otherwise(F.lit(True))).alias("kept"))
         now = scratch.keep(now, "state")
         scratch.drop(state)
         state = now
-        if state.where("kept is null").isEmpty():
+        waiting = state.where("kept is null").select("id")
+        if waiting.isEmpty():
             break
+        # edges from nodes that are gone decide nothing; those from nodes that this round kept still do
+        still = state.where("kept is null or kept").select(F.col("id").alias("a"))
+        open_ = edges.join(still, "a", "left_semi").join(waiting.withColumnRenamed("id", "b"), "b", "left_semi")
+        decided = _front([(r.a, r.b) for r in open_.select("a", "b").orderBy("b", "a").limit(front + 1).collect()], front)
+        if decided:
+            known = spark.createDataFrame(list(decided.items()), StructType([StructField("id", state.schema["id"].dataType), StructField("_kept", BooleanType())]))
+            now = scratch.keep(state.join(known, "id", "left").select("id", F.coalesce("kept", "_kept").alias("kept")), "state")
+            scratch.drop(state)
+            state = now
+            if state.where("kept is null").isEmpty():
+                break
     return state.select(F.col("id").alias(key), "kept")
 
 
+def _front(edges: list[tuple], front: int) -> dict:
+    """Decisions over edges (a, b), sorted by b, from kept and undecided to undecided nodes: the first ones in key order. If there are more
+    than `front`, the last node may lack edges and waits. Nodes without an earlier neighbour here are kept."""
+    last = edges[-1][1] if len(edges) > front else None
+    kept: dict = {}
+    for b, group in groupby(edges, lambda e: e[1]):
+        if b != last:
+            kept[b] = not any([kept.setdefault(a, True) for a, _ in group])
+    return kept
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", near: int = NEAR) -> DataFrame:
     """(key, kept) of the near-duplicate scan over whole tables in key order; texts under 20 characters are kept.
 

@@ -123,6 +123,23 @@ def test_line_dedup_and_greedy_scan(spark):
     assert [r.kept for r in dedup.greedy(nodes, edges).orderBy("doc_id").collect()] == [True, False, True, False, True, False]
 
 
+def test_greedy_scan_decides_long_chains(spark):
+    import random
+
+    chain = [(i, i + 1) for i in range(1, 260)]
+    rng = random.Random(13)
+    tangle = sorted({(min(p), max(p)) for p in ((rng.randrange(300, 420), rng.randrange(300, 420)) for _ in range(200)) if p[0] != p[1]})
+    edges, ids = [*chain, *tangle], [*range(1, 261), *range(300, 420)]
+    want = {}
+    for i in ids:
+        want[i] = not any(want[a] for a, b in edges if b == i)
+    nodes, pairs = spark.createDataFrame([(i,) for i in ids], "doc_id long"), spark.createDataFrame(edges, "a long, b long")
+    for front in (1000, 90):
+        got = {r.doc_id: r.kept for r in dedup.greedy(nodes, pairs, front=front).collect()}
+        assert got == want and None not in got.values()
+    assert dedup._front([(1, 3), (2, 3), (3, 4)], 1) == {1: True, 2: True, 3: False}
+
+
 def test_near_edges_equal_brute_force(spark):
     import random
 
