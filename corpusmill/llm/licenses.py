@@ -81,18 +81,69 @@ RULES = (
 HINT = r"(?i)licen[sc]e|copyright|permission|redistribut|public domain|all rights|provided|gpl|cc by|cc0|creative commons|endorse|bsd|any later version"
 
 
+#: Further forms of known sentences, tried before the others. SQL doesn't have them.
+_FSF = r" as published by the free software foundation,? (either )?version "
+MORE = (
+    ("agpl3", f"gnu affero general public license{_FSF}3"),
+    ("gpl3", f"gnu general public license{_FSF}3"),
+    ("gpl2", f"gnu general public license{_FSF}2"),
+)
+#: SPDX identifiers in a tag, as (identifiers of sentences, pattern of the lower-case tag value).
+SPDX = (
+    ("agpl3,laterversion", r"agpl-3\.0(-or-later|\+)"),
+    ("agpl3", r"agpl-3\.0(-only)?"),
+    ("lgpl", r"lgpl-[0-9.]+(-or-later|-only|\+)?"),
+    ("gpl3,laterversion", r"gpl-3\.0(-or-later|\+)"),
+    ("gpl3", r"gpl-3\.0(-only)?"),
+    ("gpl2,laterversion", r"gpl-2\.0(-or-later|\+)"),
+    ("gpl2", r"gpl-2\.0(-only)?"),
+    ("apache2", r"apache-2\.0"),
+    ("mpl2", r"mpl-2\.0"),
+    ("ccbyncsa", r"cc-by-nc-sa-[0-9.]+"),
+    ("ccbyncnd", r"cc-by-nc-nd-[0-9.]+"),
+    ("ccbync", r"cc-by-nc-[0-9.]+"),
+    ("ccbysa", r"cc-by-sa-[0-9.]+"),
+    ("ccbynd", r"cc-by-nd-[0-9.]+"),
+    ("ccby", r"cc-by-[0-9.]+"),
+    ("cc0", r"cc0-1\.0"),
+    ("bsdname3", r"bsd-3-clause"),
+    ("bsdname2", r"bsd-2-clause"),
+    ("unlicense", r"unlicense"),
+    ("mitname", r"mit"),
+    ("iscgrant", r"isc"),
+)
+TAG = r"spdx-license-identifier:"
+
+
 def _sentences(text: Column) -> Column:
-    """Sentences end at line ends, and where white space follows a full stop, question or exclamation mark."""
-    return F.split(F.regexp_replace(text, r"([.!?])[\x20\t]+", "$1\n"), "\n")
+    """Sentences end at blank lines, and where white space follows a full stop, question or exclamation mark. Lines
+    that are wrapped inside a sentence are joined, without the marks of a comment; a line with an SPDX tag is one."""
+    bare = F.regexp_replace(text, r"(?m)^[\x20\t*#/;%!-]+|\r", "")
+    tags = F.regexp_replace(bare, rf"(?im)^.*{TAG}.*$", "\n\n$0\n\n")
+    ends = F.regexp_replace(tags, r"([.!?])[\x20\t\n]+", "$1\n\n")
+    return F.split(ends, r"\n[\x20\t]*\n\s*")
 
 
 def _normal(sentence: Column) -> Column:
-    s = F.regexp_replace(F.lower(sentence), "licence|spdx-license-identifier:?", "license")
+    s = F.regexp_replace(F.lower(sentence), "licence", "license")
     return F.trim(F.regexp_replace(s, r"[^a-z0-9.,()/\"-]+", " "))
 
 
-def _identifier(sentence: Column) -> Column:
-    return F.coalesce(*(F.when(sentence.rlike(p), name) for name, p in SENTENCES))
+def _found(x: Column, known: tuple[tuple[str, str], ...], edges: str) -> Column:
+    """The identifiers of all places of x that a known pattern fits, in order; at a place the first one counts."""
+    every = "|".join(f"(?:{p})" for _, p in known)
+    name = lambda m: F.coalesce(*(F.when(m.rlike(f"^(?:{p})$"), n) for n, p in known))
+    return F.transform(F.regexp_extract_all(x, F.lit(edges.format(every)), F.lit(0)), name)
+
+
+def _identifiers(sentence: Column) -> Column:
+    """All identifiers of a sentence in order. A mention of copyright counts where nothing else is known."""
+    tag = F.lower(F.regexp_extract(sentence, rf"(?i){TAG}(.*)", 1))
+    ids = _found(_normal(sentence), MORE + SENTENCES, "{}")
+    some = F.filter(ids, lambda x: x != "copyright")
+    plain = F.when(F.size(some) > 0, some).otherwise(F.slice(ids, 1, 1))
+    spdx = F.flatten(F.transform(_found(tag, SPDX, r"(?<![a-z0-9.+-])(?:{})(?![a-z0-9+-])"), lambda x: F.split(x, ",")))
+    return F.when(sentence.rlike(f"(?i){TAG}"), spdx).otherwise(plain)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -100,12 +151,12 @@ def scan(docs: DataFrame) -> DataFrame:
     in order), `licenses` (what the rules found, in rule order) and `unmatched` (identifiers that no rule took).
 
     A null or empty text has none. Columns of these names are replaced. Repeated rows each get a row; an empty table
-    gives an empty result. A sentence counts as the first known sentence that it matches.
+    gives an empty result. A sentence gives all identifiers that it holds, in their order.
     """
     docs = docs.drop("sentence_ids", "licenses", "unmatched")
     hint = F.when(text_of().rlike(HINT), F.col("text"))
     lines = F.filter(_sentences(hint), lambda x: x.rlike(HINT))
-    ids = F.filter(F.transform(F.transform(lines, _normal), _identifier), lambda x: x.isNotNull())
+    ids = F.filter(F.flatten(F.transform(lines, _identifiers)), lambda x: x.isNotNull())
     out = docs.withColumn("sentence_ids", F.coalesce(ids, F.array().cast("array<string>")))
     out = out.withColumn("_seq", F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     found = F.array().cast("array<string>")
@@ -125,7 +176,8 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same scan in SQL, made from the same fixed values."""
+    """The scan in SQL by single lines and one identifier each, made from the same fixed values; texts whose licence
+    sentences stand whole on lines of their own give the same."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     normal = """trim(regexp_replace(regexp_replace(lower(x), 'licence|spdx-license-identifier:?', 'license', 'g'), '[^a-z0-9.,()/"-]+', ' ', 'g'))"""
     case = " ".join(f"WHEN regexp_matches(x, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES)

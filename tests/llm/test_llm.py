@@ -310,6 +310,18 @@ def test_licences(spark, empty):
     assert got[8].unmatched == ["copyright"] and licenses.scan(empty).collect() == []
 
 
+def test_licences_as_wrapped_in_the_wild(spark):
+    isc = "Copyright (c) 2020, Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions.\n"
+    want = {isc: ["ISC"], gpl: ["GPL-3.0-or-later"], gpl.replace(" * ", "// "): ["GPL-3.0-or-later"], bsd: ["BSD-2-Clause"], bsd + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software.\n": ["BSD-3-Clause"]}
+    want |= {"GNU General Public License, version 2, or (at your option) any later version": ["GPL-2.0-or-later"], "MIT license or Apache License 2.0": ["Apache-2.0", "MIT"]}
+    tags = {"MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "MPL-2.0": ["MPL-2.0"], "CC-BY-4.0": ["CC-BY"], "(MIT OR Apache-2.0)": ["Apache-2.0", "MIT"], "GPL-2.0+": ["GPL-2.0-or-later"], "LGPL-2.1-only": ["LGPL"], "ISC": ["ISC"]}
+    want |= {f"// SPDX-License-Identifier: {k}\nimport mit_tools": v for k, v in tags.items()}
+    got = {r.text: r.licenses for r in licenses.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
+    assert got == want
+
+
 def test_segments_equal_brute_force():
     rng = random.Random(11)
     for _ in range(200):
