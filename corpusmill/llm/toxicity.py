@@ -1,11 +1,14 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-A token's score is its log-odds of standing in a toxic document, under a chain of Dirichlet priors: the corpus rate is
-the prior of a word's first letters, these of more letters, and those of the word, so that unseen inflections of a
-toxic stem count. A linear-time scan finds every maximal scoring segment of a text. The distribution of the best
-segment of a clean text of n tokens is an extreme-value one, P(S >= s) = 1 - exp(-K n exp(-lambda s)); its two
-parameters are estimated from clean texts, and a logistic fit on the calibrated score gives the probability. Both fits
-score each text without its own counts.
+A token's score is its log-odds of standing in a toxic rather than a clean document, from token counts under a chain of
+Dirichlet priors: the corpus rate is the prior of a word's first letters, these of more letters, and those of the word,
+so that unseen inflections of a toxic stem count. Evidence for either side counts; a token without clear evidence costs
+a small drift. A linear-time scan finds every maximal scoring segment of a text. The best segment of a clean text of n
+tokens has an extreme-value distribution, P(S >= s) = 1 - exp(-K n exp(-lambda s)): lambda solves the moment equation
+of the token scores of clean texts, K is the maximum-likelihood value over their best segments. A segment's E-value is
+K n exp(-lambda s); only segments at or below a level are passages. A logistic fit on the calibrated scores gives the
+probability. The strength of the priors and the drift are chosen by cross-validation, and every figure that the
+calibration and the logistic fit see comes from a model that was learnt without the text's own fold.
 """
 
 from __future__ import annotations
@@ -26,21 +29,30 @@ from .common import Scratch, table
 #: Labelled rows that the model is fitted on, at most; of more, a sample by hash. A documented bound.
 FIT_ROWS = 20_000
 STEMS = (3, 4, 5, 6, 7)
-PRIOR, PENALTY, LEAST_ODDS, LEAST_DOCS = 4.0, 0.5, 1.0, 2
+#: Folds of the cross-validation, and what it chooses from: strengths of the priors (in tokens) and drifts.
+FOLDS, PRIORS, DRIFTS = 5, (30.0, 100.0), (0.01, 0.03, 0.1)
+#: Log-odds nearer to 0 than this are no evidence; features of fewer labelled documents aren't learnt; a passage is
+#: significant if at most so many as good are expected in a clean text of the same length.
+LEAST_ODDS, LEAST_DOCS, LEVEL = 1.0, 3, 0.05
+#: Rates at which the moments of token scores are summed.
+RATES = np.geomspace(0.05, 8.0, 60)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def segments(hits: list[tuple[int, float]], penalty: float) -> list[tuple[int, int, float]]:
+def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first token, last token, score) of a text, where token i of hits (in order) scores
-    as given and all others minus penalty. Linear time: a candidate is merged with the last earlier one that begins
-    lower, until none does."""
+    as given, for or against, and all others minus drift. Linear time: a candidate is merged with the last earlier one
+    that begins lower, until none does."""
     held: list[tuple[int, int, float, float]] = []  # first, last, sum before, sum after
     total, at = 0.0, 0
     for i, s in hits:
-        total -= penalty * (i - at)
+        total -= drift * (i - at)
+        at = i + 1
+        if s <= 0:
+            total += s
+            continue
         first, before = i, total
         total += s
-        at = i + 1
         after, last = total, i
         while True:
             k = len(held) - 1
@@ -54,92 +66,149 @@ def segments(hits: list[tuple[int, float]], penalty: float) -> list[tuple[int, i
     return [(a, b, y - x) for a, b, x, y in held]
 
 
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
 def stems(word: str) -> list[str]:
     return [f"{k}:{word[:k]}" for k in STEMS if len(word) > k]
 
 
+def parent_of(feature: str) -> str | None:
+    """The feature whose rate is the prior of this one's."""
+    kind, word = feature.split(":", 1)
+    shorter = [k for k in STEMS if k < (len(word) if kind == "w" else int(kind))]
+    return f"{shorter[-1]}:{word[: shorter[-1]]}" if shorter else None
+
+
 @dataclass
-class Model:
-    base: float = 0.1
-    counts: dict[str, tuple[int, int]] = field(default_factory=dict)  # feature -> toxic and clean documents
-    rate: float = 1.0  # lambda
-    size: float = 1.0  # K
-    weights: tuple[float, ...] = (-30.0, 0.0, 0.0)
+class Words:
+    """Scores of words: those of features with evidence, and zeros where a feature has less than its stem."""
+
+    scores: dict[str, float] = field(default_factory=dict)
     memo: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return self.__dict__ | {"memo": {}}
-
-    def odds(self, word: str, less: int = 0) -> float:
-        """Of a lower-case word. less: 1 leaves out one toxic document that holds it, -1 a clean one."""
-        p, known = self.base, False
-        for f in (*stems(word), f"w:{word}"):
-            if (n := self.counts.get(f)) is not None:
-                t, c = max(0, n[0] - (less > 0)), max(0, n[1] - (less < 0))
-                p, known = (t + PRIOR * p) / (t + c + PRIOR), True
-        if not known:
-            return 0.0
-        return float(np.log(p / (1 - p)) - np.log(self.base / (1 - self.base)))
-
-    def hits(self, words: list[str], less: int = 0) -> list[tuple[int, float]]:
-        memo = self.memo.setdefault(less, {})
+        return {"scores": self.scores, "memo": {}}
+
+    def odds(self, word: str) -> float:
+        """Of a lower-case word: the score of the longest feature of it that has one."""
+        for f in (f"w:{word}", *reversed(stems(word))):
+            if (s := self.scores.get(f)) is not None:
+                return s
+        return 0.0
+
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        memo = self.memo
         if len(memo) > 300_000:
             memo.clear()
         for w in set(words):
             if w not in memo:
-                o = self.odds(w, less)
-                memo[w] = o if o >= LEAST_ODDS else 0.0
+                memo[w] = self.odds(w)
         return [(i, s) for i, w in enumerate(words) if (s := memo[w])]
 
-    def calibrated(self, found: list[tuple[int, int, float]], tokens: int) -> tuple[float, float]:
-        """(lambda times the best score less ln(K n), the log of one plus the sum of all segments)."""
-        best = max((s for _, _, s in found), default=0.0)
-        x = self.rate * best - np.log(self.size * max(1, tokens))
-        return float(np.clip(x, -10, 30)) / 10, float(np.log1p(sum(s for _, _, s in found)))
 
-    def probability(self, x: tuple[float, float]) -> float:
-        z = self.weights[0] + self.weights[1] * x[0] + self.weights[2] * x[1]
+@dataclass
+class Model:
+    words: Words = field(default_factory=Words)
+    prior: float = PRIORS[0]
+    drift: float = DRIFTS[0]
+    rate: float = 1.0  # lambda
+    size: float = 1.0  # K
+    weights: tuple[float, ...] = (-30.0, 0.0, 0.0)
+
+    def log_expected(self, score: float, tokens: int) -> float:
+        """The logarithm of the E-value of a segment of a text of so many tokens."""
+        return float(np.log(self.size * max(1, tokens)) - self.rate * score)
+
+    def probability(self, found: list[tuple[int, int, float]], tokens: int) -> float:
+        best, total = max((s for *_, s in found), default=0.0), sum(s for *_, s in found)
+        z = float(np.dot(self.weights, [1.0, *_inputs(np.array([best]), np.array([total]), np.array([tokens]), self.rate, self.size)[0]]))
         return float(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def _inputs(best: np.ndarray, total: np.ndarray, tokens: np.ndarray, rate: float, size: float) -> np.ndarray:
+    """What the logistic fit sees: minus the logarithm of the best E-value, and the size of all segments."""
+    calibrated = rate * best - np.log(size * np.maximum(1, tokens))
+    return np.c_[np.clip(calibrated, -10, 30) / 10, np.log1p(total)]
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """(text, toxic) -> (feature, t, c): documents of each kind that hold it, summed within batches first."""
+    """(text, toxic, fold) -> (feature, n, and t0, c0, t1 ...: its tokens in toxic and clean documents of each fold) of
+    the features of LEAST_DOCS documents or more, summed within batches first."""
+    schema = pa.schema([("feature", pa.string()), ("fold", pa.int32()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                own = set(words_of(text))
-                counts[toxic].update({s for w in own for s in stems(w)} | {f"w:{w}" for w in own})
-            names = list(counts[0].keys() | counts[1].keys())
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "t": pa.array([counts[1][n] for n in names], pa.int64()), "c": pa.array([counts[0][n] for n in names], pa.int64())})
-
-    found = docs.mapInArrow(run, "feature string, t long, c long")
-    return found.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-
-
-def _gumbel(scores: np.ndarray, tokens: np.ndarray, model: Model) -> tuple[float, float]:
-    """lambda solves the moment equation of token scores of clean text; K matches the share of clean texts with a hit."""
-    positive = scores[scores > 0]
-    share = max(len(positive), 1) / max(1, int(tokens.sum()))
-    s = positive if len(positive) else np.array([LEAST_ODDS])
-    low, high = 1e-3, 20.0
-    grown = lambda x: share * np.exp(np.minimum(x * s, 600)).mean() + (1 - share) * np.exp(-x * PENALTY) - 1
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if grown(mid) < 0 else (low, mid)
-    rate = (low + high) / 2
-    level = np.quantile(s, 0.5)
-    above = np.clip((scores >= level).mean(), 1e-6, 1 - 1e-6)
-    size = -np.log1p(-above) / (np.exp(-rate * level) * max(1.0, tokens.mean()))
-    return float(rate), float(max(size, 1e-9))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+            tokens: dict[tuple[int, int], Counter] = {(f, k): Counter() for f in range(FOLDS) for k in (0, 1)}
+            held: dict[int, Counter] = {f: Counter() for f in range(FOLDS)}
+            for text, toxic, fold in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
+                own: Counter = Counter()
+                for w, k in Counter(words_of(text)).items():
+                    for f in (f"w:{w}", *stems(w)):
+                        own[f] += k
+                tokens[fold, toxic].update(own)
+                held[fold].update(own.keys())
+            for fold, seen in held.items():
+                names = list(seen)
+                yield pa.RecordBatch.from_pydict({"feature": names, "fold": [fold] * len(names), "t": [tokens[fold, 1][n] for n in names], "c": [tokens[fold, 0][n] for n in names], "n": [seen[n] for n in names]}, schema=schema)
+
+    found = docs.select("text", "toxic", "fold").mapInArrow(run, "feature string, fold int, t long, c long, n long")
+    each = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(x))), F.lit(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in ("t", "c")]
+    return found.groupBy("feature").agg(F.sum("n").alias("n"), *each).where(F.col("n") >= LEAST_DOCS)
+
+
+def _levels(features: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features, their parents) by number, level by level; -1 stands for the corpus rate. A feature's parent is in as
+    many documents or more, so it is in the table too."""
+    at = {f: i for i, f in enumerate(features)}
+    parent = np.array([at.get(p, -1) if (p := parent_of(f)) else -1 for f in features], dtype=np.int64)
+    depth = np.array([99 if f[0] == "w" else int(f[0]) for f in features])
+    return [(rows, parent[rows]) for k in (*STEMS, 99) if len(rows := np.flatnonzero(depth == k))]
+
+
+def learn(features: list[str], levels: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, clean: np.ndarray, prior: float) -> Words:
+    """The word scores from token counts of features in toxic and clean documents."""
+    own = np.array([f[0] == "w" for f in features], dtype=bool)
+    t, c = float(toxic[own].sum()), float(clean[own].sum())
+    if not t or not c:
+        return Words()
+    base = t / (t + c)
+    p, held = np.empty(len(features) + 1), np.zeros(len(features) + 1)  # the last place is that of the corpus rate
+    p[-1], scores = base, {}
+    for rows, above in levels:
+        p[rows] = (toxic[rows] + prior * p[above]) / (toxic[rows] + clean[rows] + prior)
+        odds = np.log(p[rows] / (1 - p[rows])) - np.log(base / (1 - base))
+        odds[np.abs(odds) < LEAST_ODDS] = 0.0
+        held[rows] = odds
+        for i in np.flatnonzero((odds != 0) | (held[above] != 0)).tolist():
+            scores[features[rows[i]]] = float(odds[i])
+    return Words(scores)
+
+
+def _rate(moments: np.ndarray, tokens: float, hits: float, drift: float) -> float:
+    """lambda > 0 with mean exp(lambda s) = 1 over tokens of clean texts, from the sums of exp(lambda s) over their
+    hits at RATES; between these, linear in the logarithm."""
+    if not tokens:
+        return 1.0
+    value = np.log(np.maximum(moments + (tokens - hits) * np.exp(-RATES * drift), 1e-300) / tokens)
+    above = np.flatnonzero(value > 0)
+    if not len(above):
+        return float(RATES[-1])
+    k = int(above[0])
+    if k == 0:
+        return float(RATES[0])
+    return float(RATES[k - 1] + (RATES[k] - RATES[k - 1]) * value[k - 1] / (value[k - 1] - value[k]))
+
+
+def _size(best: np.ndarray, tokens: np.ndarray, rate: float) -> float:
+    """K by maximum likelihood over the best segments of clean texts; a text without one is censored at the least
+    score that a segment can have."""
+    seen = (best > 0).sum()
+    return float(max(seen, 0.5) / max(1e-9, (np.maximum(1, tokens) * np.exp(-rate * np.maximum(best, LEAST_ODDS))).sum()))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-1) -> tuple[float, ...]:
     z = np.c_[np.ones(len(x)), x]
     w = np.zeros(z.shape[1])
     for _ in range(50):
@@ -151,11 +220,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
+def _loss(x: np.ndarray, y: np.ndarray, weights: tuple[float, ...]) -> float:
+    z = np.c_[np.ones(len(x)), x] @ np.array(weights)
+    return float(np.mean(np.log1p(np.exp(np.clip(np.where(y == 1, -z, z), -50, 50)))))
+
+
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    """A model from docs (doc_id, text) and labels (doc_id, toxic), on at most about fit_rows labelled documents.
+    """A model from docs (doc_id, text; other columns are ignored) and labels (doc_id, toxic), on at most about
+    fit_rows labelled documents.
 
-    Labels that are null, or of a document that isn't there, don't count. Equal texts count once, toxic if any of them
-    is. Without both kinds of labels the model scores everything near 0.
+    Labels that are null, or of a document that isn't there, don't count, nor do null texts. Equal texts count once,
+    toxic if any of them is; so do repeated labels. Whole texts are read, however long. Empty tables, or labels of one
+    kind only, give a model that scores everything near 0.
     """
     labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     n = labels.count()
@@ -164,62 +240,77 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     own = docs.select("doc_id", "text").where("text is not null").join(labels, "doc_id")
     own = own.groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
     scratch = Scratch(spark, "toxicity")
-    own = scratch.keep(own.select("text", "toxic"), "sample")
+    own = scratch.keep(own.select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold")), "sample")
     toxic, clean = own.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not toxic or not clean:
         return Model()
-    model = Model(base=toxic / (toxic + clean))
-    counts = scratch.keep(_features(own), "features")
-    # no more features than the bounded sample has come to the driver, and of these only what can raise a score
-    p = (F.col("t") + PRIOR * model.base) / (F.col("t") + F.col("c") + PRIOR)
-    raising = counts.where((F.col("t") >= LEAST_DOCS) & (p > model.base * 1.5)).collect()
-    model.counts = {r.feature: (r.t, r.c) for r in raising}
-    stem_set = [r.feature for r in raising if r.feature[0] != "w"]
-    if stem_set:
-        known = spark.createDataFrame([(s,) for s in stem_set], "stem string")
-        words = counts.where(F.col("feature").startswith("w:"))
-        own_stems = F.array(*(F.concat(F.lit(f"{k}:"), F.substring("feature", 3, k)) for k in STEMS))
-        below = words.withColumn("stem", F.explode(own_stems)).join(known, "stem", "left_semi").select("feature", "t", "c").distinct()
-        model.counts |= {r.feature: (r.t, r.c) for r in below.collect()}
-        upper = counts.where(~F.col("feature").startswith("w:")).join(known.select(F.explode(F.transform(F.array(*(F.lit(k) for k in STEMS)), lambda k: F.concat(k.cast("string"), F.lit(":"), F.substr(F.col("stem"), F.lit(3), k)))).alias("feature")).distinct(), "feature", "left_semi")
-        model.counts |= {r.feature: (r.t, r.c) for r in upper.collect()}
-
-    sent = spark.sparkContext.broadcast(model)
+    counts = _features(own).toPandas()  # of the bounded sample, the features of several documents
+    features = counts["feature"].tolist()
+    t, c = (counts[[f"{x}{k}" for k in range(FOLDS)]].to_numpy(dtype=np.float64) for x in ("t", "c"))
+    levels = _levels(features)
+    without = lambda x, k: x.sum(axis=1) - x[:, k]
+    folds = [[learn(features, levels, without(t, k), without(c, k), prior) for k in range(FOLDS)] for prior in PRIORS]
+    sent = spark.sparkContext.broadcast(folds)
+    tried = [(p, d) for p in range(len(PRIORS)) for d in range(len(DRIFTS))]
+    schema = pa.schema([("toxic", pa.int32()), ("tokens", pa.int64()), ("best", pa.list_(pa.float64())), ("total", pa.list_(pa.float64())), ("hits", pa.list_(pa.int64())), ("moments", pa.list_(pa.float64()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[str, list] = {"toxic": [], "tokens": [], "best": [], "total": []}
-            for text, label in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                w = words_of(text)
-                found = segments(sent.value.hits(w, 1 if label else -1), PENALTY)
-                for name, v in zip(rows, (label, len(w), max((s for *_, s in found), default=0.0), sum(s for *_, s in found)), strict=True):
+            rows: dict[str, list] = {f.name: [] for f in schema}
+            moments, hit = np.zeros((len(PRIORS), len(RATES))), np.zeros(len(PRIORS), dtype=np.int64)
+            for text, label, fold in zip(*(b.column(x).to_pylist() for x in ("text", "toxic", "fold")), strict=True):
+                w, best, total = words_of(text), [], []
+                for p in range(len(PRIORS)):
+                    hits = sent.value[p][fold].hits(w)
+                    if not label and hits:
+                        moments[p] += np.exp(np.outer([s for _, s in hits], RATES)).sum(axis=0)
+                        hit[p] += len(hits)
+                    for drift in DRIFTS:
+                        found = [s for *_, s in segments(hits, drift)]
+                        best.append(max(found, default=0.0))
+                        total.append(sum(found))
+                for name, v in zip(rows, (label, len(w), best, total, None, None), strict=True):
                     rows[name].append(v)
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array(rows["toxic"], pa.int32()), "tokens": pa.array(rows["tokens"], pa.int64()), "best": pa.array(rows["best"], pa.float64()), "total": pa.array(rows["total"], pa.float64())})
-
-    seen = own.mapInArrow(measure, "toxic int, tokens long, best double, total double").toPandas()
-    y, best, tokens = seen["toxic"].to_numpy(), seen["best"].to_numpy(), seen["tokens"].to_numpy()
-    model.rate, model.size = _gumbel(best[y == 0], tokens[y == 0], model)
-    x = np.clip(model.rate * best - np.log(model.size * np.maximum(1, tokens)), -10, 30) / 10
-    model.weights = _logistic(np.c_[x, np.log1p(seen["total"].to_numpy())], y)
+            if rows["toxic"]:  # the sums of the batch stand in its first row
+                rows["hits"][0], rows["moments"][0] = hit.tolist(), moments.ravel().tolist()
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    seen = own.mapInArrow(measure, "toxic int, tokens long, best array<double>, total array<double>, hits array<long>, moments array<double>").toPandas()
+    scratch.drop(own)
+    y, tokens = seen["toxic"].to_numpy(), seen["tokens"].to_numpy()
+    best, total = np.stack(seen["best"].to_numpy()), np.stack(seen["total"].to_numpy())
+    hits, moments = (np.stack(seen[x].dropna().to_numpy()).sum(axis=0) for x in ("hits", "moments"))
+    moments, clean_tokens = moments.reshape(len(PRIORS), len(RATES)), float(tokens[y == 0].sum())
+    models = []
+    for k, (p, d) in enumerate(tried):
+        rate = _rate(moments[p], clean_tokens, float(hits[p]), DRIFTS[d])
+        size = _size(best[y == 0, k], tokens[y == 0], rate)
+        x = _inputs(best[:, k], total[:, k], tokens, rate, size)
+        weights = _logistic(x, y)
+        models.append((_loss(x, y, weights), k, Model(Words(), PRIORS[p], DRIFTS[d], rate, size, weights)))
+    model = min(models, key=lambda m: m[:2])[2]
+    model.words = learn(features, levels, t.sum(axis=1), c.sum(axis=1), model.prior)
     return model
 
 
-FOUND = "score double, tokens long, passages array<struct<start:int,end:int,score:double>>"
-PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+FOUND = "score double, tokens long, passages array<struct<start:int,end:int,score:double,expected:double>>"
+PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("expected", pa.float64())]))
 
 
-def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs with `score` (0 to 1), `tokens` and `passages` (code points, end exclusive, score) of the whole text.
+def score(spark: SparkSession, docs: DataFrame, model: Model, level: float = LEVEL) -> DataFrame:
+    """docs with `score` (0 to 1), `tokens` and `passages` (code points, end exclusive, score, and E-value) of the
+    whole text: the segments whose E-value is at most `level`.
 
     All columns stay; columns of these three names are replaced. Null and empty texts have no passages and the score
-    of an empty text.
+    of a text without a segment. Equal texts have equal scores; repeated rows each get a row; an empty table gives an
+    empty result.
     """
     docs = docs.drop("score", "tokens", "passages")
     sent = spark.sparkContext.broadcast(model)
     out = StructType(docs.schema.fields + StructType.fromDDL(FOUND).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
+        m, most = sent.value, float(np.log(level))
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 b = whole.slice(begin, 1000)
@@ -227,17 +318,17 @@ def score(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
                 for text in b.column("text").to_pylist():
                     low = (text or "").lower()
                     words = WORD.findall(low)
-                    found = segments(m.hits(words), PENALTY)
-                    scores.append(m.probability(m.calibrated(found, len(words))))
+                    found = segments(m.words.hits(words), m.drift)
+                    scores.append(m.probability(found, len(words)))
                     counts.append(len(words))
+                    found = [(a, z, s, e) for a, z, s in found if (e := m.log_expected(s, len(words))) <= most]
                     if found:
                         if len(low) != len(text):  # a character whose lower case is longer: take places from the text
                             spots = [x.span() for x in WORD.finditer(text)]
                             spots = spots if len(spots) == len(words) else [x.span() for x in WORD.finditer(low)]
                         else:
                             spots = [x.span() for x in WORD.finditer(low)]
-                        found = [{"start": spots[a][0], "end": spots[z][1], "score": s} for a, z, s in found]
-                    passages.append(found)
+                    passages.append([{"start": spots[a][0], "end": spots[z][1], "score": s, "expected": float(np.exp(e))} for a, z, s, e in found])
                 added = [pa.array(scores, pa.float64()), pa.array(counts, pa.int64()), pa.array(passages, PASSAGES)]
                 yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "score", "tokens", "passages"])
 
