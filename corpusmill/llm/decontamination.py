@@ -3,7 +3,8 @@
 A benchmark item of n characters that occurs in a text with at most k edits shares at least n - q + 1 - kq of its
 q-grams with the text on diagonals (text position minus item position) that lie within k of each other. So shared
 q-grams are counted in overlapping bands of 2(k + 1) diagonals, bands below that bound are dropped without loss, and
-the rest is aligned in a band around its diagonals.
+the rest is aligned in a band around its diagonals. An item too short for the bound to be 1 or more gets a smaller q,
+n // (k + 1), so that every item has its whole budget of edits.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ from .common import Scratch, table
 
 U = np.uint64
 Q, RATE = 8, 0.1
-#: Characters of benchmark text in one block, and so in memory at once; more blocks take more passes.
-BLOCK_CHARS = 1_000_000
+#: Characters of benchmark text whose q-grams are in memory at once, and characters that are sent to the workers at
+#: once. More text than the first takes its blocks in turn within a pass; more than the second takes more passes.
+BLOCK_CHARS, PASS_CHARS = 1_000_000, 32_000_000
 BREAK = 0x110000  # between texts: no character has this number
 
 
 @lru_cache(maxsize=1)
 def _fold() -> np.ndarray:
-    """Lower case and one kind of white space, a character for a character, so that places stay."""
+    """Lower case and one kind of white space, a character for a character."""
     out = np.arange(0x110001, dtype=np.uint32)
     for i in range(0x10000):
         if not 0xD800 <= i < 0xE000:
@@ -36,8 +38,27 @@ def _fold() -> np.ndarray:
     return out
 
 
-def folded(text: str) -> np.ndarray:
-    return _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(folded characters, their places in the text): a run of white space is one space, at its first place."""
+    c = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+    space = c == 32
+    kept = np.flatnonzero(~(space & np.r_[False, space[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
+    return c[kept], kept
+
+
+def pattern(text: str | None) -> np.ndarray:
+    """The folded characters of an item, without outer white space."""
+    return folded((text or "").strip())[0]
+
+
+def budget(n: int, rate: float) -> int:
+    """Edits of an item of n characters."""
+    return int(n * rate + 1e-9)
+
+
+def gram_size(n: int, q: int, rate: float) -> int:
+    """The largest size up to q that leaves an item of n characters with its edits a bound of 1 or more."""
+    return max(1, min(q, n // (budget(n, rate) + 1)))
 
 
 def qgrams(c: np.ndarray, q: int) -> np.ndarray:
@@ -50,14 +71,13 @@ def qgrams(c: np.ndarray, q: int) -> np.ndarray:
 
 
 class Block:
-    """The q-grams of some benchmark items, and where they are."""
+    """The q-grams of some benchmark items, (id, folded characters), all of the same q, and where they are."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, rate: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int, rate: float):
         self.q, self.ids = q, [i for i, _ in items]
-        self.text = [folded(t or "") for _, t in items]
+        self.text = [t for _, t in items]
         self.length = np.array([len(t) for t in self.text], dtype=np.int64)
-        # no more edits than leave the bound at 1 or more
-        self.edits = np.maximum(0, np.minimum((self.length * rate).astype(np.int64), (self.length - q) // q))
+        self.edits = np.array([budget(len(t), rate) for t in self.text], dtype=np.int64)
         self.bound = self.length - q + 1 - self.edits * q
         grams = [qgrams(t, q) for t in self.text]
         code = np.concatenate([*grams, np.zeros(0, dtype=U)])
@@ -71,8 +91,6 @@ class Block:
         self.shift = U(64 - max(16, int(np.ceil(np.log2(max(1, len(self.codes)) * 24)))))
         self.seen = np.zeros(1 << int(U(64) - self.shift), dtype=bool)
         self.seen[self._slot(self.codes)] = True
-        #: Items shorter than a q-gram are looked for as they are.
-        self.short = [(k, t.tobytes()) for k, t in enumerate(self.text) if 0 < len(t) < q]
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return ((h * U(0xD6E8FEB86659FD93)) >> self.shift).astype(np.int64)
@@ -151,8 +169,8 @@ class Block:
         return int(cost[best]), begin + max(0, int(origin[best])), begin + int(ends[best])
 
 
-def _found(texts: list[str | None], block: Block, limit: int = 400_000) -> list[list[tuple[int, int, int, int]]]:
-    """(item_id, start, end, edits) of every text, each item at its best place in each stretch of text."""
+def _found(texts: list[tuple[np.ndarray, np.ndarray]], block: Block, limit: int = 400_000) -> list[list[tuple[int, int, int, int]]]:
+    """(item_id, start, end, edits) of every folded text, each item at its best place in each stretch of text."""
     out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
     held: list[np.ndarray] = []
     where: list[int] = []
@@ -178,22 +196,16 @@ def _found(texts: list[str | None], block: Block, limit: int = 400_000) -> list[
                         best.setdefault((e, item), []).append(got)
                 e += 1
         for (e, item), found in best.items():
-            last = -1
+            last, place = -1, texts[where[e]][1]
             for edits, start, end in sorted(found, key=lambda x: (x[1], x[0])):
                 if start >= last:
-                    out[where[e]].append((block.ids[item], start, end, edits))
+                    out[where[e]].append((block.ids[item], int(place[start]), int(place[end - 1]) + 1, edits))
                     last = end
         held.clear()
         where.clear()
 
     size = 0
-    for i, t in enumerate(texts):
-        c = folded(t or "")
-        for k, own in block.short:
-            b, p = c.tobytes(), -1
-            while (p := b.find(own, p + 1)) >= 0:
-                if p % 4 == 0:
-                    out[i].append((block.ids[k], p // 4, p // 4 + int(block.length[k]), 0))
+    for i, (c, _) in enumerate(texts):
         held.append(c)
         where.append(i)
         size += len(c)
@@ -202,50 +214,79 @@ def _found(texts: list[str | None], block: Block, limit: int = 400_000) -> list[
             size = 0
     if held:
         work()
-    return [sorted(x) for x in out]
+    return out
+
+
+def blocks_of(items: list[tuple[int, str]], q: int, rate: float, block_chars: int) -> Iterator[Block]:
+    """Blocks of at most about block_chars characters, each of items that take the same q."""
+    by: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, t in items:
+        if len(p := pattern(t)):
+            by.setdefault(gram_size(len(p), q, rate), []).append((i, p))
+    for size, own in sorted(by.items()):
+        held, chars = [], 0
+        for i, p in own:
+            if held and chars + len(p) > block_chars:
+                yield Block(held, size, rate)
+                held, chars = [], 0
+            held.append((i, p))
+            chars += len(p)
+        yield Block(held, size, rate)
 
 
 MATCH = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
-def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with a column `matches`: the benchmark passages in the whole text, sorted by item and place.
+def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS) -> DataFrame:
+    """docs with a column `matches`: the benchmark passages in the whole text, sorted by item and place (code points,
+    end exclusive).
 
-    An item counts where it occurs with at most rate * length edits, case and kinds of white space aside. All columns
-    of docs stay (a column named `matches` is replaced). A null or empty text has no matches, nor has a null or empty
-    item any; an empty benchmark gives empty lists; repeated items are each reported. The benchmark is held in blocks
-    of at most block_chars characters: docs are passed once for each.
+    An item counts where it occurs with at most floor(rate * length) edits; case and kinds and runs of white space
+    don't count as edits, nor does the item's outer white space. All columns of docs stay (a column named `matches` is
+    replaced). A null or empty text has no matches, nor has a null or blank item any; an empty benchmark gives empty
+    lists; repeated items and repeated rows are each reported; of places of an item that overlap, the first counts.
+    The benchmark is sent to the workers pass_chars characters at a time, and docs are passed once for each; in a pass
+    a worker holds the q-grams of block_chars characters.
     """
     docs = docs.drop("matches").withColumn("matches", F.lit(None).cast(MATCH))
     schema = docs.schema
 
-    def with_block(frame: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Block(items, q, rate))
+    def with_items(frame: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(items)
+        single = sum(len(t) for _, t in items) <= block_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for begin in range(0, whole.num_rows, 500):
-                    b = whole.slice(begin, 500)
-                    found = _found(b.column("text").to_pylist(), sent.value)
-                    old = b.column("matches").to_pylist()
-                    names = ("item_id", "start", "end", "edits")
-                    lists = [sorted([*(x or []), *(dict(zip(names, m, strict=True)) for m in y)], key=lambda m: (m["item_id"], m["start"], m["end"])) for x, y in zip(old, found, strict=True)]
-                    at = b.schema.get_field_index("matches")
-                    yield pa.RecordBatch.from_arrays([pa.array(lists, type=MATCH_ARROW) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
-
-        return frame.mapInArrow(run, schema)
+            whole = list(blocks_of(sent.value, q, rate, block_chars)) if single else None
+            for b in batches:
+                texts = [folded(t or "") for t in b.column("text").to_pylist()]
+                found: list[list] = [[] for _ in texts]
+                for block in whole if single else blocks_of(sent.value, q, rate, block_chars):
+                    for x, more in zip(found, _found(texts, block), strict=True):
+                        x += more
+                old = b.column("matches").to_pylist()
+                names = ("item_id", "start", "end", "edits")
+                lists = [sorted([*(x or []), *(dict(zip(names, m, strict=True)) for m in y)], key=lambda m: tuple(m[n] for n in names)) for x, y in zip(old, found, strict=True)]
+                at = b.schema.get_field_index("matches")
+                yield pa.RecordBatch.from_arrays([pa.array(lists, type=MATCH_ARROW) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
+
+        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # folded texts take 12 bytes a character: few rows at a time, unless blocks have to be built for each
+            rows = 500 if single else 2000
+            return run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+        return frame.mapInArrow(small, schema)
 
     scratch, frame = Scratch(spark, "decontamination"), docs
     items: list[tuple[int, str]] = []
-    size, blocks = 0, 0
-    for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if items and size + len(r.text) > block_chars:
-            frame = scratch.keep(with_block(frame, items))
-            items, size, blocks = [], 0, blocks + 1
+    size = 0
+    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").toLocalIterator():
+        if items and size + len(r.text) > pass_chars:
+            frame = scratch.keep(with_items(frame, items))
+            items, size = [], 0
         items.append((r.item_id, r.text))
         size += len(r.text)
-    return with_block(frame, items)
+    return with_items(frame, items)
 
 
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
