@@ -5,30 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
-
-
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+from .common import Scratch, with_groups
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(u, v) of any orderable type -> (node, root): root is the least node that node is connected with.
 
-    Nodes without an edge don't occur; loops and nulls are ignored; the direction doesn't matter. Every step is an
-    aggregation to the least neighbour (combined before the shuffle) and a join with that unique side, so a node of
-    very many edges never comes together in one task. Edges are written after every round, until none changes.
+    Nodes without an edge don't occur; loops and nulls are ignored; the direction doesn't matter, repeated edges count
+    once; an empty table gives an empty result. The least neighbour of a node comes from an aggregation that is
+    combined before the shuffle, and is joined to the node's edges in parts (with_groups), so a node of very many
+    edges never comes together in one task. Edges are written after every round, until none changes.
     """
+    least = F.min("v").alias("m")
     e = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.keep(e, "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _least(both).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
-        least = _least(large)
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        near = with_groups(both, ["u"], "v", least).select("u", "v", F.least("m", "u").alias("m"))
+        large = near.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct()
+        near = with_groups(large, ["u"], "v", least)
+        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         now = scratch.keep(small, "edges")
         scratch.drop(e)
         e = now

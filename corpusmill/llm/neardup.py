@@ -8,10 +8,16 @@
    sets, the one that links are verified by, however often either text repeats a shingle.
 3. Bands of the signature make buckets. A small bucket gives its pairs that pass an estimate, a large one a star from
    its least key; the components of these edges are families that can hold a link.
-4. Families are verified whole: small ones many to a task, large ones by pairs of blocks of bounded size. A link is a
-   Jaccard similarity of the shingle sets of 0.8 or more. Each unit returns a spanning forest of its links, which is
-   enough for the classes and never all pairs.
+4. Small families are verified whole, many to a task. In large ones every bucket has a leader, the text that shares
+   most with others, and its members are verified against that, in units of bounded size. What is left are likely
+   pairs of small buckets that lie in different components, each of which is verified, and large buckets that still
+   hold texts of several components: there those outside the largest one are verified against all of the bucket,
+   block by block. So a family that gathers round a few texts takes work in proportion to its size, and no link is
+   lost. A link is a Jaccard similarity of the shingle sets of 0.8 or more. Each unit returns a spanning forest.
 5. The components of the links are the classes.
+
+Figures of groups (buckets, families, classes, neighbours) are joined to rows in parts, so that no large group comes
+together in one task.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import shingles as sh
-from .common import Scratch, table
+from .common import PARTS, Scratch, table, with_groups
 from .components import components
 
 U = np.uint64
@@ -206,40 +212,100 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
     one = own.join(texts.select("row"), "row", "left_semi")
 
     rows_ = one.select("key", F.explode("bands").alias("band"))
-    buckets = rows_.groupBy("band").agg(F.count("*").alias("n"), F.min("key").alias("first")).where("n > 1")
-    member = scratch.keep(rows_.join(buckets, "band"), "members")
+    member = scratch.keep(with_groups(rows_, ["band"], "key", F.count("*").alias("n"), F.min("key").alias("first"), where="n > 1"), "members")
     star = member.where(F.col("n") > small_bucket).select(F.col("first").alias("u"), F.col("key").alias("v"))
     lists = member.where(F.col("n") <= small_bucket).groupBy("band").agg(F.sort_array(F.collect_list("key")).alias("k"))
     pairs = lists.select(F.posexplode("k").alias("i", "u"), "k").select("u", F.explode(F.slice("k", F.col("i") + 2, F.size("k"))).alias("v")).distinct()
     signed = one.select("key", "signature")
     pairs = pairs.join(signed.select(F.col("key").alias("u"), F.col("signature").alias("s")), "u").join(signed.select(F.col("key").alias("v"), F.col("signature").alias("t")), "v")
     error = (least * (1 - least) / places) ** 0.5
-    edges = likely(pairs.select("u", "v", "s", "t"), places, least - 5 * error).unionByName(star)
-    families = scratch.keep(components(scratch, edges).select(F.col("node").alias("key"), F.col("root").alias("family")), "families")
-
-    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
-    few = families.count()
-    tasks = max(1, few // block)
-    placed = families.join(sizes, "family").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = placed.withColumn("mine", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    big = placed.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    big = big.select("key", "family", F.col("family").alias("of"), F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"))
-    little = placed.where("blocks = 1").select("key", "family", F.lit(None).cast("binary").alias("of"), F.pmod(F.xxhash64("family"), F.lit(tasks)).cast("int").alias("a"), F.lit(0).alias("b"))
+    near = scratch.keep(likely(pairs.select("u", "v", "s", "t"), places, least - 5 * error), "near")
+    edges = near.unionByName(star)
+    families = components(scratch, edges).select(F.col("node").alias("key"), F.col("root").alias("family"))
+    families = scratch.keep(with_groups(families, ["family"], "key", F.count("*").alias("size")), "families")
+
     if carry:
         found = own.select("row", "key", F.col("doc.text").cast("string").alias("text")).join(families.join(texts, "key").select("row"), "row").select("key", "text")
     else:
         wanted = families.join(texts.select("key", F.col("doc_id").alias("id")), "key")
         whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
         found = wanted.join(whole, wanted["id"].eqNullSafe(whole["id"])).select("key", "text")
-    units = found.join(big.unionByName(little), "key")
-    links = units.select("of", "a", "b", "family", "key", "text").groupBy("of", "a", "b").applyInPandas(_verify(width, least), "u binary, v binary")
-    classes = scratch.keep(components(scratch, scratch.keep(links, "links")), "classes")
+    big = families.where(F.col("size") > block).select("key")
+    some_big = not big.isEmpty()
+    found = scratch.keep(found, "texts") if some_big else found
+
+    def verified(units: DataFrame, name: str) -> DataFrame:
+        """The links inside units: rows (of, a, b, family, key), where rows of an `of` that is null are many small
+        families, dealt to units of about `block` texts by their family."""
+        units = units.select("of", "a", "b", "family", "key")
+        packed = max(1, units.where("of is null").count() // block)
+        mine = F.pmod(F.xxhash64("family"), F.lit(packed)).cast("int")
+        units = units.withColumn("a", F.when(F.col("of").isNull(), mine).otherwise(F.col("a")))
+        grouped = found.join(units, "key").groupBy("of", "a", "b")
+        return scratch.keep(grouped.applyInPandas(_verify(width, least), "u binary, v binary"), name)
+
+    links = verified(families.where(F.col("size") <= block).selectExpr("key", "family", *PACKED), "links")
+    if some_big:
+        ours = scratch.keep(member.join(big, "key", "left_semi").select("band", "key", "n"), "big")
+        near = near.join(big.withColumnRenamed("key", "u"), "u", "left_semi")
+        led = verified(_led(ours, block), "led")
+        roots = scratch.keep(components(scratch, led).select(F.col("node").alias("key"), "root"), "roots")
+        pairs = verified(_across(near, roots), "pairs")
+        left = verified(_mixed(scratch, ours.where(F.col("n") > small_bucket), roots, block), "mixed")
+        links = links.unionByName(led).unionByName(pairs).unionByName(left)
+    classes = scratch.keep(components(scratch, links), "classes")
 
     named = own.select("doc_id", "row", "key").join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
     named = scratch.keep(named.select("doc_id", "row", F.coalesce("root", "key").alias("root")), "named")
-    head = named.groupBy("root").agg(F.count("*").alias("class_size"), F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x"))
-    head = head.select("root", "class_size", F.col("x.doc_id").alias("class_id"), F.col("x.row").alias("kept"))
-    return own, named.join(head, "root").select("row", "doc_id", "class_id", "class_size", (F.col("row") == F.col("kept")).alias("keep"))
+    of_class = F.count("*").alias("class_size"), F.min_by(F.struct("doc_id", "row"), F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("x")
+    out = with_groups(named, ["root"], "row", *of_class)
+    return own, out.select("row", "doc_id", F.col("x.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("x.row")).alias("keep"))
+
+
+#: Columns of units that are many small families, as SQL: no `of`, and places that are worked out later.
+PACKED = ("cast(null as binary) as of", "0 as a", "0 as b")
+
+
+def _led(member: DataFrame, block: int) -> DataFrame:
+    """Units of each bucket's leader and its members, from (band, key, n). The leader is the text of the most shared
+    places in all its buckets; its members are dealt to units of about `block` texts, each with the leader."""
+    shared = member.join(member.groupBy("key").agg(F.sum("n").alias("shared")), "key")
+    led = with_groups(shared, ["band"], "key", F.max_by("key", F.struct("shared", "key")).alias("of")).select("of", "key").distinct()
+    led = with_groups(led, ["of"], "key", F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("units"))
+    led = led.withColumn("a", F.pmod(F.xxhash64("key"), F.col("units")).cast("int"))
+    leaders = led.select("of", F.col("of").alias("key"), "units", "a").distinct()
+    rows = led.where(F.col("key") != F.col("of")).select("of", "key", "units", "a").unionByName(leaders)
+    return rows.select("key", F.col("of").alias("family"), F.when(F.col("units") > 1, F.col("of")).alias("of"), "a", F.lit(0).alias("b"))
+
+
+def _across(near: DataFrame, roots: DataFrame) -> DataFrame:
+    """Units of the likely pairs (u, v) whose texts are in different components."""
+    named = lambda k, r: roots.select(F.col("key").alias(k), F.col("root").alias(r))
+    pairs = near.join(named("u", "ru"), "u", "left").join(named("v", "rv"), "v", "left")
+    pairs = pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
+    rows = pairs.select(F.concat("u", "v").alias("family"), F.explode(F.array("u", "v")).alias("key"))
+    return rows.selectExpr("key", "family", *PACKED)
+
+
+def _mixed(scratch: Scratch, member: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Units of the texts of buckets, (band, key, n), that hold several components. Texts outside the largest component
+    of their bucket meet all others of the bucket, in units of two blocks of half the size each."""
+    half = float(max(1, block // 2))
+    own = scratch.keep(member.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
+    each = own.groupBy("band", "root").agg(F.count("*").alias("c"))
+    bands = each.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots")).where("roots > 1")
+    # only these bands are joined to their texts, each in all parts, so that no large one comes together in a task
+    bands = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    mine = own.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(bands, ["band", "part"])
+    mine = mine.withColumn("minors", F.ceil((F.col("all") - F.col("most")) / half).cast("int")).withColumn("majors", F.ceil(F.col("most") / half).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    dealt = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    major = mine.where("root = major").select("band", "key", F.explode(to("minors")).alias("a"), dealt("majors").alias("b"))
+    minor = mine.where("root <> major").withColumn("at", dealt("minors"))
+    against = minor.select("band", "key", F.col("at").alias("a"), F.explode(to("majors")).alias("b"))
+    among = minor.select("band", "key", "at", F.explode(to("minors")).alias("other")).select("band", "key", F.least("at", "other").alias("a"), (-1 - F.greatest("at", "other")).alias("b"))
+    of = F.col("band").cast("string").cast("binary")
+    return major.unionByName(against).unionByName(among).select("key", of.alias("family"), of.alias("of"), "a", "b")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
