@@ -40,21 +40,26 @@ SENTENCES = (
     ("bsdgrant", r"redistribution and use in source and binary forms"),
     ("bsdsource", r"redistributions of source code must retain"),
     ("bsdbinary", r"redistributions in binary form must reproduce"),
-    ("bsdendorse", r"may be used to endorse or promote products"),
+    ("bsdadvert", r"all advertising materials mentioning features or use of this software"),
+    ("bsdendorse", r"may (not )?be used to endorse or promote products"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("notpublicdomain", r"\b(not|never|nor) [a-z ]{0,30}public domain\b"),
     ("publicdomain", r"\bpublic domain\b"),
     ("allrights", r"\ball rights reserved\b"),
     ("copyright", r"\bcopyright\b"),
 )
-#: Ordered rules over identifier sequences, as (licence, pattern). A sequence is written <a><b><c>.
+#: Ordered rules over identifier sequences, as (licence, pattern). A sequence is written <a><b><c>; ~ is
+#: where identifiers that stand in many licences, NOISE, may come between.
+NOISE = "(<copyright>|<allrights>)*"
 RULES = (
-    ("MIT", r"<mitgrant>(<mitnotice>)?(<asis>)?"),
-    ("BSD-3-Clause", r"<bsdgrant><bsdsource><bsdbinary><bsdendorse>(<asis>)?"),
-    ("BSD-2-Clause", r"<bsdgrant><bsdsource><bsdbinary>(<asis>)?"),
-    ("ISC", r"<iscgrant>(<asis>)?"),
-    ("AGPL-3.0-or-later", r"<agpl3><laterversion>"),
-    ("GPL-3.0-or-later", r"<gpl3><laterversion>"),
-    ("GPL-2.0-or-later", r"<gpl2><laterversion>"),
+    ("MIT", r"<mitgrant>~(<mitnotice>~)?(<asis>)?"),
+    ("BSD-4-Clause", r"<bsdgrant>~<bsdsource>~<bsdbinary>~<bsdadvert>~<bsdendorse>~(<asis>)?"),
+    ("BSD-3-Clause", r"<bsdgrant>~<bsdsource>~<bsdbinary>~<bsdendorse>~(<asis>)?"),
+    ("BSD-2-Clause", r"<bsdgrant>~<bsdsource>~<bsdbinary>~(<asis>)?"),
+    ("ISC", r"<iscgrant>~(<asis>)?"),
+    ("AGPL-3.0-or-later", r"<agpl3>~<laterversion>"),
+    ("GPL-3.0-or-later", r"<gpl3>~<laterversion>"),
+    ("GPL-2.0-or-later", r"<gpl2>~<laterversion>"),
     ("Apache-2.0", r"<apache2>"),
     ("AGPL-3.0", r"<agpl3>"),
     ("LGPL", r"<lgpl>"),
@@ -77,11 +82,13 @@ RULES = (
     ("public-domain", r"<publicdomain>"),
     ("proprietary", r"(<copyright>)?<allrights>"),
 )
+#: Counts only where no other rule found anything: rights are reserved in open licences too.
+ALONE = "proprietary"
 #: Every known sentence holds one of these; a text without them has no licence sentence.
 HINT = r"(?i)licen[sc]e|copyright|permission|redistribut|public domain|all rights|provided|gpl|cc by|cc0|creative commons|endorse|bsd|any later version"
 
 
-#: Further forms of known sentences, tried before the others. SQL doesn't have them.
+#: Further forms of known sentences, tried before the others.
 _FSF = r" as published by the free software foundation,? (either )?version "
 MORE = (
     ("agpl3", f"gnu affero general public license{_FSF}3"),
@@ -129,20 +136,26 @@ def _normal(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"[^a-z0-9.,()/\"-]+", " "))
 
 
-def _found(x: Column, known: tuple[tuple[str, str], ...], edges: str) -> Column:
+def _found(x: Column, known: tuple[tuple[str, str], ...]) -> Column:
     """The identifiers of all places of x that a known pattern fits, in order; at a place the first one counts."""
-    every = "|".join(f"(?:{p})" for _, p in known)
     name = lambda m: F.coalesce(*(F.when(m.rlike(f"^(?:{p})$"), n) for n, p in known))
-    return F.transform(F.regexp_extract_all(x, F.lit(edges.format(every)), F.lit(0)), name)
+    return F.transform(F.regexp_extract_all(x, F.lit(_either(known)), F.lit(0)), name)
+
+
+def _either(known: tuple[tuple[str, str], ...]) -> str:
+    return "|".join(f"(?:{p})" for _, p in known)
 
 
 def _identifiers(sentence: Column) -> Column:
     """All identifiers of a sentence in order. A mention of copyright counts where nothing else is known."""
     tag = F.lower(F.regexp_extract(sentence, rf"(?i){TAG}(.*)", 1))
-    ids = _found(_normal(sentence), MORE + SENTENCES, "{}")
+    ids = _found(_normal(sentence), MORE + SENTENCES)
     some = F.filter(ids, lambda x: x != "copyright")
     plain = F.when(F.size(some) > 0, some).otherwise(F.slice(ids, 1, 1))
-    spdx = F.flatten(F.transform(_found(tag, SPDX, r"(?<![a-z0-9.+-])(?:{})(?![a-z0-9+-])"), lambda x: F.split(x, ",")))
+    # the tag's value is a list of identifiers and words between; what isn't a known identifier as a whole gives none
+    names = F.split(tag, r"[^a-z0-9.+-]+")
+    known = F.transform(names, lambda m: F.coalesce(*(F.when(m.rlike(f"^(?:{p})$"), n) for n, p in SPDX)))
+    spdx = F.flatten(F.transform(F.filter(known, lambda x: x.isNotNull()), lambda x: F.split(x, ",")))
     return F.when(sentence.rlike(f"(?i){TAG}"), spdx).otherwise(plain)
 
 
@@ -161,8 +174,10 @@ def scan(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_seq", F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     found = F.array().cast("array<string>")
     for k, (name, rule) in enumerate(RULES):
+        alone = F.size(found) == 0 if name == ALONE else F.lit(True)
         # what a rule takes leaves a bar, so that its neighbours don't become neighbours of each other
-        out = out.withColumn(f"_n{k}", F.col("_seq").rlike(rule)).withColumn("_seq", F.regexp_replace("_seq", rule, "|"))
+        rule = rule.replace("~", NOISE)
+        out = out.withColumn(f"_n{k}", F.col("_seq").rlike(rule) & alone).withColumn("_seq", F.regexp_replace("_seq", rule, "|"))
         found = F.concat(found, F.when(F.col(f"_n{k}"), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("licenses", F.array_distinct(found))
     out = out.withColumn("unmatched", F.filter(F.split("_seq", "[<>|]+"), lambda x: x != ""))
@@ -176,29 +191,44 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The scan in SQL by single lines and one identifier each, made from the same fixed values; texts whose licence
-    sentences stand whole on lines of their own give the same."""
+    """The scan in SQL, made from the same fixed values."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    normal = """trim(regexp_replace(regexp_replace(lower(x), 'licence|spdx-license-identifier:?', 'license', 'g'), '[^a-z0-9.,()/"-]+', ' ', 'g'))"""
-    case = " ".join(f"WHEN regexp_matches(x, {quoted(p)}) THEN {quoted(n)}" for n, p in SENTENCES)
+    known = MORE + SENTENCES
+    name = " ".join(f"WHEN regexp_full_match(m, {quoted(p)}) THEN {quoted(n)}" for n, p in known)
+    tag = " ".join(f"WHEN regexp_full_match(m, {quoted(p)}) THEN {quoted(n)}" for n, p in SPDX)
+    some = "lambda x: x IS NOT NULL"
     steps, before = [], "s"
-    for k, (name, rule) in enumerate(RULES):
-        hit = f"CASE WHEN regexp_matches(seq, {quoted(rule)}) THEN list_append(found, {quoted(name)}) ELSE found END"
-        steps.append(f"r{k} AS (SELECT doc_id, ids, {hit} AS found, regexp_replace(seq, {quoted(rule)}, '|', 'g') AS seq FROM {before})")
+    for k, (licence, rule) in enumerate(RULES):
+        rule = quoted(rule.replace("~", NOISE))
+        alone = " AND len(found) = 0" if licence == ALONE else ""
+        hit = f"CASE WHEN regexp_matches(seq, {rule}){alone} THEN list_append(found, {quoted(licence)}) ELSE found END"
+        steps.append(f"r{k} AS (SELECT row, ids, {hit} AS found, regexp_replace(seq, {rule}, '|', 'g') AS seq FROM {before})")
         before = f"r{k}"
     return rf"""
-WITH t AS (
-  SELECT doc_id, CASE WHEN regexp_matches(text, {quoted(HINT)}) THEN string_split(regexp_replace(text, '([.!?])[ \t]+', '\1' || chr(10), 'g'), chr(10)) ELSE [] END AS x FROM documents
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, text FROM documents
+), t AS (
+  SELECT row, regexp_replace(regexp_replace(text, '(?m)^[ \t*#/;%!-]+|\r', '', 'g'), '(?im)^.*{TAG}.*$', chr(10) || chr(10) || '\0' || chr(10) || chr(10), 'g') AS text
+  FROM d WHERE regexp_matches(text, {quoted(HINT)})
+), p AS (
+  SELECT row, regexp_split_to_array(regexp_replace(text, '([.!?])[ \t\n]+', '\1' || chr(10) || chr(10), 'g'), '\n[ \t]*\n\s*') AS x FROM t
+), l AS (
+  SELECT row, k, x[k] AS x FROM (SELECT row, x, unnest(range(1, len(x) + 1)) AS k FROM p) WHERE regexp_matches(x[k], {quoted(HINT)})
 ), n AS (
-  SELECT doc_id, list_transform(list_filter(x, lambda x: regexp_matches(x, {quoted(HINT)})), lambda x: {normal}) AS x FROM t
+  SELECT row, k, regexp_matches(x, '(?i){TAG}') AS tagged, regexp_split_to_array(lower(regexp_extract(x, '(?i){TAG}(.*)', 1)), '[^a-z0-9.+-]+') AS names,
+    trim(regexp_replace(regexp_replace(lower(x), 'licence', 'license', 'g'), '[^a-z0-9.,()/"-]+', ' ', 'g'), ' ') AS x FROM l
+), f AS (
+  SELECT row, k, tagged, list_filter(list_transform(names, lambda m: CASE {tag} END), {some}) AS tags, list_transform(regexp_extract_all(x, {quoted(_either(known))}), lambda m: CASE {name} END) AS ids FROM n
+), g AS (
+  SELECT row, k, CASE WHEN tagged THEN string_split(array_to_string(tags, ','), ',') WHEN len(list_filter(ids, lambda x: x <> 'copyright')) > 0 THEN list_filter(ids, lambda x: x <> 'copyright') ELSE ids[1:1] END AS ids FROM f
 ), i AS (
-  SELECT doc_id, list_filter(list_transform(x, lambda x: CASE {case} END), lambda x: x IS NOT NULL) AS ids FROM n
+  SELECT row, list_filter(flatten(list(ids ORDER BY k)), lambda x: x IS NOT NULL AND x <> '') AS ids FROM g GROUP BY row
 ), s AS (
-  SELECT doc_id, ids, CAST([] AS VARCHAR[]) AS found, array_to_string(list_transform(ids, lambda x: '<' || x || '>'), '') AS seq FROM i
+  SELECT row, coalesce(ids, []) AS ids, CAST([] AS VARCHAR[]) AS found, array_to_string(list_transform(coalesce(ids, []), lambda x: '<' || x || '>'), '') AS seq FROM d LEFT JOIN i USING (row)
 ), {", ".join(steps)}
 SELECT doc_id, array_to_string(list_filter(found, lambda x, k: list_position(found, x) = k), ',') AS licenses, array_to_string(ids, ',') AS sentence_ids,
   trim(regexp_replace(seq, '[<>|]+', ',', 'g'), ',') AS unmatched, CAST(len(ids) AS INTEGER) AS n_sentences
-FROM {before}"""
+FROM {before} JOIN d USING (row)"""
 
 
 QUERIES = {"op5_license_scan": op5_license_scan}
