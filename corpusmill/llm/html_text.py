@@ -3,7 +3,9 @@
 A forgiving parser builds a tree. What is never part of an article (scripts, menus, page headers, footers, sidebars,
 notices, adverts, forms, reader comments) is taken out by element, role and name. Every paragraph then passes points
 for its length and commas to its ancestors, less with each level; an ancestor's total is discounted by its link
-density. The best container and those of its siblings that score well are kept, block by block.
+density. The best container is kept, block by block, with those of its siblings that score well and all that stands
+between the first and the last of these. A name takes an element out only if nothing in it says otherwise: headings and
+inline elements aren't judged by names, nor are names such as `related-work` or `comments-on-method`.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ from .common import table
 
 #: Element names by role in a page, and words that name what isn't part of an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas".split())
+RAW = frozenset("script style noscript template iframe textarea title svg object canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form script style noscript template iframe textarea title head button select dialog menu object svg math canvas option input label fieldset".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe textarea title head button select dialog menu object svg canvas option input label fieldset annotation annotation-xml".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NEGATIVE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
@@ -33,8 +35,19 @@ NEGATIVE = frozenset(
     "popup promo promoted promotion recommend recommendations recommended related replies reply respond share sharing sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
+#: Of these, words that articles use of their own parts too: they count outside an article, and inside it only where
+#: the element is full of links or holds reader comments.
+WEAK = frozenset("discussion related recommend recommendations recommended replies reply respond tags teaser skip disclaimer".split())
+#: Words that may stand beside a negative one in a name without changing what it says.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box center col column container content count embed form global group header inner item items left link links list "
+    "main mobile module more outer page panel post posts primary right row secondary section site slot stories story thread top unit user wrap wrapper".split()
+)
+READERS = frozenset("comment comments commentlist disqus".split())
 POSITIVE = frozenset("article body content entry main page post story text".split())
 EXCEPT = frozenset("has with no without is not".split())
+#: Elements that are judged by their names.
+NAMED = frozenset("div section ul ol dl table tr td p header center figure details blockquote".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("table ul ol dl html body article section main div aside".split())
 
@@ -113,16 +126,53 @@ def _close(at: Node, tags: tuple[str, ...]) -> Node:
     return node.parent if node.parent is not None else at
 
 
-def _negative(token: str) -> bool:
-    pieces = {p.lower() for p in PIECE.findall(token)}
-    return bool(pieces & NEGATIVE) and not pieces & EXCEPT
+def _pieces(node: Node) -> list[set[str]]:
+    return [{p.lower() for p in PIECE.findall(t)} for t in node.names]
+
+
+def _holds(node: Node, tags: frozenset[str], least: int = 1, readers: bool = False) -> bool:
+    """Whether node has so many elements of these tags below it (or of names of reader comments)."""
+    stack = [c for c in node.children if isinstance(c, Node)]
+    while stack:
+        c = stack.pop()
+        least -= c.tag in tags or (readers and any(p & READERS for p in _pieces(c)))
+        if least <= 0:
+            return True
+        stack += [x for x in c.children if isinstance(x, Node)]
+    return False
+
+
+def _link_share(node: Node) -> float:
+    every, linked, stack = 0, 0, [(node, node.tag == "a")]
+    while stack:
+        x, inside = stack.pop()
+        for c in x.children:
+            if isinstance(c, str):
+                n = len("".join(c.split()))
+                every += n
+                linked += n if inside else 0
+            else:
+                stack.append((c, inside or c.tag == "a"))
+    return linked / every if every else 0.0
+
+
+def _named_away(node: Node, inside: bool) -> bool:
+    for pieces in _pieces(node):
+        found = {p for p in pieces & NEGATIVE}
+        if not found or pieces & EXCEPT or any(p not in NEUTRAL and not p.isdigit() for p in pieces - NEGATIVE):
+            continue
+        if found - WEAK or not inside or _link_share(node) > 0.3 or _holds(node, frozenset(), readers=True):
+            return True
+    return False
 
 
 def dropped(node: Node, inside: bool) -> bool:
     """inside: an article or main element stands above."""
+    if node.tag == "form" and not node.hidden and _holds(node, frozenset(("p", "article", "main")), 3):
+        return False  # a form round the whole page: only its controls go
     if node.tag in DROPPED or node.hidden or node.role in ROLES or (node.tag == "header" and not inside):
         return True
-    return node.tag not in ("html", "body", "main", "article") and any(_negative(t) for t in node.names)
+    return node.tag in NAMED and _named_away(node, inside)
 
 
 def prune(root: Node) -> None:
@@ -235,22 +285,22 @@ def extract(html: str | None, least: int = 25) -> list[str]:
     best = max(scored.values(), key=lambda n: (total(n), -rank[id(n)]))
     if best.parent is None or best.tag in ("body", "html"):
         return [t for _, t in blocks(best)]
-    out: list[str] = []
-    limit = max(10.0, 0.2 * total(best))
-    for c in best.parent.children:
+    limit, good = max(10.0, 0.2 * total(best)), []
+    for k, c in enumerate(best.parent.children):
         if isinstance(c, str):
             continue
-        good = c is best
-        if not good and id(c) in scored:
+        fits = c is best
+        if not fits and id(c) in scored:
             alike = bool(c.names) and c.names == best.names
-            good = total(c) + (0.2 * total(best) if alike else 0) >= limit and c.tag in ("article", "section", "div", "main", "td", "p")
-        if not good and c.tag == "p":
+            fits = total(c) + (0.2 * total(best) if alike else 0) >= limit and c.tag in ("article", "section", "div", "main", "td", "p")
+        if not fits and c.tag == "p":
             long = c.text >= 80 and density(c) < 0.25
-            good = long or (0 < c.text < 80 and density(c) == 0 and best.tag not in ("article", "main"))
-        good = good or (c.tag == "h1" and c.text > 0)
-        if good:
-            out += [t for _, t in blocks(c)]
-    return out
+            fits = long or (0 < c.text < 80 and density(c) == 0 and best.tag not in ("article", "main"))
+        if fits or (c.tag == "h1" and c.text > 0):
+            good.append(k)
+    part = Node("#part", None)
+    part.children = [c for c in best.parent.children[good[0] : good[-1] + 1] if isinstance(c, str) or c.tag == "p" or density(c) <= 0.5]
+    return [t for _, t in blocks(part)]
 
 
 FOUND = "text string, n_chars long, n_blocks int"
@@ -260,8 +310,8 @@ def main_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with `text` (the blocks of the main text, joined by two line ends), `n_chars` (its code points) and
     `n_blocks`; all other columns but the html stay, columns of these names are replaced.
 
-    The whole html is read. A null or empty html has an empty text. Repeated rows each get a row; an empty table gives
-    an empty result.
+    The whole html is read, however long. A null or empty html, or one without text, has an empty text; of equally good
+    containers the outer or earlier one counts. Repeated rows each get a row; an empty table gives an empty result.
     """
     pages = pages.drop("text", "n_chars", "n_blocks").withColumnRenamed(html, "_html")
     kept = [f for f in pages.schema.fields if f.name != "_html"]
