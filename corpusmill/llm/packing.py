@@ -217,12 +217,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, size: int = 2048, vocab
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill")
 
 
-def packed_texts(packed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The documents with the list of their places, in the order of pieces; all columns of docs stay."""
-    places = packed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "sequence_id", "offset", "length"))).alias("places"))
-    return docs.join(places, "doc_id", "left")
-
-
 def op1_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"))
 

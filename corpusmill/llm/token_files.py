@@ -8,6 +8,9 @@ segments of bounded length and segments within the file, so that no task reads a
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,73 +20,129 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, table
+from .common import Scratch, partitions, table
 
 #: Fixed value: the end-of-document id of the vocabulary, which no text is encoded to.
 END_ID = 50256
 BLOCK_TOKENS, SEGMENT = 1 << 16, 1024
 
+
+def mounted(path: str) -> str | None:
+    """The path in the file system of the machine, for folders that all machines have mounted; None for object stores."""
+    bare = re.sub(r"^file:/+", "/", path)
+    return bare if bare.startswith("/") else None
+
+
+def _encoded(batch: pa.RecordBatch, encode, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        yield doc_id, np.array([*encode(text or ""), end_id], dtype="<u2")
+
+
+def write_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+    """Writes the flat token file of each partition of docs (doc_id, text) to a folder that all machines have mounted,
+    and returns its manifest, (file, ordinal, doc_id), which the scan doesn't read.
+
+    A file is the 16-bit ids of whole texts, each followed by end_id; a partition without rows has none. Files appear
+    under their name when they are complete, so that a task that runs again replaces its own. The files are written
+    when the manifest is worked out. A null text counts as empty; null and repeated doc_ids are written like others;
+    other columns are ignored; an empty table gives no file.
+    """
+    folder_, docs = mounted(folder), docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    if folder_ is None:
+        raise ValueError(f"flat files need a folder that is mounted on all machines, not {folder}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, name, ordinal, out = tokens.encoder(vocabulary, plain=True), f"part-{TaskContext.get().partitionId():06d}.bin", 0, None
+        growing = os.path.join(folder_, f".{name}.{uuid.uuid4().hex}")
+        try:
+            for b in batches:
+                if out is None and b.num_rows:
+                    os.makedirs(folder_, exist_ok=True)
+                    out = open(growing, "wb")
+                names = []
+                for doc_id, ids in _encoded(b, encode, end_id):
+                    out.write(ids.tobytes())
+                    names.append(doc_id)
+                yield pa.RecordBatch.from_pydict({"file": pa.array([name] * len(names), pa.string()), "ordinal": pa.array(range(ordinal, ordinal + len(names)), pa.int64()), "doc_id": pa.array(names, pa.int64())})
+                ordinal += len(names)
+            if out is not None:
+                out.close()
+                os.replace(growing, os.path.join(folder_, name))
+        finally:
+            if out is not None:
+                out.close()
+            if os.path.exists(growing):
+                os.remove(growing)
+
+    return docs.mapInArrow(run, "file string, ordinal long, doc_id long")
+
+
+def file_blocks(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
+    """(file, block, begin, size) of the byte ranges of the flat token files at path: only their lengths are read.
+    An empty file has none."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    ranges = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("block"))
+    ranges = ranges.withColumn("begin", F.col("block") * block_bytes)
+    ranges = ranges.select("file", "block", "begin", F.least(F.lit(block_bytes), F.col("length") - F.col("begin")).alias("size"))
+    return ranges.repartition(4 * partitions(spark), "file", "block")
+
+
 WRITTEN = "file long, block long, payload binary, first long, doc_ids array<long>"
 WRITTEN_ARROW = pa.schema([("file", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
 
 def write_blocks(docs: DataFrame, vocabulary: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """The flat token file of each partition of docs (doc_id, text), as (file, block, payload): the bytes of 16-bit ids.
+    """The flat token file of each partition of docs (doc_id, text) as rows (file, block, payload) of 16-bit ids, for
+    shared folders that aren't mounted.
 
     Beside them stand, for the manifest, the doc_ids of the documents that end in the block and the number of the
-    first of these in its file; the scan reads neither.
+    first of these in its file; the scan reads neither. Null texts and doc_ids, repeated rows, other columns and empty
+    tables as in write_files.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(vocabulary)
+        encode = tokens.encoder(vocabulary, plain=True)
         file, block, ended = TaskContext.get().partitionId(), 0, 0
         held, size, names = [], 0, []
 
-        def take(n: int) -> bytes:
-            nonlocal held, size
-            flat = np.concatenate(held) if held else np.zeros(0, dtype="<u2")
-            out, rest = flat[:n].tobytes(), flat[n:]
-            held, size = [rest], len(rest)
-            return out
-
-        def row(payload: bytes, own: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([file], [block], [payload], [ended], [own]), WRITTEN_ARROW, strict=True)], schema=WRITTEN_ARROW)
+        def row(payload: np.ndarray, own: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([file], [block], [payload.tobytes()], [ended], [own]), WRITTEN_ARROW, strict=True)], schema=WRITTEN_ARROW)
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], dtype="<u2")
+            for doc_id, ids in _encoded(b, encode, end_id):
                 held.append(ids)
                 size += len(ids)
-                while size > block_tokens:  # the last separator stands in a later block than this one
-                    payload = take(block_tokens)
-                    yield row(payload, names)
-                    block, ended, names = block + 1, ended + len(names), []
+                if size > block_tokens:  # the last separator stands in a later block than these
+                    flat, at = np.concatenate(held), 0
+                    while size - at > block_tokens:
+                        yield row(flat[at : at + block_tokens], names)
+                        at, block, ended, names = at + block_tokens, block + 1, ended + len(names), []
+                    held, size = [flat[at:]], size - at
                 names.append(doc_id)
         if size:
-            yield row(take(size), names)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, WRITTEN)
+            yield row(np.concatenate(held), names)
 
-
-def read_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
-    """(file, block, payload) of the flat token files at path (at most 2 GB each, the limit of the binary source)."""
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / block_bytes).cast("int") - 1))
-    parts = whole.select("file", "content", F.explode(starts).alias("block"))
-    return parts.select("file", F.col("block").cast("long"), F.substring("content", F.col("block") * block_bytes + 1, F.lit(block_bytes)).alias("payload"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, WRITTEN)
 
 
 def _summaries(blocks: DataFrame, end_id: int, width: int) -> DataFrame:
     """Per block: tokens, documents ended, tokens before the first separator and after the last, and place and length
-    of the documents between."""
-    kind = blocks.schema["file"].dataType.simpleString()
+    of the documents between. A block is a payload, or a byte range of a file that is read here."""
+    kind, inline = blocks.schema["file"].dataType.simpleString(), "payload" in blocks.columns
+
+    def ids_of(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        if inline:
+            for payload in b.column("payload").to_pylist():
+                yield np.frombuffer(payload or b"", dtype=f"<u{width}")
+        else:
+            for file, begin, size in zip(*(b.column(c).to_pylist() for c in ("file", "begin", "size")), strict=True):
+                yield np.fromfile(mounted(file), dtype=f"<u{width}", count=size // width, offset=begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[str, list] = {n: [] for n in ("tokens", "ended", "head", "tail")}
             inner: list[tuple[np.ndarray, np.ndarray]] = []
-            for payload in b.column("payload").to_pylist():
-                ids = np.frombuffer(payload or b"", dtype=f"<u{width}")
+            for ids in ids_of(b):
                 at = np.flatnonzero(ids == end_id)
                 rows["tokens"].append(len(ids))
                 rows["ended"].append(len(at))
@@ -95,16 +154,18 @@ def _summaries(blocks: DataFrame, end_id: int, width: int) -> DataFrame:
             own = [pa.array(v, pa.int64()) for v in rows.values()]
             yield pa.RecordBatch.from_arrays([b.column("file"), b.column("block"), *own, lists], names=["file", "block", *rows, "inner"])
 
-    return blocks.select("file", "block", "payload").mapInArrow(run, f"file {kind}, block long, tokens long, ended long, head long, tail long, inner array<struct<place:int,n:int>>")
+    return blocks.select("file", "block", *(["payload"] if inline else ["begin", "size"])).mapInArrow(run, f"file {kind}, block long, tokens long, ended long, head long, tail long, inner array<struct<place:int,n:int>>")
 
 
 def document_lengths(spark: SparkSession, blocks: DataFrame, end_id: int = END_ID, width: int = 2, segment: int = SEGMENT) -> DataFrame:
-    """(file, block, payload) -> a row per document of each file: file, ordinal, start, n_tokens, closed.
+    """(file, block, payload), or (file, block, begin, size) with byte ranges of mounted files -> a row per document of
+    each file: file, ordinal, start, n_tokens, closed.
 
     Blocks of a file may be of any length and are ordered by their number, from 0; ids are little-endian of `width`
     bytes and don't straddle blocks. n_tokens leaves the separator out; two separators in a row enclose an empty
-    document. Tokens after the last separator of a file are a document that isn't closed. A null payload counts as
-    empty; an empty table gives an empty result.
+    document. Tokens after the last separator of a file are a document that isn't closed; a document may be longer
+    than any number of blocks. A null payload counts as empty; other columns are ignored; an empty table gives an empty
+    result. Blocks with the same file and number are an error of the caller.
     """
     scratch = Scratch(spark, "separators")
     s = scratch.keep(_summaries(blocks, end_id, width).withColumn("segment", F.floor(F.col("block") / segment)), "summaries")
@@ -134,10 +195,19 @@ def document_lengths(spark: SparkSession, blocks: DataFrame, end_id: int = END_I
 def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """Writes all documents to flat token files and counts by scanning these: doc_id, n_tokens (without the separator),
     file, start. A null text has no tokens."""
-    scratch = Scratch(spark, "tokens")
-    written = scratch.keep(write_blocks(table(spark, sf_dir, "documents"), vocabulary or tokens.default_vocabulary()), "files")
-    manifest = written.select("file", "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
-    return document_lengths(spark, written).join(manifest, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
+    scratch, docs, vocabulary = Scratch(spark, "tokens"), table(spark, sf_dir, "documents"), vocabulary or tokens.default_vocabulary()
+    if mounted(scratch.at) is None:
+        blocks = scratch.keep(write_blocks(docs, vocabulary), "blocks")
+        manifest = blocks.select(F.col("file").cast("string"), "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
+        blocks = blocks.withColumn("file", F.col("file").cast("string"))
+    else:
+        folder = f"{scratch.at}/flat"
+        manifest = scratch.keep(write_files(docs, folder, vocabulary), "manifest")
+        if manifest.isEmpty():
+            return spark.createDataFrame([], "doc_id long, n_tokens long, file string, start long")
+        blocks = file_blocks(spark, folder)
+    lengths = document_lengths(spark, blocks).withColumn("file", F.element_at(F.split("file", "/"), -1))
+    return lengths.join(manifest, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "start")
 
 
 QUERIES = {"op3_token_counts": op3_token_counts}

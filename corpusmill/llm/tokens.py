@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import base64
+import json
+import os
 from functools import lru_cache
 
-import numpy as np
-
-
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -15,12 +14,13 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str):
+@lru_cache(maxsize=4)
+def encoder(path: str, plain: bool = False):
     """A function from a text to its ids. A rank file beside the JSON file holds the same vocabulary and encodes
-    several times faster; without it the JSON file is used. Special tokens' strings count as ordinary text."""
-    import os
-
+    several times faster; without it the JSON file is used. The strings of special tokens give these tokens' ids, or
+    with plain those of ordinary text, so that no text holds a special id."""
+    with open(path, encoding="utf-8") as file:
+        special = {t["content"]: t["id"] for t in json.load(file).get("added_tokens", []) if t.get("special")}
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if os.path.exists(ranks_path):
         import public_tokenizers
@@ -28,14 +28,13 @@ def encoder(path: str):
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return own.encode_ordinary
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in special.values()}, special_tokens=special)
+        if plain or not special:
+            return own.encode_ordinary
+        names = frozenset(special)
+        return lambda text: own.encode(text, allowed_special=names) if any(n in text for n in names) else own.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = plain
     return lambda text: t.encode(text, add_special_tokens=False).ids
-
-
-def ids_of(text: str | None, path: str) -> np.ndarray:
-    return np.asarray(encoder(path)(text or ""), dtype="<u4")
