@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,16 +42,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_watching: list[list[Scratch]] = []
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Scratch tables that are begun inside are deleted at the end: for results that have been written by then."""
+    made: list[Scratch] = []
+    _watching.append(made)
+    try:
+        yield
+    finally:
+        _watching.remove(made)
+        for scratch in made:
+            scratch.clear()
+
+
 class Scratch:
     """Written tables that cut lineage, in the folder that all executors share (spark.checkpoint.dir; one of our own
-    where it is unset)."""
+    where it is unset and the session runs on this machine only)."""
 
     def __init__(self, spark: SparkSession, name: str):
         root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not root:
             root = "/tmp/checkpoints/corpusmill"
             spark.conf.set("spark.checkpoint.dir", root)
         self.spark, self.at, self.made = spark, f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
+        for made in _watching:
+            made.append(self)
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.at}/{self.made:03d}-{name}"
@@ -61,5 +83,11 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def clear(self) -> None:
+        self._delete(self.at)
+
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
