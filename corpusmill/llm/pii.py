@@ -1,10 +1,12 @@
 """Personal data by patterns and information-theoretic sanitisation, in DataFrame functions only.
 
 Base spans (e-mail and IP addresses, card and phone numbers) name the protected entities. What else reveals them is
-estimated from the corpus: for an entity e and a term t in the words around it, PMI(e; t) / IC(e) is the share of the
-information in e that t discloses, with probabilities over distinct texts. One text with both is enough: what stands
-with one owner only discloses most. Terms at or above a threshold are
-generalised to their first letters or, if they disclose nearly all, removed, wherever they occur.
+estimated from the corpus: for an entity e and a term t, PMI(e; t) / IC(e) is the share of the information in e that t
+discloses, with probabilities over distinct texts. Among the words around an entity one text with both is enough: what
+stands with one owner only discloses most. A term anywhere else in the text counts too, if that isn't chance: texts of
+one entity whose surroundings of it are alike (copies with edits elsewhere) count once there, and one occurrence
+together is taken off. Terms at or above a threshold are generalised to their first letters or, if they disclose nearly
+all, removed, wherever they occur.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ PATTERNS = {
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 
-#: Characters around an entity whose words count as its context.
+#: Characters around an entity whose words count as its surroundings.
 CONTEXT = 60
 #: Share of the entity's information: generalised from the first on, removed from the second on.
 GENERALISE, REMOVE, STEM = 0.8, 0.95, 3
@@ -34,8 +36,8 @@ GENERALISE, REMOVE, STEM = 0.8, 0.95, 3
 #: table of fixed size (256 KB) however many terms there are. What it lets through is decided by a join.
 BITS, PROBES = 1 << 21, (0, 1)
 
-SPAN = "struct<start:int,kind:string,end:int>"
-SPANS = f"array<{SPAN}>"
+#: Names of columns that are held for a while.
+ROW, HITS, TERMS = "__pii_row", "__pii_hits", "__pii_terms"
 
 
 def _digits(x: Column) -> Column:
@@ -114,8 +116,9 @@ def _share(both: Column, texts_e: Column, texts_t: Column, texts: Column) -> Col
 
 
 def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float) -> DataFrame:
-    """(entity, term, both, texts_e): terms around an entity, in however few texts. A term is in at least as many texts
-    as its contexts are from, so a pair whose share is too low even with that number is left out."""
+    """(entity, term, both, texts_e): terms around an entity, in however few texts, and terms anywhere in its texts. A
+    term is in at least as many texts as it was counted in here, so a pair whose share is too low even with that number
+    is left out."""
     own = base_spans(docs.select(text_of().alias("text")).where(F.col("text").rlike(r"[@+]|[0-9]")))
     text = F.col("text")
 
@@ -135,7 +138,28 @@ def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float)
     pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both"))
     around = own.select("same", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts_c"))
     pairs = pairs.join(around, "term").where(F.col("texts_e") < texts)
-    return pairs.where(_share(F.col("both"), F.col("texts_e"), F.col("texts_c"), texts) >= least).drop("texts_c")
+    pairs = pairs.where(_share(F.col("both"), F.col("texts_e"), F.col("texts_c"), texts) >= least).drop("texts_c")
+    wide = _wide(docs, scratch, own)
+    if wide is not None:
+        far = wide.where((F.col("texts_e") < texts) & (_share(F.col("both"), F.col("texts_e"), F.col("both") + 1, texts) >= least))
+        pairs = pairs.unionByName(far)
+    return pairs
+
+
+def _wide(docs: DataFrame, scratch: Scratch, own: DataFrame) -> DataFrame | None:
+    """(entity, term, both, texts_e) of entities with two surroundings or more, from (same, entity, terms): the terms
+    of their whole texts, one text for each of an entity's surroundings. both is one less than what was counted."""
+    texts = own.groupBy("entity", F.xxhash64(F.sort_array("terms")).alias("around")).agg(F.min("same").alias("same"))
+    many = texts.groupBy("entity").agg(F.count_distinct("same").alias("texts_e")).where("texts_e > 1")
+    texts = scratch.keep(texts.join(many, "entity").select("entity", "texts_e", "same").distinct(), "wide")
+    test = _test(texts.select(F.col("same").cast("string").alias("term")))
+    if test is None:
+        return None
+    words = docs.select(text_of().alias("text")).where(test(F.xxhash64("text").cast("string")))
+    words = words.select(F.xxhash64("text").alias("same"), _words(F.col("text")).alias("terms")).dropDuplicates(["same"])
+    each = words.join(texts, "same").select("entity", "texts_e", F.explode("terms").alias("term"))
+    each = each.groupBy("entity", "texts_e", "term").agg((F.count("*") - 1).alias("both"))
+    return each.where("both > 0").select("entity", "texts_e", "term", "both")
 
 
 def _joined(spans: Column) -> Column:
@@ -184,32 +208,34 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
 
     Adds `_base` (base spans: start, rank, kind, end, found), `_spans` (all spans: start, rank, kind, end, mask; code
     points, end exclusive) and, with keep_text, replaces `text` by the sanitised text. A term inside a base span is
-    covered by it. A null text counts as empty. Repeated rows each get a row; equal texts count once in every
-    probability, so that copies prove nothing. An empty table gives an empty result.
+    covered by it. A null text counts as empty, whole texts are read, however long. Repeated rows each get a row; equal
+    texts count once in every probability, so that copies prove nothing; of equal shares none comes first, since all
+    terms are masked. Columns named `_base` and `_spans` are replaced. An empty table gives an empty result.
     """
+    docs = docs.drop("_base", "_spans")
     scratch = Scratch(spark, "pii")
     risky = _risky(docs, scratch, generalise)
     test = _test(risky)
     own = base_spans(docs.withColumn("text", text_of()), "_base")
-    own = own.withColumn("_hits", F.filter(_words(F.col("text")), test) if test else F.array().cast("array<string>"))
-    own = own.withColumn("_row", F.monotonically_increasing_id())
+    own = own.withColumn(HITS, F.filter(_words(F.col("text")), test) if test else F.array().cast("array<string>"))
+    own = own.withColumn(ROW, F.monotonically_increasing_id())
     if not keep_text:
-        own = own.withColumn("text", F.when(F.size("_hits") > 0, F.col("text")))
+        own = own.withColumn("text", F.when(F.size(HITS) > 0, F.col("text")))
     own = scratch.keep(own, "texts")
     masks = F.transform("_base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
     own = own.withColumn("_spans", masks)
     if test:
-        plain, own = own.where(F.size("_hits") == 0), own.where(F.size("_hits") > 0)
-        named = own.select("_row", F.explode("_hits").alias("term")).join(risky, "term")
-        named = named.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_terms"))
-        own = own.join(named, "_row", "left")
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys("_terms"), "|"), F.lit(r")(?!\p{L})"))
-        value = lambda m: F.element_at("_terms", F.lower(m))
+        plain, own = own.where(F.size(HITS) == 0), own.where(F.size(HITS) > 0)
+        named = own.select(ROW, F.explode(HITS).alias("term")).join(risky, "term")
+        named = named.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(TERMS))
+        own = own.join(named, ROW, "left")
+        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys(TERMS), "|"), F.lit(r")(?!\p{L})"))
+        value = lambda m: F.element_at(TERMS, F.lower(m))
         mask = lambda m: F.when(value(m) >= remove, F.lit("[TERM]")).otherwise(F.concat(F.left(m, F.lit(STEM)), F.lit("*")))
         terms = F.transform(places(F.col("text"), pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), (x["start"] + F.length(x["found"])).cast("int").alias("end"), mask(x["found"]).alias("mask")))
         outside = F.filter(terms, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-        own = own.withColumn("_spans", F.when(F.col("_terms").isNotNull(), F.sort_array(F.concat("_spans", outside))).otherwise(F.col("_spans")))
-        own = plain.unionByName(own.drop("_terms"))
+        own = own.withColumn("_spans", F.when(F.col(TERMS).isNotNull(), F.sort_array(F.concat("_spans", outside))).otherwise(F.col("_spans")))
+        own = plain.unionByName(own.drop(TERMS))
     if keep_text:
         own = own.withColumn("text", _masked(F.col("text"), F.col("_spans")))
     return own.select(*docs.columns, "_base", "_spans")
