@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Scratch, table, text_of
+from .common import SPACE, Scratch, table, text_of, with_groups
 
 #: Fixed values of the rules.
 SYMBOLS = "#*$%&|<>"
@@ -78,14 +78,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, host: str = "source", li
     Returns a row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_left_words (words outside removed lines) and, with keep_text, `text` without the removed lines. kept is false
     where base_failed, or where fewer than 20 words or less than the share least_left of the words are left. A null
-    text counts as empty, a null host as a host of its own; equal texts count once for a line, so that copies alone
-    make no line frequent. Repeated rows each get a row. An empty table gives an empty result.
+    text counts as empty, a null host as a host of its own; whole texts are read, however long; equal texts count once
+    for a line, so that copies alone make no line frequent. Repeated rows each get a row. An empty table gives an empty
+    result.
     """
     scratch = Scratch(spark, "quality")
     own = scratch.keep(measured(docs, host, keep_text).withColumn("row", F.monotonically_increasing_id()), "measured")
     each = own.select("host", "same", F.explode(F.array_distinct("lines.h")).alias("h"))
-    often = each.distinct().groupBy("host", "h").agg(F.count("*").alias("texts")).where(F.col("texts") > line_limit).select("host", "h")
-    gone = own.select("row", "host", F.explode("lines").alias("x")).select("row", "host", "x.h", "x.n").join(often, ["host", "h"])
+    gone = own.select("row", "host", "same", F.explode("lines").alias("x")).select("row", "host", "same", "x.h", "x.n")
+    # a line of all documents of a host is joined in parts
+    gone = with_groups(gone, ["host", "h"], "same", F.count("*").alias("texts"), where=f"texts > {int(line_limit)}", over=each.distinct())
     gone = gone.groupBy("row").agg(F.sum("n").alias("n_gone"), F.collect_set("h").alias("gone"))
     out = own.join(gone, "row", "left").withColumn("n_left_words", F.col("n_words") - F.coalesce("n_gone", F.lit(0)))
     enough = (F.col("n_left_words") >= LEAST_WORDS) & (F.col("n_left_words") >= least_left * F.col("n_words"))
