@@ -136,15 +136,31 @@ def format_turns(turns: DataFrame, content: str = "text", train: str = "assistan
     return turns.mapInArrow(run, StructType(turns.schema.fields + StructType.fromDDL(FORMATTED).fields))
 
 
-def read_back(formatted: str) -> list[tuple[str, str]]:
-    """The (role, text) of the turns of a formatted string, placeholders left out."""
-    out, at = [], 0
-    while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if m is None:
+class Reader:
+    """Reads a formatted conversation back as one text that arrives in pieces of any length: turns are found by their
+    marks alone, wherever pieces end."""
+
+    def __init__(self) -> None:
+        self.rest = ""
+
+    def feed(self, piece: str) -> Iterator[tuple[str, str]]:
+        """The (role, text) of the turns that end in this piece, placeholders left out."""
+        text, at = self.rest + piece, 0
+        while m := _TURN.match(text, at):
+            yield unescape_role(m[1]), "".join(unescape(x) for x in _HOLDER.split(m[2]))
+            at = m.end()
+        self.rest = text[at:]
+
+    def close(self) -> None:
+        if self.rest:
             raise ValueError("not a formatted conversation")
-        out.append((unescape_role(m[1]), "".join(unescape(x) for x in _HOLDER.split(m[2]))))
-        at = m.end()
+
+
+def read_back(formatted: str) -> list[tuple[str, str]]:
+    """The (role, text) of the turns of a formatted conversation, placeholders left out."""
+    reader = Reader()
+    out = list(reader.feed(formatted))
+    reader.close()
     return out
 
 
@@ -152,28 +168,29 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """A row per conversation, read back from formatted turns (conv_id, turn, formatted, loss).
+    """A row per conversation, read back from formatted turns (conv_id, turn, formatted, loss; others are ignored).
 
-    Conversations go by hash to partitions that are sorted by turn and read as a stream: of a conversation only its
-    running hashes are held, however long it is. Equal turns are ordered by their text; null turns come first, and the
+    Conversations go by hash to partitions that are sorted by turn and read as one text each, as a stream: of a
+    conversation only its running hashes and the turn that is being read are held, however long it is. Equal turns are ordered by their text; null turns come first, and the
     rows of a null conv_id are one conversation.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
+        now, held, reader = None, None, Reader()
         done: list[tuple] = []
 
         def flush() -> None:
             if held is not None:
+                reader.close()
                 done.append((now, held[0], held[1].hexdigest(), held[2], held[3].hexdigest(), held[4]))
 
         for b in batches:
             for conv, text, loss in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "loss")), strict=True):
                 if held is None or conv != now:
                     flush()
-                    now, held = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in read_back(text):
+                    now, held, reader = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], Reader()
+                for role, said in reader.feed(text):
                     held[0] += 1
                     held[1].update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
                 for s in loss:
