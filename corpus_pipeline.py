@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark decontamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents, whatever their names: operators see a row as (doc_id,
+text, the row itself). In every stage a null text counts as empty and stays null where it isn't changed, whole texts
+are read, repeated rows are rows of their own (near-duplicates aside), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,35 +13,48 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, neardup, packing, pii, toxicity
 from corpusmill.llm.common import Scratch, ship, table
+from corpusmill.session import released
+
+#: The name of a whole row among an operator's columns.
+ROW = "__row"
+
+
+def _held(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, the row)."""
+    return docs.select("doc_id", "text", F.struct("*").alias(ROW))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, learnt from the labels outside the held-out fold, rejects go."""
+    """Documents that the model, learnt from the labels outside the held-out fold, gives a score of 0.5 or more go.
+    Rows of a null doc_id have no label and are scored like others; equal texts are decided alike."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
     model = toxicity.fit(spark, docs.select("doc_id", "text"), labels)
-    return toxicity.score(spark, docs, model).where("score < 0.5").select(*docs.columns)
+    return toxicity.score(spark, _held(docs), model).where("score < 0.5").select(f"{ROW}.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays."""
+    """One document of each class stays, that of the least doc_id (null counts as largest); of repeated rows one does.
+    Texts without words are copies of each other."""
     ship(spark)
     return neardup.deduplicate(spark, docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    found = decontamination.benchmark_matches(spark, docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    """Documents that hold a benchmark item within its budget of edits go."""
+    found = decontamination.benchmark_matches(spark, _held(docs), table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("matches") == 0).select(f"{ROW}.*")
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and what discloses it is masked; n_chars follows the text."""
-    clean = pii.sanitise(spark, docs).select(*docs.columns)
-    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+    """Personal data and what discloses it is masked; a column n_chars follows the text. A null text becomes empty."""
+    clean = pii.sanitise(spark, _held(docs))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*(new.get(c, F.col(ROW)[c]).alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in a sequence of at most 2048 tokens."""
+    """The place of every piece of every document in a sequence of at most 2048 tokens; of documents only doc_id and
+    the pieces' figures are left."""
     ship(spark)
     return packing.pack_documents(spark, docs)
 
@@ -57,8 +72,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents; what a stage wrote for itself is deleted when its result has been written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with released():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
