@@ -10,8 +10,14 @@ from . import vocab as V
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """df with a column that is worked out once a row, however often later steps use it: filters aren't pushed below an
-    exploded array, and projections aren't merged across it."""
-    return df.withColumn(name, F.explode(F.array(value)))
+    exploded array, and projections aren't merged across it. The value stands in a projection of its own, where what
+    its parts have in common is worked out once too."""
+    return df.withColumn("_once", value).withColumn(name, F.explode(F.array("_once"))).drop("_once")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def count_with(items: Column, other: Column, test) -> Column:
@@ -27,7 +33,7 @@ def filled(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Outer white space of any kind goes."""
-    return F.regexp_replace(text, f"^[{V.SPACE}]+|[{V.SPACE}]+$", "")
+    return F.btrim(text, F.lit(V.SPACES))
 
 
 def lines(text: Column) -> Column:
@@ -37,9 +43,11 @@ def lines(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Page numbers, page marks and figure marks go; runs of three white-space characters become one space."""
     x = F.regexp_replace(filled(text), r"(?m)^[0-9]+$", "")
-    x = F.regexp_replace(x, rf"第[{V.SPACE}]*[0-9]+[{V.SPACE}]*页[{V.SPACE}]*[/\\][{V.SPACE}]*共[{V.SPACE}]*[0-9]+[{V.SPACE}]*页", "")
+    # most texts hold none of these marks: a plain search is cheaper than the pattern
+    marked = lambda x, sign, p: let(x, lambda y: F.when(F.contains(y, F.lit(sign)), F.regexp_replace(y, p, "")).otherwise(y))
+    x = marked(x, "页", rf"第[{V.SPACE}]*[0-9]+[{V.SPACE}]*页[{V.SPACE}]*[/\\][{V.SPACE}]*共[{V.SPACE}]*[0-9]+[{V.SPACE}]*页")
     x = F.regexp_replace(x, rf"(?i)Page[{V.SPACE}]+[0-9]+[{V.SPACE}]+of[{V.SPACE}]+[0-9]+", "")
-    x = F.regexp_replace(x, rf"(?i)\[图片\]|\[图[0-9]+\]|\[Image\]|\[Figure[{V.SPACE}]+[0-9]+\]", "")
+    x = marked(x, "[", rf"(?i)\[图片\]|\[图[0-9]+\]|\[Image\]|\[Figure[{V.SPACE}]+[0-9]+\]")
     x = F.regexp_replace(x, f"[{V.SPACE}]{{3,}}", " ")
     x = F.array_join(F.transform(lines(x), strip), "\n")
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
@@ -53,8 +61,21 @@ def sanitize(text: Column) -> Column:
 
 
 def count(text: Column, body: str) -> Column:
-    """Characters of a class."""
-    return F.regexp_count(text, F.lit(f"[{body}]"))
+    """Characters of a class: what its runs leave is counted, since a run is one match and a character would be many."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{body}]++", ""))
+
+
+def profile(text: Column) -> Column:
+    """(n, latin, cjk, valid, odd, ext_b): characters, Latin and CJK letters, valid ones (letters, digits, punctuation,
+    white space), uncommon ones (neither ASCII nor valid) and of these the extended-B ideographs. Each class is taken
+    out of what the one before left, so that only the first pass reads the whole text."""
+    without = lambda x, body: F.regexp_replace(x, f"[{body}]++", "")
+
+    def named(t, a, b, c, d):
+        size = F.length
+        return F.struct(size(t).alias("n"), (size(t) - size(a)).alias("latin"), (size(a) - size(b)).alias("cjk"), (size(t) - size(c)).alias("valid"), size(d).alias("odd"), (size(d) - size(without(d, V.EXT_B))).alias("ext_b"))
+
+    return let(without(text, V.LATIN), lambda a: let(without(a, V.CJK), lambda b: let(without(b, "0-9" + V.PUNCT), lambda c: let(without(c, r"\x00-\x7F"), lambda d: named(text, a, b, c, d)))))
 
 
 def valid_count(text: Column, punct: str = V.PUNCT) -> Column:
@@ -135,8 +156,15 @@ def presence(text: Column, words: list[str], full: float, fold: bool = False) ->
 
 def found_words(text: Column, words: list[str]) -> Column:
     """The words that occur, in the order of the vocabulary; case doesn't count."""
-    low = F.lower(text)
-    return F.filter(F.array(*(F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in words)), lambda w: w.isNotNull())
+    return chosen(F.lower(text), {w: w.lower() for w in words})
+
+
+def chosen(text: Column, signs: dict[str, str]) -> Column:
+    """The names of the signs that occur in the text, in their order. A joined text that is split again is covered by
+    code generation, a filtered array isn't."""
+    bar = "\x1f"
+    names = F.concat_ws(bar, *(F.when(F.contains(text, F.lit(s)), F.lit(n)) for n, s in signs.items()))
+    return F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, bar))
 
 
 def numbers(text: Column, kind: str = "integer") -> Column:

@@ -9,6 +9,8 @@ PRIVATE = r"\x{E000}-\x{F8FF}"
 EXT_B = r"\x{20000}-\x{2A6DF}"
 CONTROL = r"\x00-\x08\x0B-\x1F\x7F"
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F"
+#: The characters of SPACE.
+SPACES = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 PUNCT = r"，。！？、；：\"'（）【】《》·—,.!?;:()\[\]<>/\\\-" + SPACE
 PUNCT_ENCODING = r"，。！？、；：\"（）【】《》·—,.!?;:()\[\]<>/\\\-" + SPACE
 

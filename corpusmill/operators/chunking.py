@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .gates import gate_before, structural_noise, too_short
+from .gates import gate_before, structural_noise
 
 STATE = "struct<out:array<string>,cur:string>"
 
@@ -75,7 +75,7 @@ def preprocess(docs: DataFrame, key: str = "doc_id", text: str = "text", least:
 
     scratch = Scratch(docs.sparkSession, "preprocess")
     df = cleaned(docs.withColumn("original_length", F.length(T.filled(F.col(text)))), text, near=near)
-    reason = F.when(too_short(F.col(text), least), "Text too short or empty").when(gate_before(F.col(text), least) != "OK", gate_before(F.col(text), least))
+    reason = F.nullif(gate_before(F.col(text), least), F.lit("OK"))  # its first rule is that of short texts
     stats = F.struct("line_dedup_removed", "para_dedup_removed", "structural_noise_removed").alias("parse_stats")
     df = df.select(key, "original_length", F.length(text).alias("final_length"), stats, reason.alias("reason"), F.when(reason.isNull(), chunks_of(F.col(text))).alias("chunks"))
     df = scratch.keep(df, "documents")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 
-UNCOMMON = r"^\x00-\x7F" + V.CJK + V.PUNCT
 #: What the filters of training candidates look for.
 QA_WORDS = ["环境", "社会", "治理", "ESG", "CSR", "可持续发展", "碳排放", "员工", "培训", "供应链", "合规"]
 EXTRACTION_MARKS = ["：", "、", "；", "1.", "2."]
@@ -22,44 +21,47 @@ def _percent(ratio: Column) -> Column:
     return F.format_string("%.2f%%", ratio * 100)
 
 
-def _ratio(n: Column, text: Column) -> Column:
-    return n / F.greatest(F.length(text), F.lit(1))
-
-
 def gate_before(text: Column, least: int = 80, valid: float = 0.70, uncommon: float = 0.20, ext_b: float = 0.01, ext_b_count: int = 10, chinese_only: bool = False, chinese: float = 0.60) -> Column:
     """The gate of whole documents and fresh chunks: 'OK' or the first reason."""
+
+    def rule(p: Column) -> Column:
+        share = {k: p[k] / F.greatest(p["n"], F.lit(1)) for k in ("valid", "odd", "cjk", "latin", "ext_b")}
+        first = (
+            F.when((p["ext_b"] >= ext_b_count) | (share["ext_b"] > ext_b), "Too many extended-B characters")
+            .when(share["valid"] < valid, F.concat(F.lit("Valid character ratio too low ("), _percent(share["valid"]), F.lit(")")))
+            .when(share["odd"] > uncommon, F.concat(F.lit("Uncommon character ratio too high ("), _percent(share["odd"]), F.lit(")")))
+        )
+        if chinese_only:
+            first = first.when(share["cjk"] < chinese, F.concat(F.lit("Chinese ratio too low ("), _percent(share["cjk"]), F.lit(f"), required ≥{chinese:.2%}")))
+        else:
+            first = first.when((share["cjk"] < 0.10) & (share["latin"] < 0.10), "Neither predominantly Chinese nor predominantly English")
+        return first.otherwise("OK")
+
     text = T.filled(text)
-    extb = T.count(text, V.EXT_B)
-    good, odd, cjk, latin = (_ratio(n, text) for n in (T.valid_count(text), T.count(text, UNCOMMON), T.count(text, V.CJK), T.count(text, V.LATIN)))
-    rule = (
-        F.when(too_short(text, least), "Text too short or empty")
-        .when(F.contains(text, F.lit("�")), "Contains replacement character")
-        .when((extb >= ext_b_count) | (_ratio(extb, text) > ext_b), "Too many extended-B characters")
-        .when(good < valid, F.concat(F.lit("Valid character ratio too low ("), _percent(good), F.lit(")")))
-        .when(odd > uncommon, F.concat(F.lit("Uncommon character ratio too high ("), _percent(odd), F.lit(")")))
-    )
-    if chinese_only:
-        rule = rule.when(cjk < chinese, F.concat(F.lit("Chinese ratio too low ("), _percent(cjk), F.lit(f"), required ≥{chinese:.2%}")))
-    else:
-        rule = rule.when((cjk < 0.10) & (latin < 0.10), "Neither predominantly Chinese nor predominantly English")
-    return rule.otherwise("OK")
+    early = F.when(too_short(text, least), "Text too short or empty").when(F.contains(text, F.lit("\ufffd")), "Contains replacement character")
+    return early.otherwise(T.let(T.profile(text), rule))
 
 
 def gate_after(text: Column) -> Column:
     """The gate of the quality check on finished chunks: 'Valid text' or the first reason."""
+
+    def rule(p: Column) -> Column:
+        share = {k: p[k] / F.greatest(p["n"], F.lit(1)) for k in ("valid", "odd", "cjk", "latin", "ext_b")}
+        return (
+            F.when((p["ext_b"] >= 6) | (share["ext_b"] > 0.01), "Ext-B character ratio too high (possible garbled text)")
+            .when(share["valid"] < 0.70, F.concat(F.lit("Valid character ratio too low ("), _percent(share["valid"]), F.lit(")")))
+            .when(share["odd"] > 0.15, F.concat(F.lit("Uncommon character ratio too high ("), _percent(share["odd"]), F.lit(")")))
+            .when((share["cjk"] < 0.15) & (share["latin"] < 0.15), "Neither predominantly Chinese nor English")
+            .otherwise("Valid text")
+        )
+
     text = T.filled(text)
-    extb = T.count(text, V.EXT_B)
-    good, odd, cjk, latin = (_ratio(n, text) for n in (T.valid_count(text), T.count(text, UNCOMMON), T.count(text, V.CJK), T.count(text, V.LATIN)))
-    return (
+    early = (
         F.when(too_short(text, 10), "Text too short or empty")
         .when(text.rlike(f"[{V.PRIVATE}]"), "Contains private-use chars (possible encoding/font issue)")
-        .when(F.contains(text, F.lit("�")), "Contains replacement char \\uFFFD (possible encoding issue)")
-        .when((extb >= 6) | (_ratio(extb, text) > 0.01), "Ext-B character ratio too high (possible garbled text)")
-        .when(good < 0.70, F.concat(F.lit("Valid character ratio too low ("), _percent(good), F.lit(")")))
-        .when(odd > 0.15, F.concat(F.lit("Uncommon character ratio too high ("), _percent(odd), F.lit(")")))
-        .when((cjk < 0.15) & (latin < 0.15), "Neither predominantly Chinese nor English")
-        .otherwise("Valid text")
+        .when(F.contains(text, F.lit("\ufffd")), "Contains replacement char \\uFFFD (possible encoding issue)")
     )
+    return early.otherwise(T.let(T.profile(text), rule))
 
 
 def quality_check(chunks: DataFrame, mode: str = "clean") -> DataFrame:

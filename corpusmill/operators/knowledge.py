@@ -14,9 +14,7 @@ MOST = 5
 
 def keywords(text: Column, vocabulary: dict[str, list[str]] | None = None) -> Column:
     """'dimension:keyword' of the keywords that occur, in the order of the vocabulary; case doesn't count."""
-    low = F.lower(T.filled(text))
-    found = [F.when(F.contains(low, F.lit(w.lower())), F.lit(f"{d}:{w}")) for d, words in (vocabulary or V.KNOWLEDGE).items() for w in words]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+    return T.chosen(F.lower(T.filled(text)), {f"{d}:{w}": w.lower() for d, words in (vocabulary or V.KNOWLEDGE).items() for w in words})
 
 
 def topics(text: Column, words: list[str] | None = None, most: int = MOST, default: list[str] | None = None) -> Column:

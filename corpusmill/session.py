@@ -37,9 +37,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Tables of long texts, and the size up to which such a table of few files is dealt to all cores.
+TEXTS, SMALL = ("documents", "pages"), 256 << 20
+
+
+def spread(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A small table of fewer files than cores, dealt to all cores by row: one row group is one task whatever its
+    texts cost. Larger tables are left as their scan splits them, so nothing of size is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size <= most and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 _watching: list[list[Scratch]] = []

@@ -1,14 +1,19 @@
 """The training-data operators against brute force, on rows with nulls, empty texts, ties, repeats and odd columns."""
 
+import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import Scratch
+from corpusmill.llm.components import components
 from corpusmill.llm import chat, decontamination, html_text, licenses, neardup, packing, pii, quality, shingles, token_files, tokens, toxicity
 
 DOCS = "doc_id long, text string, source string, row int, key string, label int"
@@ -77,11 +82,13 @@ def test_crossover_keeps_every_piece_once():
 def test_vocabularies_agree(rows):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
-    fast = tokens.encoder(tokens.default_vocabulary())
-    for text in [r[1] or "" for r in rows] + ["<|endoftext|> x", "a\n\n  b\t'll don't 1234", "x" * 5000]:
-        assert t.encode(text, add_special_tokens=False).ids == list(fast(text))
+    path = tokens.default_vocabulary()
+    t, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    for text in [r[1] or "" for r in rows] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x <|endof", "a\n\n  b\t'll don't 1234", "x" * 5000]:
+        assert t.encode(text, add_special_tokens=False).ids == list(tokens.encoder(path)(text))
+        assert plain.encode(text, add_special_tokens=False).ids == list(tokens.encoder(path, plain=True)(text))
+        assert token_files.END_ID not in tokens.encoder(path, plain=True)(text)
 
 
 def shingle_set(t):
@@ -120,6 +127,48 @@ def test_near_duplicates_equal_brute_force(spark, docs, rows, empty):
     assert neardup.near_duplicates(spark, empty).collect() == []
 
 
+@pytest.mark.parametrize(("families", "small", "block"), [(3, 2, 4), (2, 32, 192)])
+def test_families_larger_than_a_block(spark, families, small, block):
+    """Families round a base text and chains away from it: leaders, pairs of small buckets and mixed buckets."""
+    rng, texts = random.Random(families), []
+    for _ in range(families):
+        base = words(rng, 60).split()
+        pool = [base]
+        for _ in range(480 // families):
+            copy = list(rng.choice(pool) if rng.random() < 0.5 else base)
+            for _ in range(rng.choice([1, 1, 1, 2, 3])):
+                copy[rng.randrange(60)] = words(rng, 1)
+            pool.append(copy)
+            texts.append(" ".join(copy))
+    texts += [words(rng, 40) for _ in range(60)]
+    rng.shuffle(texts)
+    sets, holds, root = [shingle_set(t) for t in texts], {}, list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, own in enumerate(sets):
+        for g in own:
+            holds.setdefault(g, []).append(i)
+        for j, k in collections.Counter(j for g in own for j in holds[g] if j < i).items():
+            if k >= 0.8 * (len(own) + len(sets[j]) - k):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark, docs, small_bucket=small, block=block).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_components_of_long_chains_and_hubs(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1500)] + [(5, 5), (None, 3), (2000, 2001), (2001, 2000), (2000, 2001)]
+    table_ = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in components(Scratch(spark, "test"), table_).collect()}
+    assert got == {i: 0 for i in range(301)} | {i: 1000 for i in range(1000, 1500)} | {2000: 2000, 2001: 2000}
+    assert components(Scratch(spark, "test"), table_.limit(0)).collect() == []
+
+
 def test_near_duplicates_that_repeat_lines_unequally_often(spark):
     rng, texts = random.Random(21), []
     for k in (10, 20, 50, 200):
@@ -147,26 +196,61 @@ def test_prob_minhash_estimates_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - want) < 0.03
 
 
-def test_decontamination_finds_every_passage_in_budget(spark, empty):
-    rng = random.Random(7)
-    bench = [(i, words(rng, rng.choice([2, 12, 40]))) for i in range(25)] + [(90, None), (91, ""), (92, "ab")]
-    block = decontamination.Block([(i, t) for i, t in bench if t], decontamination.Q, decontamination.RATE)
-    rows = [(i, words(rng, 60), "x") for i in range(20)] + [(98, None, "x"), (99, "", "x")]
-    for n, (i, t) in enumerate(bench[:25]):
-        s = list(t)
-        for _ in range(int(block.edits[n])):
-            s[rng.randrange(len(s))] = rng.choice("abcxyz")
-        rows.append((100 + i, f"{words(rng, 30)} {''.join(s).upper()}\n{words(rng, 9)}", "x"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, matches string")
-    items = spark.createDataFrame(bench, "item_id long, text string")
-    for chars in (10**6, 400):  # one block, and several
-        found = {r.doc_id: r.matches for r in decontamination.benchmark_matches(spark, docs, items, block_chars=chars).collect()}
-        assert all(100 + i in found and i in [m.item_id for m in found[100 + i]] for i, _ in bench[:25])
-        assert all(m.item_id == 92 or len(bench[m.item_id][1]) < 16 for k in range(20) for m in found[k])
-        assert found[98] == found[99] == []
+def fold(text):
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in re.sub(r"\s+", " ", text))
+
+
+def least_edits(item, text):
+    """Edits of the best place of item in text, by the whole table."""
+    before = [0] * (len(text) + 1)
+    for i, x in enumerate(item):
+        now = [i + 1] + [0] * len(text)
+        for j, y in enumerate(text):
+            now[j + 1] = min(before[j] + (x != y), before[j + 1] + 1, now[j] + 1)
+        before = now
+    return min(before)
+
+
+def edited(rng, text, edits):
+    s = list(text)
+    for _ in range(edits):
+        k, kind = rng.randrange(max(1, len(s))), rng.random()
+        if kind < 0.4 and s:
+            s[k] = rng.choice("abcxyz")
+        elif kind < 0.7 and s:
+            del s[k]
+        else:
+            s.insert(k, rng.choice("abcxyz"))
+    return "".join(s)
+
+
+def test_decontamination_equals_edit_distance(spark, empty):
+    rng = random.Random(4)
+    items = [(i, "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 60)))) for i in range(40)] + [(90, None), (91, ""), (92, " \n"), (93, "dup item text"), (93, "dup item text")]
+    texts = [None, "", "a" * 50_000]
+    for _ in range(60):
+        text = "".join(rng.choice("abcdefgh  \n") for _ in range(rng.randrange(120)))
+        item = rng.choice(items[:40])[1]
+        at = rng.randrange(len(text) + 1)
+        texts.append(text[:at] + edited(rng, item, rng.randrange(len(item) // 10 + 2)).upper() + text[at:])
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, matches string, edits int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = []
+    for t in texts:
+        found = {i for i, p in items if (p or "").strip() and least_edits(fold(p.strip()), fold(t or "")) <= len(fold(p.strip())) // 10}
+        want.append(found)
+    for options in ({}, {"block_chars": 200}, {"block_chars": 100, "pass_chars": 400}):
+        out = decontamination.benchmark_matches(spark, docs, bench, **options)
+        assert out.columns == ["doc_id", "text", "edits", "matches"]
+        got = {r.doc_id: r.matches for r in out.collect()}
+        assert [{m.item_id for m in got[i]} for i in range(len(texts))] == want
+    for i, t in enumerate(texts):
+        for m in got[i][:50]:  # the places hold the item with the edits stated
+            item = fold(dict((k, v) for k, v in items)[m.item_id].strip())
+            assert least_edits(item, fold(t[m.start : m.end])) <= m.edits <= len(item) // 10
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.matches == [] for r in decontamination.benchmark_matches(spark, docs, none).collect())
-    assert decontamination.benchmark_matches(spark, empty, items).collect() == []
+    assert decontamination.benchmark_matches(spark, empty, bench).collect() == []
 
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -277,6 +361,41 @@ def test_main_text():
     assert html_text.extract("<b>" * 3000 + "deep") == ["deep"]
 
 
+def test_main_text_keeps_what_belongs_to_the_article():
+    long = "{} paragraph, long enough, with commas, to be good text, again and again, so that it counts."
+    page = f"""<body><article><h1>T</h1><p>{long.format("First")}</p><h2 id="discussion">Discussion</h2><p>{long.format("Second")}</p><h2 id="related-work">Related work</h2>
+    <section id="comments-on-method"><p>{long.format("Third")}</p></section><p>An <span class="ad-hoc">ad hoc</span> word, x <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>.</p>
+    <section id="comments"><p>{long.format("Reader")}</p></section><div class="related-posts"><a href=x>Other</a></div><div class="cookie-notice">We use cookies</div><section class="discussion"><div class="comment">again</div></section></article></body>"""
+    assert html_text.extract(page) == ["T", long.format("First"), "Discussion", long.format("Second"), "Related work", long.format("Third"), "An ad hoc word, x x=1."]
+    middle = f"<body><div><div class=c><p>{long.format('One') * 2}</p></div><h2>Middle</h2><ul><li>one</li><li>two</li></ul><pre>code  x</pre><blockquote>quoted</blockquote><div class=c><p>{long.format('Two') * 2}</p></div></div></body>"
+    assert html_text.extract(middle) == [long.format("One") * 2, "Middle", "one", "two", "code x", "quoted", long.format("Two") * 2]
+    form = "<body><form>" + "".join(f"<p>{long.format(k)}</p>" for k in "abc") + "<input name=q><button>Go</button></form></body>"
+    assert html_text.extract(form) == [long.format(k) for k in "abc"]
+
+
+def test_main_text_of_made_pages(spark):
+    """Pages of known blocks among what isn't part of an article, on Spark, with odd rows and columns."""
+    rng = random.Random(14)
+    noise = ["<nav><ul><li><a href=/a>aa</a><li><a href=/b>bb</a></ul></nav>", "<aside><p>Side, text, with, commas, long enough to count for something.</p></aside>", "<script>var x='<p>no</p>';</script>", "<div class='ad-box'><p>Buy, this, now, long enough to count as a paragraph of text.</p></div>", "<form><label>mail</label><input></form>", "<!-- note -->", "<div id='newsletter-signup'>Sign up, now, for more</div>"]
+    pages, want = [], []
+    for i in range(60):
+        blocks = [f"{words(rng, rng.randrange(25, 60))}, {words(rng, 9)}." for _ in range(rng.randrange(3, 8))]
+        body = [f"<p>{b}</p>" if rng.random() < 0.8 else f"<blockquote>{b}</blockquote>" for b in blocks]
+        for _ in range(3):
+            body.insert(rng.randrange(1, len(body)), rng.choice(noise))
+        box = rng.choice(["<article>{}</article>", "<main><div class=content>{}</div></main>", "<div id=main>{}</div>"])
+        pages.append((i, "u", f"<html><head><title>t</title></head><body><header><h1>Site</h1></header>{noise[0]}{box.format(''.join(body))}<footer>&copy; x</footer></body></html>", 7, "t"))
+        want.append("\n\n".join(blocks))
+    odd = [(100, "u", None, 1, "t"), (101, "u", "", 1, "t"), (102, None, "<p>" + "word, " * 100_000, 1, "t"), (0, *pages[0][1:])]
+    table_ = spark.createDataFrame([*pages, *odd], "page_id long, url string, html string, n_chars int, text string")
+    out = html_text.main_text(table_)
+    rows = [(r.page_id, r.text, r.n_chars) for r in out.collect()]
+    got = {i: t for i, t, _ in rows}
+    assert [got[i] for i in range(60)] == want and len(rows) == 64 and all(n == len(t) for _, t, n in rows)
+    assert got[100] == got[101] == "" and len(got[102]) == 6 * 100_000 - 1
+    assert html_text.main_text(table_.limit(0)).collect() == []
+
+
 def test_token_files_stitch_over_blocks(spark, tmp_path, empty):
     rng = random.Random(8)
     files, want = [], set()
@@ -295,11 +414,22 @@ def test_token_files_stitch_over_blocks(spark, tmp_path, empty):
     blocks = spark.createDataFrame(files, "file long, block long, payload binary")
     got = {tuple(r) for r in token_files.document_lengths(spark, blocks, end_id=7, segment=4).select("file", "ordinal", "start", "n_tokens", "closed").collect()}
     assert got == want
-    flat = token_files.document_lengths(spark, token_files.read_files(spark, str(tmp_path), 22), end_id=7)
-    assert flat.count() == len(want)
-    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "")], "doc_id long, text string")
+    flat = token_files.document_lengths(spark, token_files.file_blocks(spark, str(tmp_path), 22), end_id=7, segment=4)
+    assert {(int(r.file[-5]), r.ordinal, r.start, r.n_tokens, r.closed) for r in flat.collect()} == want
+    docs = spark.createDataFrame([(1, "a b c", 1), (2, None, 1), (3, ""[:0], 1), (None, "x <|endoftext|> " * 5000, 1), (1, "a b c", 2)], "doc_id long, text string, file int")
+    encode = tokens.encoder(tokens.default_vocabulary(), plain=True)
+    lengths = sorted(len(encode(t)) for t in ("a b c", "", "", "x <|endoftext|> " * 5000, "a b c"))
     written = token_files.write_blocks(docs.coalesce(1), tokens.default_vocabulary(), block_tokens=2)
-    assert sorted(r.n_tokens for r in token_files.document_lengths(spark, written.drop("first", "doc_ids")).collect()) == [0, 0, 3]
+    assert sorted(r.n_tokens for r in token_files.document_lengths(spark, written.drop("first", "doc_ids")).collect()) == lengths
+    folder = str(tmp_path / "flat")
+    manifest = token_files.write_files(docs.coalesce(1), folder, tokens.default_vocabulary()).collect()
+    assert [(m.ordinal, m.doc_id) for m in manifest] == [(0, 1), (1, 2), (2, 3), (3, None), (4, 1)]
+    assert sorted(r.n_tokens for r in token_files.document_lengths(spark, token_files.file_blocks(spark, folder, 64)).collect()) == lengths
+    assert token_files.write_files(empty, folder + "-none", tokens.default_vocabulary()).collect() == []
+    assert token_files.write_blocks(empty, tokens.default_vocabulary()).collect() == []
+    assert token_files.document_lengths(spark, blocks.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        token_files.write_files(docs, "s3a://bucket/x", tokens.default_vocabulary())
 
 
 def test_licences(spark, empty):
@@ -318,16 +448,27 @@ def test_licences_as_wrapped_in_the_wild(spark):
     want |= {"GNU General Public License, version 2, or (at your option) any later version": ["GPL-2.0-or-later"], "MIT license or Apache License 2.0": ["Apache-2.0", "MIT"]}
     tags = {"MIT": ["MIT"], "Apache-2.0": ["Apache-2.0"], "MPL-2.0": ["MPL-2.0"], "CC-BY-4.0": ["CC-BY"], "(MIT OR Apache-2.0)": ["Apache-2.0", "MIT"], "GPL-2.0+": ["GPL-2.0-or-later"], "LGPL-2.1-only": ["LGPL"], "ISC": ["ISC"]}
     want |= {f"// SPDX-License-Identifier: {k}\nimport mit_tools": v for k, v in tags.items()}
-    got = {r.text: r.licenses for r in licenses.scan(spark.createDataFrame([(t,) for t in want], "text string")).collect()}
-    assert got == want
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    want |= {"\n".join(textwrap.wrap(mit, n)): ["MIT"] for n in (60, 72, 80, 100)}
+    want |= {"Copyright X. All rights reserved.\n" + bsd: ["BSD-2-Clause"], "This is not in the public domain.": [], "All rights reserved.": ["proprietary"], "x " * 200_000 + "MIT license": ["MIT"]}
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate([*want, None, ""])], "doc_id long, text string, licenses string, _seq string")
+    out = licenses.scan(docs)
+    got = {r.text: r.licenses for r in out.collect()}
+    assert got == want | {None: [], "": []} and "_seq" in out.columns
+    sql = duckdb.connect()
+    sql.execute("create table documents (doc_id bigint, text varchar)")
+    sql.executemany("insert into documents values (?, ?)", [(i, t) for i, t in enumerate([*want, None, ""])])
+    rows = {r[0]: r[1:] for r in sql.execute(licenses.SQL["op5_license_scan"]).fetchall()}
+    for r in out.collect():
+        assert rows[r.doc_id][:3] == (",".join(r.licenses), ",".join(r.sentence_ids), ",".join(r.unmatched))
 
 
 def test_segments_equal_brute_force():
     rng = random.Random(11)
     for _ in range(200):
         n = rng.randrange(1, 14)
-        scores = [rng.choice([-0.5, -0.5, 1.0, 2.5]) for _ in range(n)]
-        found = toxicity.segments([(i, s) for i, s in enumerate(scores) if s > 0], 0.5)
+        scores = [rng.choice([-0.5, -0.5, -1.25, 1.0, 2.5]) for _ in range(n)]
+        found = toxicity.segments([(i, s) for i, s in enumerate(scores) if s != -0.5], 0.5)
 
         def split(lo, hi, scores=scores):  # the definition: the best segment, then left and right of it
             best = max(((round(sum(scores[a : b + 1]), 9), a - b, -a, a, b) for a in range(lo, hi) for b in range(a, hi)), default=None)
@@ -339,6 +480,27 @@ def test_segments_equal_brute_force():
         assert sorted(round(s, 9) for *_, s in found) == sorted(split(0, n))
 
 
+def test_rate_and_size_of_best_segments():
+    """lambda and K from token scores of random texts give E-values that best segments keep to."""
+    rng = np.random.default_rng(5)
+    draw = lambda n: rng.choice([3.0, 1.5, -2.0, -0.1], n, p=[0.004, 0.01, 0.02, 0.966])
+    best, tokens_, moments, hits, total = [], [], np.zeros(len(toxicity.RATES)), 0, 0
+    for _ in range(800):
+        s = draw(400)
+        own = [(i, v) for i, v in enumerate(s.tolist()) if v != -0.1]
+        moments += np.exp(np.outer([v for _, v in own], toxicity.RATES)).sum(axis=0) if own else 0
+        hits, total = hits + len(own), total + len(s)
+        best.append(max((v for *_, v in toxicity.segments(own, 0.1)), default=0.0))
+        tokens_.append(len(s))
+    rate = toxicity._rate(moments, total, hits, 0.1)
+    assert abs(0.004 * np.exp(3 * rate) + 0.01 * np.exp(1.5 * rate) + 0.02 * np.exp(-2 * rate) + 0.966 * np.exp(-0.1 * rate) - 1) < 0.02
+    size = toxicity._size(np.array(best), np.array(tokens_), rate)
+    model = toxicity.Model(rate=rate, size=size)
+    for level in (0.5, 0.1, 0.02):
+        share = np.mean([model.log_expected(b, 400) <= np.log(level) for b in best if b > 0])
+        assert share < 2.5 * level
+
+
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(12)
     bad = ["idiotle", "idioten", "idiotia", "idiotum", "scumly", "scumer"]
@@ -357,6 +519,9 @@ def test_toxicity_held_out(spark, empty):
     assert sum((got[i].score >= 0.5) == (i % 4 == 0) for i in held) >= 0.97 * len(held)
     assert got[500].score < 0.5 and got[501].passages == [] and all(0 <= r.score <= 1 for r in got.values())
     spot = max(got[0].passages, key=lambda p: p.score)
+    assert all(p.expected <= toxicity.LEVEL for r in got.values() for p in r.passages)
+    assert sum(len(got[i].passages) > 0 for i in range(400) if i % 4) <= 0.05 * 300
+    assert toxicity.fit(spark, docs, known.limit(0)).words.scores == {} and toxicity.fit(spark, docs.limit(0), known).words.scores == {}
     assert any(w[:4] in ("idio", "scum") for w in got[0].text[spot.start : spot.end].split())
     assert toxicity.score(spark, empty, model).collect() == []
     assert toxicity.score(spark, docs, toxicity.fit(spark, docs, known.where("toxic = 0"))).where("score >= 0.5").count() == 0

@@ -36,3 +36,23 @@ def test_run(spark, tmp_path):
     assert texts[302].text.endswith("[EMAIL]") and texts[302].n_chars == len(texts[302].text)
     encode = tokens.encoder(tokens.default_vocabulary())
     assert sum(r.length for r in docs.collect()) == sum(len(encode(t.text or "")) + 1 for t in texts.values())
+
+
+def test_odd_tables(spark, tmp_path):
+    """Columns with the operators' own names stay as they are; empty tables and null rows pass every stage."""
+    rows = [(1, "idiotic words of one", "s", 0.25, "m", 9, 3, 1), (2, None, "s", 0.5, "m", 9, 3, 1), (None, "more words of another text", None, None, None, None, None, None)]
+    schema = "doc_id long, text string, source string, score double, matches string, tokens int, _row int, key int"
+    spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.createDataFrame(rows, schema)
+    for docs in (full, full.limit(0)):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            if name == "packing":
+                break
+            path = f"{tmp_path}/{name}-{docs is full}-{k}-{len(docs.columns)}-{id(docs)}"
+            out.write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.dtypes == full.dtypes
+            assert all((r.score, r.matches, r.tokens, r._row, r.key) in {(0.25, "m", 9, 3, 1), (0.5, "m", 9, 3, 1), (None, None, None, None, None)} for r in docs.collect())
+        assert out.count() == docs.count()
