@@ -8,12 +8,12 @@
    sets, the one that links are verified by, however often either text repeats a shingle.
 3. Bands of the signature make buckets. A small bucket gives its pairs that pass an estimate, a large one a star from
    its least key; the components of these edges are families that can hold a link.
-4. Small families are verified whole, many to a task. In large ones every bucket has a leader, the text that shares
-   most with others, and its members are verified against that, in units of bounded size. What is left are likely
-   pairs of small buckets that lie in different components, each of which is verified, and large buckets that still
-   hold texts of several components: there those outside the largest one are verified against all of the bucket,
-   block by block. So a family that gathers round a few texts takes work in proportion to its size, and no link is
-   lost. A link is a Jaccard similarity of the shingle sets of 0.8 or more. Each unit returns a spanning forest.
+4. Small families are verified whole, many to a task. Large ones are first dealt into blocks at random, twice, and
+   each block is verified; then all are verified against the family's leader, the text that shares most places with
+   others. Copies of one text and copies round one text are linked by now, with work in proportion to the family. What
+   is left are texts outside the largest component of their bucket or of their family, whichever takes less work: they
+   are verified against all of it, block by block, so that no link is lost. A link is a Jaccard similarity of the
+   shingle sets of 0.8 or more. Each unit returns a spanning forest of its links.
 5. The components of the links are the classes.
 
 Figures of groups (buckets, families, classes, neighbours) are joined to rows in parts, so that no large group comes
@@ -246,13 +246,15 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
 
     links = verified(families.where(F.col("size") <= block).selectExpr("key", "family", *PACKED), "links")
     if some_big:
-        ours = scratch.keep(member.join(big, "key", "left_semi").select("band", "key", "n"), "big")
-        near = near.join(big.withColumnRenamed("key", "u"), "u", "left_semi")
-        led = verified(_led(ours, block), "led")
-        roots = scratch.keep(components(scratch, led).select(F.col("node").alias("key"), "root"), "roots")
-        pairs = verified(_across(near, roots), "pairs")
-        left = verified(_mixed(scratch, ours.where(F.col("n") > small_bucket), roots, block), "mixed")
-        links = links.unionByName(led).unionByName(pairs).unionByName(left)
+        ours = scratch.keep(member.join(families.where(F.col("size") > block), "key").select("band", "key", "n", "family", "size"), "big")
+        more = verified(_dealt(ours, block), "dealt")
+        more = more.unionByName(verified(_led(ours, _roots(scratch, more), block), "led"))
+        roots = _roots(scratch, more)
+        scopes = scratch.keep(_scopes(scratch, ours, roots, small_bucket, block), "scopes")
+        left = verified(_mixed(scopes), "mixed")
+        whole = scopes.where("not by_band").select("key").distinct()
+        near = near.join(big.withColumnRenamed("key", "u"), "u", "left_semi").join(whole.withColumnRenamed("key", "u"), "u", "left_anti")
+        links = links.unionByName(more).unionByName(left).unionByName(verified(_across(near, roots), "pairs"))
     classes = scratch.keep(components(scratch, links), "classes")
 
     named = own.select("doc_id", "row", "key").join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
@@ -266,16 +268,26 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
 PACKED = ("cast(null as binary) as of", "0 as a", "0 as b")
 
 
-def _led(member: DataFrame, block: int) -> DataFrame:
-    """Units of each bucket's leader and its members, from (band, key, n). The leader is the text of the most shared
-    places in all its buckets; its members are dealt to units of about `block` texts, each with the leader."""
-    shared = member.join(member.groupBy("key").agg(F.sum("n").alias("shared")), "key")
-    led = with_groups(shared, ["band"], "key", F.max_by("key", F.struct("shared", "key")).alias("of")).select("of", "key").distinct()
-    led = with_groups(led, ["of"], "key", F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("units"))
-    led = led.withColumn("a", F.pmod(F.xxhash64("key"), F.col("units")).cast("int"))
-    leaders = led.select("of", F.col("of").alias("key"), "units", "a").distinct()
-    rows = led.where(F.col("key") != F.col("of")).select("of", "key", "units", "a").unionByName(leaders)
-    return rows.select("key", F.col("of").alias("family"), F.when(F.col("units") > 1, F.col("of")).alias("of"), "a", F.lit(0).alias("b"))
+def _roots(scratch: Scratch, links: DataFrame) -> DataFrame:
+    return scratch.keep(components(scratch, links).select(F.col("node").alias("key"), "root"), "roots")
+
+
+def _dealt(member: DataFrame, block: int) -> DataFrame:
+    """Units of about `block` texts of a family, dealt at random, twice over."""
+    keys = member.select("family", "size", "key").distinct()
+    units = F.ceil(F.col("size") / F.lit(float(block))).cast("int")
+    rounds = F.explode(F.array(*(F.struct(F.lit(k).alias("b"), F.pmod(F.xxhash64("key", F.lit(k)), units).cast("int").alias("a")) for k in (0, 1))))
+    return keys.select("key", "family", F.col("family").alias("of"), rounds.alias("x")).select("key", "family", "of", "x.a", "x.b")
+
+
+def _led(member: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Units of each family's leader, the text of the most shared places, and about `block` texts of other components."""
+    keys = member.groupBy("family", "size", "key").agg(F.sum("n").alias("shared")).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    led = with_groups(keys, ["family"], "key", F.max_by(F.struct("key", "root"), F.struct("shared", "key")).alias("of"))
+    led = led.withColumn("a", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / F.lit(float(block)))).cast("int"))
+    others = led.where(F.col("root") != F.col("of.root")).select("key", "family", F.col("of.key").alias("of"), "a")
+    leaders = others.select(F.col("of").alias("key"), "family", "of", "a").distinct()
+    return others.unionByName(leaders).withColumn("b", F.lit(0))
 
 
 def _across(near: DataFrame, roots: DataFrame) -> DataFrame:
@@ -287,25 +299,37 @@ def _across(near: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.selectExpr("key", "family", *PACKED)
 
 
-def _mixed(scratch: Scratch, member: DataFrame, roots: DataFrame, block: int) -> DataFrame:
-    """Units of the texts of buckets, (band, key, n), that hold several components. Texts outside the largest component
-    of their bucket meet all others of the bucket, in units of two blocks of half the size each."""
-    half = float(max(1, block // 2))
-    own = scratch.keep(member.join(roots, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root")), "rooted")
-    each = own.groupBy("band", "root").agg(F.count("*").alias("c"))
-    bands = each.groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"), F.count("*").alias("roots")).where("roots > 1")
-    # only these bands are joined to their texts, each in all parts, so that no large one comes together in a task
-    bands = bands.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    mine = own.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(bands, ["band", "part"])
-    mine = mine.withColumn("minors", F.ceil((F.col("all") - F.col("most")) / half).cast("int")).withColumn("majors", F.ceil(F.col("most") / half).cast("int"))
+def _scopes(scratch: Scratch, member: DataFrame, roots: DataFrame, small_bucket: int, block: int) -> DataFrame:
+    """(scope, key, root, major, minors, majors, by_band): the texts of every large bucket, or else of a whole family,
+    that holds several components, its largest one, and the numbers of blocks of the texts outside that and in it. Of a
+    family and its buckets that is taken which has fewer texts to send."""
+    half = float(block)
+    own = scratch.keep(member.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")).select("family", "band", "n", "key", "root"), "rooted")
+    bands = own.where(F.col("n") > small_bucket).select("family", F.col("band").cast("string").cast("binary").alias("scope"), "key", "root", F.lit(True).alias("by_band"))
+    wholes = own.select("family", F.col("family").alias("scope"), "key", "root", F.lit(False).alias("by_band")).distinct()
+    rows = bands.unionByName(wholes)
+    each = rows.groupBy("family", "by_band", "scope", "root").agg(F.count("*").alias("c"))
+    figures = each.groupBy("family", "by_band", "scope").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.max("c").alias("most"), F.sum("c").alias("all"))
+    figures = figures.withColumn("minors", F.ceil((F.col("all") - F.col("most")) / half).cast("int")).withColumn("majors", F.ceil(F.col("most") / half).cast("int"))
+    sent = F.col("most") * F.col("minors") + (F.col("all") - F.col("most")) * (F.col("majors") + F.col("minors"))
+    figures = scratch.keep(figures.where("minors > 0").withColumn("sent", sent), "figures")
+    costs = figures.groupBy("family").agg(F.sum(F.when(F.col("by_band"), F.col("sent"))).alias("banded"), F.sum(F.when(~F.col("by_band"), F.col("sent"))).alias("whole"))
+    taken = figures.join(costs.select("family", (F.coalesce("banded", F.lit(0)) <= F.col("whole")).alias("take")), "family").where("take = by_band")
+    # only these scopes are joined to their texts, each in all parts, so that no large one comes together in a task
+    taken = taken.select("scope", "by_band", "major", "minors", "majors").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.drop("family").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int")).join(taken, ["scope", "by_band", "part"]).drop("part")
+
+
+def _mixed(scopes: DataFrame) -> DataFrame:
+    """Units of the texts of scopes: those outside the largest component meet all others, in units of two blocks."""
     to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     dealt = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
-    major = mine.where("root = major").select("band", "key", F.explode(to("minors")).alias("a"), dealt("majors").alias("b"))
-    minor = mine.where("root <> major").withColumn("at", dealt("minors"))
-    against = minor.select("band", "key", F.col("at").alias("a"), F.explode(to("majors")).alias("b"))
-    among = minor.select("band", "key", "at", F.explode(to("minors")).alias("other")).select("band", "key", F.least("at", "other").alias("a"), (-1 - F.greatest("at", "other")).alias("b"))
-    of = F.col("band").cast("string").cast("binary")
-    return major.unionByName(against).unionByName(among).select("key", of.alias("family"), of.alias("of"), "a", "b")
+    major = scopes.where("root = major").select("scope", "key", F.explode(to("minors")).alias("a"), dealt("majors").alias("b"))
+    minor = scopes.where("root <> major").withColumn("at", dealt("minors"))
+    against = minor.select("scope", "key", F.col("at").alias("a"), F.explode(to("majors")).alias("b"))
+    among = minor.select("scope", "key", "at", F.explode(to("minors")).alias("other")).select("scope", "key", F.least("at", "other").alias("a"), (-1 - F.greatest("at", "other")).alias("b"))
+    rows = major.unionByName(against).unionByName(among)
+    return rows.select("key", F.col("scope").alias("family"), F.col("scope").alias("of"), "a", "b")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
