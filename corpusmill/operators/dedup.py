@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from functools import lru_cache
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
@@ -86,23 +86,46 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     return own.join(own.groupBy("same").agg(F.min(key).alias("kept")), "same").select(key, "kept")
 
 
+def _masks(near: int) -> list[int]:
+    """Masks of a signature, as signed longs: two signatures at most `near` bits apart agree under one of them. Of
+    2 * near blocks of bits at least half are the same in both, so every choice of half of the blocks is a mask, and
+    each is wide enough (32 bits) that chance seldom makes signatures agree under it."""
+    blocks = max(1, 2 * near)
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
+    out = [sum(c) for c in combinations(parts, max(1, blocks - near))]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in out]
+
+
+def _banded(df: DataFrame, near: int, *columns: str) -> DataFrame:
+    """A row for each mask: its number `i` and the signature under it."""
+    under = F.array(*(F.col("signature").bitwiseAND(F.lit(m)) for m in _masks(near)))
+    return df.select(*columns, "signature", F.posexplode(under).alias("i", "band"))
+
+
 def near_edges(signed: DataFrame, key: str = "doc_id", near: int = NEAR) -> DataFrame:
     """(a, b, distance), a < b: all pairs of (key, signature) with a Hamming distance of at most `near`.
 
-    near + 1 bands of the signature: pairs that near have a band in common. Equal signatures meet once, as one value;
-    pairs of equal signatures are stars, least key first, so that copies don't make all pairs.
+    Equal signatures meet once, as one value; pairs of equal signatures are stars, least key first, so that copies don't
+    make all pairs.
     """
     signed = signed.where("signature is not null").select(key, "signature")
     groups = signed.groupBy("signature").agg(F.min(key).alias("head"))
     star = signed.join(groups, "signature").where(F.col(key) != F.col("head")).select(F.col("head").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
-    width = 64 // (near + 1)
-    band = lambda i: F.call_function("shiftrightunsigned", F.col("signature"), F.lit(i * width)).bitwiseAND(F.lit((1 << width) - 1))
-    banded = groups.select("head", "signature", F.posexplode(F.array(*(band(i) for i in range(near + 1)))).alias("i", "band"))
+    banded = _banded(groups, near, "head")
     left, right = banded.select("i", "band", F.col("head").alias("a"), F.col("signature").alias("s")), banded.select("i", "band", F.col("head").alias("b"), F.col("signature").alias("t"))
     pairs = left.join(right, ["i", "band"]).where("a < b").select("a", "b", F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).where(F.col("distance") <= near).distinct()
     return pairs.unionByName(star)
 
 
+def near_any(new: DataFrame, old: DataFrame, key: str, near: int = NEAR) -> DataFrame:
+    """The keys of `new` (key, signature) that are near any signature of `old`."""
+    left = _banded(new.where("signature is not null"), near, key)
+    right = _banded(old.where("signature is not null").select("signature").distinct(), near).select("i", "band", F.col("signature").alias("t"))
+    close = F.bit_count(F.col("signature").bitwiseXOR(F.col("t"))) <= near
+    return left.join(right, ["i", "band"]).where(close).select(key).distinct()
+
+
 def greedy(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", front: int = FRONT) -> DataFrame:
     """(key, kept) of the greedy scan in key order: a node goes iff an earlier kept node is its neighbour.
 
@@ -186,3 +209,20 @@ def jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     both = near.join(base.select(F.col(key).alias("a"), F.col("g").alias("ga")), "a").join(base.select(F.col(key).alias("b"), F.col("g").alias("gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     return both.select("a", "b", (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard")).where(F.col("jaccard") > least)
+
+
+def keep_fuller(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, least: float = 0.85) -> DataFrame:
+    """(key, kept): of near copies by Jaccard similarity the longer one stays, of equally long ones the lower key. A
+    document goes iff a kept one that comes before it in that order is its near copy; equal texts keep their least key."""
+    scratch = Scratch(docs.sparkSession, "fuller")
+    own = docs.select(key, F.length(T.filled(F.col(text))).alias("_n"), F.md5(T.filled(F.col(text))).alias("_same"))
+    heads = own.groupBy("_same").agg(F.min(key).alias(key), F.first("_n").alias("_n"))
+    # in this order as text: longer first, then the key
+    place = F.concat(F.lpad((F.lit(10**12) - F.col("_n")).cast("string"), 13, "0"), F.lit("|"), F.lpad(F.col(key).cast("string"), 20, "0"))
+    heads = scratch.keep(heads.select(key, place.alias("place")), "heads")
+    pairs = jaccard_pairs(docs, key, text, n, least).select("a", "b")
+    at = lambda c, p: heads.select(F.col(key).alias(c), F.col("place").alias(p))
+    edges = pairs.join(at("a", "pa"), "a").join(at("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+    kept = greedy(heads.select("place"), edges, "place").where("kept")
+    chosen = heads.join(kept.select("place"), "place").select(key, F.lit(True).alias("_k"))
+    return docs.select(key).join(chosen, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("kept"))

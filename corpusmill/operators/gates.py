@@ -118,6 +118,27 @@ def layer_of(name: Column, renamed: dict[str, str] | None = None) -> Column:
     return F.coalesce(F.element_at(table, prefix), prefix)
 
 
+#: Layers by their older names, and sections by what a document's name holds, the first that fits.
+LAYERS = {"第一层": "Layer1", "第二层": "Layer2", "第三层": "Layer3", "第四层": "Layer4"}
+SECTIONS = ((("治理",), "Governance Structure"), (("员工", "社会"), "Social Responsibility"), (("环境",), "Environmental Management"))
+
+
+def known_layer(name: Column) -> Column:
+    """Layer1 to Layer4 by what stands before the first underscore, by its older name too; else 'unknown'."""
+    prefix = F.split_part(F.coalesce(name, F.lit("")), F.lit("_"), F.lit(1))
+    return F.when(prefix.isin(list(LAYERS.values())), prefix).otherwise(F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in LAYERS.items() for x in pair)), prefix), F.lit("unknown")))
+
+
+def layer_within(path: Column) -> Column:
+    """The first of Layer1 to Layer4, by number, that occurs in a path, or null."""
+    return F.coalesce(*(F.when(F.contains(path, F.lit(x)), F.lit(x)) for x in LAYERS.values()))
+
+
+def section_of(name: Column) -> Column:
+    """The section that a document's name tells, or null."""
+    return F.coalesce(*(F.when(T.hits(name, list(words)) > 0, F.lit(section)) for words, section in SECTIONS))
+
+
 def rename(text: Column, renamed: dict[str, str]) -> Column:
     for old, new in renamed.items():
         text = F.replace(text, F.lit(old), F.lit(new))

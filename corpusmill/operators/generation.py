@@ -11,16 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import Scratch
-from . import knowledge, metrics, routing
+from . import knowledge, metrics, replies, routing
 
 #: A generator takes a prompt and the source text and returns the reply; it runs in Python workers.
 Generator = Callable[[str, str], str]
 
-#: Labels of the parts of a reply.
-LABELS = {
-    "qa_expert": (["问题", "Question"], ["答案", "Answer"], "Answer the following question."),
-    "default": (["指令", "Instruction", "问题", "Question"], ["回答", "Response", "答案", "Answer", "摘要", "Summary"], "Analyze the following text."),
-}
+#: Seed instructions of the self-instruct baseline.
 SEEDS = [
     "Summarise what the text commits to.",
     "Which figures does the text report?",
@@ -31,30 +27,16 @@ SEEDS = [
 ]
 
 
-def extractive(prompt: str, text: str) -> str:
-    """The default generator, without any network: the task as the question and the first sentences as the answer."""
-    parts = [s.strip() for s in re.split(r"(?<=[.!?。！？])\s+|\n", text or "") if s.strip()]
-    return f"Question: {prompt.split(chr(10), 1)[0]}\nAnswer: {' '.join(parts[:3])}" if parts else ""
-
+_SHOWN = re.compile(r"\n([^\n:]+): \[[^\n]*\]\n([^\n:]+): \[[^\n]*\]\s*$")
 
-def _labelled(reply: Column, labels: list[str]) -> Column:
-    """What follows the label on the last line that begins with one of them, else null."""
-    either = "|".join(re.escape(x) for x in labels)
-    rows = F.filter(T.lines(T.strip(reply)), lambda x: T.strip(x).rlike(f"^(?i:{either})[ ]*[:：]"))
-    return F.when(F.size(rows) > 0, T.strip(F.regexp_replace(F.element_at(rows, -1), "^[^:：]*[:：]", "")))
 
-
-def parse_reply(reply: Column, kind: str = "default") -> Column:
-    """(instruction, response): labelled parts, the last of each wins; without labels the first two blocks, else the
-    default instruction and the whole reply."""
-    asks, answers, default = LABELS.get(kind, LABELS["default"])
-    q, a = _labelled(reply, asks), _labelled(reply, answers)
-    blocks = F.split(reply, "\n\n")
-    block = lambda i: F.when(F.size(blocks) >= 2, T.strip(F.regexp_replace(F.get(blocks, F.lit(i)), "^[^:：\n]{0,20}[:：]", "")))
-    both = q.isNotNull() & (q != "") & a.isNotNull() & (a != "")
-    question = F.when(both, q).otherwise(F.coalesce(F.nullif(block(0), F.lit("")), F.nullif(q, F.lit("")), F.lit(default)))
-    answer = F.when(both, a).otherwise(F.coalesce(F.nullif(block(1), F.lit("")), F.nullif(a, F.lit("")), reply))
-    return F.struct(question.alias("instruction"), answer.alias("response"))
+def extractive(prompt: str, text: str) -> str:
+    """The default generator, without any network: the task as the question and the first sentences as the answer, under
+    the labels that the prompt asks for."""
+    parts = [s.strip() for s in re.split(r"(?<=[.!?。！？])\s+|\n", text or "") if s.strip()]
+    shown = _SHOWN.search(prompt)
+    ask, tell = shown.groups() if shown else ("Question", "Answer")
+    return f"{ask}: {prompt.split(chr(10), 1)[0]}\n{tell}: {' '.join(parts[:3])}" if parts else ""
 
 
 def parse_multiline(reply: Column) -> Column:
@@ -94,6 +76,58 @@ def generate(df: DataFrame, generator: Generator = extractive, prompt: str = "pr
     return df.withColumn("reply", F.col("_g.reply")).withColumn("error", F.col("_g.error")).drop("_g")
 
 
+def expert_prompt(expert: Column, text: Column, known: Column, dynamic: Column | None = None) -> Column:
+    """The prompt of each expert; the task is the dynamic instruction where there is one, else the expert's default."""
+    task = knowledge.default_instruction(expert)
+    task = task if dynamic is None else F.coalesce(F.nullif(T.strip_prefix(dynamic), F.lit("")), task)
+    out = replies.prompt_for("qa_expert", task, known, text)
+    for name in replies.READERS:
+        out = F.when(expert == name, replies.prompt_for(name, task, known, text)).otherwise(out)
+    return out
+
+
+def instruction_prompt(expert: Column, text: Column, topics: Column, experts: Column, section: Column | None = None, knowledge_: Column | None = None) -> Column:
+    """What a meta expert is asked for a dynamic instruction: role, section, topics, the experts that work on the same
+    chunk, and at most three lines of knowledge."""
+    others = F.array_join(F.array_remove(experts, expert), ", ")
+    place = F.lit("the report") if section is None else F.coalesce(F.concat(F.lit("section "), section), F.lit("the report"))
+    known = F.lit("") if knowledge_ is None else F.array_join(F.transform(F.slice(knowledge_, 1, 3), lambda k: F.concat(F.lit("- "), k["content"], F.lit("\n"))), "")
+    return F.concat(F.lit("Write one work instruction, in one sentence, for the expert "), expert, F.lit(".\nThe text is from "), place, F.lit("; its topics: "), F.array_join(topics, ", "), F.lit(".\nOther experts on the same text, whose work it mustn't repeat: "), F.when(others == "", "none").otherwise(others), F.lit(".\n"), known, F.lit("Text:\n"), F.substring(T.filled(text), 1, 1500))
+
+
+def instructions(df: DataFrame, generator: Generator | None = None, expert: str = "expert", default: bool = True) -> DataFrame:
+    """df (expert, prompt, text) with `instruction`: the meta expert's reply without its prefix; without a generator, or
+    where it fails or says nothing, the expert's default."""
+    if generator is None:
+        return df.withColumn("instruction", knowledge.default_instruction(F.col(expert)))
+    made = generate(df, generator).withColumn("instruction", F.coalesce(F.nullif(T.strip(T.strip_prefix(T.strip(F.col("reply")))), F.lit("")), knowledge.default_instruction(F.col(expert))))
+    return made.drop("reply", "error")
+
+
+def run_batches(chunks: DataFrame, out: str, failures: str, generator: Generator = extractive, key: str = "chunk_id", batches: int = 10, **options) -> DataFrame:
+    """Records of all chunks whose key isn't in `out` yet, in batches by hash of the key, each appended whole: a run that
+    was stopped goes on after its last batch. Successes go to `out`, other keys with their status and error to
+    `failures`; chunks without text are skipped with a status of their own. Returns (status, n) over both tables."""
+    spark = chunks.sparkSession
+
+    def there(path: str) -> DataFrame | None:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return spark.read.parquet(path) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+    done = there(out)
+    todo = chunks if done is None else chunks.join(done.select(key), key, "left_anti")
+    todo = todo.withColumn("_batch", F.pmod(F.xxhash64(key), F.lit(batches)))
+    for k in range(batches):
+        own = todo.where(F.col("_batch") == k).drop("_batch")
+        blank = T.strip(T.filled(F.col("text"))) == ""
+        made = Scratch(spark, "batch").keep(pairs(own.where(~blank), generator, key, least=1, **options))
+        empty = own.where(blank).select(key, F.lit("skipped_empty_chunk").alias("status"), F.lit(None).cast("string").alias("error"))
+        made.where("status <> 'success'").select(key, "status", "error").unionByName(empty).withColumn("batch", F.lit(k)).write.mode("append").parquet(failures)
+        made.where("status = 'success'").write.mode("append").parquet(out)
+    lost = spark.read.parquet(failures).join(spark.read.parquet(out).select(key), key, "left_anti").select(key, "status").distinct()
+    return spark.read.parquet(out).select("status").unionByName(lost.select("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def pairs(chunks: DataFrame, generator: Generator = extractive, key: str = "chunk_id", mode: str = "parallel", least: int = 50, passes: int = 2, good: float = 0.7, with_knowledge: bool = True, **routing_options) -> DataFrame:
     """A record per chunk of at least `least` characters: topics, routing, knowledge, generation, score and status.
 
@@ -111,8 +145,8 @@ def pairs(chunks: DataFrame, generator: Generator = extractive, key: str = "chun
     else:
         chosen = F.slice("experts", 1, 1) if mode == "single" else F.col("experts")
         each = df.select(key, "text", "knowledge", F.posexplode(chosen).alias("at", "expert"))
-        each = generate(each.withColumn("prompt", knowledge.expert_prompt(F.col("expert"), F.col("text"), F.col("knowledge"))), generator)
-        each = T.once(each, "p", F.when(F.col("expert") == "qa_expert", parse_reply(F.col("reply"), "qa_expert")).otherwise(parse_reply(F.col("reply"))))
+        each = generate(each.withColumn("prompt", expert_prompt(F.col("expert"), F.col("text"), F.col("knowledge"))), generator)
+        each = T.once(each, "p", replies.read_any(F.col("expert"), F.col("reply")))
         score = F.when(F.col("reply") == "", 0.0).otherwise(metrics.collaboration_quality(F.col("p.instruction"), F.col("p.response"), F.col("text")))
         best = F.max_by(F.struct("expert", "p.instruction", "p.response", F.col("q").alias("quality_score"), "error"), F.struct("q", -F.col("at")))
         df = df.join(each.withColumn("q", score).groupBy(key).agg(best.alias("best")), key)
@@ -142,8 +176,7 @@ def _sequential(df: DataFrame, generator: Generator, passes: int, good: float) -
                     reply = generator(task, text or "") or ""
                 except Exception as error:
                     reply, failed = "", f"{type(error).__name__}: {error}"
-                m = re.search(r"(?s)^\s*(?:Question|Instruction)\s*:(.*?)\n\s*(?:Answer|Response)\s*:(.*)$", reply)
-                asked, told = (m[1].strip(), m[2].strip()) if m else ("Analyze the following text.", reply)
+                asked, told = replies.read_text(reply, names[k % len(names)])
                 score = _score(asked, told, text or "")
                 before = told or before
                 if best[0] is None or score > best[3]:
@@ -153,22 +186,31 @@ def _sequential(df: DataFrame, generator: Generator, passes: int, good: float) -
             out.append((*best, failed if not best[2] else None))
         return pd.DataFrame(out, columns=["expert", "instruction", "response", "quality_score", "error"])
 
-    prompts = F.transform("experts", lambda e: knowledge.expert_prompt(e, F.col("text"), F.col("knowledge")))
+    prompts = F.transform("experts", lambda e: expert_prompt(e, F.col("text"), F.col("knowledge")))
     return df.withColumn("_prompts", prompts).withColumn("best", run("text", "experts", "_prompts")).drop("_prompts")
 
 
 def baseline(chunks: DataFrame, method: str, generator: Generator = extractive, key: str = "chunk_id", rounds: int = 2) -> DataFrame:
     """Records of a baseline: direct (one prompt), self_instruct (a seed instruction by hash), evol (an instruction made
-    harder in rounds, then answered)."""
-    head = {"direct": F.lit("Write an instruction and its answer for the text."), "self_instruct": F.element_at(F.array(*(F.lit(s) for s in SEEDS)), F.pmod(F.xxhash64(key), F.lit(len(SEEDS))).cast("int") + 1), "evol": F.lit("Write an instruction for the text.")}[method]
+    harder in rounds, then answered), alpaca (an instruction, then its answer under the Alpaca template), api_direct (one
+    prompt, read by labels that begin a line)."""
+    text = lambda head: F.concat(head, F.lit("\n\nText:\n"), F.col("text"))
+    direct = F.lit("Write an instruction and its answer for the text.")
+    head = {"direct": direct, "api_direct": direct, "alpaca": F.lit("Write one instruction for the text, and nothing else."), "self_instruct": F.element_at(F.array(*(F.lit(s) for s in SEEDS)), F.pmod(F.xxhash64(key), F.lit(len(SEEDS))).cast("int") + 1), "evol": F.lit("Write an instruction for the text.")}[method]
     df = chunks.withColumn("seed_instruction", head)
     task = F.col("seed_instruction")
     for r in range(rounds if method == "evol" else 0):
-        df = generate(df.withColumn("prompt", F.concat(task, F.lit("\n\nText:\n"), F.col("text"))), generator)
+        df = generate(df.withColumn("prompt", text(task)), generator)
         df = df.withColumn(f"_i{r}", parse_multiline(F.col("reply"))["instruction"])
         task = F.concat(F.lit("Make this instruction harder: "), F.col(f"_i{r}"))
-    df = generate(df.withColumn("prompt", F.concat(task, F.lit("\n\nText:\n"), F.col("text"))), generator)
-    df = df.withColumn("p", parse_multiline(F.col("reply")))
+    if method == "alpaca":
+        df = generate(df.withColumn("prompt", text(task)), generator).withColumn("_asked", T.strip(F.col("reply")))
+        df = generate(df.withColumn("prompt", knowledge.alpaca_prompt(F.col("_asked"), F.col("text"))), generator)
+        made = F.struct(F.col("_asked").alias("instruction"), T.strip(F.col("reply")).alias("response"))
+    else:
+        df = generate(df.withColumn("prompt", text(task)), generator)
+        made = replies.read_form(F.col("reply"), "answer", F.lit("Answer the following question.")) if method == "api_direct" else parse_multiline(F.col("reply"))
+    df = df.withColumn("p", made)
     return df.select(*chunks.columns, F.col("p.instruction").alias("instruction"), F.col("p.response").alias("output"), F.lit(method).alias("method"), "seed_instruction", F.lit(rounds if method == "evol" else None).cast("int").alias("evolution_rounds"))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,6 +97,102 @@ def rouge_l(candidate: Column | str, reference: Column | str) -> Column:
     return run(candidate, reference)
 
 
+@lru_cache(maxsize=100_000)
+def stem(word: str) -> str:
+    """The Porter stem of a lower-case word."""
+    if len(word) <= 2:
+        return word
+
+    def shape(w: str) -> str:
+        out = ""
+        for i, c in enumerate(w):
+            out += "v" if c in "aeiou" or (c == "y" and i and out[-1] == "c") else "c"
+        return out
+
+    measure = lambda w: len(re.findall("v+c+", shape(w)))
+    double = lambda w: len(w) > 1 and w[-1] == w[-2] and shape(w)[-1] == "c"
+    short = lambda w: shape(w).endswith("cvc") and w[-1] not in "wxy"
+
+    def swapped(w: str, table: list[tuple[str, str]], least: int) -> str:
+        for end, new in table:
+            if w.endswith(end):
+                head = w[: len(w) - len(end)]
+                return head + new if measure(head) >= least else w
+        return w
+
+    w = word
+    if w.endswith("s"):
+        w = w[:-2] if w.endswith(("sses", "ies")) else w if w.endswith("ss") else w[:-1]
+    if w.endswith("eed"):
+        w = w[:-1] if measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end) and "v" in shape(w[: -len(end)]):
+                w = w[: -len(end)]
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif double(w) and w[-1] not in "lsz":
+                    w = w[:-1]
+                elif measure(w) == 1 and short(w):
+                    w += "e"
+                break
+    if w.endswith("y") and "v" in shape(w[:-1]):
+        w = w[:-1] + "i"
+    w = swapped(w, STEPS[0], 1)
+    w = swapped(w, STEPS[1], 1)
+    for end in STEPS[2]:
+        if w.endswith(end):
+            head = w[: -len(end)]
+            if measure(head) > 1 and (end != "ion" or head[-1:] in ("s", "t")):
+                w = head
+            break
+    if w.endswith("e") and (measure(w[:-1]) > 1 or (measure(w[:-1]) == 1 and not short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
+
+
+#: Suffixes of the published stemming algorithm, steps 2 to 4.
+STEPS = (
+    [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")],
+    [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", "")],
+    ["ement", "ment", "ance", "ence", "able", "ible", "ant", "ent", "ion", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou"],
+)
+
+
+def stemmed(tokens: Column | str) -> Column:
+    """Tokens of more than three characters by their stems."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [stem(w) if len(w) > 3 else w for w in x] for x in lists])
+
+    return run(tokens)
+
+
+#: Weights of the reviewer's rubric, and the score below which a record goes through another round.
+RUBRIC, AGAIN = {"correctness": 0.4, "completeness": 0.3, "relevance": 0.2, "structure": 0.1}, 0.6
+
+
+def rubric(scores: DataFrame, threshold: float = AGAIN) -> DataFrame:
+    """scores (correctness, completeness, relevance, structure, each 0 to 1) with `overall`, their weighted sum, and
+    `feedback`, whether it is below the threshold. A missing score leaves both null."""
+    overall = sum((F.col(k) * w for k, w in RUBRIC.items()), F.lit(0.0))
+    return scores.withColumn("overall", overall).withColumn("feedback", F.col("overall") < threshold)
+
+
+def best_round(rounds: DataFrame, key: str, number: str = "round", most: int = 2, threshold: float = AGAIN) -> DataFrame:
+    """Of the rounds 0 to `most` of a record the best one, the earlier of equal ones; records that stay below the
+    threshold go."""
+    scored = rubric(rounds.where(F.col(number) <= most), threshold)
+    best = scored.groupBy(key).agg(F.max_by(F.struct(*(c for c in scored.columns if c != key)), F.struct("overall", -F.col(number))).alias("x"))
+    return best.select(key, "x.*").where(F.col("overall") >= threshold)
+
+
+def model_scores(pairs: DataFrame) -> DataFrame:
+    """pairs with the metrics that need a model, null: no model is at hand, and 0 would count in means."""
+    return pairs.withColumn("bertscore", F.lit(None).cast("double")).withColumn("bleurt", F.lit(None).cast("double"))
+
+
 def composite(pairs: DataFrame, output: str = "response", source: str = "source", weights: dict[str, float] | None = None) -> DataFrame:
     """pairs with fidelity, relevance, grounding, structure, diversity and quality, their weighted sum."""
     w = weights or WEIGHTS
@@ -179,18 +277,19 @@ def bleu_words(candidate: Column | str, reference: Column | str) -> Column:
     return run(candidate, reference)
 
 
-def corpus_bleu4(pairs: DataFrame, candidate: str, reference: str, by: list[str], smooth: float = 1.0) -> DataFrame:
-    """Character BLEU-4 over groups, from n-gram counts pooled over their rows; hits and totals of n > 1 get `smooth`."""
+def corpus_bleu4(pairs: DataFrame, candidate: str, reference: str, by: list[str], epsilon: float = 0.1) -> DataFrame:
+    """Character BLEU-4 over groups, from n-gram counts pooled over their rows. An order without hits counts `epsilon`
+    hits; a row too short for an order counts one n-gram without a hit; no hit of single characters gives 0."""
 
     @F.pandas_udf("array<long>")
     def counts(c: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([[v for n in _bleu_counts(x or "", y or "") for v in n] + [len(x or ""), len(y or "")] for x, y in zip(c, r, strict=True)])
+        return pd.Series([[v for hit, total in _bleu_counts(x or "", y or "") for v in (hit, max(total, 1))] + [len(x or ""), len(y or "")] for x, y in zip(c, r, strict=True)])
 
     df = pairs.withColumn("_n", counts(candidate, reference))
     df = df.groupBy(*by).agg(*(F.sum(F.col("_n")[i]).alias(f"n{i}") for i in range(10)))
-    add = lambda n: smooth if n else 0.0
-    logs = sum((F.log((F.col(f"n{2 * n}") + add(n)) / (F.col(f"n{2 * n + 1}") + add(n))) for n in range(4)), F.lit(0.0)) / 4
-    brevity = F.least(F.lit(1.0), F.exp(1 - F.col("n9") / F.col("n8")))
+    hit = lambda n: F.when(F.col(f"n{2 * n}") == 0, F.lit(epsilon)).otherwise(F.col(f"n{2 * n}"))
+    logs = sum((F.log(hit(n) / F.col(f"n{2 * n + 1}")) for n in range(4)), F.lit(0.0)) / 4
+    brevity = F.when(F.col("n8") > F.col("n9"), 1.0).otherwise(F.exp(1 - F.col("n9") / F.col("n8")))
     return df.select(*by, F.when((F.col("n8") > 0) & (F.col("n0") > 0), brevity * F.exp(logs)).otherwise(0.0).alias("bleu4"))
 
 
@@ -208,7 +307,8 @@ def distinct_n(df: DataFrame, text: str, n: int, by: list[str], unit: str = "cha
 
 
 def evaluate(pairs: DataFrame, by: list[str], instruction: str = "instruction", response: str = "response", source: str = "source", quality: str | None = None) -> DataFrame:
-    """Means of the row metrics of each group; rows without a source don't count in those that need one."""
+    """Means of the row metrics of each group; rows without a source don't count in those that need one. Over whole
+    groups: distinct_1 and distinct_2 of the responses' characters, and the metrics that need a model, null."""
     has = T.filled(F.col(source)) != ""
     only = lambda c: F.when(has, c)
     df = pairs.withColumn("_r", T.ascii_tokens(F.col(source))).withColumn("_c", T.ascii_tokens(F.col(response)))
@@ -224,4 +324,7 @@ def evaluate(pairs: DataFrame, by: list[str], instruction: str = "instruction",
     if quality:
         mean = F.avg(quality)
         aggs.append(F.when(F.max(quality) > 0, mean).alias("mean_quality"))
-    return df.groupBy(*by).agg(*aggs)
+    out = df.groupBy(*by).agg(*aggs)
+    for n in (1, 2):
+        out = out.join(distinct_n(pairs, response, n, by), by, "left")
+    return model_scores(out)

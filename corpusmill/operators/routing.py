@@ -152,3 +152,10 @@ def best_profile(rows: DataFrame, stored: str = "experts", text: str = "text") -
     same = df.select(*(by_layer(F.col("f"), thresholds=t).eqNullSafe(F.col(stored)).cast("double").alias(n) for n, t in PROFILES.items()))
     rates = same.agg(*(F.avg(n).alias(n) for n in PROFILES))
     return rates.unpivot([], list(PROFILES), "profile", "match_rate").orderBy(F.desc("match_rate"), "profile")
+
+
+def differences(rows: DataFrame, key: str, stored: str = "experts", text: str = "text", strategy: str = "layered", **options) -> DataFrame:
+    """(key, same, missing, extra) of stored choices against recomputed ones: experts that only the stored choice has,
+    and that only the new one has. A stored null has nothing."""
+    df = route(rows.select(key, F.coalesce(F.col(stored), F.array().cast("array<string>")).alias("_stored"), F.col(text).alias("_text")), strategy, "_text", **options)
+    return df.select(key, (F.col("_stored") == F.col("experts")).alias("same"), F.array_except("_stored", "experts").alias("missing"), F.array_except("experts", "_stored").alias("extra"))

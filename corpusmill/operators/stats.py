@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Upper bounds of the histograms of lengths and of the bins of quality.
 CHAR_RANGES = (200, 400, 512, 800, 1200)
 TOKEN_RANGES = (256, 512, 1024, 2048)
@@ -59,6 +61,15 @@ def matrix(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
     return df.groupBy(row).pivot(column, values).count().na.fill(0)
 
 
+def dataset_stats(records: DataFrame, instruction: str = "instruction", output: str = "output", tokens: Column | None = None, most: int = 2048) -> DataFrame:
+    """Numbers and lengths of training records, and of their tokens where a column counts them: one row."""
+    a, b = F.length(F.coalesce(F.col(instruction), F.lit(""))), F.length(F.coalesce(F.col(output), F.lit("")))
+    aggs = [F.count("*").alias("n"), F.avg(a).alias("avg_instruction"), F.avg(b).alias("avg_output"), F.max(a).alias("max_instruction"), F.max(b).alias("max_output")]
+    if tokens is not None:
+        aggs += [F.avg(tokens).alias("avg_tokens"), F.max(tokens).alias("max_tokens"), F.count_if(tokens > most).alias("exceeding")]
+    return records.agg(*aggs)
+
+
 def qa_stats(records: DataFrame, experts: str = "experts", quality: str = "quality", instruction: str = "instruction", output: str = "output", meta: str | None = None) -> DataFrame:
     aggs = [
         F.count("*").alias("n"),
@@ -84,6 +95,11 @@ def frequency(df: DataFrame, items: str, order: str, most: int | None = None) ->
     return out.limit(most) if most else out
 
 
+def distinct_items(df: DataFrame, items: str) -> DataFrame:
+    """The number of distinct items of an array column."""
+    return df.select(F.explode(items).alias("item")).agg(F.count_distinct("item").alias("distinct_items"))
+
+
 def quality_by(df: DataFrame, items: str, quality: str, good: float = 0.7) -> DataFrame:
     each = df.select(F.explode(items).alias("item"), F.col(quality).alias("q"))
     return each.groupBy("item").agg(F.count("*").alias("uses"), F.avg("q").alias("avg_quality"), F.avg((F.col("q") >= good).cast("double")).alias("pass_rate"))
@@ -96,9 +112,29 @@ def low_quality(df: DataFrame, quality: str, items: str, order: str, below: floa
     return top.crossJoin(F.broadcast(counts)).select("item", "n", "low", (F.col("low") / F.col("all")).alias("low_share"))  # one row
 
 
-def percentiles(df: DataFrame, value: Column, at: tuple = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
-    """Exact percentiles with linear interpolation, and the mean."""
-    return df.agg(*(F.percentile(value, F.lit(p)).alias(f"p{int(p * 100)}") for p in at), F.avg(value).alias("mean"))
+def percentiles(df: DataFrame, value: str, at: tuple = (0.0, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
+    """Exact percentiles with linear interpolation, and the mean. Null values don't count.
+
+    Values are counted first. Counts are sorted by range over all tasks and summed within each; the sums of the ranges,
+    a row for each task, give every value its places, so no task sees more than its range.
+    """
+    counts = df.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    ranged = Scratch(df.sparkSession, "percentiles").keep(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "counts")
+    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    parts = ranged.groupBy("part").agg(F.sum("c").alias("own")).withColumn("base", F.coalesce(F.sum("own").over(before), F.lit(0)))
+    placed = ranged.withColumn("upto", F.sum("c").over(inside)).join(F.broadcast(parts.select("part", "base")), "part")
+    placed = placed.select("v", "c", (F.col("base") + F.col("upto")).alias("upto"))
+    total = ranged.agg(F.sum("c").alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"))
+    rows = placed.crossJoin(F.broadcast(total))  # one row
+    aggs = [F.first("mean").alias("mean")]
+    for p in at:
+        place = (F.col("n") - 1) * F.lit(float(p))
+        holds = lambda k: (F.col("upto") - F.col("c") <= k) & (k < F.col("upto"))
+        low, high = F.max(F.when(holds(F.floor(place)), F.col("v"))), F.max(F.when(holds(F.ceil(place)), F.col("v")))
+        aggs.append((low + (high - low) * F.first(place - F.floor(place))).alias(f"p{int(p * 100)}"))
+    out = rows.agg(*aggs)
+    return out.select(*(f"p{int(p * 100)}" for p in at), "mean")
 
 
 def verification(files: DataFrame, ext: str, layer: str, chars: str, short: int = 50) -> DataFrame:
@@ -107,6 +143,15 @@ def verification(files: DataFrame, ext: str, layer: str, chars: str, short: int
     return df.agg(F.count("*").alias("files"), F.count_if(F.col(chars) == 0).alias("empty"), F.count_if(F.col(chars) < short).alias("short"))
 
 
+def coverage(files: DataFrame, chunks: DataFrame, key: str = "doc_id", text: str = "text", short: int = 50) -> DataFrame:
+    """One row over processed chunks: chunks, unique documents, empty and short chunks, and the share of files, in per
+    cent, that have chunks."""
+    bare = F.length(F.btrim(F.coalesce(F.col(text), F.lit(""))))
+    counts = chunks.agg(F.count("*").alias("chunks"), F.count_distinct(F.nullif(F.col(key).cast("string"), F.lit(""))).alias("unique_docs"), F.count_if(bare == 0).alias("empty_chunks"), F.count_if((bare > 0) & (bare < short)).alias("short_chunks"))
+    total = files.agg(F.count("*").alias("files"))
+    return counts.crossJoin(total).withColumn("coverage", F.when(F.col("files") > 0, 100.0 * F.col("unique_docs") / F.col("files")).otherwise(0.0))  # one row each
+
+
 def best_per_metric(long: DataFrame, method: str = "method", metric: str = "metric", value: str = "value") -> DataFrame:
     """Values with their share of the metric's maximum, and whether they are the best."""
     top = F.max(value).over(Window.partitionBy(metric))
@@ -142,30 +187,63 @@ def welch(df: DataFrame, condition: str, value: str, baseline: str) -> DataFrame
     return df.select(condition, "n", "mean", "sd", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"), F.when(other, F.try_divide(F.col("mean") - F.col("bm"), F.sqrt(va + vb))).alias("t"), F.when(other, freedom).alias("df"))
 
 
-def bootstrap_ci(df: DataFrame, metric: str, value: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """(metric, mean, low, high): percentile intervals of the mean. A group of any size is drawn from in parts: every
-    row gets a Poisson(1) weight for each draw, and sums of weights and values are added up over parts."""
+#: Cumulative probabilities of a Poisson(1) number.
+_POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)]))
+
+
+def _uniform(rows: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """A number from 0 to 1 for each row and draw, by mixing their numbers: the same whatever batch a row comes in."""
+    with np.errstate(over="ignore"):
+        x = rows[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
+        for _ in range(2):
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def stars(t: Column, df: Column) -> Column:
+    """***, ** or * where a two-sided t test is significant at 0.001, 0.01 or 0.05, else empty; null without a t. The
+    deviate that t stands for is Wallace's approximation, and exact for many degrees of freedom."""
+    n = F.greatest(df, F.lit(1.0))
+    deviate = (8 * n + 1) / (8 * n + 3) * F.sqrt(n * F.log1p(t * t / n))
+    return F.when(deviate > 3.290527, "***").when(deviate > 2.575829, "**").when(deviate > 1.959964, "*").when(t.isNotNull(), "")
+
+
+def bootstrap_means(df: DataFrame, metric: str, value: str, key: str, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(metric, d, m): the mean of each bootstrap draw. A group of any size is drawn from in parts: every row gets a
+    Poisson(1) weight for each draw, by its metric and key, and sums of weights and values are added up over parts."""
 
     def part(batches):
         for b in batches:
             for name, own in b.groupby(metric, dropna=False):
-                x = own[value].to_numpy(dtype=float)
-                rows = own["_row"].to_numpy(dtype=np.uint64)
+                x, rows = own[value].to_numpy(dtype=float), own["_row"].to_numpy().astype(np.uint64)
                 total, weight = np.zeros(draws), np.zeros(draws)
-                for r, v in zip(rows, x, strict=True):  # seeded by the row, so parts may come in any order
-                    w = np.random.default_rng([seed, int(r)]).poisson(1.0, draws)
-                    total += w * v
-                    weight += w
+                for k in range(0, len(x), 1000):
+                    w = np.searchsorted(_POISSON, _uniform(rows[k : k + 1000], draws, seed)).astype(np.float64)
+                    total += x[k : k + 1000] @ w
+                    weight += w.sum(axis=0)
                 yield pd.DataFrame({metric: name, "d": np.arange(draws), "t": total, "w": weight})
 
     kind = df.schema[metric].dataType.simpleString()
-    rows = df.where(F.col(value).isNotNull()).select(metric, F.col(value).cast("double").alias(value), F.abs(F.xxhash64(*df.columns)).alias("_row"))
-    sums = rows.mapInPandas(part, f"{metric} {kind}, d int, t double, w double").groupBy(metric, "d").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
+    rows = df.where(F.col(value).isNotNull()).select(metric, F.col(value).cast("double").alias(value), F.xxhash64(metric, key).alias("_row"))
+    return rows.mapInPandas(part, f"{metric} {kind}, d int, t double, w double").groupBy(metric, "d").agg(F.try_divide(F.sum("t"), F.sum("w")).alias("m"))
+
+
+def bootstrap_ci(df: DataFrame, metric: str, value: str, key: str, draws: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """(metric, mean, low, high): percentile intervals of the mean. key tells the rows of a metric apart."""
     alpha = (1 - level) / 2
-    interval = sums.groupBy(metric).agg(F.percentile("m", F.lit(alpha)).alias("low"), F.percentile("m", F.lit(1 - alpha)).alias("high"))
+    interval = bootstrap_means(df, metric, value, key, draws, seed).groupBy(metric).agg(F.percentile("m", F.lit(alpha)).alias("low"), F.percentile("m", F.lit(1 - alpha)).alias("high"))
     return df.groupBy(metric).agg(F.avg(value).alias("mean")).join(interval, metric)
 
 
+def paired_bootstrap(pairs: DataFrame, metric: str, key: str, va: str = "va", vb: str = "vb", draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(metric, diff, p): the share of draws whose mean difference is at least as large, either way, as the one that was
+    seen. Differences aren't centred, so this p is near a half or above wherever a difference is seen at all."""
+    d = pairs.select(metric, key, (F.col(va) - F.col(vb)).alias("_d"))
+    seen = d.groupBy(metric).agg(F.avg("_d").alias("diff"))
+    means = bootstrap_means(d, metric, "_d", key, draws, seed).join(seen, metric)
+    return means.groupBy(metric).agg(F.first("diff").alias("diff"), F.avg((F.abs("m") >= F.abs("diff")).cast("double")).alias("p"))
+
+
 def paired(df: DataFrame, sample: str, model: str, metric: str, value: str, a: str, b: str) -> DataFrame:
     """(metric, sample, va, vb) of the samples that both models have; metrics whose numbers of samples differ go."""
     x = df.where(F.col(model) == a).select(metric, sample, F.col(value).alias("va"))
@@ -175,8 +253,9 @@ def paired(df: DataFrame, sample: str, model: str, metric: str, value: str, a: s
 
 
 def wilcoxon(pairs: DataFrame, metric: str, va: str = "va", vb: str = "vb") -> DataFrame:
-    """Signed-rank test of each metric: means, difference, W, z and two-sided p by the normal approximation with the
-    correction for ties; p is 1 if all differences are 0.
+    """Signed-rank test of each metric: means, difference, W, z and two-sided p; p is 1 if all differences are 0. Of at
+    most EXACT differences without ties and zeros p is exact, else by the normal approximation with the correction for
+    ties.
 
     Ranks come from counts of equal differences, summed over the distinct values, so a metric of very many rows is
     ranked from its table of values.
@@ -186,12 +265,35 @@ def wilcoxon(pairs: DataFrame, metric: str, va: str = "va", vb: str = "vb") -> D
     sizes = d.where("d <> 0").groupBy(metric, F.abs("d").alias("m")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
     w = Window.partitionBy(metric).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = sizes.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2.0)
+    zeros = d.groupBy(metric).agg(F.count_if(F.col("d") == 0).alias("zeros"))
     s = ranked.groupBy(metric).agg(F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
     z = F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)).otherwise(0.0)
-    out = means.join(s, metric, "left").withColumn("z", F.coalesce(z, F.lit(0.0)))
-    return out.select(metric, "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("diff"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), "z", two_sided("z").alias("p")).withColumn("significant", F.col("p") < 0.05)
+    out = means.join(s, metric, "left").join(zeros, metric).withColumn("z", F.coalesce(z, F.lit(0.0)))
+    p = F.when((F.col("n") <= EXACT) & (F.col("ties") == 0) & (F.col("zeros") == 0), exact_signed_rank("w_plus", "n")).otherwise(two_sided("z"))
+    return out.select(metric, "mean_a", "mean_b", (F.col("mean_a") - F.col("mean_b")).alias("diff"), F.coalesce("w_plus", F.lit(0.0)).alias("w_plus"), "z", p.alias("p")).withColumn("significant", F.col("p") < 0.05)
+
+
+#: Up to so many differences the signed-rank test is exact.
+EXACT = 50
+
+
+def signed_rank_p(w: float, n: int) -> float:
+    """Two-sided p of a rank sum w of n differences: of all choices of ranks, twice the share at least as far out."""
+    ways = np.ones(1)
+    for r in range(1, n + 1):
+        ways = np.concatenate([ways, np.zeros(r)]) + np.concatenate([np.zeros(r), ways])
+    share, k = ways / ways.sum(), int(round(w))
+    return float(min(1.0, 2 * min(share[: k + 1].sum(), share[k:].sum())))
+
+
+def exact_signed_rank(w: str, n: str) -> Column:
+    @F.pandas_udf("double")
+    def run(ws: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(w, int(n)) if n == n and n <= EXACT else None for w, n in zip(ws, ns, strict=True)], dtype="float64")
+
+    return run(F.col(w), F.col(n).cast("double"))
 
 
 def two_sided(z: str) -> Column:

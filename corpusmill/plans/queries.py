@@ -26,14 +26,38 @@ def query(sql: str | None = None):
 
 
 # Parts of the SQL, made from the same fixed values as the operators.
-S = r"[ \t\n\r\f\x0b]"
+S = r"[ \t\n\r\f\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 STRIP = lambda x: f"regexp_replace({x}, '^{S}+|{S}+$', '', 'g')"
 CNT = lambda x, body: f"len(regexp_extract_all({x}, '[{body}]'))"
+EXT_S, PRIVATE_S = r"\x{20000}-\x{2A6DF}", r"\x{E000}-\x{F8FF}"
 CJK_S = "一-龥"
 PUNCT_S = r"，。！？、；：\"''（）【】《》·—,.!?;:()\[\]<>/\\\-" + r" \t\n\r\f\x0b\x{a0}\x{3000}"
 ODD_S = r"^\x00-\x7F一-龥，。！？、；：（）【】《》·—" + r"\x{a0}\x{3000}"
+
+
 quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
+#: Rows with Chinese text and with characters that only broken texts have: the vocabularies and the gates' rules are
+#: about these, and the tables hold Latin texts. They are added to the documents, on both sides of a comparison.
+_REPORT = "公司致力于减少碳排放，2023年排放量降低了15%，2022年为20%，与行业平均水平相比低于基准。员工培训、环保治理和合规管理：1. 计划 2. 目标；预计明年实现30%的增长（趋势）。"
+EXTRA = [
+    (-1, _REPORT),
+    (-2, "本公司依据GRI、TCFD、SASB和ISO标准披露环境、社会与治理信息，" * 4),
+    (-3, "什么是碳中和？如何实现？为什么重要？对比去年，今年的成效和成果达成了目标，完成率提高了12%。" * 3),
+    (-4, "环境报告" + chr(0xFFFD) + "正文内容" * 30),
+    (-5, "附录说明" * 20 + chr(0x20000) * 12 + "结束"),
+    (-6, "私有区字符" * 20 + chr(0xE000) + "末尾"),
+    (-7, "Привет мир " * 20),
+    (-8, "®©™§¶" * 30 + "text"),
+    (-9, "　\n 短 　"),
+    (-10, "第 3 页 / 共 12 页\n" + _REPORT + "\n[图片]\n[图12] Page 3 of 9\n\n\n\n12\n" + _REPORT),
+    (-11, "免责声明：本报告仅供参考。" + "公司" * 20),
+    (-12, "The company is committed to lower carbon emission, reduced by 15 since 2020 and 2021; ranked higher than the industry average. GRI, ISO; energy, safety, audit. " * 3),
+    (-13, "统计 1,234.5 与 67.8% 以及 3.14.15；" * 6 + chr(0x1F600) * 3),
+    (-14, _REPORT + chr(1) + chr(0xE123) + "  　" + "\n\n\n" + _REPORT),
+]
+D_S = "d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(t)})" for i, t in EXTRA) + ") v(doc_id, text))"
+
 
 def sql_hits(x: str, words: list[str], fold: bool = False) -> str:
     return "(" + " + ".join(f"CAST(contains({x}, {quoted(w.lower() if fold else w)}) AS INTEGER)" for w in words) + ")"
@@ -43,7 +67,47 @@ def sql_presence(x: str, words: list[str], full: float, fold: bool = False) -> s
     return f"least({sql_hits(x, words, fold)} / {full}, 1.0)"
 
 
-CLEAN_S = f"""regexp_replace({STRIP("array_to_string(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^[0-9]+$', '', 'g'), '(?i)Page' || '[ \\t\\n]+[0-9]+[ \\t\\n]+of[ \\t\\n]+[0-9]+', '', 'g'), '(?i)\\[图片\\]|\\[图[0-9]+\\]|\\[Image\\]|\\[Figure[ \\t\\n]+[0-9]+\\]', '', 'g'), '[ \\t\\n\\r\\f\\x0b]{3,}', ' ', 'g'), chr(10)), lambda l: " + STRIP("l") + "), chr(10))")}, '\\n{{3,}}', chr(10) || chr(10), 'g')"""
+def sql_clean(x: str) -> str:
+    for pattern in (r"(?m)^[0-9]+$", rf"第{S}*[0-9]+{S}*页{S}*[/\\]{S}*共{S}*[0-9]+{S}*页", rf"(?i)Page{S}+[0-9]+{S}+of{S}+[0-9]+", rf"(?i)\[图片\]|\[图[0-9]+\]|\[Image\]|\[Figure{S}+[0-9]+\]"):
+        x = f"regexp_replace({x}, {quoted(pattern)}, '', 'g')"
+    x = f"regexp_replace({x}, '{S}{{3,}}', ' ', 'g')"
+    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: {STRIP('l')}), chr(10))"
+    return STRIP(rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def sql_sanitize(x: str) -> str:
+    x = rf"regexp_replace({x}, '[{PRIVATE_S}\x{{FFFD}}\x00-\x08\x0B-\x1F\x7F]', '', 'g')"
+    x = rf"regexp_replace({x}, '[ \x{{3000}}]+', ' ', 'g')"
+    return STRIP(rf"regexp_replace({x}, '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def sql_gate(x: str, after: bool = False) -> str:
+    """The reason of a gate on a text, as one expression."""
+    n, extb, cjk, latin = f"greatest(length({x}), 1)", CNT(x, EXT_S), CNT(x, CJK_S), CNT(x, "a-zA-Z")
+    valid, odd = f"({cjk} + {latin} + {CNT(x, '0-9')} + {CNT(x, PUNCT_S)})", CNT(x, ODD_S)
+    ratios = f"WHEN {valid} / {n} < 0.70 THEN printf('Valid character ratio too low (%.2f%%)', 100.0 * {valid} / {n}) WHEN {odd} / {n} > {0.15 if after else 0.20} THEN printf('Uncommon character ratio too high (%.2f%%)', 100.0 * {odd} / {n})"
+    if after:
+        return f"CASE WHEN length({STRIP(x)}) < 10 THEN 'Text too short or empty' WHEN regexp_matches({x}, '[{PRIVATE_S}]') THEN 'Contains private-use chars (possible encoding/font issue)' WHEN contains({x}, chr(65533)) THEN 'Contains replacement char \\uFFFD (possible encoding issue)' WHEN {extb} >= 6 OR {extb} / {n} > 0.01 THEN 'Ext-B character ratio too high (possible garbled text)' {ratios} WHEN {cjk} / {n} < 0.15 AND {latin} / {n} < 0.15 THEN 'Neither predominantly Chinese nor English' ELSE 'Valid text' END"
+    return f"CASE WHEN length({STRIP(x)}) < 80 THEN 'Text too short or empty' WHEN contains({x}, chr(65533)) THEN 'Contains replacement character' WHEN {extb} >= 10 OR {extb} / {n} > 0.01 THEN 'Too many extended-B characters' {ratios} WHEN {cjk} / {n} < 0.10 AND {latin} / {n} < 0.10 THEN 'Neither predominantly Chinese nor predominantly English' ELSE 'OK' END"
+
+
+def sql_chunks(source: str, out: str = "chunks") -> str:
+    """CTEs that cut the texts of a relation (doc_id, text) into chunks: (doc_id, chunk_index, chunk_id, text)."""
+    closed = "CASE WHEN length(a.cur) >= 100 THEN list_append(a.out, a.cur) ELSE a.out END"
+    step = f"""CASE WHEN x.k = 'f' THEN {{'out': {closed}, 'cur': ''}}
+    WHEN length(a.cur) + length(x.t) + 1 <= 512 THEN {{'out': a.out, 'cur': CASE WHEN x.k = 's' THEN a.cur || x.t WHEN a.cur = '' THEN x.t ELSE a.cur || chr(10) || x.t END}}
+    ELSE {{'out': {closed}, 'cur': CASE WHEN x.k = 's' THEN right(a.cur, 50) || x.t WHEN a.cur = '' THEN x.t ELSE right(a.cur, 50) || chr(10) || x.t END}} END"""
+    return rf"""{out}_p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{S}*\n'), lambda p: {STRIP("p")}), lambda p: p <> '') AS ps FROM {source}),
+{out}_s AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) > 512 THEN list_concat([{{'k': 'f', 't': ''}}], list_transform(list_filter(list_transform(regexp_split_to_array(p, '[。！？\n]'), lambda s: {STRIP("s")}), lambda s: s <> ''), lambda s: {{'k': 's', 't': s}})) ELSE [{{'k': 'p', 't': p}}] END)) AS st FROM {out}_p),
+{out}_f AS (SELECT doc_id, list_reduce(st, lambda a, x: {step}, {{'out': CAST([] AS VARCHAR[]), 'cur': ''}}) AS a FROM {out}_s),
+{out}_o AS (SELECT doc_id, {closed} AS o FROM {out}_f),
+{out} AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk_index, doc_id || '_chunk_' || (i - 1) AS chunk_id, o[i] AS text FROM (SELECT doc_id, o, unnest(range(1, len(o) + 1)) AS i FROM {out}_o))"""
+
+
+def _more(spark: SparkSession, d: str) -> DataFrame:
+    """The documents and EXTRA, as (doc_id, text)."""
+    extra = spark.createDataFrame(EXTRA, "doc_id long, text string")
+    return _docs(spark, d).select("doc_id", "text").unionByName(extra)
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -79,65 +143,63 @@ RECORDS_S = f"""r AS (SELECT doc_id, lang, source, quality, instruction, output,
   FROM documents JOIN labels USING (doc_id)))"""
 
 
-@query(f"SELECT doc_id, {CLEAN_S} AS text FROM documents")
+@query(f"WITH {D_S} SELECT doc_id, {sql_sanitize(sql_clean('text'))} AS text FROM d")
 def clean_text_docs(spark, d):
     """F1, F2."""
-    return _docs(spark, d).select("doc_id", T.sanitize(T.clean_text(F.col("text"))).alias("text"))
+    return _more(spark, d).select("doc_id", T.sanitize(T.clean_text(F.col("text"))).alias("text"))
 
 
 @query(rf"""
-WITH c AS (SELECT doc_id, text, length(text) AS n, {CNT("text", CJK_S)} AS cjk, {CNT("text", "a-zA-Z")} AS latin, {CNT("text", "0-9")} AS digit, {CNT("text", PUNCT_S)} AS punct FROM documents)
+WITH {D_S}, c AS (SELECT doc_id, text, length(text) AS n, {CNT("text", CJK_S)} AS cjk, {CNT("text", "a-zA-Z")} AS latin, {CNT("text", "0-9")} AS digit, {CNT("text", PUNCT_S)} AS punct FROM d)
 SELECT doc_id, CAST(n AS INTEGER) AS chars, CAST(cjk AS INTEGER) AS cjk, CAST(latin AS INTEGER) AS latin, CAST(digit AS INTEGER) AS digits, CAST(cjk + latin + digit + punct AS INTEGER) AS valid FROM c""")
 def char_profile(spark, d):
     """F4."""
     x = F.col("text")
-    return _docs(spark, d).select("doc_id", F.length(x).alias("chars"), T.count(x, V.CJK).alias("cjk"), T.count(x, V.LATIN).alias("latin"), T.count(x, "0-9").alias("digits"), T.valid_count(x).alias("valid"))
-
-
-def _gate_sql(least: int, uncommon: float, language: float, short: str, neither: str, ok: str) -> str:
-    return rf"""
-WITH c AS (SELECT doc_id, text, length({STRIP("text")}) AS bare, greatest(length(text), 1) AS n, {CNT("text", CJK_S)} AS cjk, {CNT("text", "a-zA-Z")} AS latin,
-  {CNT("text", CJK_S)} + {CNT("text", "a-zA-Z")} + {CNT("text", "0-9")} + {CNT("text", PUNCT_S)} AS valid, {CNT("text", ODD_S)} AS odd FROM documents)
-SELECT doc_id, CASE WHEN bare < {least} THEN '{short}' WHEN valid / n < 0.70 THEN printf('Valid character ratio too low (%.2f%%)', 100.0 * valid / n)
-  WHEN odd / n > {uncommon} THEN printf('Uncommon character ratio too high (%.2f%%)', 100.0 * odd / n) WHEN cjk / n < {language} AND latin / n < {language} THEN '{neither}' ELSE '{ok}' END AS reason FROM c"""
+    return _more(spark, d).select("doc_id", F.length(x).alias("chars"), T.count(x, V.CJK).alias("cjk"), T.count(x, V.LATIN).alias("latin"), T.count(x, "0-9").alias("digits"), T.valid_count(x).alias("valid"))
 
 
-@query(_gate_sql(80, 0.20, 0.10, "Text too short or empty", "Neither predominantly Chinese nor predominantly English", "OK"))
+@query(f"WITH {D_S} SELECT doc_id, {sql_gate('text')} AS reason FROM d")
 def quality_gate_pre(spark, d):
     """P1, P2."""
-    return _docs(spark, d).select("doc_id", gates.gate_before(F.col("text")).alias("reason"))
+    return _more(spark, d).select("doc_id", gates.gate_before(F.col("text")).alias("reason"))
 
 
-@query(_gate_sql(10, 0.15, 0.15, "Text too short or empty", "Neither predominantly Chinese nor English", "Valid text"))
+@query(f"WITH {D_S} SELECT doc_id, {sql_gate('text', True)} AS reason FROM d")
 def quality_gate_post(spark, d):
     """P3."""
-    return _docs(spark, d).select("doc_id", gates.gate_after(F.col("text")).alias("reason"))
+    return _more(spark, d).select("doc_id", gates.gate_after(F.col("text")).alias("reason"))
 
 
-@query()
+@query(f"""WITH {D_S}, c AS (SELECT text, {sql_sanitize('text')} AS clean FROM d), g AS (SELECT text, clean, {sql_gate('text', True)} AS reason, {sql_gate('clean', True)} AS again FROM c)
+SELECT CASE WHEN reason = 'Valid text' THEN 'valid' WHEN again = 'Valid text' AND clean <> text THEN 'salvaged' ELSE 'invalid' END AS status, reason, count(*) AS n FROM g GROUP BY ALL""")
 def qc_salvage_counts(spark, d):
     """P4 with its counters."""
-    return gates.quality_check(_docs(spark, d)).groupBy("status", "reason").agg(F.count("*").alias("n"))
+    return gates.quality_check(_more(spark, d)).groupBy("status", "reason").agg(F.count("*").alias("n"))
 
 
 @query(rf"""
-WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents), m AS (SELECT *, {STRIP("x[1]")} AS f FROM l)
+WITH {D_S}, l AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM d), m AS (SELECT *, {STRIP("x[1]")} AS f FROM l)
 SELECT doc_id, (len(x) > 20 AND regexp_matches(text, '(?m)^{S}*[0-9a-z.\-]+{S}+') AND len(list_filter(x, lambda y: length({STRIP("y")}) < 30)) / len(x) > 0.7)
   OR ({sql_hits("lower(text)", V.NOISE)} > 0 AND length(text) < 500)
   OR (len(x) > 5 AND f <> '' AND len(list_filter(x, lambda y: y = f)) >= len(x) * 0.3) AS noise FROM m""")
 def structural_noise(spark, d):
     """P5."""
-    return _docs(spark, d).select("doc_id", gates.structural_noise(F.col("text")).alias("noise"))
+    return _more(spark, d).select("doc_id", gates.structural_noise(F.col("text")).alias("noise"))
 
 
-@query("""
-SELECT doc_id, CASE WHEN o = '' THEN 'empty_output' END AS reason, upper(source) AS layer, lang || '_' || source AS name
-FROM (SELECT doc_id, lang, source, CASE WHEN length(text) % 7 = 0 THEN '' ELSE text END AS o FROM documents)""")
+LAYER_NAMES = {f"src{i}": f"Layer{i % 4 + 1}" for i in range(20)}
+RENAMED = {"en_": "english_", "_src1": "_Layer2"}
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN {STRIP('i')} = '' THEN 'empty_instruction' WHEN {STRIP('o')} = '' THEN 'empty_output' END AS reason, coalesce(CASE {" ".join(f"WHEN source = '{a}' THEN '{b}'" for a, b in LAYER_NAMES.items())} END, source) AS layer, {"replace(" * len(RENAMED)}lang || '_' || source || '_' || doc_id{"".join(f", '{a}', '{b}')" for a, b in RENAMED.items())} AS name
+FROM (SELECT doc_id, lang, source, CASE WHEN length(text) % 7 = 0 THEN chr(12288) || ' ' ELSE text END AS o, CASE WHEN length(text) % 5 = 0 THEN '' WHEN length(text) % 5 = 1 THEN NULL ELSE lang END AS i FROM documents)""".replace(STRIP('i'), STRIP("coalesce(i, '')")))
 def alpaca_validation(spark, d):
-    """Validation reasons; layers by prefix and new name."""
-    df = _docs(spark, d).withColumn("o", F.when(F.pmod(F.length("text"), F.lit(7)) == 0, "").otherwise(F.col("text"))).withColumn("name", F.concat_ws("_", "lang", "source"))
-    layer = gates.layer_of(F.concat_ws("_", "source", "lang"), {f"src{i}": f"SRC{i}" for i in range(20)})
-    return df.select("doc_id", gates.alpaca_reason(F.lit("x"), F.col("o")).alias("reason"), layer.alias("layer"), gates.rename(F.col("name"), {"_src": "_src"}).alias("name"))
+    """Validation reasons; layers by prefix and new name; names with their layers renamed."""
+    n = F.length("text")
+    df = _docs(spark, d).withColumn("o", F.when(F.pmod(n, F.lit(7)) == 0, "\u3000 ").otherwise(F.col("text"))).withColumn("i", F.when(F.pmod(n, F.lit(5)) == 0, "").when(F.pmod(n, F.lit(5)) != 1, F.col("lang")))
+    layer = gates.layer_of(F.concat_ws("_", "source", "lang"), LAYER_NAMES)
+    return df.select("doc_id", gates.alpaca_reason(F.col("i"), F.col("o")).alias("reason"), layer.alias("layer"), gates.rename(F.concat_ws("_", "lang", "source", "doc_id"), RENAMED).alias("name"))
 
 
 @query(f"""
@@ -170,7 +232,7 @@ def exact_dup_docs(spark, d):
 
 @query()
 def simhash_near_dups(spark, d):
-    """The greedy scan over whole documents."""
+    """The greedy scan over whole documents."""
     return dedup.near_duplicates(_docs(spark, d))
 
 
@@ -184,13 +246,14 @@ def jaccard_near_dups(spark, d):
     return dedup.jaccard_pairs(_docs(spark, d))
 
 
-@query()
+@query(f"WITH {D_S}, {sql_chunks('d')} SELECT doc_id, chunk_index, chunk_id, CAST(length(text) AS INTEGER) AS chars, md5(text) AS hash FROM chunks")
 def chunk_docs(spark, d):
     """C1, F6, W6."""
-    return _chunks(spark, d).select("doc_id", "chunk_index", "chunk_id", F.length("text").alias("chars"), F.md5("text").alias("hash"))
+    return chunking.chunk(_more(spark, d)).select("doc_id", "chunk_index", "chunk_id", F.length("text").alias("chars"), F.md5("text").alias("hash"))
 
 
-@query()
+@query(f"""WITH {sql_chunks('documents')}, b AS (SELECT CASE WHEN n < 200 THEN 0 WHEN n < 400 THEN 1 WHEN n < 512 THEN 2 WHEN n < 800 THEN 3 WHEN n < 1200 THEN 4 ELSE 5 END AS bin FROM (SELECT length(text) AS n FROM chunks))
+SELECT k AS bin, l AS label, count(b.bin) AS n FROM (VALUES (0, '0-200'), (1, '200-400'), (2, '400-512'), (3, '512-800'), (4, '800-1200'), (5, '1200+')) v(k, l) LEFT JOIN b ON b.bin = k GROUP BY ALL""")
 def chunk_length_hist(spark, d):
     """A9."""
     return stats.histogram(_chunks(spark, d), F.length("text"), stats.CHAR_RANGES)
@@ -209,7 +272,7 @@ SELECT round(quantile_cont(t, 0.0), 6) AS p0, round(quantile_cont(t, 0.25), 6) A
 FROM (SELECT CAST(floor(length(text) * 1.5) AS DOUBLE) AS t FROM documents)""")
 def token_estimate_stats(spark, d):
     """A8, F9."""
-    p = stats.percentiles(_docs(spark, d).select(T.token_estimate(F.col("text")).cast("double").alias("t")), "t")
+    p = stats.percentiles(_docs(spark, d).select(T.token_estimate(F.col("text")).alias("t")), "t")
     return p.select(*(F.round(c, 6).alias(c) for c in p.columns))
 
 
@@ -223,38 +286,38 @@ def oversize_truncate(spark, d):
     return chunking.fit_tokens(_docs(spark, d)).select("doc_id", "cut", F.length("text").alias("chars"))
 
 
-def _f15_sql() -> str:
+def _f15_sql(source: str = "d") -> str:
     x, pres = "text", {n: sql_presence("text", w, f) for n, (w, f) in V.SELECTOR.items()}
     pres["esg_keyword_density"] = sql_presence("lower(text)", V.SELECTOR["esg_keyword_density"][0], 9.0, fold=True)
     claims = " + ".join(f"CAST(regexp_matches({x}, {quoted(p)}) AS INTEGER)" for p in V.CLAIMS)
-    return f"""f AS (SELECT *, CAST(length(text) AS DOUBLE) AS length, CAST(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: w <> '')) AS DOUBLE) AS word_count,
+    return f"""f AS (SELECT *, CAST(length(text) AS DOUBLE) AS length, CAST(len(list_filter(regexp_split_to_array(text, '{S}+'), lambda w: w <> '')) AS DOUBLE) AS word_count,
   least(len(regexp_extract_all(text, '[0-9]+')) / 10.0, 1.0) AS has_numbers, {", ".join(f"{p} AS {n}" for n, p in pres.items())},
-  least(len(list_distinct(regexp_extract_all(text, '20[0-9]{{2}}'))) / 3.0, 1.0) AS year_mentions, least(({claims}) / 2.0, 1.0) AS verifiable_claims FROM documents)"""
+  least(len(list_distinct(regexp_extract_all(text, '20[0-9]{{2}}'))) / 3.0, 1.0) AS year_mentions, least(({claims}) / 2.0, 1.0) AS verifiable_claims FROM {source})"""
 
 
 F15 = ["length", "word_count", "has_numbers", "has_entities", "has_question_keywords", "has_structured_data", "esg_keyword_density", "comparative_keywords", "temporal_keywords", "year_mentions", "industry_keywords", "vague_commitments", "standard_keywords", "verifiable_claims", "performance_keywords"]
 
 
-@query(f"WITH {_f15_sql()} SELECT doc_id, {', '.join(F15)} FROM f")
+@query(f"WITH {D_S}, {_f15_sql()} SELECT doc_id, {', '.join(F15)} FROM f")
 def features_15(spark, d):
     """E1, F12-F14."""
-    return routing.with_features(_docs(spark, d), routing.features_15(F.col("text"))).select("doc_id", "f.*")
+    return routing.with_features(_more(spark, d), routing.features_15(F.col("text"))).select("doc_id", "f.*")
 
 
 def _f14_sql() -> str:
     folded = ", ".join(f"{sql_presence('lower(text)', w, f, fold=True)} AS {n}" for n, (w, f) in V.BILINGUAL.items())
     claims = " + ".join(f"CAST(regexp_matches(text, {quoted(p)}) AS INTEGER)" for p in V.CLAIMS_BILINGUAL)
     return f"""f AS (SELECT *, least(length(text) / 2000.0, 1.0) AS length, least(len(regexp_extract_all(text, '[0-9]+\\.?[0-9]*%?')) / 10.0, 1.0) AS numerical_density,
-  least(len(list_distinct(regexp_extract_all(text, '20[0-9]{{2}}'))) / 3.0, 1.0) AS year_mentions, {folded}, {sql_presence("text", *V.BILINGUAL_MARKS)} AS structured_data, {sql_presence("text", *V.BILINGUAL_ENTITIES)} AS entity_density, least(({claims}) / 2.0, 1.0) AS verifiable_claims FROM documents)"""
+  least(len(list_distinct(regexp_extract_all(text, '20[0-9]{{2}}'))) / 3.0, 1.0) AS year_mentions, {folded}, {sql_presence("text", *V.BILINGUAL_MARKS)} AS structured_data, {sql_presence("text", *V.BILINGUAL_ENTITIES)} AS entity_density, least(({claims}) / 2.0, 1.0) AS verifiable_claims FROM d)"""
 
 
 F14 = ["length", "numerical_density", "year_mentions", *V.BILINGUAL, "structured_data", "entity_density", "verifiable_claims"]
 
 
-@query(f"WITH {_f14_sql()} SELECT doc_id, {', '.join(F14)} FROM f")
+@query(f"WITH {D_S}, {_f14_sql()} SELECT doc_id, {', '.join(F14)} FROM f")
 def features_14(spark, d):
     """E2."""
-    return routing.with_features(_docs(spark, d), routing.features_14(F.col("text"))).select("doc_id", "f.*")
+    return routing.with_features(_more(spark, d), routing.features_14(F.col("text"))).select("doc_id", "f.*")
 
 
 SCORES_15 = {
@@ -289,42 +352,68 @@ def _ranked_sql(scores: dict[str, str], names: list[str]) -> str:
     return "list_sort([" + ", ".join(f"{{'s': -({scores[n]}), 'k': {k}, 'id': '{n}'}}" for k, n in enumerate(names)) + "])"
 
 
-@query(f"""WITH {_f15_sql()}, r AS (SELECT doc_id, {_ranked_sql(SCORES_15, routing.IDS)} AS r FROM f), o AS (SELECT doc_id, r, list_transform(list_filter(r, lambda x: -x.s > 0.3)[1:3], lambda x: x.id) AS o FROM r)
+@query(f"""WITH {D_S}, {_f15_sql()}, r AS (SELECT doc_id, {_ranked_sql(SCORES_15, routing.IDS)} AS r FROM f), o AS (SELECT doc_id, r, list_transform(list_filter(r, lambda x: -x.s > 0.3)[1:3], lambda x: x.id) AS o FROM r)
 SELECT doc_id, array_to_string(CASE WHEN len(o) >= 1 THEN o ELSE [r[1].id] END, ',') AS experts FROM o""")
 def route_rule(spark, d):
     """E3, E4, O1."""
-    return routing.route(_docs(spark, d), "rule").select("doc_id", F.array_join("experts", ",").alias("experts"))
+    return routing.route(_more(spark, d), "rule").select("doc_id", F.array_join("experts", ",").alias("experts"))
+
+
+def sql_layered(thresholds: tuple[float, float, float] = (0.3, 0.3, 0.5)) -> str:
+    """The layered choice over the features of relation f, as a list."""
+    a, v, g = thresholds
+    middle = f"list_filter([CASE WHEN temporal_keywords > {a} THEN 'temporal_analysis_expert' END, CASE WHEN industry_keywords > {a} THEN 'benchmark_comparison_expert' END, CASE WHEN vague_commitments > {a} THEN 'greenwashing_detection_expert' END], lambda x: x IS NOT NULL)[1:2]"
+    last = f"list_filter([CASE WHEN has_numbers > {v} THEN 'consistency_verification_expert' WHEN standard_keywords > {v} THEN 'standard_alignment_expert' END, CASE WHEN has_entities > {g} AND has_structured_data > 0.3 THEN 'knowledge_graph_expert' END], lambda x: x IS NOT NULL)"
+    return f"list_concat(list_concat([{_ranked_sql(SCORES_15, routing.LAYER['base'])}[1].id], {middle}), {last})[1:3]"
 
 
-@query(f"""WITH {_f15_sql()}, r AS (SELECT *, [{_ranked_sql(SCORES_15, routing.LAYER["base"])}[1].id] AS b,
-  list_filter([CASE WHEN temporal_keywords > 0.3 THEN 'temporal_analysis_expert' END, CASE WHEN industry_keywords > 0.3 THEN 'benchmark_comparison_expert' END, CASE WHEN vague_commitments > 0.3 THEN 'greenwashing_detection_expert' END], lambda x: x IS NOT NULL)[1:2] AS m,
-  list_filter([CASE WHEN has_numbers > 0.3 THEN 'consistency_verification_expert' WHEN standard_keywords > 0.3 THEN 'standard_alignment_expert' END, CASE WHEN has_entities > 0.5 AND has_structured_data > 0.3 THEN 'knowledge_graph_expert' END], lambda x: x IS NOT NULL) AS v FROM f)
-SELECT doc_id, array_to_string(list_concat(list_concat(b, m), v)[1:3], ',') AS experts FROM r""")
+@query(f"WITH {D_S}, {_f15_sql()} SELECT doc_id, array_to_string({sql_layered()}, ',') AS experts FROM f")
 def route_layered(spark, d):
     """E5, E7."""
-    return routing.route(_docs(spark, d)).select("doc_id", F.array_join("experts", ",").alias("experts"))
+    return routing.route(_more(spark, d)).select("doc_id", F.array_join("experts", ",").alias("experts"))
 
 
-@query(f"""WITH {_f14_sql()}, r AS (SELECT doc_id, [{_ranked_sql(SCORES_14, routing.LAYER["base"])}[1].id] AS b, list_filter([{", ".join(f"CASE WHEN {SCORES_14[n]} >= 0.5 THEN '{n}' END" for n in [*routing.LAYER["analysis"], "consistency_verification_expert", "standard_alignment_expert", "knowledge_graph_expert"])}], lambda x: x IS NOT NULL) AS v FROM f)
+@query(f"""WITH {D_S}, {_f14_sql()}, r AS (SELECT doc_id, [{_ranked_sql(SCORES_14, routing.LAYER["base"])}[1].id] AS b, list_filter([{", ".join(f"CASE WHEN {SCORES_14[n]} >= 0.5 THEN '{n}' END" for n in [*routing.LAYER["analysis"], "consistency_verification_expert", "standard_alignment_expert", "knowledge_graph_expert"])}], lambda x: x IS NOT NULL) AS v FROM f)
 SELECT doc_id, array_to_string(list_concat(b, v)[1:3], ',') AS experts FROM r""")
 def route_appendix(spark, d):
     """E6."""
-    return routing.route(_docs(spark, d), "appendix").select("doc_id", F.array_join("experts", ",").alias("experts"))
+    return routing.route(_more(spark, d), "appendix").select("doc_id", F.array_join("experts", ",").alias("experts"))
 
 
-@query()
+_BOTH = f"p AS (SELECT doc_id, {sql_layered()} AS config, {sql_layered((0.6, 0.7, 0.8))} AS published FROM f), q AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN config ELSE published END AS stored FROM p)"
+
+
+def _stored(spark, d) -> DataFrame:
+    """Stored choices: those of one profile for a third of the documents, of another one for the rest."""
+    df = routing.with_features(_more(spark, d), routing.features_15(F.col("text")))
+    pick = F.when(F.col("doc_id") % 3 == 0, routing.by_layer(F.col("f"))).otherwise(routing.by_layer(F.col("f"), thresholds=routing.PROFILES["published"]))
+    return Scratch(spark, "routed").keep(df.select("doc_id", "text", pick.alias("experts")))
+
+
+@query(f"WITH {D_S}, {_f15_sql()}, {_BOTH} SELECT 'config' AS profile, avg(CAST(config = stored AS DOUBLE)) AS match_rate FROM q UNION ALL SELECT 'published', avg(CAST(published = stored AS DOUBLE)) FROM q")
 def profile_match_rate(spark, d):
-    """Which profile of thresholds repeats the stored choice."""
-    stored = Scratch(spark, "routed").keep(routing.route(_docs(spark, d)).select("text", "experts"))
-    return routing.best_profile(stored)
+    """Which profile of thresholds repeats the stored choice."""
+    return routing.best_profile(_stored(spark, d))
+
+
+@query(f"WITH {D_S}, {_f15_sql()}, {_BOTH} SELECT doc_id, stored = config AS same, array_to_string(list_filter(stored, lambda x: NOT list_contains(config, x)), ',') AS missing, array_to_string(list_filter(config, lambda x: NOT list_contains(stored, x)), ',') AS extra FROM q")
+def route_differences(spark, d):
+    """Recomputed against stored choices, differences both ways."""
+    out = routing.differences(_stored(spark, d), "doc_id")
+    return out.select("doc_id", "same", F.array_join("missing", ",").alias("missing"), F.array_join("extra", ",").alias("extra"))
 
 
 def accepted_chunks(spark, d) -> DataFrame:
-    docs = T.once(_docs(spark, d).select("doc_id", "text"), "text", T.sanitize(T.clean_text(F.col("text"))))
+    docs = T.once(_more(spark, d), "text", T.sanitize(T.clean_text(F.col("text"))))
     return chunking.chunk(docs.where(gates.gate_before(F.col("text")) == "OK"))
 
 
-@query()
+_ACCEPTED = f"{D_S}, c AS (SELECT doc_id, {sql_sanitize(sql_clean('text'))} AS text FROM d), k AS (SELECT doc_id, text FROM c WHERE {sql_gate('text')} = 'OK'), {sql_chunks('k')}"
+_NAMES = "CASE item " + " ".join(f"WHEN '{e[0]}' THEN '{e[2]}'" for e in V.EXPERTS) + " END"
+
+
+@query(f"""WITH {_ACCEPTED}, {_f15_sql('chunks')}, r AS (SELECT chunk_id, {sql_layered()} AS e FROM f)
+SELECT item, {_NAMES} AS name, count(*) AS n, count(*) / (SELECT count(*) FROM r) AS share FROM (SELECT unnest(e) AS item FROM r) GROUP BY item""")
 def expert_frequency(spark, d):
     """The flagship: clean, gate, chunk, route, count experts."""
     routed = routing.route(accepted_chunks(spark, d))
@@ -371,11 +460,18 @@ def quality_cumulative(spark, d):
     return stats.cumulative_quality(_records(spark, d), "quality", ["lang"])
 
 
-@query()
+_SUMMARY = "CASE WHEN len(i) = 0 THEN 'No relevant domain knowledge' ELSE 'Retrieved ' || len(i) || ' knowledge items:' || chr(10) || array_to_string(list_transform(i, lambda x: '  - ' || x.t || ': ' || left(x.c, 50) || '...' || chr(10)), '') END"
+
+
+@query(f"""WITH {D_S}, b AS (SELECT item_id, 'Entity: item ' || item_id || ' - ' || left(text, 40) AS c, list_filter({LATIN_ARRAY}, lambda k: contains(lower(text), k)) AS ks FROM benchmark),
+e AS (SELECT doc_id, text, list_filter({LATIN_ARRAY}, lambda k: contains(lower(text), k)) AS ks FROM d),
+h AS (SELECT doc_id, list({{'t': 'entity', 'c': c}} ORDER BY item_id)[1:5] AS own FROM e JOIN b ON list_has_any(e.ks, b.ks) GROUP BY doc_id),
+i AS (SELECT doc_id, list_concat(list_concat(coalesce(own, []), list_transform(ks[1:5], lambda k: {{'t': 'keyword', 'c': 'ESG keyword: ' || k || ' (dimension: word)'}})), CASE WHEN contains(lower(text), 'gri') OR contains(lower(text), '实质性') THEN [{{'t': 'standard', 'c': 'GRI: Global Reporting Initiative sustainability reporting standards'}}] ELSE [] END)[1:5] AS i FROM e LEFT JOIN h USING (doc_id))
+SELECT doc_id, CAST(len(i) AS INTEGER) AS n, array_to_string(list_transform(i, lambda x: x.t), ',') AS types, md5({_SUMMARY}) AS summary FROM i""")
 def knowledge_items(spark, d):
-    """Benchmark items as the knowledge base, a Latin vocabulary as the keywords."""
-    base = table(spark, d, "benchmark").select(F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), F.substring("text", 1, 40).alias("description"), "text")
-    found = knowledge.retrieve(_docs(spark, d), base, None, "doc_id", vocabulary={"word": V.LATIN_TOPICS})
+    """Benchmark items as the knowledge base, a Latin vocabulary as the keywords."""
+    base = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), F.substring("text", 1, 40).alias("description"), "text")
+    found = knowledge.retrieve(_more(spark, d), base, None, "doc_id", vocabulary={"word": V.LATIN_TOPICS}, order="item_id")
     return found.select("doc_id", F.size("knowledge").alias("n"), F.array_join("knowledge.type", ",").alias("types"), F.md5(knowledge.summary(F.col("knowledge"))).alias("summary"))
 
 
@@ -410,6 +506,7 @@ def relevance(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", metrics.relevance(F.col("response"), F.col("source"), QUALITY_WORDS).alias("relevance"))
 
 
+NUM = r"'[0-9]+\.?[0-9]*%?'"
 STRUCTURE_S = f"CASE WHEN length({STRIP('response')}) <= 20 THEN 0.0 ELSE least(1.0, length({STRIP('response')}) / 50.0) END"
 
 
@@ -419,9 +516,6 @@ def structure(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", metrics.structure(F.col("response")).alias("structure"), T.completeness(F.col("instruction"), F.col("response")).alias("completeness"))
 
 
-NUM = r"'[0-9]+\.?[0-9]*%?'"
-
-
 @query(f"""WITH {PAIRS_S}, n AS (SELECT *, regexp_extract_all(response, {NUM}) AS o, regexp_extract_all(source, {NUM}) AS s FROM p)
 SELECT conv_id, turn, CASE WHEN len(o) = 0 THEN 0.5::DOUBLE * {STRUCTURE_S} ELSE len(list_filter(o, lambda x: list_contains(s, x))) / len(o) END AS grounding FROM n""")
 def grounding(spark, d):
@@ -429,13 +523,44 @@ def grounding(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", metrics.grounding(F.col("response"), F.col("source")).alias("grounding"))
 
 
-@query()
+def sql_lcs(a: str, b: str) -> str:
+    """The length of the longest common subsequence of two lists, by the whole table, a row of it at a time."""
+    at = lambda x, i: f"CASE WHEN {i} > 0 THEN {x}[{i}] ELSE 0 END"
+    cell = f"list_append(acc, greatest({at('acc', 'j - 1')}, CASE WHEN {b}[j] = c THEN {at('line', 'j - 1')} + 1 ELSE line[j] END))"
+    line = f"list_reduce(range(1, len({b}) + 1), lambda acc, j: {cell}, CAST([] AS BIGINT[]))"
+    return f"coalesce(list_last(list_reduce({a}, lambda line, c: {line}, list_transform(range(0, len({b})), lambda k: CAST(0 AS BIGINT)))), 0)"
+
+
+def sql_f1(n: str, a: str, b: str) -> str:
+    return f"CASE WHEN {n} > 0 THEN 2 * ({n} / len({a})) * ({n} / len({b})) / ({n} / len({a}) + {n} / len({b})) ELSE 0.0::DOUBLE END"
+
+
+TOKENS_S = lambda x: f"list_filter(regexp_split_to_array(lower({x}), '[^a-z0-9]+'), lambda w: w <> '')"
+MIXED_S = lambda x: rf"regexp_extract_all(regexp_replace({x}, '[^\p{{L}}\p{{N}}]', '', 'g'), '[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+[^A-Za-z0-9\x{{4e00}}-\x{{9fff}}]?|.')"
+_GRAMS = lambda n: f"CASE WHEN len(c) >= {n} THEN len(list_distinct(list_transform(range(1, len(c) - {n} + 2), lambda i: c[i:i+{n}-1]))) / (len(c) - {n} + 1) ELSE 0.0::DOUBLE END"
+_QUALITY = sorted({w.lower() for w in V.QUALITY})
+COMPOSITE_S = f"""{PAIRS_S}, m AS (SELECT *, {MIXED_S("response")} AS c, {MIXED_S("source")} AS r, regexp_extract_all(response, {NUM}) AS o, regexp_extract_all(source, {NUM}) AS s,
+  {sql_hits("lower(source)", _QUALITY)} AS hs, {" + ".join(f"CAST(contains(lower(source), {quoted(w)}) AND contains(lower(response), {quoted(w)}) AS INTEGER)" for w in _QUALITY)} AS hb FROM p),
+l AS (SELECT *, {sql_lcs("c", "r")} AS lcs FROM m),
+k AS (SELECT conv_id, turn, {sql_f1("lcs", "c", "r")} AS fidelity, CASE WHEN hs = 0 THEN 1.0 ELSE hb / hs END AS relevance, CASE WHEN len(o) = 0 THEN 0.5::DOUBLE * {STRUCTURE_S} ELSE len(list_filter(o, lambda x: list_contains(s, x))) / len(o) END AS grounding,
+  CAST({STRUCTURE_S} AS DOUBLE) AS structure, ({_GRAMS(2)} + {_GRAMS(3)}) / 2.0::DOUBLE AS diversity, instruction, response FROM l),
+q AS (SELECT *, 0.25::DOUBLE * fidelity + 0.25::DOUBLE * relevance + 0.2::DOUBLE * grounding + 0.15::DOUBLE * structure + 0.15::DOUBLE * diversity AS quality FROM k)"""
+_PARTS = ("fidelity", "relevance", "grounding", "structure", "diversity", "quality")
+
+
+@query(f"WITH {COMPOSITE_S} SELECT conv_id, turn, {', '.join(f'round({c}, 9) AS {c}' for c in _PARTS)} FROM q")
 def composite_quality(spark, d):
     """Q2, Q3, Q7, F17."""
-    return metrics.composite(_pairs(spark, d)).select("conv_id", "turn", "fidelity", "relevance", "grounding", "structure", "diversity", "quality")
+    return metrics.composite(_pairs(spark, d)).select("conv_id", "turn", *(F.round(c, 9).alias(c) for c in _PARTS))
 
 
-@query()
+@query(f"WITH {COMPOSITE_S} SELECT conv_id, turn, round(quality, 9) AS quality FROM q WHERE quality >= 0.5")
+def release_filter(spark, d):
+    """P10."""
+    return metrics.filter_by_quality(_pairs(spark, d), 0.5).select("conv_id", "turn", F.round("quality", 9).alias("quality"))
+
+
+@query(f"WITH {PAIRS_S}, t AS (SELECT conv_id, turn, {TOKENS_S('response')} AS c, {TOKENS_S('source')} AS r FROM p), l AS (SELECT *, {sql_lcs('c', 'r')} AS n FROM t) SELECT conv_id, turn, {sql_f1('n', 'c', 'r')} AS rouge_l FROM l")
 def rouge_l(spark, d):
     """M1."""
     p = _pairs(spark, d).withColumn("c", T.ascii_tokens(F.col("response"))).withColumn("r", T.ascii_tokens(F.col("source")))
@@ -461,16 +586,43 @@ def bleu4_char(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.round(metrics.bleu4_chars("response", "source"), 9).alias("bleu4"))
 
 
-@query()
+def _word_bleu_sql() -> str:
+    parts = []
+    for n in range(1, 5):
+        grams = lambda c, n=n: f"list_transform(range(1, len({c}) - {n} + 2), lambda i: array_to_string({c}[i:i+{n}-1], ' '))"
+        parts.append(f"""g{n} AS (SELECT conv_id, turn, sum(least(a, coalesce(b, 0))) AS hit, sum(a) AS total FROM
+  (SELECT conv_id, turn, g, count(*) AS a FROM (SELECT conv_id, turn, unnest({grams("c")}) AS g FROM w) GROUP BY ALL) x
+  LEFT JOIN (SELECT conv_id, turn, g, count(*) AS b FROM (SELECT conv_id, turn, unnest({grams("r")}) AS g FROM w) GROUP BY ALL) y USING (conv_id, turn, g) GROUP BY ALL)""")
+    joins = " ".join(f"LEFT JOIN g{n} USING (conv_id, turn)" for n in range(1, 5))
+    logs = " + ".join(f"ln((CASE WHEN coalesce(g{n}.hit, 0) = 0 THEN 0.1::DOUBLE ELSE g{n}.hit END) / coalesce(g{n}.total, 1))" for n in range(1, 5))
+    split = lambda x: f"list_filter(regexp_split_to_array({x}, '{S}+'), lambda w: w <> '')"
+    return f"""WITH {PAIRS_S}, w AS (SELECT conv_id, turn, {split("response")} AS c, {split("source")} AS r FROM p), {", ".join(parts)}
+SELECT w.conv_id, w.turn, round(CASE WHEN len(c) = 0 OR len(r) = 0 OR coalesce(g1.hit, 0) = 0 THEN 0.0 ELSE least(1.0, exp(1 - len(r) / len(c))) * exp(({logs}) / 4) END, 9) AS bleu FROM w {joins}"""
+
+
+@query(_word_bleu_sql())
 def bleu_word(spark, d):
     """M2."""
-    return _pairs(spark, d).select("conv_id", "turn", metrics.bleu_words("response", "source").alias("bleu"))
+    return _pairs(spark, d).select("conv_id", "turn", F.round(metrics.bleu_words("response", "source"), 9).alias("bleu"))
 
 
-@query()
+def _corpus_bleu_sql() -> str:
+    parts = []
+    for n in range(1, 5):
+        grams = lambda c, n=n: f"list_transform(range(1, length({c}) - {n} + 2), lambda i: substring({c}, CAST(i AS BIGINT), {n}))"
+        parts.append(f"""g{n} AS (SELECT g, sum(hit) AS hit, sum(greatest(total, 1)) AS total FROM (SELECT conv_id, turn, sum(least(a, coalesce(b, 0))) AS hit, sum(a) AS total FROM
+  (SELECT conv_id, turn, s, count(*) AS a FROM (SELECT conv_id, turn, unnest({grams("response")}) AS s FROM p) GROUP BY ALL) x
+  LEFT JOIN (SELECT conv_id, turn, s, count(*) AS b FROM (SELECT conv_id, turn, unnest({grams("source")}) AS s FROM p) GROUP BY ALL) y USING (conv_id, turn, s) GROUP BY ALL) RIGHT JOIN z USING (conv_id, turn) GROUP BY g)""")
+    logs = " + ".join(f"ln((CASE WHEN coalesce(g{n}.hit, 0) = 0 THEN 0.1::DOUBLE ELSE g{n}.hit END) / g{n}.total)" for n in range(1, 5))
+    joins = " ".join(f"JOIN g{n} USING (g)" for n in range(1, 5))
+    return f"""WITH {PAIRS_S}, z AS (SELECT conv_id, turn, conv_id % 4 AS g, length(response) AS c, length(source) AS r FROM p), {", ".join(parts)}, t AS (SELECT g, sum(c) AS c, sum(r) AS r FROM z GROUP BY g)
+SELECT CAST(g AS BIGINT) AS g, round(CASE WHEN c = 0 OR g1.hit = 0 THEN 0.0 ELSE (CASE WHEN c > r THEN 1.0::DOUBLE ELSE exp(1 - r / c) END) * exp(({logs}) / 4) END, 9) AS bleu4 FROM t {joins}"""
+
+
+@query(_corpus_bleu_sql())
 def corpus_bleu4(spark, d):
     """M4."""
-    return metrics.corpus_bleu4(_pairs(spark, d).withColumn("g", F.pmod("conv_id", F.lit(4))), "response", "source", ["g"])
+    return metrics.corpus_bleu4(_pairs(spark, d).withColumn("g", F.pmod("conv_id", F.lit(4))), "response", "source", ["g"]).select("g", F.round("bleu4", 9).alias("bleu4"))
 
 
 @query("""SELECT lang, count(DISTINCT g) / count(*) AS distinct_2 FROM (SELECT lang, unnest(list_transform(range(1, length(text)), lambda i: substring(text, CAST(i AS BIGINT), 2))) AS g FROM documents) GROUP BY lang""")
@@ -498,16 +650,15 @@ def factcheck(spark, d):
 
 @query()
 def dataset_eval_by_label(spark, d):
-    """A13, S10."""
+    """A13."""
     return metrics.evaluate(_pairs(spark, d).withColumn("label", F.concat(F.lit("set"), F.pmod("conv_id", F.lit(3)).cast("string"))), ["label"])
 
 
-@query("SELECT source, count(*) AS documents, CAST(sum(c) AS BIGINT) AS chunks FROM (SELECT source, CAST(floor(length(text) / 1000) AS BIGINT) AS c FROM documents) GROUP BY ROLLUP (source)")
+@query(f"WITH {sql_chunks('documents')}, n AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id) SELECT source, count(*) AS documents, CAST(coalesce(sum(c), 0) AS BIGINT) AS chunks FROM documents LEFT JOIN n USING (doc_id) GROUP BY ROLLUP (source)")
 def corpus_stats_rollup(spark, d):
     """A1."""
     docs = _docs(spark, d)
-    parts = docs.select("doc_id", F.explode(F.when(F.length("text") >= 1000, F.sequence(F.lit(1), F.floor(F.length("text") / 1000).cast("int")))).alias("i"))
-    return stats.corpus_stats(docs, parts, "source").select("source", "documents", F.col("chunks").cast("long").alias("chunks"))
+    return stats.corpus_stats(docs, chunking.chunk(docs).select("doc_id"), "source").select("source", "documents", F.col("chunks").cast("long").alias("chunks"))
 
 
 @query("SELECT source, year, count(*) AS n FROM (SELECT source, unnest(list_distinct(list_transform(regexp_extract_all(name, '20[12][0-9]'), lambda y: CAST(y AS INTEGER)))) AS year FROM (SELECT o_orderpriority AS source, 'doc_' || strftime(o_orderdate, '%Y_%m') || '_' || (2010 + o_orderkey % 20) AS name FROM orders)) WHERE year BETWEEN 2015 AND 2026 GROUP BY ALL")
@@ -636,24 +787,38 @@ def paired_scores(spark, d):
     return stats.paired(_scores(spark, d), "sample", "model", "metric", "value", "A", "R").select("metric", "sample", F.round("va", 9).alias("va"), F.round("vb", 9).alias("vb"))
 
 
-@query()
+#: The two-sided p of a normal deviate, by Simpson's rule over its density.
+_P = "least(1.0, 1 - 2 * list_sum(list_transform(range(0, 2001), lambda k: (CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-power(abs(z) * k / 2000, 2) / 2))) * abs(z) / 2000 / 3 / sqrt(2 * pi()))"
+
+
+@query(f"""WITH {SCORES_S}, x AS (SELECT metric, va, vb, va - vb AS d, abs(va - vb) AS m FROM q), e AS (SELECT metric, m, count(*) AS c, count(*) FILTER (WHERE d > 0) AS up FROM x WHERE d <> 0 GROUP BY metric, m),
+r AS (SELECT *, sum(c) OVER (PARTITION BY metric ORDER BY m ROWS UNBOUNDED PRECEDING) - (c - 1) / 2 AS rank FROM e), s AS (SELECT metric, sum(rank * up) AS w, CAST(sum(c) AS DOUBLE) AS n, CAST(sum(c * c * c - c) AS DOUBLE) AS ties FROM r GROUP BY metric),
+v AS (SELECT metric, w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS z FROM s), a AS (SELECT metric, avg(va) AS mean_a, avg(vb) AS mean_b FROM x GROUP BY metric)
+SELECT metric, round(mean_a, 9) AS mean_a, round(mean_b, 9) AS mean_b, round(mean_a - mean_b, 9) AS diff, w AS w_plus, round(z, 6) AS z, round({_P}, 6) AS p, {_P} < 0.05 AS significant FROM v JOIN a USING (metric)""")
 def wilcoxon_pairs(spark, d):
     """V3, V4."""
-    return stats.wilcoxon(stats.paired(_scores(spark, d), "sample", "model", "metric", "value", "A", "R"), "metric")
+    out = stats.wilcoxon(stats.paired(_scores(spark, d), "sample", "model", "metric", "value", "A", "R"), "metric")
+    return out.select("metric", *(F.round(c, 9).alias(c) for c in ("mean_a", "mean_b", "diff")), "w_plus", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"), "significant")
 
 
 @query()
 def bootstrap_ci(spark, d):
-    """V1, V2."""
+    """V1: seen against the normal interval in the tests, since draws are random."""
     p = stats.paired(_scores(spark, d), "sample", "model", "metric", "value", "A", "R")
-    return stats.bootstrap_ci(p.select("metric", "sample", (F.col("va") - F.col("vb")).alias("diff")), "metric", "diff", draws=200)
+    return stats.bootstrap_ci(p.select("metric", "sample", (F.col("va") - F.col("vb")).alias("diff")), "metric", "diff", "sample", draws=200)
+
+
+@query()
+def paired_bootstrap(spark, d):
+    """V2."""
+    return stats.paired_bootstrap(stats.paired(_scores(spark, d), "sample", "model", "metric", "value", "A", "R"), "metric", "sample", draws=200)
 
 
 @query("""WITH g AS (SELECT o_orderpriority AS c, count(*) AS n, avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders GROUP BY ALL), b AS (SELECT n AS bn, m AS bm, s AS bs FROM g WHERE c = '1-URGENT')
 SELECT c AS o_orderpriority, n, round(m, 4) AS mean, round(s, 4) AS sd, round(m - 1.96 * s / sqrt(n), 4) AS low, round(m + 1.96 * s / sqrt(n), 4) AS high, CASE WHEN c <> '1-URGENT' THEN round((m - bm) / sqrt(s * s / n + bs * bs / bn), 6) END AS t,
   CASE WHEN c <> '1-URGENT' THEN round((s*s/n + bs*bs/bn) * (s*s/n + bs*bs/bn) / ((s*s/n) * (s*s/n) / (n - 1) + (bs*bs/bn) * (bs*bs/bn) / (bn - 1)), 4) END AS df FROM g, b""")
 def welch_vs_baseline(spark, d):
-    """V5, A18."""
+    """V5."""
     w = stats.welch(table(spark, d, "orders"), "o_orderpriority", "o_totalprice", "1-URGENT")
     return w.select("o_orderpriority", "n", *(F.round(c, 4).alias(c) for c in ("mean", "sd", "low", "high")), F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 

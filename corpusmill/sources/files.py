@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -21,14 +22,15 @@ CHARSETS = ("utf-8", "gbk", "gb2312", "gb18030", "big5", "latin1")
 
 
 def list_files(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("pdf", "docx", "txt")) -> DataFrame:
-    """(path, doc_id, suffix, content) of the files of these kinds under root."""
+    """(path, doc_id, suffix, content) of the files of these kinds under root, by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(root)
     relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    return files.select("path", T.doc_id(relative).alias("doc_id"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("suffix"), "content")
+    return files.select("path", T.doc_id(relative).alias("doc_id"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("suffix"), "content").orderBy("path")
 
 
 def decoded_text(content: bytes | None, chinese: bool = True) -> str:
-    """The text of bytes in an unknown character set: the first decoding that scores above 0.8, else the best."""
+    """The text of bytes in an unknown character set: the first decoding that scores above 0.8, else the best. chinese:
+    CJK characters are expected and make two fifths of the score."""
     best = (0.0, "")
     for charset in CHARSETS:
         text = (content or b"").decode(charset, "replace")
@@ -38,7 +40,7 @@ def decoded_text(content: bytes | None, chinese: bool = True) -> str:
         cjk = len(re.findall(r"[一-龥]", text))
         plain = cjk + len(re.findall(r"[a-zA-Z0-9\s，。！？、；：\"'（）【】《》·—,.!?;:()\[\]<>/\\\-]", text))
         valid = plain / n
-        score = valid * 0.6 + cjk / n * 0.4 if chinese and cjk else valid
+        score = valid * 0.6 + cjk / n * 0.4 if chinese else valid
         score *= 0.3 if text.count("�") / n > 0.10 else 1.0
         score *= 0.5 if len(re.findall(r"[\ue000-\uf8ff]", text)) / n > 0.05 else 1.0
         score *= 0.2 if valid < 0.3 else 1.0
@@ -133,3 +135,94 @@ def tolerant(raw: Column) -> Column:
         F.coalesce(F.get_json_object(raw, "$.metadata.quality_score").try_cast("double"), F.get_json_object(raw, "$.quality_score").try_cast("double")).alias("quality_score"),
         lists.alias("experts"),
     )
+
+
+@dataclass(frozen=True)
+class Config:
+    """Settings of a run, from a YAML file of nested mappings of plain values."""
+
+    raw: str = "data/raw"
+    processed: str = "data/processed"
+    chunk_size: int = 512
+    chunk_overlap: int = 50
+    chunk_least: int = 100
+    experts_least: int = 1
+    experts_most: int = 3
+    thresholds: tuple[float, float, float] = (0.3, 0.3, 0.5)
+
+
+#: Where a file keeps each setting.
+PLACES = {"raw": "data.raw_corpus_path", "processed": "data.processed_corpus_path", "chunk_size": "data.chunk_size", "chunk_overlap": "data.chunk_overlap", "chunk_least": "data.min_chunk_length", "experts_least": "coe.min_experts", "experts_most": "coe.max_experts"}
+LEVELS = tuple(f"coe.layered_selection.{x}_layer_threshold" for x in ("analysis", "verification", "graph"))
+
+
+def plain_yaml(text: str) -> dict:
+    """Nested mappings, lists of plain values, and plain values of a YAML text; comments go. What else YAML can say is
+    an error."""
+
+    def value(x: str):
+        x = x.strip()
+        if x.startswith("[") and x.endswith("]"):
+            return [value(v) for v in x[1:-1].split(",") if v.strip()]
+        if len(x) > 1 and x[0] == x[-1] and x[0] in "\"'":
+            return x[1:-1]
+        if x.lower() in ("true", "false", "null", "~", ""):
+            return {"true": True, "false": False}.get(x.lower())
+        for kind in (int, float):
+            try:
+                return kind(x)
+            except ValueError:
+                continue
+        return x
+
+    root: dict = {}
+    open_: list[tuple[int, dict]] = [(-1, root)]
+    last: tuple[dict, str] | None = None
+    for number, line in enumerate(text.split("\n"), 1):
+        bare = re.sub(r"(^|\s)#.*$", "", line).rstrip()
+        if not bare.strip():
+            continue
+        depth, x = len(bare) - len(bare.lstrip()), bare.strip()
+        if x.startswith("- "):
+            if last is None or not isinstance(last[0][last[1]], list | None):
+                raise ValueError(f"line {number} isn't understood: {line}")
+            last[0][last[1]] = [*(last[0][last[1]] or []), value(x[2:])]
+            continue
+        name, colon, rest = x.partition(":")
+        if not colon or (rest and not rest.startswith(" ")):
+            raise ValueError(f"line {number} isn't understood: {line}")
+        while depth <= open_[-1][0]:
+            open_.pop()
+        at, name = open_[-1][1], value(name)
+        at[name] = value(rest)
+        last = (at, name)
+        if not rest.strip():
+            open_.append((depth, _Later(at, name)))
+    return root
+
+
+class _Later(dict):
+    """A mapping that takes its place in another one when it gets its first entry."""
+
+    def __init__(self, outer: dict, name):
+        super().__init__()
+        self.outer, self.name = outer, name
+
+    def __setitem__(self, key, value):
+        super().__setitem__(key, value)
+        self.outer[self.name] = self
+
+
+def load_config(text: str) -> Config:
+    """The settings that a YAML text states; others keep their defaults."""
+    found = plain_yaml(text)
+
+    def at(place: str):
+        here = found
+        for part in place.split("."):
+            here = here.get(part) if isinstance(here, dict) else None
+        return here
+
+    stated = {name: v for name, place in PLACES.items() if (v := at(place)) is not None}
+    levels = tuple(at(place) for place in LEVELS)
+    return Config(**stated, **({"thresholds": tuple(map(float, levels))} if None not in levels else {}))

@@ -31,6 +31,19 @@ def write_csv(df: DataFrame, path: str, separator: str = "|") -> None:
     df.select(*flat).write.option("header", True).option("nullValue", "").csv(path)
 
 
+def union_of_keys(records: DataFrame, key: str, value: str, by: list[str], names: list[str] | None = None) -> DataFrame:
+    """A wide table of long metric rows (by ..., key, value): a column for every key that any row has, sorted, null where
+    a row of `by` lacks it. Without names one job asks for the keys, of which there are as many as metrics."""
+    names = sorted(r[0] for r in records.select(key).distinct().collect()) if names is None else names
+    return records.groupBy(*by).pivot(key, names).agg(F.first(value))
+
+
+def write_metrics(wide: DataFrame, path: str) -> None:
+    """A metric table as JSON lines and as CSV, side by side."""
+    write_jsonl(wide, f"{path}/json")
+    write_csv(wide, f"{path}/csv")
+
+
 def latex_table(wide: list[dict], label: str, metrics: list[str], digits: int = 4) -> str:
     """A table of a few rows, the best of each column in bold."""
     best = {m: max((r[m] for r in wide if r.get(m) is not None), default=None) for m in metrics}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators import dedup
 from ..operators.gates import quality_check
 
 
@@ -53,3 +54,29 @@ def with_failure_log(stream: DataFrame, good: str, bad: str, checkpoint: str, fa
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def near_distinct(stream: DataFrame, good: str, state: str, checkpoint: str, key: str, text: str = "text", near: int = dedup.NEAR, latest: int | None = None) -> StreamingQuery:
+    """Near-duplicate removal over a stream: a row goes if its signature is near one that an earlier batch kept, or that
+    its own batch keeps in key order. Kept signatures are the state, a table that grows by one part a batch; a batch
+    that runs again sees the parts before its own only and replaces what it wrote. latest: only so many of the newest
+    kept signatures count, by batch and key."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        scratch = dedup.Scratch(spark, "near")
+        signed = scratch.keep(batch.withColumn("signature", dedup.simhash(F.col(text))), "signed")
+        there = spark._jvm.org.apache.hadoop.fs.Path(state)
+        kept = signed
+        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            old = spark.read.schema(f"{key} {signed.schema[key].dataType.simpleString()}, signature long, batch long").parquet(state).where(F.col("batch") < number)
+            old = old.orderBy(F.desc("batch"), F.desc(key)).limit(latest) if latest else old
+            kept = scratch.keep(kept.join(dedup.near_any(signed.select(key, "signature"), old, key, near), key, "left_anti"), "new")
+        heads = kept.where("signature is not null").groupBy("signature").agg(F.min(key).alias(key))
+        chosen = scratch.keep(dedup.greedy(heads, dedup.near_edges(heads, key, near), key).where("kept").select(key), "chosen")
+        out = kept.where("signature is null").unionByName(kept.join(chosen, key, "left_semi"))
+        out.drop("signature").write.mode("overwrite").parquet(f"{good}/batch={number}")
+        signed.select(key, "signature").join(chosen, key, "left_semi").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        scratch.clear()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
