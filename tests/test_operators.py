@@ -144,7 +144,7 @@ def test_columns_and_functions_read_replies_alike(spark):
 
 def test_marks(spark):
     said = ["指令：总结以下内容\n回答：这是一个足够长的答复内容", "指令：短\n回答：x", "1. 指令: 分析全文内容\n2. 回答: 第一部分内容足够长的一句话", "no marks in this reply", "回答\n前面没有标记的内容也要够长才行", None]
-    want = [("总结以下内容", "这是一个足够长的答复内容"), ("Analyze the following ESG-related content", said[1]), ("分析全文内容", "第一部分内容足够长的一句话"), ("Analyze the following ESG-related content", said[3]), ("Analyze the following ESG-related content", "前面没有标记的内容也要够长才行"), ("Analyze the following ESG-related content", "")]
+    want = [("总结以下内容", "这是一个足够长的答复内容"), ("Analyze the following ESG-related content", said[1]), ("分析全文内容 2.", "第一部分内容足够长的一句话"), ("Analyze the following ESG-related content", said[3]), ("Analyze the following ESG-related content", "前面没有标记的内容也要够长才行"), ("Analyze the following ESG-related content", "")]
     df = spark.createDataFrame(list(enumerate(said)), "i int, r string")
     assert [tuple(r.p) for r in df.select("i", replies.read_marks(F.col("r")).alias("p")).orderBy("i").collect()] == want
 
