@@ -84,6 +84,8 @@ RULES = (
 )
 #: Counts only where no other rule found anything: rights are reserved in open licences too.
 ALONE = "proprietary"
+#: The name of a column that is held for a while.
+SEQ = "__licence_seq"
 #: Every known sentence holds one of these; a text without them has no licence sentence.
 HINT = r"(?i)licen[sc]e|copyright|permission|redistribut|public domain|all rights|provided|gpl|cc by|cc0|creative commons|endorse|bsd|any later version"
 
@@ -171,17 +173,17 @@ def scan(docs: DataFrame) -> DataFrame:
     lines = F.filter(_sentences(hint), lambda x: x.rlike(HINT))
     ids = F.filter(F.flatten(F.transform(lines, _identifiers)), lambda x: x.isNotNull())
     out = docs.withColumn("sentence_ids", F.coalesce(ids, F.array().cast("array<string>")))
-    out = out.withColumn("_seq", F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
+    out = out.withColumn(SEQ, F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     found = F.array().cast("array<string>")
     for k, (name, rule) in enumerate(RULES):
         alone = F.size(found) == 0 if name == ALONE else F.lit(True)
         # what a rule takes leaves a bar, so that its neighbours don't become neighbours of each other
         rule = rule.replace("~", NOISE)
-        out = out.withColumn(f"_n{k}", F.col("_seq").rlike(rule) & alone).withColumn("_seq", F.regexp_replace("_seq", rule, "|"))
-        found = F.concat(found, F.when(F.col(f"_n{k}"), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+        out = out.withColumn(f"{SEQ}_{k}", F.col(SEQ).rlike(rule) & alone).withColumn(SEQ, F.regexp_replace(SEQ, rule, "|"))
+        found = F.concat(found, F.when(F.col(f"{SEQ}_{k}"), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("licenses", F.array_distinct(found))
-    out = out.withColumn("unmatched", F.filter(F.split("_seq", "[<>|]+"), lambda x: x != ""))
-    return out.drop("_seq", *(f"_n{k}" for k in range(len(RULES))))
+    out = out.withColumn("unmatched", F.filter(F.split(SEQ, "[<>|]+"), lambda x: x != ""))
+    return out.drop(SEQ, *(f"{SEQ}_{k}" for k in range(len(RULES))))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
