@@ -16,6 +16,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..functions import text as T
 from ..functions import vocab as V
 from ..session import Scratch
+from .groups import with_groups
 
 NEAR, EXEMPT = 3, 20
 #: Edges to undecided nodes that are scanned on the driver at once.
@@ -83,7 +84,7 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     """(key, kept): the least key of equal texts; texts shorter than `least` are exempt."""
     same = F.when(F.length(T.filled(F.col(text))) >= least, F.md5(T.filled(F.col(text)))).otherwise(F.concat(F.lit("#"), F.col(key).cast("string")))
     own = docs.select(key, same.alias("same"))
-    return own.join(own.groupBy("same").agg(F.min(key).alias("kept")), "same").select(key, "kept")
+    return with_groups(own, ["same"], key, F.min(key).alias("kept")).select(key, "kept")
 
 
 def _masks(near: int) -> list[int]:
@@ -111,7 +112,7 @@ def near_edges(signed: DataFrame, key: str = "doc_id", near: int = NEAR) -> Data
     """
     signed = signed.where("signature is not null").select(key, "signature")
     groups = signed.groupBy("signature").agg(F.min(key).alias("head"))
-    star = signed.join(groups, "signature").where(F.col(key) != F.col("head")).select(F.col("head").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
+    star = with_groups(signed, ["signature"], key, F.min(key).alias("head")).where(F.col(key) != F.col("head")).select(F.col("head").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
     banded = _banded(groups, near, "head")
     left, right = banded.select("i", "band", F.col("head").alias("a"), F.col("signature").alias("s")), banded.select("i", "band", F.col("head").alias("b"), F.col("signature").alias("t"))
     pairs = left.join(right, ["i", "band"]).where("a < b").select("a", "b", F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).where(F.col("distance") <= near).distinct()
