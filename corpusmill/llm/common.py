@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.groups import PARTS, with_groups
 from ..session import Scratch, ship, table
 
-__all__ = ["SPACE", "Scratch", "partitions", "ship", "table", "text_of", "with_groups"]
+__all__ = ["PARTS", "SPACE", "Scratch", "partitions", "ship", "table", "text_of", "with_groups"]
 
 #: ASCII white space, as the character class that every word operator splits on.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,25 +20,3 @@ def text_of(name: str = "text"):
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-#: Parts that the rows of a group are spread over where group figures are joined to them (bits of a long).
-PARTS = 63
-
-
-def with_groups(rows: DataFrame, by: list[str], spread: str, *figures: Column, where: str | None = None, over: DataFrame | None = None) -> DataFrame:
-    """rows with the figures of their group (nulls group by themselves and drop out); groups outside `where` go. The
-    figures are worked out over the rows themselves, or over others that have the columns `by` and `spread` too.
-
-    A group's rows don't come together in one task: figures are combined before the shuffle, and the join is on the
-    group and a part that hashes the column `spread`. Which parts a group has is one of its figures, a bit mask.
-    """
-    part = F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")
-    rows, over = rows.withColumn("_part", part), (rows if over is None else over).withColumn("_part", part)
-    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_part"))).alias("_mask")
-    groups = over.groupBy(*by).agg(*figures, mask)
-    groups = groups.where(where) if where else groups
-    has = lambda i: F.call_function("shiftright", F.col("_mask"), i).bitwiseAND(F.lit(1)) == 1
-    parts = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), has)
-    groups = groups.withColumn("_part", F.explode(parts)).drop("_mask")
-    return rows.join(groups, [*by, "_part"]).drop("_part")
