@@ -174,10 +174,11 @@ RUBRIC, AGAIN = {"correctness": 0.4, "completeness": 0.3, "relevance": 0.2, "str
 
 
 def rubric(scores: DataFrame, threshold: float = AGAIN) -> DataFrame:
-    """scores (correctness, completeness, relevance, structure, each 0 to 1) with `overall`, their weighted sum, and
+    """scores (correctness, completeness, relevance, structure, each 0 to 1) with `overall`, their weighted sum (to nine
+    places, so that sums that are equal tie), and
     `feedback`, whether it is below the threshold. A missing score leaves both null."""
     overall = sum((F.col(k) * w for k, w in RUBRIC.items()), F.lit(0.0))
-    return scores.withColumn("overall", overall).withColumn("feedback", F.col("overall") < threshold)
+    return scores.withColumn("overall", F.round(overall, 9)).withColumn("feedback", F.col("overall") < threshold)
 
 
 def best_round(rounds: DataFrame, key: str, number: str = "round", most: int = 2, threshold: float = AGAIN) -> DataFrame:

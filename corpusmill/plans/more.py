@@ -232,7 +232,7 @@ def best_rounds(spark, d):
     """The reviewer's rubric and the best of several rounds."""
     part = lambda c: (F.pmod(F.col(c), F.lit(11)) / 10.0)
     li = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("int").alias("round"), part("l_orderkey").alias("correctness"), part("l_partkey").alias("completeness"), part("l_suppkey").alias("relevance"), part("l_linenumber").alias("structure"))
-    return metrics.best_round(li, "l_orderkey", threshold=0.6 - 1e-9).select("l_orderkey", "round", F.round("overall", 9).alias("overall"))
+    return metrics.best_round(li, "l_orderkey", threshold=0.6).select("l_orderkey", "round", F.round("overall", 9).alias("overall"))
 
 
 @query(f"WITH {PAIRS_S} SELECT conv_id, turn, CAST(NULL AS DOUBLE) AS bertscore, CAST(NULL AS DOUBLE) AS bleurt FROM p")

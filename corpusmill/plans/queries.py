@@ -421,10 +421,11 @@ def expert_frequency(spark, d):
     return stats.frequency(routed, "experts", "chunk_id").select("item", F.element_at(names, F.col("item")).alias("name"), "n", "share")
 
 
-@query(f"WITH {RECORDS_S} SELECT item, count(*) AS uses, avg(quality) AS avg_quality, avg(CAST(quality >= 0.7 AS DOUBLE)) AS pass_rate FROM (SELECT unnest(experts) AS item, quality FROM r) GROUP BY item")
+@query(f"WITH {RECORDS_S} SELECT item, count(*) AS uses, round(avg(quality), 9) AS avg_quality, round(avg(CAST(quality >= 0.7 AS DOUBLE)), 9) AS pass_rate FROM (SELECT unnest(experts) AS item, quality FROM r) GROUP BY item")
 def expert_quality(spark, d):
     """A5."""
-    return stats.quality_by(_records(spark, d), "experts", "quality")
+    q = stats.quality_by(_records(spark, d), "experts", "quality")
+    return q.select("item", "uses", F.round("avg_quality", 9).alias("avg_quality"), F.round("pass_rate", 9).alias("pass_rate"))
 
 
 @query(f"""WITH {RECORDS_S}, l AS (SELECT * FROM r WHERE quality < 0.5)
@@ -440,11 +441,12 @@ def topics_top(spark, d):
     return stats.frequency(_records(spark, d), "experts", "doc_id", 30).select("item", "n", "share")
 
 
-@query(f"""WITH {RECORDS_S} SELECT count(*) AS n, avg(CAST(len(experts) > 1 AS DOUBLE)) AS multi_expert_ratio, avg(quality) AS avg_quality, stddev_pop(quality) AS std_quality, avg(length(instruction)) AS avg_instruction, avg(length(output)) AS avg_output,
+@query(f"""WITH {RECORDS_S} SELECT count(*) AS n, round(avg(CAST(len(experts) > 1 AS DOUBLE)), 9) AS multi_expert_ratio, round(avg(quality), 9) AS avg_quality, round(stddev_pop(quality), 9) AS std_quality, round(avg(length(instruction)), 9) AS avg_instruction, round(avg(length(output)), 9) AS avg_output,
   (SELECT count(DISTINCT e) FROM (SELECT unnest(experts) AS e FROM r)) AS expert_types FROM r""")
 def qa_stats(spark, d):
     """A2, A16."""
-    return stats.qa_stats(_records(spark, d))
+    q = stats.qa_stats(_records(spark, d))
+    return q.select("n", *(F.round(c, 9).alias(c) for c in q.columns if c not in ("n", "expert_types")), "expert_types")
 
 
 @query(f"""WITH {RECORDS_S}, b AS (SELECT CASE WHEN quality < 0.5 THEN 0 WHEN quality < 0.6 THEN 1 WHEN quality < 0.7 THEN 2 WHEN quality < 0.8 THEN 3 WHEN quality < 0.9 THEN 4 WHEN quality < 0.95 THEN 5 ELSE 6 END AS bin FROM r)
@@ -771,13 +773,13 @@ SCORES = "SELECT l_returnflag AS model, 'tax' AS metric, l_orderkey * 10 + l_lin
 def _scores(spark, d) -> DataFrame:
     """Two models' scores of orders on two metrics: the mean tax and discount of lines of two flags."""
     li = table(spark, d, "lineitem").where("l_returnflag in ('A', 'R')")
-    g = li.groupBy("l_orderkey", "l_returnflag").agg(F.avg("l_tax").alias("tax"), F.avg("l_discount").alias("discount"))
+    g = li.groupBy("l_orderkey", "l_returnflag").agg(F.round(F.avg("l_tax"), 9).alias("tax"), F.round(F.avg("l_discount"), 9).alias("discount"))
     long = g.unpivot(["l_orderkey", "l_returnflag"], ["tax", "discount"], "metric", "value")
     both = long.groupBy("l_orderkey", "metric").agg(F.count("*").alias("c")).where("c = 2").select("l_orderkey", "metric")
     return long.join(both, ["l_orderkey", "metric"]).select(F.col("l_orderkey").alias("sample"), F.col("l_returnflag").alias("model"), "metric", "value")
 
 
-SCORES_S = """g AS (SELECT l_orderkey AS sample, l_returnflag AS model, avg(l_tax) AS tax, avg(l_discount) AS discount FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
+SCORES_S = """g AS (SELECT l_orderkey AS sample, l_returnflag AS model, round(avg(l_tax), 9) AS tax, round(avg(l_discount), 9) AS discount FROM lineitem WHERE l_returnflag IN ('A', 'R') GROUP BY ALL),
 q AS (SELECT a.sample, m.metric, CASE m.metric WHEN 'tax' THEN a.tax ELSE a.discount END AS va, CASE m.metric WHEN 'tax' THEN b.tax ELSE b.discount END AS vb FROM g a JOIN g b USING (sample), (VALUES ('tax'), ('discount')) m(metric) WHERE a.model = 'A' AND b.model = 'R')"""
 
 
