@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import dedup, gates, generation, metrics, replies, sampling, stats
-from ..session import table
+from ..session import Scratch, table
 from ..sources import files, sinks
 from .queries import QUERIES, SQL, CNT, D_S, MD5, PAIRS_S, PUNCT_S, RECORDS_S, STRIP, _chunks, _docs, _more, _pairs, _records, accepted_chunks, query, quoted, sql_chunks
 
@@ -295,3 +295,31 @@ def ablation_grid(spark, d):
     return out.groupBy("dimension", "condition").agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("quality"))
 
 
+
+
+@query(f"WITH {PAIRS_S} SELECT 'set' || (conv_id % 3) AS label, count(*) AS n, CAST(sum(length(response)) AS BIGINT) AS chars FROM p GROUP BY 1")
+def labelled_files(spark, d):
+    """Result files written by label, and read again with the label from their path."""
+    at = Scratch(spark, "labelled").at
+    _pairs(spark, d).withColumn("label", F.concat(F.lit("set"), (F.col("conv_id") % 3).cast("string"))).select("label", "instruction", "response").write.partitionBy("label").json(at)
+    rows = files.labelled(spark, f"{at}/*/*.json", "label=([^/]+)/", "instruction string, response string")
+    return rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("response")).cast("long").alias("chars"))
+
+
+@query("SELECT count(*) FILTER (WHERE doc_id % 7 <> 0) AS good, count(*) FILTER (WHERE doc_id % 7 = 0) AS bad, CAST(sum(length(text)) FILTER (WHERE doc_id % 7 <> 0) AS BIGINT) AS chars FROM documents")
+def lines_with_bad_ones(spark, d):
+    """JSON lines of which every seventh is cut off."""
+    at = Scratch(spark, "lines").at
+    line = F.to_json(F.struct("doc_id", "text"))
+    _docs(spark, d).select(F.when(F.col("doc_id") % 7 == 0, F.substring(line, 1, 12)).otherwise(line).alias("value")).write.text(at)
+    good, bad = files.read_jsonl(spark, at, "doc_id long, text string")
+    return good.agg(F.count("*").alias("good"), F.sum(F.length("text")).cast("long").alias("chars")).crossJoin(bad.agg(F.count("*").alias("bad"))).select("good", "bad", "chars")  # one row each
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def appended_rows(spark, d):
+    """K3: two appends, of which the second brings what the first did not."""
+    at, rows = Scratch(spark, "appended").at, _docs(spark, d).select("doc_id", "lang", "source")
+    sinks.append_new(rows.where("doc_id % 2 = 0"), at, "doc_id")
+    sinks.append_new(rows.where("doc_id % 2 = 0 or doc_id % 3 = 0"), at, "doc_id")
+    return spark.read.parquet(at)
