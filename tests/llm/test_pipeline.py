@@ -34,6 +34,8 @@ def test_run(spark, tmp_path):
     assert kept["decontamination"] == kept["personal_data"] == kept["packing"] == clean - {301}
     texts = {r.doc_id: r for r in spark.read.parquet(f"{tmp_path}/stage-personal_data").collect()}
     assert texts[302].text.endswith("[EMAIL]") and texts[302].n_chars == len(texts[302].text)
+    key = lambda r: (r.doc_id, r.piece)
+    assert sorted((key(r), r.length, r.ids_crc32) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((key(r), r.length, r.ids_crc32) for r in docs.collect())
     encode = tokens.encoder(tokens.default_vocabulary())
     assert sum(r.length for r in docs.collect()) == sum(len(encode(t.text or "")) + 1 for t in texts.values())
 
