@@ -569,7 +569,8 @@ def rouge_l(spark, d):
     return p.select("conv_id", "turn", metrics.rouge_l("c", "r").alias("rouge_l"))
 
 
-def _bleu_sql() -> str:
+def _bleu_parts() -> tuple[str, str, str]:
+    """CTEs of n-gram hits and totals over p, their joins, and the character BLEU-4 of a row."""
     parts = []
     for n in range(1, 5):
         grams = lambda c, n=n: f"list_transform(range(1, length({c}) - {n} + 2), lambda i: substring({c}, CAST(i AS BIGINT), {n}))"
@@ -579,7 +580,12 @@ def _bleu_sql() -> str:
     joins = " ".join(f"LEFT JOIN g{n} USING (conv_id, turn)" for n in range(1, 5))
     product = " * ".join(f"(g{n}.hit / g{n}.total)" for n in range(1, 5))
     zero = " OR ".join(f"g{n}.hit = 0" for n in range(1, 5))
-    return f"""WITH {PAIRS_S}, {", ".join(parts)} SELECT p.conv_id, p.turn, round(CASE WHEN length(response) < 4 OR length(source) < 4 OR {zero} THEN 0.0 ELSE least(1.0, exp(1 - length(source) / length(response))) * ({product}) ** 0.25 END, 9) AS bleu4 FROM p {joins}"""
+    return ", ".join(parts), joins, f"CASE WHEN length(response) < 4 OR length(source) < 4 OR {zero} THEN 0.0 ELSE least(1.0, exp(1 - length(source) / length(response))) * ({product}) ** 0.25 END"
+
+
+def _bleu_sql() -> str:
+    parts, joins, bleu = _bleu_parts()
+    return f"WITH {PAIRS_S}, {parts} SELECT p.conv_id, p.turn, round({bleu}, 9) AS bleu4 FROM p {joins}"
 
 
 @query(_bleu_sql())
@@ -650,10 +656,24 @@ def factcheck(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", metrics.factcheck_numbers(F.col("response"), F.col("source")).alias("numbers"), metrics.factcheck_tokens(F.col("response"), F.col("source")).alias("tokens"))
 
 
-@query()
+def _eval_sql() -> str:
+    parts, joins, bleu = _bleu_parts()
+    words = [w.lower() for w in V.INTRINSIC]
+    part = lambda n: f"d{n} AS (SELECT label, count(DISTINCT s) / count(*) AS distinct_{n} FROM (SELECT 'set' || (conv_id % 3) AS label, unnest(list_transform(range(1, length(response) - {n} + 2), lambda i: substring(response, CAST(i AS BIGINT), {n}))) AS s FROM p) GROUP BY label)"
+    half = lambda x, n: f"CASE WHEN length({STRIP(x)}) >= {n} THEN 0.5::DOUBLE ELSE 0 END"
+    return f"""WITH {PAIRS_S}, {parts}, {part(1)}, {part(2)},
+t AS (SELECT 'set' || (p.conv_id % 3) AS label, response, source, instruction, {bleu} AS bleu, {TOKENS_S("response")} AS c, {TOKENS_S("source")} AS r, list_distinct(regexp_extract_all(response, '[0-9]+')) AS o, list_distinct(regexp_extract_all(source, '[0-9]+')) AS s FROM p {joins}),
+l AS (SELECT *, {sql_lcs("c", "r")} AS n FROM t),
+e AS (SELECT label, {sql_f1("n", "c", "r")} AS rouge, bleu, least({sql_hits("lower(response)", words)} / {float(len(words))} * 2, 1.0) AS domain, CASE WHEN len(o) = 0 THEN 1.0 ELSE len(list_intersect(o, s)) / len(o) END AS fact, {half("instruction", 10)} + {half("response", 20)} AS structural FROM l)
+SELECT label, count(*) AS n, round(avg(rouge), 9) AS rouge_l, round(avg(bleu), 9) AS bleu4, round(avg(domain), 9) AS domain_relevance, round(avg(fact), 9) AS factcheck, round(avg(structural), 9) AS structural, round(any_value(distinct_1), 9) AS distinct_1, round(any_value(distinct_2), 9) AS distinct_2, CAST(NULL AS DOUBLE) AS bertscore, CAST(NULL AS DOUBLE) AS bleurt
+FROM e JOIN d1 USING (label) JOIN d2 USING (label) GROUP BY label"""
+
+
+@query(_eval_sql())
 def dataset_eval_by_label(spark, d):
     """A13."""
-    return metrics.evaluate(_pairs(spark, d).withColumn("label", F.concat(F.lit("set"), F.pmod("conv_id", F.lit(3)).cast("string"))), ["label"])
+    out = metrics.evaluate(_pairs(spark, d).withColumn("label", F.concat(F.lit("set"), F.pmod("conv_id", F.lit(3)).cast("string"))), ["label"])
+    return out.select(*(c if c in ("label", "n") else F.round(c, 9).alias(c) for c in out.columns))
 
 
 @query(f"WITH {sql_chunks('documents')}, n AS (SELECT doc_id, count(*) AS c FROM chunks GROUP BY doc_id) SELECT source, count(*) AS documents, CAST(coalesce(sum(c), 0) AS BIGINT) AS chunks FROM documents LEFT JOIN n USING (doc_id) GROUP BY ROLLUP (source)")
