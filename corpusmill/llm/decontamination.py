@@ -4,7 +4,8 @@ A benchmark item of n characters that occurs in a text with at most k edits shar
 q-grams with the text on diagonals (text position minus item position) that lie within k of each other. So shared
 q-grams are counted in overlapping bands of 2(k + 1) diagonals, bands below that bound are dropped without loss, and
 the rest is aligned in a band around its diagonals. An item too short for the bound to be 1 or more gets a smaller q,
-n // (k + 1), so that every item has its whole budget of edits.
+n // (k + 1), so that every item has its whole budget of edits. Of a long item any window counts, so that a text which
+quotes a part of it is found too.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ Q, RATE = 8, 0.1
 #: Characters of benchmark text whose q-grams are in memory at once, and characters that are sent to the workers at
 #: once. More text than the first takes its blocks in turn within a pass; more than the second takes more passes.
 BLOCK_CHARS, PASS_CHARS = 1_000_000, 32_000_000
+#: Items of more characters are looked for by windows of so many, each half a window after the one before.
+WINDOW = 400
 BREAK = 0x110000  # between texts: no character has this number
 
 
@@ -217,12 +220,21 @@ def _found(texts: list[tuple[np.ndarray, np.ndarray]], block: Block, limit: int
     return out
 
 
-def blocks_of(items: list[tuple[int, str]], q: int, rate: float, block_chars: int) -> Iterator[Block]:
-    """Blocks of at most about block_chars characters, each of items that take the same q."""
+def windows(p: np.ndarray, size: int) -> list[np.ndarray]:
+    """An item, or its windows: the last one ends where the item does."""
+    if len(p) <= size:
+        return [p]
+    starts = [*range(0, len(p) - size, max(1, size // 2)), len(p) - size]
+    return [p[s : s + size] for s in starts]
+
+
+def blocks_of(items: list[tuple[int, str]], q: int, rate: float, block_chars: int, window: int = WINDOW) -> Iterator[Block]:
+    """Blocks of at most about block_chars characters, each of items (or windows) that take the same q."""
     by: dict[int, list[tuple[int, np.ndarray]]] = {}
     for i, t in items:
-        if len(p := pattern(t)):
-            by.setdefault(gram_size(len(p), q, rate), []).append((i, p))
+        for p in windows(pattern(t), window):
+            if len(p):
+                by.setdefault(gram_size(len(p), q, rate), []).append((i, p))
     for size, own in sorted(by.items()):
         held, chars = [], 0
         for i, p in own:
@@ -234,18 +246,30 @@ def blocks_of(items: list[tuple[int, str]], q: int, rate: float, block_chars: in
         yield Block(held, size, rate)
 
 
+def joined(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Places of windows of one item that overlap are one place, with the edits of the worst."""
+    out: list[tuple[int, int, int, int]] = []
+    for item, start, end, edits in sorted(found):
+        if out and out[-1][0] == item and start < out[-1][2]:
+            out[-1] = (item, out[-1][1], max(end, out[-1][2]), max(edits, out[-1][3]))
+        else:
+            out.append((item, start, end, edits))
+    return out
+
+
 MATCH = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
 
-def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS) -> DataFrame:
+def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, pass_chars: int = PASS_CHARS, window: int = WINDOW) -> DataFrame:
     """docs with a column `matches`: the benchmark passages in the whole text, sorted by item and place (code points,
     end exclusive).
 
-    An item counts where it occurs with at most floor(rate * length) edits; case and kinds and runs of white space
+    An item counts where it occurs with at most floor(rate * length) edits; of an item of more than `window` characters
+    each window that long counts by itself, and places that overlap are one. Case and kinds and runs of white space
     don't count as edits, nor does the item's outer white space. All columns of docs stay (a column named `matches` is
     replaced). A null or empty text has no matches, nor has a null or blank item any; an empty benchmark gives empty
-    lists; repeated items and repeated rows are each reported; of places of an item that overlap, the first counts.
+    lists; repeated rows are each reported, repeated items are one; of places of an item that overlap, the first counts.
     The benchmark is sent to the workers pass_chars characters at a time, and docs are passed once for each; in a pass
     a worker holds the q-grams of block_chars characters.
     """
@@ -257,13 +281,14 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         single = sum(len(t) for _, t in items) <= block_chars
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = list(blocks_of(sent.value, q, rate, block_chars)) if single else None
+            whole = list(blocks_of(sent.value, q, rate, block_chars, window)) if single else None
             for b in batches:
                 texts = [folded(t or "") for t in b.column("text").to_pylist()]
                 found: list[list] = [[] for _ in texts]
-                for block in whole if single else blocks_of(sent.value, q, rate, block_chars):
+                for block in whole if single else blocks_of(sent.value, q, rate, block_chars, window):
                     for x, more in zip(found, _found(texts, block), strict=True):
                         x += more
+                found = [joined(x) for x in found]
                 old = b.column("matches").to_pylist()
                 names = ("item_id", "start", "end", "edits")
                 lists = [sorted([*(x or []), *(dict(zip(names, m, strict=True)) for m in y)], key=lambda m: tuple(m[n] for n in names)) for x, y in zip(old, found, strict=True)]

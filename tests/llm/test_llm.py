@@ -256,6 +256,22 @@ def test_decontamination_equals_edit_distance(spark, empty):
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def test_parts_of_long_benchmark_items(spark):
+    rng = random.Random(8)
+    item, other = words(rng, 500), words(rng, 300)
+    part = item[500:1300]
+    changed = list(part)
+    for k in range(0, len(changed), 40):
+        changed[k] = "z"
+    texts = [f"{words(rng, 20)} {part} {words(rng, 20)}", f"{words(rng, 20)} {''.join(changed)}", item[:150], f"{item} and {item}", words(rng, 400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = {r.doc_id: r.matches for r in decontamination.benchmark_matches(spark, docs, bench).collect()}
+    assert [[m.item_id for m in got[i]] for i in range(5)] == [[1], [1], [], [1, 1], []]
+    assert got[0][0].start >= texts[0].index(part) and got[0][0].end <= texts[0].index(part) + len(part) and got[0][0].end - got[0][0].start >= 400
+    assert [(m.start, m.end, m.edits) for m in got[3]] == [(0, len(item), 0), (len(item) + 5, 2 * len(item) + 5, 0)]
+
+
 def base_spans(t):
     def luhn(s):
         d = [int(c) for c in s if c.isdigit()][::-1]
