@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import Scratch, table, text_of
 
 #: The base patterns, in the order of their kinds. Each is written so that Java's matcher needs no deep
@@ -37,7 +38,7 @@ GENERALISE, REMOVE, STEM = 0.8, 0.95, 3
 BITS, PROBES = 1 << 21, (0, 1)
 
 #: Names of columns that are held for a while.
-ROW, HITS, TERMS = "__pii_row", "__pii_hits", "__pii_terms"
+ROW, SPOTS, TERMS = "__pii_row", "__pii_spots", "__pii_terms"
 
 
 def _digits(x: Column) -> Column:
@@ -116,7 +117,7 @@ def _share(both: Column, texts_e: Column, texts_t: Column, texts: Column) -> Col
 
 
 def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float) -> DataFrame:
-    """(entity, term, both, texts_e): terms around an entity, in however few texts, and terms anywhere in its texts. A
+    """(entity, term, both, texts_e), entities as hashes: terms around an entity, in however few texts, and terms anywhere in its texts. A
     term is in at least as many texts as it was counted in here, so a pair whose share is too low even with that number
     is left out."""
     own = base_spans(docs.select(text_of().alias("text")).where(F.col("text").rlike(r"[@+]|[0-9]")))
@@ -128,7 +129,7 @@ def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float)
         # words that the context cuts in two don't count
         left = F.when(x["start"] > CONTEXT, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left)
         right = F.when(F.length(right) == CONTEXT, F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right)
-        return F.struct(F.concat_ws(":", x["kind"], F.lower(x["found"])).alias("entity"), F.array_union(_words(left), _words(right)).alias("terms"))
+        return F.struct(F.xxhash64(x["kind"], F.lower(x["found"])).alias("entity"), F.array_union(_words(left), _words(right)).alias("terms"))
 
     # contexts are cut inside the row, so that the text isn't copied for every entity
     own = own.where(F.size("base") > 0).select(F.xxhash64("text").alias("same"), F.explode(F.transform("base", context)).alias("x"))
@@ -166,6 +167,16 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _spots(text: Column, test) -> Column:
+    """(start, end, term, stem) of the words that pass the test, in the whole text."""
+    none = F.array().cast("array<struct<start:int,end:int,term:string,stem:string>>")
+    if test is None:
+        return none
+    spot = lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["found"])).cast("int").alias("end"), F.lower(x["found"]).alias("term"), F.left(x["found"], F.lit(STEM)).alias("stem"))
+    pattern = lambda hits: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(hits, "|"), F.lit(r")(?!\p{L})"))
+    return let(F.filter(_words(text), test), lambda hits: F.when(F.size(hits) > 0, F.transform(places(text, pattern(hits)), spot)).otherwise(none))
+
+
 def _masked(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its mask; a span that begins inside another one adds nothing of its own."""
 
@@ -217,23 +228,19 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
     risky = _risky(docs, scratch, generalise)
     test = _test(risky)
     own = base_spans(docs.withColumn("text", text_of()), "_base")
-    own = own.withColumn(HITS, F.filter(_words(F.col("text")), test) if test else F.array().cast("array<string>"))
-    own = own.withColumn(ROW, F.monotonically_increasing_id())
-    if not keep_text:
-        own = own.withColumn("text", F.when(F.size(HITS) > 0, F.col("text")))
+    own = own.withColumn(ROW, F.monotonically_increasing_id()).withColumn(SPOTS, _spots(F.col("text"), test))
+    if not keep_text:  # then no text is shuffled: the places of terms are known here
+        own = own.withColumn("text", F.lit(None).cast("string"))
     own = scratch.keep(own, "texts")
     masks = F.transform("_base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
     own = own.withColumn("_spans", masks)
     if test:
-        plain, own = own.where(F.size(HITS) == 0), own.where(F.size(HITS) > 0)
-        named = own.select(ROW, F.explode(HITS).alias("term")).join(risky, "term")
-        named = named.groupBy(ROW).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(TERMS))
-        own = own.join(named, ROW, "left")
-        pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.map_keys(TERMS), "|"), F.lit(r")(?!\p{L})"))
-        value = lambda m: F.element_at(TERMS, F.lower(m))
-        mask = lambda m: F.when(value(m) >= remove, F.lit("[TERM]")).otherwise(F.concat(F.left(m, F.lit(STEM)), F.lit("*")))
-        terms = F.transform(places(F.col("text"), pattern), lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), (x["start"] + F.length(x["found"])).cast("int").alias("end"), mask(x["found"]).alias("mask")))
-        outside = F.filter(terms, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+        plain, own = own.where(F.size(SPOTS) == 0), own.where(F.size(SPOTS) > 0)
+        each = own.select(ROW, F.explode(SPOTS).alias("x")).select(ROW, "x.*").join(risky, "term")
+        mask = F.when(F.col("share") >= remove, F.lit("[TERM]")).otherwise(F.concat("stem", F.lit("*")))
+        each = each.select(ROW, F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", mask.alias("mask")).alias("t"))
+        own = own.join(each.groupBy(ROW).agg(F.collect_list("t").alias(TERMS)), ROW, "left")  # the places of one text
+        outside = F.filter(TERMS, lambda t: ~F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
         own = own.withColumn("_spans", F.when(F.col(TERMS).isNotNull(), F.sort_array(F.concat("_spans", outside))).otherwise(F.col("_spans")))
         own = plain.unionByName(own.drop(TERMS))
     if keep_text:
