@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from ..operators.groups import join_unique, with_groups
 from .common import Scratch, table, text_of
 
 #: The base patterns, in the order of their kinds. Each is written so that Java's matcher needs no deep
@@ -134,11 +135,12 @@ def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float)
     # contexts are cut inside the row, so that the text isn't copied for every entity
     own = own.where(F.size("base") > 0).select(F.xxhash64("text").alias("same"), F.explode(F.transform("base", context)).alias("x"))
     own = scratch.keep(own.select("same", "x.*"), "contexts")
-    seen = own.groupBy("entity", "same").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("texts_e"))
-    pairs = own.join(seen, "entity").select("entity", "texts_e", "same", F.explode("terms").alias("term")).distinct()
+    # an entity or a word that stands in very many texts is joined in parts
+    seen = with_groups(own, ["entity"], "same", F.count("*").alias("texts_e"), over=own.select("entity", "same").distinct())
+    pairs = seen.select("entity", "texts_e", "same", F.explode("terms").alias("term")).distinct()
     pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both"))
     around = own.select("same", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts_c"))
-    pairs = pairs.join(around, "term").where(F.col("texts_e") < texts)
+    pairs = join_unique(pairs, around, ["term"], "entity").where(F.col("texts_e") < texts)
     pairs = pairs.where(_share(F.col("both"), F.col("texts_e"), F.col("texts_c"), texts) >= least).drop("texts_c")
     wide = _wide(docs, scratch, own)
     if wide is not None:
