@@ -22,10 +22,15 @@ CHARSETS = ("utf-8", "gbk", "gb2312", "gb18030", "big5", "latin1")
 
 
 def list_files(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("pdf", "docx", "txt")) -> DataFrame:
-    """(path, doc_id, suffix, content) of the files of these kinds under root, by path."""
+    """(path, doc_id, suffix, content) of the files of these kinds under root. In no order: contents aren't sorted."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(kinds) + "}").load(root)
     relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    return files.select("path", T.doc_id(relative).alias("doc_id"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("suffix"), "content").orderBy("path")
+    return files.select("path", T.doc_id(relative).alias("doc_id"), F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("suffix"), "content")
+
+
+def listing(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("pdf", "docx", "txt")) -> DataFrame:
+    """(path, doc_id, suffix) by path; no content is read."""
+    return list_files(spark, root, kinds).drop("content").orderBy("path")
 
 
 def decoded_text(content: bytes | None, chinese: bool = True) -> str:

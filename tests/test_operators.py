@@ -1,6 +1,7 @@
 """Routing, knowledge, generation, metrics, statistics, samples, sources and streams on small rows."""
 
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,8 +100,15 @@ def test_sources(spark, tmp_path):
     (tmp_path / "a/one.txt").write_bytes("环境报告 2020 年，公司治理。".encode("gbk"))
     (tmp_path / "a/two.txt").write_text("plain text")
     (tmp_path / "a/skip.bin").write_bytes(b"x")
-    found = {r.doc_id: r.text for r in files.parse_files(files.list_files(spark, str(tmp_path))).collect()}
-    assert found == {"a_one": "环境报告 2020 年，公司治理。", "a_two": "plain text"}
+    with zipfile.ZipFile(tmp_path / "table.docx", "w") as z:
+        w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+        cell = lambda t: f"<w:tc><w:p><w:r><w:t>{t}</w:t></w:r></w:p></w:tc>"
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>First </w:t></w:r><w:r><w:t>line</w:t></w:r></w:p><w:p/><w:tbl><w:tr>{cell("a")}{cell(" b ")}</w:tr></w:tbl></w:body></w:document>')
+    (tmp_path / "broken.docx").write_bytes(b"no zip")
+    assert [r.doc_id for r in files.listing(spark, str(tmp_path)).collect()] == ["a_one", "a_two", "broken", "table"]
+    found = {r.doc_id: r for r in files.parse_files(files.list_files(spark, str(tmp_path))).collect()}
+    assert {k: r.text for k, r in found.items()} == {"a_one": "环境报告 2020 年，公司治理。", "a_two": "plain text", "table": "First line\na b", "broken": ""}
+    assert found["broken"].error.startswith("BadZipFile") and found["table"].error is None
     (tmp_path / "x.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 2}\n')
     good, bad = files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int")
     assert sorted(r.a for r in good.collect()) == [1, 2] and [r.line for r in bad.collect()] == ["not json"]
