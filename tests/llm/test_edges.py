@@ -1,11 +1,15 @@
 """Empty tables, very long texts, repeated rows, nulls and clashing columns where other tests don't have them."""
 
+import collections
+import math
 import random
+import re
 
 import pytest
-from test_llm import words
+from test_llm import base_spans, words
 
 from corpusmill.llm import chat, neardup, packing, pii, quality, toxicity
+from corpusmill.llm.common import Scratch
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +55,41 @@ def test_turns(spark):
     for c in made[1].formatted * 2:  # pieces of one character
         turns_ += reader.feed(c)
     assert turns_ == [("user", "see end")] * 2
+
+
+def test_disclosed_shares_equal_brute_force(spark):
+    """PMI(e; t) / IC(e) of every term that is masked, by counting in plain Python."""
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8))) for _ in range(1500)]
+    texts = []
+    for i in range(150):
+        w = [rng.choice(vocabulary) if rng.random() < 0.2 else vocabulary[min(int(rng.expovariate(0.08)), 159)] for _ in range(rng.randrange(30, 60))]
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), rng.choice([f"me{i}@corp.example.com", "you@x.org", "it@y.net", f"10.0.{i}.7"]))
+        texts.append(" ".join(w))
+    texts += texts[:5]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.term: r.share for r in pii._risky(docs, Scratch(spark, "test"), pii.GENERALISE).collect()}
+
+    def terms(x):
+        return {w for w in re.split(r"[^a-z]+", x.lower()) if len(w) >= 3}
+
+    distinct, near, whole = sorted(set(texts)), collections.defaultdict(dict), collections.defaultdict(dict)
+    n, holds = float(max(2, len(distinct))), collections.Counter(t for x in distinct for t in terms(x))
+    for x in distinct:
+        for kind, a, b in base_spans(x):
+            left, right = x[max(0, a - pii.CONTEXT) : a], x[b : b + pii.CONTEXT]
+            left = re.sub(r"^[a-z]+", "", left) if a > pii.CONTEXT else left
+            right = re.sub(r"[a-z]+$", "", right) if len(right) == pii.CONTEXT else right
+            near[kind, x[a:b].lower()].setdefault(x, set()).update(terms(left) | terms(right))
+            whole[kind, x[a:b].lower()][x] = terms(x)
+    want: dict[str, float] = {}
+    share = lambda both, e, t: math.log(both * n / (e * holds[t])) / math.log(n / e)
+    for entity, around in near.items():
+        for t, both in collections.Counter(t for ts in around.values() for t in ts).items():
+            want[t] = max(want.get(t, 0), share(both, len(around), t))
+        for t, both in collections.Counter(t for ts in whole[entity].values() for t in ts).items():
+            if both > 1:  # no two texts here have the same surroundings
+                want[t] = max(want.get(t, 0), share(both - 1, len(around), t))
+    want = {t: s for t, s in want.items() if s >= pii.GENERALISE}
+    assert len(want) > 10 and set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in want)
