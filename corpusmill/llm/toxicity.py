@@ -31,9 +31,11 @@ FIT_ROWS = 20_000
 STEMS = (3, 4, 5, 6, 7)
 #: Folds of the cross-validation, and what it chooses from: strengths of the priors (in tokens) and drifts.
 FOLDS, PRIORS, DRIFTS = 5, (30.0, 100.0), (0.01, 0.03, 0.1)
-#: Log-odds nearer to 0 than this are no evidence; features of fewer labelled documents aren't learnt; a passage is
+#: Log-odds nearer to 0 than this are no evidence; features of fewer labelled documents or tokens aren't learnt; a passage is
 #: significant if at most so many as good are expected in a clean text of the same length.
-LEAST_ODDS, LEAST_DOCS, LEVEL = 1.0, 3, 0.05
+LEAST_ODDS, LEAST_DOCS, LEAST_TOKENS, LEVEL = 1.0, 3, 10, 0.05
+#: Words that a task remembers the scores of, for each model.
+MEMO = 50_000
 #: Rates at which the moments of token scores are summed.
 RATES = np.geomspace(0.05, 8.0, 60)
 WORD = re.compile(r"[^\W\d_]+")
@@ -74,11 +76,10 @@ def stems(word: str) -> list[str]:
     return [f"{k}:{word[:k]}" for k in STEMS if len(word) > k]
 
 
-def parent_of(feature: str) -> str | None:
-    """The feature whose rate is the prior of this one's."""
+def above(feature: str) -> list[str]:
+    """The stems of a feature, longest first: the rate of the first that is learnt is the prior of this one's."""
     kind, word = feature.split(":", 1)
-    shorter = [k for k in STEMS if k < (len(word) if kind == "w" else int(kind))]
-    return f"{shorter[-1]}:{word[: shorter[-1]]}" if shorter else None
+    return [f"{k}:{word[:k]}" for k in reversed(STEMS) if k < (len(word) if kind == "w" else int(kind))]
 
 
 @dataclass
@@ -86,10 +87,6 @@ class Words:
     """Scores of words: those of features with evidence, and zeros where a feature has less than its stem."""
 
     scores: dict[str, float] = field(default_factory=dict)
-    memo: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {"scores": self.scores, "memo": {}}
 
     def odds(self, word: str) -> float:
         """Of a lower-case word: the score of the longest feature of it that has one."""
@@ -98,9 +95,10 @@ class Words:
                 return s
         return 0.0
 
-    def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        memo = self.memo
-        if len(memo) > 300_000:
+    def hits(self, words: list[str], memo: dict[str, float]) -> list[tuple[int, float]]:
+        """(place, score) of the words with a score. memo belongs to the caller's task and goes with it: what a
+        broadcast value gathers stays with the worker."""
+        if len(memo) > MEMO:
             memo.clear()
         for w in set(words):
             if w not in memo:
@@ -133,13 +131,16 @@ def _inputs(best: np.ndarray, total: np.ndarray, tokens: np.ndarray, rate: float
     return np.c_[np.clip(calibrated, -10, 30) / 10, np.log1p(total)]
 
 
-def _features(docs: DataFrame) -> DataFrame:
+def _features(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(text, toxic, fold) -> (feature, n, and t0, c0, t1 ...: its tokens in toxic and clean documents of each fold) of
-    the features of LEAST_DOCS documents or more, summed within batches first."""
+    the features of LEAST_DOCS documents and LEAST_TOKENS tokens or more, summed within batches first. Others stay near
+    the rate of their stem, which stands for them; which they are doesn't depend on labels. Beside them the tokens of
+    all words, by fold and kind."""
     schema = pa.schema([("feature", pa.string()), ("fold", pa.int32()), ("t", pa.int64()), ("c", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        # of few rows at a time, since the features of a batch are many times its texts
+        for b in (whole.slice(i, 200) for whole in batches for i in range(0, whole.num_rows, 200)):
             tokens: dict[tuple[int, int], Counter] = {(f, k): Counter() for f in range(FOLDS) for k in (0, 1)}
             held: dict[int, Counter] = {f: Counter() for f in range(FOLDS)}
             for text, toxic, fold in zip(*(b.column(c).to_pylist() for c in ("text", "toxic", "fold")), strict=True):
@@ -155,25 +156,27 @@ def _features(docs: DataFrame) -> DataFrame:
 
     found = docs.select("text", "toxic", "fold").mapInArrow(run, "feature string, fold int, t long, c long, n long")
     each = [F.coalesce(F.sum(F.when(F.col("fold") == k, F.col(x))), F.lit(0)).alias(f"{x}{k}") for k in range(FOLDS) for x in ("t", "c")]
-    return found.groupBy("feature").agg(F.sum("n").alias("n"), *each).where(F.col("n") >= LEAST_DOCS)
+    sums = found.groupBy("feature").agg(F.sum("n").alias("n"), *each).where(F.col("n") >= LEAST_DOCS)
+    sums = Scratch(docs.sparkSession, "features").keep(sums, "features")
+    totals = sums.where(F.col("feature").startswith("w:")).agg(*(F.sum(f"{x}{k}") for k in range(FOLDS) for x in ("t", "c"))).first()
+    totals = np.array([v or 0 for v in totals], dtype=np.float64).reshape(FOLDS, 2)
+    return sums.where(" + ".join(f"{x}{k}" for k in range(FOLDS) for x in ("t", "c")) + f" >= {LEAST_TOKENS}"), totals
 
 
 def _levels(features: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(features, their parents) by number, level by level; -1 stands for the corpus rate. A feature's parent is in as
-    many documents or more, so it is in the table too."""
+    """(features, the longest learnt stems of each) by number, level by level; -1 stands for the corpus rate."""
     at = {f: i for i, f in enumerate(features)}
-    parent = np.array([at.get(p, -1) if (p := parent_of(f)) else -1 for f in features], dtype=np.int64)
+    parent = np.array([next((at[p] for p in above(f) if p in at), -1) for f in features], dtype=np.int64)
     depth = np.array([99 if f[0] == "w" else int(f[0]) for f in features])
     return [(rows, parent[rows]) for k in (*STEMS, 99) if len(rows := np.flatnonzero(depth == k))]
 
 
-def learn(features: list[str], levels: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, clean: np.ndarray, prior: float) -> Words:
-    """The word scores from token counts of features in toxic and clean documents."""
-    own = np.array([f[0] == "w" for f in features], dtype=bool)
-    t, c = float(toxic[own].sum()), float(clean[own].sum())
-    if not t or not c:
+def learn(features: list[str], levels: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, clean: np.ndarray, totals: np.ndarray, prior: float) -> Words:
+    """The word scores from token counts of features in toxic and clean documents, and the tokens of all words in
+    each."""
+    if not totals[0] or not totals[1]:
         return Words()
-    base = t / (t + c)
+    base = float(totals[0] / totals.sum())
     p, held = np.empty(len(features) + 1), np.zeros(len(features) + 1)  # the last place is that of the corpus rate
     p[-1], scores = base, {}
     for rows, above in levels:
@@ -244,12 +247,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     toxic, clean = own.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     if not toxic or not clean:
         return Model()
-    counts = _features(own).toPandas()  # of the bounded sample, the features of several documents
-    features = counts["feature"].tolist()
-    t, c = (counts[[f"{x}{k}" for k in range(FOLDS)]].to_numpy(dtype=np.float64) for x in ("t", "c"))
+    table_, totals = _features(own)
+    counts = table_.toArrow()  # of the bounded sample, the features of several documents
+    features = counts.column("feature").to_pylist()
+    t, c = (np.stack([counts.column(f"{x}{k}").to_numpy().astype(np.float64) for k in range(FOLDS)], axis=1) for x in ("t", "c"))
+    del counts
     levels = _levels(features)
     without = lambda x, k: x.sum(axis=1) - x[:, k]
-    folds = [[learn(features, levels, without(t, k), without(c, k), prior) for k in range(FOLDS)] for prior in PRIORS]
+    folds = [[learn(features, levels, without(t, k), without(c, k), totals.sum(axis=0) - totals[k], prior) for k in range(FOLDS)] for prior in PRIORS]
     sent = spark.sparkContext.broadcast(folds)
     tried = [(p, d) for p in range(len(PRIORS)) for d in range(len(DRIFTS))]
     schema = pa.schema([("toxic", pa.int32()), ("tokens", pa.int64()), ("best", pa.list_(pa.float64())), ("total", pa.list_(pa.float64())), ("hits", pa.list_(pa.int64())), ("moments", pa.list_(pa.float64()))])
@@ -257,11 +262,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[str, list] = {f.name: [] for f in schema}
+            memos: list[list[dict]] = [[{} for _ in range(FOLDS)] for _ in PRIORS]
             moments, hit = np.zeros((len(PRIORS), len(RATES))), np.zeros(len(PRIORS), dtype=np.int64)
             for text, label, fold in zip(*(b.column(x).to_pylist() for x in ("text", "toxic", "fold")), strict=True):
                 w, best, total = words_of(text), [], []
                 for p in range(len(PRIORS)):
-                    hits = sent.value[p][fold].hits(w)
+                    hits = sent.value[p][fold].hits(w, memos[p][fold])
                     if not label and hits:
                         moments[p] += np.exp(np.outer([s for _, s in hits], RATES)).sum(axis=0)
                         hit[p] += len(hits)
@@ -289,7 +295,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, fit_rows: int =
         weights = _logistic(x, y)
         models.append((_loss(x, y, weights), k, Model(Words(), PRIORS[p], DRIFTS[d], rate, size, weights)))
     model = min(models, key=lambda m: m[:2])[2]
-    model.words = learn(features, levels, t.sum(axis=1), c.sum(axis=1), model.prior)
+    model.words = learn(features, levels, t.sum(axis=1), c.sum(axis=1), totals.sum(axis=0), model.prior)
     return model
 
 
@@ -310,7 +316,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, level: float = LEV
     out = StructType(docs.schema.fields + StructType.fromDDL(FOUND).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, most = sent.value, float(np.log(level))
+        m, most, memo = sent.value, float(np.log(level)), {}
         for whole in batches:
             for begin in range(0, whole.num_rows, 1000):
                 b = whole.slice(begin, 1000)
@@ -318,7 +324,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, level: float = LEV
                 for text in b.column("text").to_pylist():
                     low = (text or "").lower()
                     words = WORD.findall(low)
-                    found = segments(m.words.hits(words), m.drift)
+                    found = segments(m.words.hits(words, memo), m.drift)
                     scores.append(m.probability(found, len(words)))
                     counts.append(len(words))
                     found = [(a, z, s, e) for a, z, s in found if (e := m.log_expected(s, len(words))) <= most]
