@@ -25,6 +25,8 @@ Q, RATE = 8, 0.1
 #: Characters of benchmark text whose q-grams are in memory at once, and characters that are sent to the workers at
 #: once. More text than the first takes its blocks in turn within a pass; more than the second takes more passes.
 BLOCK_CHARS, PASS_CHARS = 1_000_000, 32_000_000
+#: Characters of texts that are held folded at once; eight times as many where blocks have to be built for each run.
+HELD_CHARS = 1_000_000
 #: Items of more characters are looked for by windows of so many, each half a window after the one before.
 WINDOW = 400
 BREAK = 0x110000  # between texts: no character has this number
@@ -46,7 +48,7 @@ def folded(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     space = c == 32
     kept = np.flatnonzero(~(space & np.r_[False, space[:-1]])) if len(c) else np.zeros(0, dtype=np.int64)
-    return c[kept], kept
+    return c[kept], kept.astype(np.uint32)
 
 
 def pattern(text: str | None) -> np.ndarray:
@@ -257,6 +259,20 @@ def joined(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
+def runs(texts: list[str | None], most: int) -> Iterator[list[str | None]]:
+    """The texts in runs of about `most` characters; a longer text is a run of its own."""
+    run: list[str | None] = []
+    size = 0
+    for t in texts:
+        if run and size + len(t or "") > most:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t or "")
+    if run:
+        yield run
+
+
 MATCH = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("edits", pa.int32())]))
 
@@ -283,24 +299,22 @@ def benchmark_matches(spark: SparkSession, docs: DataFrame, benchmark: DataFrame
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = list(blocks_of(sent.value, q, rate, block_chars, window)) if single else None
             for b in batches:
-                texts = [folded(t or "") for t in b.column("text").to_pylist()]
-                found: list[list] = [[] for _ in texts]
-                for block in whole if single else blocks_of(sent.value, q, rate, block_chars, window):
-                    for x, more in zip(found, _found(texts, block), strict=True):
-                        x += more
-                found = [joined(x) for x in found]
+                found = [y for texts in runs(b.column("text").to_pylist(), HELD_CHARS if single else 8 * HELD_CHARS) for y in search(texts, whole)]
                 old = b.column("matches").to_pylist()
                 names = ("item_id", "start", "end", "edits")
                 lists = [sorted([*(x or []), *(dict(zip(names, m, strict=True)) for m in y)], key=lambda m: tuple(m[n] for n in names)) for x, y in zip(old, found, strict=True)]
                 at = b.schema.get_field_index("matches")
                 yield pa.RecordBatch.from_arrays([pa.array(lists, type=MATCH_ARROW) if i == at else b.column(i) for i in range(b.num_columns)], names=b.schema.names)
 
-        def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # folded texts take 12 bytes a character: few rows at a time, unless blocks have to be built for each
-            rows = 500 if single else 2000
-            return run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        def search(texts: list[str | None], whole: list[Block] | None) -> list[list]:
+            own = [folded(t or "") for t in texts]
+            found: list[list] = [[] for _ in texts]
+            for block in whole or blocks_of(sent.value, q, rate, block_chars, window):
+                for x, more in zip(found, _found(own, block), strict=True):
+                    x += more
+            return [joined(x) for x in found]
 
-        return frame.mapInArrow(small, schema)
+        return frame.mapInArrow(run, schema)
 
     scratch, frame = Scratch(spark, "decontamination"), docs
     items: list[tuple[int, str]] = []
