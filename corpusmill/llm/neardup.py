@@ -85,25 +85,27 @@ def band_hashes(signature: np.ndarray, rows: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, places: int, rows: int, carry: bool = False) -> DataFrame:
-    """(doc_id, key, bands, signature, and with carry the whole row as `doc`): signature holds 16 bits of each place,
-    little-endian. Texts without words have no bands."""
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([F.struct("*").alias("doc")] if carry else []))
-    names = ["doc_id", "key", "bands", "signature", *(["doc"] if carry else [])]
+    """(doc_id, key, bands, signature, and with carry the text and the rest of the row as `doc`): signature holds 16 bits
+    of each place, little-endian. Texts without words have no bands."""
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("doc")
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([rest] if carry else []))
+    carried = ["text", "doc"] if carry else []
+    names = ["doc_id", "key", "bands", "signature", *carried]
     fields = StructType.fromDDL("doc_id long, key binary, bands array<long>, signature binary").fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for begin in range(0, whole.num_rows, 1000):
-                batch = whole.slice(begin, 1000)
+            for begin in range(0, whole.num_rows, 250):
+                batch = whole.slice(begin, 250)
                 texts = batch.column("text").to_pylist()
                 s = signatures(texts, width, places)
                 bands, low = band_hashes(s, rows), s.astype(np.uint16).astype("<u2")
                 some = s.any(axis=1)
                 lists = pa.array([b if x else None for b, x in zip(bands, some, strict=True)], type=pa.list_(pa.int64()))
                 made = [batch.column("doc_id"), pa.array([sh.word_key(t) for t in texts], type=pa.binary()), lists, pa.array([x.tobytes() for x in low], type=pa.binary())]
-                yield pa.RecordBatch.from_arrays([*made, *([batch.column("doc")] if carry else [])], names=names)
+                yield pa.RecordBatch.from_arrays([*made, *(batch.column(c) for c in carried)], names=names)
 
-    return own.mapInArrow(run, StructType(fields + [f for f in own.schema.fields if f.name == "doc"]))
+    return own.mapInArrow(run, StructType(fields + [f for f in own.schema.fields if f.name in carried]))
 
 
 def likely(pairs: DataFrame, places: int, least: float) -> DataFrame:
@@ -201,7 +203,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, **options) -> DataFram
 def deduplicate(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that near_duplicates keeps, one of each class, with all their columns."""
     own, classes = _classes(spark, docs, carry=True, **options)
-    return own.select("row", "doc").join(classes.where("keep").select("row"), "row").select("doc.*")
+    kept = own.select("row", "text", "doc").join(classes.where("keep").select("row"), "row")
+    return kept.select(*((F.col("text").cast(docs.schema[c].dataType) if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float = 0.8, places: int = PLACES, rows: int = ROWS, small_bucket: int = SMALL_BUCKET, block: int = BLOCK, carry: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -225,7 +228,7 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
     families = scratch.keep(with_groups(families, ["family"], "key", F.count("*").alias("size")), "families")
 
     if carry:
-        found = own.select("row", "key", F.col("doc.text").cast("string").alias("text")).join(families.join(texts, "key").select("row"), "row").select("key", "text")
+        found = own.select("row", "key", "text").join(families.join(texts, "key").select("row"), "row").select("key", "text")
     else:
         wanted = families.join(texts.select("key", F.col("doc_id").alias("id")), "key")
         whole = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))

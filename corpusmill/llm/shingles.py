@@ -42,7 +42,7 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
-def chunks(texts: list[str], limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[str], limit: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `limit` bytes, so that the flat arrays stay small; a longer text is a run of its own."""
     run: list[bytes] = []
     begin, held = 0, 0
