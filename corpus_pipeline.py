@@ -2,26 +2,32 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents, whatever their names: operators see a row as (doc_id,
-text, the row itself). In every stage a null text counts as empty and stays null where it isn't changed, whole texts
+text, the rest of the row). In every stage a null text counts as empty and stays null where it isn't changed, whole texts
 are read, repeated rows are rows of their own (near-duplicates aside), and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, neardup, packing, pii, toxicity
 from corpusmill.llm.common import Scratch, ship, table
 from corpusmill.session import released
 
-#: The name of a whole row among an operator's columns.
+#: The name of the rest of a row among an operator's columns.
 ROW = "__row"
 
 
 def _held(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, the row)."""
-    return docs.select("doc_id", "text", F.struct("*").alias(ROW))
+    """(doc_id, text, the row without its text, so that no text is held twice)."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias(ROW))
+
+
+def _rows(held: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows again, with new values of some columns."""
+    old = lambda c: F.col("text") if c == "text" else F.col(ROW).getField(c)
+    return held.select(*(new.get(c, old(c)).alias(c) for c in columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +35,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows of a null doc_id have no label and are scored like others; equal texts are decided alike."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
     model = toxicity.fit(spark, docs.select("doc_id", "text"), labels)
-    return toxicity.score(spark, _held(docs), model).where("score < 0.5").select(f"{ROW}.*")
+    return _rows(toxicity.score(spark, _held(docs), model).where("score < 0.5"), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +48,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item within its budget of edits go."""
     found = decontamination.benchmark_matches(spark, _held(docs), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("matches") == 0).select(f"{ROW}.*")
+    return _rows(found.where(F.size("matches") == 0), docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and what discloses it is masked; a column n_chars follows the text. A null text becomes empty."""
-    clean = pii.sanitise(spark, _held(docs))
-    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return clean.select(*(new.get(c, F.col(ROW)[c]).alias(c) for c in docs.columns))
+    return _rows(pii.sanitise(spark, _held(docs)), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
