@@ -258,7 +258,7 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
         whole = scopes.where("not by_band").select("key").distinct()
         near = near.join(big.withColumnRenamed("key", "u"), "u", "left_semi").join(whole.withColumnRenamed("key", "u"), "u", "left_anti")
         links = links.unionByName(more).unionByName(left).unionByName(verified(_across(near, roots), "pairs"))
-    classes = scratch.keep(components(scratch, links), "classes")
+    classes = components(scratch, links)
 
     named = own.select("doc_id", "row", "key").join(classes.select(F.col("node").alias("key"), "root"), "key", "left")
     named = scratch.keep(named.select("doc_id", "row", F.coalesce("root", "key").alias("root")), "named")
@@ -272,7 +272,7 @@ PACKED = ("cast(null as binary) as of", "0 as a", "0 as b")
 
 
 def _roots(scratch: Scratch, links: DataFrame) -> DataFrame:
-    return scratch.keep(components(scratch, links).select(F.col("node").alias("key"), "root"), "roots")
+    return components(scratch, links).select(F.col("node").alias("key"), "root")
 
 
 def _dealt(member: DataFrame, block: int) -> DataFrame:

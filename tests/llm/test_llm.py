@@ -169,6 +169,24 @@ def test_components_of_long_chains_and_hubs(spark):
     assert components(Scratch(spark, "test"), table_.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("at_once", [100_000, 40, 0])
+def test_components_in_rounds_and_at_once(spark, at_once):
+    """Edges dealt over tasks, so that none of them sees a whole component; few edges take no rounds."""
+    rng = random.Random(at_once)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
+    edges = [(f"{u:05d}".encode(), f"{v:05d}".encode()) for u, v in edges]
+    least = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in edges:
+        for u, v in edges:
+            if u != v:
+                least[u] = least[v] = min(least[u], least[v])
+    rng.shuffle(edges)
+    scratch = Scratch(spark, "test")
+    out = components(scratch, spark.createDataFrame(edges, "u binary, v binary").repartition(7), **({} if at_once == 100_000 else {"at_once": at_once})).collect()
+    assert len(out) == len(least) and {bytes(r.node): bytes(r.root) for r in out} == least
+    assert scratch.made <= 2 or at_once < 100_000
+
+
 def test_near_duplicates_that_repeat_lines_unequally_often(spark):
     rng, texts = random.Random(21), []
     for k in (10, 20, 50, 200):
