@@ -8,12 +8,15 @@ are read, repeated rows are rows of their own (near-duplicates aside), and an em
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import decontamination, neardup, packing, pii, toxicity
 from corpusmill.llm.common import Scratch, ship, table
-from corpusmill.session import released
+from corpusmill.session import released, settle
 
 #: The name of the rest of a row among an operator's columns.
 ROW = "__row"
@@ -63,12 +66,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(spark, docs)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _settled(stage: Stage) -> Stage:
+    """The stage, begun when the driver has given back what the stage before left in its memory."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("personal_data", mask_personal_data),
-    ("packing", pack),
+    ("toxicity", _settled(drop_toxic)),
+    ("near_duplicates", _settled(drop_near_duplicates)),
+    ("decontamination", _settled(drop_contaminated)),
+    ("personal_data", _settled(mask_personal_data)),
+    ("packing", _settled(pack)),
 ]
 
 #: No stage but the patterns of the fourth can be stated in SQL; the pipeline is tested against brute force instead.

@@ -238,16 +238,16 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
     found = scratch.keep(found, "texts") if some_big else found
 
     def verified(units: DataFrame, name: str) -> DataFrame:
-        """The links inside units: rows (of, a, b, family, key), where rows of an `of` that is null are many small
-        families, dealt to units of about `block` texts by their family."""
+        """The links inside units: rows (of, a, b, family, key), or (family, key) where those are many small families,
+        dealt to units of about `block` texts by their family."""
+        if "of" not in units.columns:
+            packed = max(1, units.count() // block)
+            units = units.select("family", "key", F.lit(0).alias("of"), F.pmod(F.xxhash64("family"), F.lit(packed)).cast("int").alias("a"), F.lit(0).alias("b"))
         units = units.select("of", "a", "b", "family", "key")
-        packed = max(1, units.where("of is null").count() // block)
-        mine = F.pmod(F.xxhash64("family"), F.lit(packed)).cast("int")
-        units = units.withColumn("a", F.when(F.col("of").isNull(), mine).otherwise(F.col("a")))
         grouped = found.join(units, "key").groupBy("of", "a", "b")
         return scratch.keep(grouped.applyInPandas(_verify(width, least), "u binary, v binary"), name)
 
-    links = verified(families.where(F.col("size") <= block).selectExpr("key", "family", *PACKED), "links")
+    links = verified(families.where(F.col("size") <= block).select("key", "family"), "links")
     if some_big:
         ours = scratch.keep(member.join(families.where(F.col("size") > block), "key").select("band", "key", "n", "family", "size"), "big")
         more = verified(_dealt(ours, block), "dealt")
@@ -267,10 +267,6 @@ def _classes(spark: SparkSession, docs: DataFrame, width: int = 5, least: float
     return own, out.select("row", "doc_id", F.col("x.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("x.row")).alias("keep"))
 
 
-#: Columns of units that are many small families, as SQL: no `of`, and places that are worked out later.
-PACKED = ("cast(null as binary) as of", "0 as a", "0 as b")
-
-
 def _roots(scratch: Scratch, links: DataFrame) -> DataFrame:
     return components(scratch, links).select(F.col("node").alias("key"), "root")
 
@@ -298,8 +294,7 @@ def _across(near: DataFrame, roots: DataFrame) -> DataFrame:
     named = lambda k, r: roots.select(F.col("key").alias(k), F.col("root").alias(r))
     pairs = near.join(named("u", "ru"), "u", "left").join(named("v", "rv"), "v", "left")
     pairs = pairs.where(F.coalesce("ru", "u") != F.coalesce("rv", "v"))
-    rows = pairs.select(F.concat("u", "v").alias("family"), F.explode(F.array("u", "v")).alias("key"))
-    return rows.selectExpr("key", "family", *PACKED)
+    return pairs.select(F.concat("u", "v").alias("family"), F.explode(F.array("u", "v")).alias("key"))
 
 
 def _scopes(scratch: Scratch, member: DataFrame, roots: DataFrame, small_bucket: int, block: int) -> DataFrame:

@@ -3,7 +3,8 @@
 import random
 
 import corpus_pipeline
-from corpusmill.llm import tokens
+from corpusmill.llm import neardup, tokens
+from corpusmill.session import SETTLE, Scratch
 
 
 def words(rng, n):
@@ -58,3 +59,33 @@ def test_odd_tables(spark, tmp_path):
             assert docs.dtypes == full.dtypes
             assert all((r.score, r.matches, r.tokens, r._row, r.key) in {(0.25, "m", 9, 3, 1), (0.5, "m", 9, 3, 1), (None, None, None, None, None)} for r in docs.collect())
         assert out.count() == docs.count()
+
+
+def test_the_driver_gives_back_what_finished_steps_left(spark, tmp_path):
+    """Every stage begins with a collection, and long ones have some on the way."""
+    docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = whole()
+    dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert whole() > before
+    before, scratch = whole(), Scratch(spark, "test")
+    for _ in range(SETTLE):
+        scratch.keep(docs)
+    assert whole() > before
+
+
+def test_jobs_of_a_large_family(spark):
+    """A family that goes through every round of verification takes few jobs, which the driver keeps account of."""
+    rng = random.Random(5)
+    base = words(rng, 60).split()
+    rows = [(i, " ".join([*base[: i % 60], words(rng, 1), *base[i % 60 + 1 :]])) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.sparkContext.setJobGroup("large-family", "")
+    try:
+        assert {r.class_id for r in neardup.near_duplicates(spark, docs).collect()} == {0}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("large-family"))
+    assert 0 < jobs < 150
