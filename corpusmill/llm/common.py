@@ -6,9 +6,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.groups import PARTS, with_groups
-from ..session import Scratch, ship, table
+from ..session import Scratch, few, ship, table
 
-__all__ = ["PARTS", "SPACE", "Scratch", "partitions", "ship", "table", "text_of", "with_groups"]
+__all__ = ["PARTS", "SPACE", "Scratch", "few", "partitions", "ship", "table", "text_of", "with_groups"]
 
 #: ASCII white space, as the character class that every word operator splits on.
 SPACE = r"[\x20\x09-\x0D]+"

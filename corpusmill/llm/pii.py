@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.groups import join_unique, with_groups
-from .common import Scratch, table, text_of
+from .common import Scratch, few, table, text_of
 
 #: The base patterns, in the order of their kinds. Each is written so that Java's matcher needs no deep
 #: stack and no second look at a run; a match can only begin where its run begins or where the last match ended.
@@ -134,7 +134,7 @@ def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float)
 
     # contexts are cut inside the row, so that the text isn't copied for every entity
     own = own.where(F.size("base") > 0).select(F.xxhash64("text").alias("same"), F.explode(F.transform("base", context)).alias("x"))
-    own = scratch.keep(own.select("same", "x.*"), "contexts")
+    own = scratch.keep(few(own.select("same", "x.*"), docs), "contexts")
     # an entity or a word that stands in very many texts is joined in parts
     seen = with_groups(own, ["entity"], "same", F.count("*").alias("texts_e"), over=own.select("entity", "same").distinct())
     pairs = seen.select("entity", "texts_e", "same", F.explode("terms").alias("term")).distinct()
@@ -154,7 +154,7 @@ def _wide(docs: DataFrame, scratch: Scratch, own: DataFrame) -> DataFrame | None
     of their whole texts, one text for each of an entity's surroundings. both is one less than what was counted."""
     texts = own.groupBy("entity", F.xxhash64(F.sort_array("terms")).alias("around")).agg(F.min("same").alias("same"))
     many = texts.groupBy("entity").agg(F.count_distinct("same").alias("texts_e")).where("texts_e > 1")
-    texts = scratch.keep(texts.join(many, "entity").select("entity", "texts_e", "same").distinct(), "wide")
+    texts = scratch.keep(few(texts.join(many, "entity").select("entity", "texts_e", "same").distinct(), docs), "wide")
     test = _test(texts.select(F.col("same").cast("string").alias("term")))
     if test is None:
         return None
@@ -197,9 +197,9 @@ def _risky(docs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
     """(term, share): the terms that disclose at least that share of the information in some entity."""
     same = F.xxhash64("text").alias("same")
     own = docs.select(text_of().alias("text"))
-    copies = scratch.keep(own.groupBy(same).agg(F.count("*").alias("n")), "copies")
+    copies = scratch.keep(few(own.groupBy(same).agg(F.count("*").alias("n")), docs), "copies")
     total = F.lit(float(max(2, copies.count())))
-    candidates = scratch.keep(_candidates(docs, scratch, total, least), "candidates")
+    candidates = scratch.keep(few(_candidates(docs, scratch, total, least), docs), "candidates")
     test = _test(candidates)
     if test is None:
         return scratch.keep(candidates.select("term", F.lit(1.0).alias("share")), "risky")
@@ -213,7 +213,7 @@ def _risky(docs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
         terms = each(own.where(~repeats)).select("term").unionByName(each(own.where(repeats)).distinct().select("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("texts_t"))
     shares = candidates.join(counts, "term").select("term", _share(F.col("both"), F.col("texts_e"), F.col("texts_t"), total).alias("share"))
-    return scratch.keep(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= least), "risky")
+    return scratch.keep(few(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= least), docs), "risky")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = True) -> DataFrame:
@@ -233,7 +233,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
     own = own.withColumn(ROW, F.monotonically_increasing_id()).withColumn(SPOTS, _spots(F.col("text"), test))
     if not keep_text:  # then no text is shuffled: the places of terms are known here
         own = own.withColumn("text", F.lit(None).cast("string"))
-    own = scratch.keep(own, "texts")
+    own = scratch.keep(few(own, docs), "texts")
     masks = F.transform("_base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
     own = own.withColumn("_spans", masks)
     if test:
@@ -247,7 +247,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
         own = plain.unionByName(own.drop(TERMS))
     if keep_text:
         own = own.withColumn("text", _masked(F.col("text"), F.col("_spans")))
-    return own.select(*docs.columns, "_base", "_spans")
+    return few(own.select(*docs.columns, "_base", "_spans"), docs)
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

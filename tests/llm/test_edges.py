@@ -93,3 +93,33 @@ def test_disclosed_shares_equal_brute_force(spark):
                 want[t] = max(want.get(t, 0), share(both - 1, len(around), t))
     want = {t: s for t, s in want.items() if s >= pii.GENERALISE}
     assert len(want) > 10 and set(got) == set(want) and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+@pytest.fixture
+def written(spark, tmp_path, monkeypatch):
+    """Documents in 80 files of one row, and a function that counts the files of every scratch table."""
+    rows = [(i, f"{words(random.Random(i), 40)} user{i}@example.org tells of word{i % 7} beside") for i in range(80)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(80, "doc_id").write.parquet(f"{tmp_path}/docs")
+    held = {"spark.sql.shuffle.partitions": "80", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64k", "spark.sql.files.maxPartitionBytes": "64k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    files, keep = {}, Scratch.keep
+
+    def counted(self, df, name="t"):
+        out = keep(self, df, name)
+        files[out._scratch_path] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    yield spark.read.parquet(f"{tmp_path}/docs"), files
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_personal_data_of_many_splits_goes_to_few_files(spark, written):
+    docs, files = written
+    assert docs.rdd.getNumPartitions() > 16
+    found = pii.sanitise(spark, docs)
+    assert sorted(r.doc_id for r in found.where("_base[0].kind = 'email'").collect()) == list(range(80))
+    assert found.rdd.getNumPartitions() <= 16 and files and max(files.values()) <= 16
