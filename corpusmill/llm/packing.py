@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, partitions, table
+from .common import Scratch, few, partitions, table
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -143,6 +143,9 @@ def evolve(lengths: np.ndarray, size: int, seeds: list[np.ndarray], seed: int, p
     return max(scored, key=lambda x: (x[0], -x[1]))[2]
 
 
+#: Islands that a task evolves, where there are enough of them for all cores.
+ISLANDS_A_TASK = 8
+
 STATE = "block long, island int, items array<long>, lengths array<int>, genome array<int>"
 
 
@@ -162,7 +165,9 @@ def _pack(spark: SparkSession, scratch: Scratch, items: DataFrame, size: int, bl
     """(item, length) -> (item, length, block, bin, offset, fill)."""
     n = items.count()
     blocks = max(1, round(n / block_size))
-    wide = max(1, min(partitions(spark) * 4, blocks * islands))
+    # some islands a task, where that leaves two tasks a core: each task writes a file in each epoch
+    rows = blocks * islands
+    wide = min(partitions(spark) * 4, rows, max(2 * spark.sparkContext.defaultParallelism, -(-rows // ISLANDS_A_TASK)))
     base = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     # a block has a bounded number of rows by construction, so its list is bounded too
     base = base.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("item", "length"))).alias("x"))
@@ -202,7 +207,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, size: int = 2048, vocab
     the older one, between islands to the lower number, so that results repeat.
     """
     scratch = Scratch(spark, "packing")
-    pieces = token_pieces(docs, size, vocabulary or tokens.default_vocabulary())
+    pieces = token_pieces(few(docs), size, vocabulary or tokens.default_vocabulary())
     pieces = scratch.keep(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     args = {"size": size, "block_size": block_size, "islands": islands, "epochs": epochs, "population": population, "generations": generations}
     first = scratch.keep(_pack(spark, scratch, pieces.where(F.col("length") < size).select("item", "length"), **args), "first")

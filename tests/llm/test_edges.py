@@ -123,3 +123,11 @@ def test_personal_data_of_many_splits_goes_to_few_files(spark, written):
     found = pii.sanitise(spark, docs)
     assert sorted(r.doc_id for r in found.where("_base[0].kind = 'email'").collect()) == list(range(80))
     assert found.rdd.getNumPartitions() <= 16 and files and max(files.values()) <= 16
+
+
+def test_islands_share_tasks(spark, written):
+    docs, files = written
+    out = packing.pack_documents(spark, docs, block_size=2).collect()
+    assert sorted(r.doc_id for r in out) == list(range(80))
+    islands = [n for name, n in files.items() if name.endswith("islands")]
+    assert islands and max(islands) <= 16 and max(n for name, n in files.items() if name.endswith("pieces")) <= 16
