@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, collocations, decontamination, html_text, licenses, neardup, packing, pii, quality, token_files, toxicity
+from . import alignment, chat, collocations, decontamination, html_text, lexicon, licenses, neardup, packing, pii, quality, token_files, toxicity
 
-MODULES = (packing, pii, token_files, neardup, licenses, quality, chat, decontamination, html_text, toxicity, alignment, collocations)
+MODULES = (packing, pii, token_files, neardup, licenses, quality, chat, decontamination, html_text, toxicity, alignment, lexicon, collocations)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in MODULES for name, sql in module.SQL.items()}

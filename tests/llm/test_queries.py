@@ -24,6 +24,9 @@ COLUMNS = {
     "op8_benchmark_leaks": ["doc_id", "contaminated", "item_ids"],
     "op9_main_text": ["page_id", "url", "text", "n_chars"],
     "op10_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op11_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op12_word_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op13_collocations": ["lang", "rank", "phrase", "a", "l", "r", "n", "score"],
 }
 
 
