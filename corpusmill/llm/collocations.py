@@ -27,7 +27,9 @@ from .common import Scratch, ship, table
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b"\t"
 LEAST, LONGEST, WITHIN, BEST, NO_LANG = 100, 5, 100, 2000, "und"
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
+#: Rows and bytes of phrases up to which the ids of a level are sent to all tasks; larger ones are joined in parts.
+SENT_ROWS, SENT_BYTES = 1 << 19, 1 << 25
 
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _TO_BREAKS = bytes.maketrans(BREAKS + SPACES, _BREAK * len(BREAKS) + b" " * len(SPACES))
@@ -109,6 +111,15 @@ def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(1000 * a) * wide(n), wide(left) * wide(right))
 
 
+def _named(own: DataFrame, level: DataFrame, by: list[str]) -> DataFrame:
+    """The local numbers that have an id in level. Where ids are few, so are the entries that have one, and the others
+    needn't be shuffled; where they are many, most entries have one."""
+    ids = level.select(*by, "id")
+    rows, size = level.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    small = rows <= SENT_ROWS and size <= SENT_BYTES
+    return (own.join(F.broadcast(ids), by) if small else join_unique(own, ids, by, "block")).select("block", "local", "id")
+
+
 def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All phrases of 2 to `longest` words that stand `least` times or more in docs (lang, text) of their language:
     lang, phrase, words, a (its count), n (words of the language), l and r (counts of the two sides of its
@@ -126,9 +137,9 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     level = join_unique(words.where(F.col("a") >= least), words.groupBy("lang").agg(F.sum("a").alias("n")), ["lang"], "word")
     level = level.select("lang", "word", F.col("word").alias("phrase"), "a", "n", F.array("a").alias("heads"), F.array("a").alias("tails"), F.monotonically_increasing_id().alias("id"))
     level, levels = scratch.keep(level, "level-1"), []
-    named = join_unique(own, level.select("lang", "word", "id"), ["lang", "word"], "block")
+    named = _named(own, level, ["lang", "word"])
     for size in range(2, longest + 1):
-        blocks = scratch.keep(pair_blocks(blocks, named.select("block", "local", "id")), f"blocks-{size}")
+        blocks = scratch.keep(pair_blocks(blocks, named), f"blocks-{size}")
         own = entries(blocks)
         pairs = scratch.keep(own.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"pairs-{size}")
         first = level.select(F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("_first"), "heads")
@@ -138,7 +149,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
         level = level.select("left", "right", "lang", "word", F.concat_ws(" ", "_first", "word").alias("phrase"), "a", "n", more("heads"), more("tails"), F.lit(size).alias("words"), F.monotonically_increasing_id().alias("id"))
         level = scratch.keep(level, f"level-{size}")
         levels.append(level)
-        named = join_unique(own, level.select("left", "right", "id"), ["left", "right"], "block")
+        named = _named(own, level, ["left", "right"])
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)

@@ -153,7 +153,8 @@ def collocations_plainly(rows, least, best, within):
 
 
 @pytest.mark.parametrize(("least", "best", "within", "block_bytes"), [(100, 2000, 100, 4 << 20), (3, 2000, 100, 300), (2, 15, 60, 1)])
-def test_collocations(spark, docs, rows, least, best, within, block_bytes):
+def test_collocations(spark, docs, rows, monkeypatch, least, best, within, block_bytes):
+    monkeypatch.setattr(collocations, "SENT_ROWS", 0 if block_bytes == 300 else 1 << 19)  # both ways that ids reach blocks
     got = collocations.collocations(spark, docs, best, within, least, block_bytes=block_bytes)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert sorted(map(tuple, got.collect())) == collocations_plainly([(r[1], r[2]) for r in rows], least, best, within)
