@@ -31,9 +31,11 @@ from .common import Scratch, ship, table
 from .transducer import Ids, Transducer, compiled
 
 #: Words of the lexicon at most, and the bytes of the longest word in it. What it leaves out is merged.
-LEXICON, LONGEST = 1 << 16, 64
-#: Words whose merged ids a task remembers.
-REMEMBERED = 1 << 17
+LEXICON, LONGEST = 1 << 17, 64
+#: Words whose ids a task remembers.
+REMEMBERED = 1 << 18
+#: Words of up to this many bytes are merged without a heap; the rank of pairs that no merge joins.
+SHORT, NONE = 64, 1 << 30
 
 
 def default_vocabulary() -> str:
@@ -91,6 +93,24 @@ class Tokenizer:
             return (self.special[word],)
         parts: list[str | None] = [self._char[b] for b in word.encode()]
         parts[-1] += self.suffix
+        return self._short(parts) if len(parts) <= SHORT else self._long(parts)
+
+    def _short(self, parts: list[str]) -> Ids:
+        """Of few parts the least rank is found by going through all."""
+        rank = self.ranks.get
+        ranks = [rank(p, NONE) for p in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NONE:
+            i = ranks.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((parts[i - 1], parts[i]), NONE)
+            if i < len(ranks):
+                ranks[i] = rank((parts[i], parts[i + 1]), NONE)
+        return tuple(map(self.vocabulary.__getitem__, parts))
+
+    def _long(self, parts: list[str | None]) -> Ids:
+        """Of many parts, a heap holds the pairs that can be merged; those that have gone since are passed over."""
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         ranks, heap = self.ranks, []
 
