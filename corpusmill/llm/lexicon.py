@@ -36,6 +36,8 @@ LEXICON, LONGEST = 1 << 17, 64
 REMEMBERED = 1 << 18
 #: Words of up to this many bytes are merged without a heap; the rank of pairs that no merge joins.
 SHORT, NONE = 64, 1 << 30
+#: Bits of an id.
+WIDTH = 24
 
 
 def default_vocabulary() -> str:
@@ -60,12 +62,14 @@ class Tokenizer:
             loaded = json.load(file)
         model = loaded["model"]
         self.library, self.suffix, self.vocabulary = Library.from_file(path), model["end_of_word_suffix"], model["vocab"]
-        self.ranks = {tuple(m): k for k, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.made = [self.vocabulary[a + b] for a, b in merges]
+        self.ranks = {self.vocabulary[a] << WIDTH | self.vocabulary[b]: k for k, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in loaded["added_tokens"]}
         self.tokens = {i: t for t, i in (self.vocabulary | self.special).items()}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self._other = re.compile(f"[^{_PLAIN}]")
-        self._char = {b: c for c, b in byte_of().items()}
+        self._inner, self._last = ({b: self.vocabulary[c + end] for c, b in byte_of().items()} for end in ("", self.suffix))
         kinds: dict[str, str] = {}
         for c in map(chr, range(0x180)):
             kinds[kind] = kinds.get(kind := unicodedata.category(c)[0], "") + c
@@ -91,46 +95,46 @@ class Tokenizer:
         """The ids of a word by its merges: of the pair of least rank, the first in the word, until none is left."""
         if word in self.special:
             return (self.special[word],)
-        parts: list[str | None] = [self._char[b] for b in word.encode()]
-        parts[-1] += self.suffix
+        raw = word.encode()
+        parts = [*map(self._inner.__getitem__, raw[:-1]), self._last[raw[-1]]]
         return self._short(parts) if len(parts) <= SHORT else self._long(parts)
 
-    def _short(self, parts: list[str]) -> Ids:
+    def _short(self, parts: list[int]) -> Ids:
         """Of few parts the least rank is found by going through all."""
-        rank = self.ranks.get
-        ranks = [rank(p, NONE) for p in zip(parts, parts[1:], strict=False)]
+        rank, made = self.ranks.get, self.made
+        ranks = [rank(a << WIDTH | b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks and (least := min(ranks)) < NONE:
             i = ranks.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
+            parts[i] = made[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), NONE)
+                ranks[i - 1] = rank(parts[i - 1] << WIDTH | parts[i], NONE)
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), NONE)
-        return tuple(map(self.vocabulary.__getitem__, parts))
+                ranks[i] = rank(parts[i] << WIDTH | parts[i + 1], NONE)
+        return tuple(parts)
 
-    def _long(self, parts: list[str | None]) -> Ids:
+    def _long(self, parts: list[int]) -> Ids:
         """Of many parts, a heap holds the pairs that can be merged; those that have gone since are passed over."""
         before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
         ranks, heap = self.ranks, []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (rank := ranks.get((parts[i], parts[after[i]]))) is not None:
+            if i >= 0 and after[i] >= 0 and (rank := ranks.get(parts[i] << WIDTH | parts[after[i]])) is not None:
                 heapq.heappush(heap, (rank, i, parts[i], parts[after[i]]))
 
         for i in range(len(parts)):
             offer(i)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i]
             if parts[i] != left or j < 0 or parts[j] != right:
                 continue
-            parts[i], parts[j], after[i] = left + right, None, after[j]
+            parts[i], parts[j], after[i] = self.made[rank], -1, after[j]
             if after[i] >= 0:
                 before[after[i]] = i
             offer(before[i])
             offer(i)
-        return tuple(self.vocabulary[p] for p in parts if p is not None)
+        return tuple(p for p in parts if p >= 0)
 
 
 @lru_cache(maxsize=2)
@@ -205,7 +209,7 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _each(docs: DataFrame, vocabulary: str, lexicon: str, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, fast, known = tokenizer(vocabulary), transducer(lexicon), {}
+        own, fast, ids_of, tokens_of = tokenizer(vocabulary), transducer(lexicon), {}, {}
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
             at = 0
@@ -215,13 +219,15 @@ def _each(docs: DataFrame, vocabulary: str, lexicon: str, schema: str, row) -> D
                     size += len(texts[end].as_py() or "")
                     end += 1
                 cut = [own.words(t or "") for t in texts[at:end].to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                new = list({w for words in cut for w in words if w not in known})
+                if len(ids_of) > REMEMBERED:
+                    ids_of.clear()
+                    tokens_of.clear()
+                new = list({w for words in cut for w in words if w not in ids_of})
                 for w, found in zip(new, fast.look_up([w.encode() for w in new]), strict=True):
                     found = own.merge(w) if found is None else found
-                    known[w] = (" ".join(map(str, found)), " ".join(own.tokens[i] for i in found), len(found))
-                rows = [row(i, [known[w] for w in words]) for i, words in zip(ids[at:end], cut, strict=True)]
+                    ids_of[w], tokens_of[w] = " ".join(map(str, found)), " ".join(map(own.tokens.__getitem__, found))
+                joined = [(" ".join(map(ids_of.__getitem__, words)), " ".join(map(tokens_of.__getitem__, words))) for words in cut]
+                rows = [row(i, *x) for i, x in zip(ids[at:end], joined, strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                 at = end
 
@@ -229,13 +235,13 @@ def _each(docs: DataFrame, vocabulary: str, lexicon: str, schema: str, row) -> D
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def _encoded(doc_id: int | None, words: list[tuple]) -> dict:
-    return {"doc_id": doc_id, "ids": [int(i) for w in words for i in w[0].split(" ")], "decoded": " ".join(w[1] for w in words)}
+def _encoded(doc_id: int | None, ids: str, decoded: str) -> dict:
+    return {"doc_id": doc_id, "ids": [int(i) for i in ids.split()], "decoded": decoded}
 
 
-def _digests(doc_id: int | None, words: list[tuple]) -> dict:
+def _digests(doc_id: int | None, ids: str, decoded: str) -> dict:
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
-    return {"doc_id": doc_id, "n_tokens": sum(w[2] for w in words), "ids_sha256": sha(" ".join(w[0] for w in words)), "decoded_sha256": sha(" ".join(w[1] for w in words))}
+    return {"doc_id": doc_id, "n_tokens": ids.count(" ") + bool(ids), "ids_sha256": sha(ids), "decoded_sha256": sha(decoded)}
 
 
 def encode(docs: DataFrame, lexicon: str, vocabulary: str | None = None) -> DataFrame:
