@@ -29,7 +29,7 @@ LEAST, LONGEST, WITHIN, BEST, NO_LANG = 100, 5, 100, 2000, "und"
 #: Bytes of text in a block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
 #: Rows and bytes of phrases up to which the ids of a level are sent to all tasks; larger ones are joined in parts.
-SENT_ROWS, SENT_BYTES = 1 << 19, 1 << 25
+SENT_ROWS, SENT_BYTES = 1 << 18, 1 << 24
 
 _BREAK = b"\xff"  # stands in no UTF-8 text
 _TO_BREAKS = bytes.maketrans(BREAKS + SPACES, _BREAK * len(BREAKS) + b" " * len(SPACES))
@@ -84,25 +84,50 @@ def entries(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.posexplode("names").alias("local", "x")).select("block", "local", "x.*")
 
 
-def pair_blocks(blocks: DataFrame, named: DataFrame) -> DataFrame:
-    """The blocks one level up: adjacent numbers that have an id in named (block, local, id) become pairs."""
-    ids = named.groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
-    joined = blocks.select("block", "sequence", F.size("names").alias("size")).join(ids, "block")
+def _up(block: int, sequence: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """The block one level up: adjacent numbers that have ids (others have -1) become pairs."""
+    size = len(ids)
+    known = np.concatenate([ids, [-1]])[sequence] >= 0  # the last place is that of -1
+    both = np.flatnonzero(known[:-1] & known[1:])
+    pairs, local, n = np.unique(sequence[both].astype(np.int64) * size + sequence[both + 1], return_inverse=True, return_counts=True)
+    above = np.full(max(len(sequence) - 1, 0), -1, dtype=np.int64)
+    above[both] = local
+    columns = [pa.array(x, pa.int64()) for x in (ids[pairs // max(size, 1)], ids[pairs % max(size, 1)], n)]
+    return _block(block, above, pa.StructArray.from_arrays(columns, fields=list(_PAIRS)))
+
+
+UP = "block long, sequence binary, names array<struct<left:long,right:long,n:long>>"
+
+
+def pair_blocks(blocks: DataFrame, level: DataFrame, by: list[str]) -> DataFrame:
+    """The blocks one level up, by the ids that level has for names.
+
+    Where ids are few, so are the names that have one: the ids are sent to all tasks and blocks stay where they are.
+    Otherwise most names have one, and ids come to blocks by joins, those of a name in parts.
+    """
+    ids = level.select(*by, "id")
+    rows, size = level.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
+    if rows <= SENT_ROWS and size <= SENT_BYTES:
+        sent = blocks.sparkSession.sparkContext.broadcast(ids.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = dict(zip(zip(*(sent.value[c].to_pylist() for c in by), strict=True), sent.value["id"].to_pylist(), strict=True))
+            for b in batches:
+                for k, (block, sequence) in enumerate(zip(b["block"].to_pylist(), b["sequence"].to_pylist(), strict=True)):
+                    own = b["names"].slice(k, 1).flatten()
+                    names = zip(*(own.field(c).to_pylist() for c in by), strict=True)
+                    yield _up(block, np.frombuffer(sequence, "<i4"), np.fromiter((known.get(x, -1) for x in names), dtype=np.int64))
+
+        return blocks.mapInArrow(run, UP)
+    named = join_unique(entries(blocks), ids, by, "block").groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
 
     def up(one: pa.Table) -> pa.Table:
-        sequence, size = np.frombuffer(one["sequence"][0].as_py(), "<i4"), one["size"][0].as_py()
+        ids = np.full(one["size"][0].as_py(), -1, dtype=np.int64)
         own = one["ids"].combine_chunks().values
-        ids = np.full(size + 1, -1, dtype=np.int64)  # the last place is that of -1
         ids[own.field("local").to_numpy()] = own.field("id").to_numpy()
-        known = ids[sequence] >= 0
-        both = np.flatnonzero(known[:-1] & known[1:])
-        pairs, local, n = np.unique(sequence[both].astype(np.int64) * size + sequence[both + 1], return_inverse=True, return_counts=True)
-        above = np.full(max(len(sequence) - 1, 0), -1, dtype=np.int64)
-        above[both] = local
-        columns = [pa.array(x, pa.int64()) for x in (ids[pairs // size], ids[pairs % size], n)]
-        return pa.Table.from_batches([_block(one["block"][0].as_py(), above, pa.StructArray.from_arrays(columns, fields=list(_PAIRS)))])
+        return pa.Table.from_batches([_up(one["block"][0].as_py(), np.frombuffer(one["sequence"][0].as_py(), "<i4"), ids)])
 
-    return joined.groupBy("block").applyInArrow(up, "block long, sequence binary, names array<struct<left:long,right:long,n:long>>")
+    return blocks.select("block", "sequence", F.size("names").alias("size")).join(named, "block").groupBy("block").applyInArrow(up, UP)
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -111,15 +136,6 @@ def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(1000 * a) * wide(n), wide(left) * wide(right))
 
 
-def _named(own: DataFrame, level: DataFrame, by: list[str]) -> DataFrame:
-    """The local numbers that have an id in level. Where ids are few, so are the entries that have one, and the others
-    needn't be shuffled; where they are many, most entries have one."""
-    ids = level.select(*by, "id")
-    rows, size = level.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("phrase")), F.lit(0))).first()
-    small = rows <= SENT_ROWS and size <= SENT_BYTES
-    return (own.join(F.broadcast(ids), by) if small else join_unique(own, ids, by, "block")).select("block", "local", "id")
-
-
 def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All phrases of 2 to `longest` words that stand `least` times or more in docs (lang, text) of their language:
     lang, phrase, words, a (its count), n (words of the language), l and r (counts of the two sides of its
@@ -132,16 +148,15 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     ship(spark)
     scratch = Scratch(spark, "collocations")
     blocks = scratch.keep(word_blocks(docs, block_bytes), "words")
-    own = entries(blocks)
-    words = scratch.keep(own.groupBy("lang", "word").agg(F.sum("n").alias("a")), "counts")
+    words = scratch.keep(entries(blocks).groupBy("lang", "word").agg(F.sum("n").alias("a")), "counts")
     level = join_unique(words.where(F.col("a") >= least), words.groupBy("lang").agg(F.sum("a").alias("n")), ["lang"], "word")
     level = level.select("lang", "word", F.col("word").alias("phrase"), "a", "n", F.array("a").alias("heads"), F.array("a").alias("tails"), F.monotonically_increasing_id().alias("id"))
-    level, levels = scratch.keep(level, "level-1"), []
-    named = _named(own, level, ["lang", "word"])
+    level, levels, by = scratch.keep(level, "level-1"), [], ["lang", "word"]
+    scratch.drop(words)
     for size in range(2, longest + 1):
-        blocks = scratch.keep(pair_blocks(blocks, named), f"blocks-{size}")
-        own = entries(blocks)
-        pairs = scratch.keep(own.groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"pairs-{size}")
+        below, by = blocks, by if size == 2 else ["left", "right"]
+        blocks = scratch.keep(pair_blocks(blocks, level, by), f"blocks-{size}")
+        pairs = scratch.keep(entries(blocks).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"pairs-{size}")
         first = level.select(F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("_first"), "heads")
         last = level.select(F.col("id").alias("right"), "word", "tails")
         level = join_unique(join_unique(pairs, first, ["left"], "right"), last, ["right"], "left")
@@ -149,7 +164,8 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
         level = level.select("left", "right", "lang", "word", F.concat_ws(" ", "_first", "word").alias("phrase"), "a", "n", more("heads"), more("tails"), F.lit(size).alias("words"), F.monotonically_increasing_id().alias("id"))
         level = scratch.keep(level, f"level-{size}")
         levels.append(level)
-        named = _named(own, level, ["left", "right"])
+        scratch.drop(below, pairs)
+    scratch.drop(blocks)
     found = levels[0]
     for level in levels[1:]:
         found = found.unionByName(level)
