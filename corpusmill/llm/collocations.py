@@ -27,7 +27,7 @@ from .common import Scratch, ship, table
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b"\t"
 LEAST, LONGEST, WITHIN, BEST, NO_LANG = 100, 5, 100, 2000, "und"
 #: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Rows and bytes of phrases up to which the ids of a level are sent to all tasks; larger ones are joined in parts.
 SENT_ROWS, SENT_BYTES = 1 << 18, 1 << 24
 
@@ -96,6 +96,40 @@ def _up(block: int, sequence: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     return _block(block, above, pa.StructArray.from_arrays(columns, fields=list(_PAIRS)))
 
 
+class _Known:
+    """The ids of a level by their names: words in a dictionary, pairs as places among the sorted pairs."""
+
+    def __init__(self, level: pa.Table, by: list[str]):
+        self.by, self.sorted = by, by == ["left", "right"]
+        own = [level[c] for c in (*by, "id")]
+        if self.sorted:
+            left, right, ids = (c.to_numpy() for c in own)
+            self.lefts, self.rights = np.unique(left), np.unique(right)
+            codes = self._codes(left, right)
+            order = np.argsort(codes)
+            self.codes, self.held = np.append(codes[order], -1), np.append(ids[order], -1)
+        else:
+            self.dictionary = dict(zip(zip(*(c.to_pylist() for c in own[:-1]), strict=True), own[-1].to_pylist(), strict=True))
+
+    def _codes(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """A pair as one number; -2 where a side isn't in any pair of the level."""
+        places = []
+        for values, side in ((self.lefts, left), (self.rights, right)):
+            at = np.searchsorted(values, side)
+            at[at == len(values)] = 0
+            places.append(np.where(values[at] == side, at, -1) if len(values) else np.full(len(side), -1))
+        return np.where((places[0] >= 0) & (places[1] >= 0), places[0] * len(self.rights) + places[1], -2)
+
+    def ids(self, names: pa.StructArray) -> np.ndarray:
+        columns = [names.field(c) for c in self.by]
+        if not self.sorted:
+            get = self.dictionary.get
+            return np.fromiter((get(x, -1) for x in zip(*(c.to_pylist() for c in columns), strict=True)), dtype=np.int64)
+        codes = self._codes(*(c.to_numpy() for c in columns))
+        at = np.searchsorted(self.codes[:-1], codes)
+        return np.where(self.codes[at] == codes, self.held[at], -1)
+
+
 UP = "block long, sequence binary, names array<struct<left:long,right:long,n:long>>"
 
 
@@ -111,12 +145,11 @@ def pair_blocks(blocks: DataFrame, level: DataFrame, by: list[str]) -> DataFrame
         sent = blocks.sparkSession.sparkContext.broadcast(ids.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = dict(zip(zip(*(sent.value[c].to_pylist() for c in by), strict=True), sent.value["id"].to_pylist(), strict=True))
+            known = _Known(sent.value, by)
             for b in batches:
-                for k, (block, sequence) in enumerate(zip(b["block"].to_pylist(), b["sequence"].to_pylist(), strict=True)):
-                    own = b["names"].slice(k, 1).flatten()
-                    names = zip(*(own.field(c).to_pylist() for c in by), strict=True)
-                    yield _up(block, np.frombuffer(sequence, "<i4"), np.fromiter((known.get(x, -1) for x in names), dtype=np.int64))
+                for k in range(b.num_rows):
+                    ids = known.ids(b["names"].slice(k, 1).flatten())
+                    yield _up(b["block"][k].as_py(), np.frombuffer(b["sequence"][k].as_buffer(), "<i4"), ids)
 
         return blocks.mapInArrow(run, UP)
     named = join_unique(entries(blocks), ids, by, "block").groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
