@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.groups import PARTS, join_unique
-from .common import Scratch, ship, table
+from .common import Scratch, arrow_batches, ship, table
 
 #: Fixed values of the contract.
 BREAKS, SPACES = b".,;:!?\n\x0b\x0c\r", b"\t"
@@ -188,7 +188,8 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     scratch.drop(words)
     for size in range(2, longest + 1):
         below, by = blocks, by if size == 2 else ["left", "right"]
-        blocks = scratch.keep(pair_blocks(blocks, level, by), f"blocks-{size}")
+        with arrow_batches(spark, block_bytes):
+            blocks = scratch.keep(pair_blocks(blocks, level, by), f"blocks-{size}")
         pairs = scratch.keep(entries(blocks).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"pairs-{size}")
         first = level.select(F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("_first"), "heads")
         last = level.select(F.col("id").alias("right"), "word", "tails")
