@@ -190,6 +190,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
         below, by = blocks, by if size == 2 else ["left", "right"]
         with arrow_batches(spark, block_bytes):
             blocks = scratch.keep(pair_blocks(blocks, level, by), f"blocks-{size}")
+        scratch.drop(below)
         pairs = scratch.keep(entries(blocks).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"pairs-{size}")
         first = level.select(F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("_first"), "heads")
         last = level.select(F.col("id").alias("right"), "word", "tails")
@@ -198,7 +199,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
         level = level.select("left", "right", "lang", "word", F.concat_ws(" ", "_first", "word").alias("phrase"), "a", "n", more("heads"), more("tails"), F.lit(size).alias("words"), F.monotonically_increasing_id().alias("id"))
         level = scratch.keep(level, f"level-{size}")
         levels.append(level)
-        scratch.drop(below, pairs)
+        scratch.drop(pairs)
     scratch.drop(blocks)
     found = levels[0]
     for level in levels[1:]:
