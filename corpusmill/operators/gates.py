@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +11,17 @@ from ..functions import vocab as V
 #: What the filters of training candidates look for.
 QA_WORDS = ["环境", "社会", "治理", "ESG", "CSR", "可持续发展", "碳排放", "员工", "培训", "供应链", "合规"]
 EXTRACTION_MARKS = ["：", "、", "；", "1.", "2."]
+#: How the reasons of gate_after begin, by the name of their counter.
+REASONS = {
+    "valid_text": "Valid text",
+    "too_short": "Text too short",
+    "private_use": "Contains private-use",
+    "replacement": "Contains replacement",
+    "ext_b": "Ext-B",
+    "invalid_characters": "Valid character ratio",
+    "uncommon_characters": "Uncommon character ratio",
+    "neither_language": "Neither",
+}
 
 
 def too_short(text: Column, least: int) -> Column:
@@ -77,6 +88,14 @@ def quality_check(chunks: DataFrame, mode: str = "clean") -> DataFrame:
     return df.withColumn("text", F.when(F.col("status") == "salvaged", F.col("_clean")).otherwise(F.col("text"))).drop("_clean")
 
 
+def counted(checked: DataFrame, observation: Observation | str = "quality") -> DataFrame:
+    """Rows with `status` and `reason`, whose counters the pass that writes them observes: n, how many are valid,
+    salvaged and invalid, and how many had each of REASONS. Of a batch an Observation gives them once the rows are
+    written, of a stream its progress does, so that nothing is scanned twice."""
+    statuses = [F.count_if(F.col("status") == s).alias(s) for s in ("valid", "salvaged", "invalid")]
+    return checked.observe(observation, F.count("*").alias("n"), *statuses, *(F.count_if(F.startswith("reason", F.lit(r))).alias(name) for name, r in REASONS.items()))
+
+
 def structural_noise(text: Column) -> Column:
     """Tables of contents, notices and repeated page frames."""
     text = T.filled(text)

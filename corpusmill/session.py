@@ -95,6 +95,7 @@ class Scratch:
     where it is unset and the session runs on this machine only)."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)  # whoever writes scratch tables may start Python workers over them
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root and not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")

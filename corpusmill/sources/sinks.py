@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sampling import unprocessed
@@ -21,6 +24,79 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+class Ledger:
+    """A table that several writers append to, each key once. Its folder holds parts and numbered commits; a commit names
+    its run and its part. A part counts when its commit is there, and a commit's number is taken by whoever creates its
+    file first, which Hadoop file systems decide (object stores need conditional writes). So an append is whole or
+    nothing, one that lost the race is worked out anew over what is there now, and a run that is repeated after its commit
+    does nothing.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark._jvm
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def commits(self) -> list[dict]:
+        """{run, part} of the commits in order. One whose file isn't complete yet ends the list."""
+        out: list[dict] = []
+        while self._fs.exists(at := self._at(f"commits/{len(out):08d}")):
+            stream = self._fs.open(at)
+            try:
+                text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            if not text.endswith("\n"):
+                break
+            out.append(json.loads(text))
+        return out
+
+    def read(self, commits: list[dict] | None = None) -> DataFrame | None:
+        """The rows of all committed parts; None where nothing has been committed."""
+        parts = [f"{self.path}/parts/{c['part']}" for c in (self.commits() if commits is None else commits)]
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def append(self, df: DataFrame, key: str, run: str) -> bool:
+        """Appends the rows of a run whose key isn't there yet, of repeated keys one row; False where the run was
+        committed before. Null keys are a key of their own."""
+        while True:
+            commits = self.commits()
+            if any(c["run"] == run for c in commits):
+                return False
+            there, new = self.read(commits), df.dropDuplicates([key])
+            if there is not None:
+                keys = there.select(F.col(key).alias("_k")).distinct()
+                new = new.join(keys, new[key].eqNullSafe(F.col("_k")), "left_anti")
+            part = uuid.uuid4().hex
+            new.write.parquet(f"{self.path}/parts/{part}")
+            if self._commit(len(commits), {"run": run, "part": part}):
+                return True
+            self._fs.delete(self._at(f"parts/{part}"), True)
+
+    def _commit(self, number: int, commit: dict) -> bool:
+        try:
+            stream = self._fs.create(self._at(f"commits/{number:08d}"), False)
+        except Exception as error:  # the number is taken
+            if "FileAlreadyExists" in str(error):
+                return False
+            raise
+        stream.write((json.dumps(commit) + "\n").encode())
+        stream.close()
+        return True
+
+    def vacuum(self) -> int:
+        """Deletes the parts that no commit names, of appends that failed; only while nobody appends."""
+        named = {c["part"] for c in self.commits()}
+        there = [s.getPath() for s in self._fs.listStatus(self._at("parts"))] if self._fs.exists(self._at("parts")) else []
+        gone = [p for p in there if p.getName() not in named]
+        for p in gone:
+            self._fs.delete(p, True)
+        return len(gone)
+
+
 def write_audit(audit: DataFrame, path: str) -> None:
     audit.write.partitionBy("action").json(path)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators import dedup
-from ..operators.gates import quality_check
+from ..operators.gates import counted, quality_check
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, kind: str = "json", files: int = 100) -> DataFrame:
@@ -18,6 +19,11 @@ def checked(stream: DataFrame, mode: str = "clean") -> DataFrame:
     return quality_check(stream, mode)
 
 
+def checked_and_counted(stream: DataFrame, name: str, mode: str = "clean") -> DataFrame:
+    """checked, with its counters observed under a name, in the same pass: see Counters."""
+    return counted(quality_check(stream, mode), name)
+
+
 def distinct_texts(stream: DataFrame, time: str, text: str = "text", late: str = "1 hour") -> DataFrame:
     """The first of equal texts within the watermark; state is bounded by it."""
     return stream.withColumn("_h", F.md5(text)).withWatermark(time, late).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
@@ -56,27 +62,70 @@ def with_failure_log(stream: DataFrame, good: str, bad: str, checkpoint: str, fa
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def near_distinct(stream: DataFrame, good: str, state: str, checkpoint: str, key: str, text: str = "text", near: int = dedup.NEAR, latest: int | None = None) -> StreamingQuery:
-    """Near-duplicate removal over a stream: a row goes if its signature is near one that an earlier batch kept, or that
-    its own batch keeps in key order. Kept signatures are the state, a table that grows by one part a batch; a batch
-    that runs again sees the parts before its own only and replaces what it wrote. latest: only so many of the newest
-    kept signatures count, by batch and key."""
+#: Fixed value: how many kept signatures the scan of a growing collection looks back on.
+LATEST = 50_000
+
+
+def _snapshots(spark: SparkSession, state: str) -> list[int]:
+    """The batches of which a snapshot of the state is there."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(state)
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(there)] if fs.exists(there) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+
+
+def near_distinct(stream: DataFrame, good: str, state: str, checkpoint: str, key: str, text: str = "text", near: int = dedup.NEAR, latest: int = LATEST) -> StreamingQuery:
+    """Near-duplicate removal over a stream: a row goes if its signature is near one of the `latest` newest that earlier
+    batches kept, or one that its own batch keeps in key order.
+
+    The state after a batch is a snapshot of these newest kept signatures, by batch and key; the next batch reads it and
+    nothing older, so that a batch costs its own rows and the window, however many batches there were. A batch that
+    runs again reads the snapshot before its own and replaces what it wrote; snapshots that no batch can ask for are
+    deleted.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         scratch = dedup.Scratch(spark, "near")
         signed = scratch.keep(batch.withColumn("signature", dedup.simhash(F.col(text))), "signed")
-        there = spark._jvm.org.apache.hadoop.fs.Path(state)
-        kept = signed
-        if there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
-            old = spark.read.schema(f"{key} {signed.schema[key].dataType.simpleString()}, signature long, batch long").parquet(state).where(F.col("batch") < number)
-            old = old.orderBy(F.desc("batch"), F.desc(key)).limit(latest) if latest else old
+        before, kept, old = [n for n in _snapshots(spark, state) if n < number], signed, None
+        if before:
+            old = spark.read.schema(f"{key} {signed.schema[key].dataType.simpleString()}, signature long, since long").parquet(f"{state}/batch={before[-1]}")
             kept = scratch.keep(kept.join(dedup.near_any(signed.select(key, "signature"), old, key, near), key, "left_anti"), "new")
         heads = kept.where("signature is not null").groupBy("signature").agg(F.min(key).alias(key))
         chosen = scratch.keep(dedup.greedy(heads, dedup.near_edges(heads, key, near), key).where("kept").select(key), "chosen")
         out = kept.where("signature is null").unionByName(kept.join(chosen, key, "left_semi"))
         out.drop("signature").write.mode("overwrite").parquet(f"{good}/batch={number}")
-        signed.select(key, "signature").join(chosen, key, "left_semi").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        own = signed.select(key, "signature").join(chosen, key, "left_semi").withColumn("since", F.lit(number).cast("long"))
+        window = (own if old is None else own.unionByName(old)).orderBy(F.desc("since"), F.desc(key)).limit(latest)
+        window.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        for n in before[:-1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/batch={n}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         scratch.clear()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class Counters(StreamingQueryListener):
+    """The counters of quality checks over the batches of streams, by the name of the observation, from the pass that
+    writes the rows. spark.streams.addListener(Counters())."""
+
+    def __init__(self) -> None:
+        self.totals: dict[str, dict[str, int]] = {}
+        self._seen: set[tuple] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        batch = (str(event.progress.id), event.progress.batchId)
+        if event.progress.observedMetrics and batch not in self._seen:  # a batch that runs again counts once
+            self._seen.add(batch)
+            for name, row in event.progress.observedMetrics.items():
+                own = self.totals.setdefault(name, {})
+                for c, n in row.asDict().items():
+                    own[c] = own.get(c, 0) + (n or 0)
+
+    def onQueryTerminated(self, event) -> None:
+        pass
