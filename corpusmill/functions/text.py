@@ -1,7 +1,11 @@
-"""Text functions from columns to columns. All of them run in the JVM; null counts as an empty text."""
+"""Text functions from columns to columns. All of them but the conversion by phrases run in the JVM; null counts as an
+empty text."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,3 +220,30 @@ def first_filled(*columns: Column) -> Column:
 def to_simplified(text: Column, pairs: dict[str, str] | None = None) -> Column:
     """Traditional to simplified characters by a table of single characters; without a table the text stays."""
     return F.translate(text, "".join(pairs), "".join(pairs.values())) if pairs else text
+
+
+def to_simplified_phrases(text: Column, phrases: dict[str, str], pairs: dict[str, str] | None = None) -> Column:
+    """Traditional to simplified text by the longest phrase at each place, where none begins by single characters: one
+    character has several simple forms, which its phrase tells apart. Null stays null. A place costs a look-up for each
+    length that phrases of its first character have; both tables are parameters and go along with the function."""
+    table = {k: v for k, v in ((pairs or {}) | phrases).items() if k}
+    lengths: dict[str, list[int]] = {}
+    for n, first in sorted({(len(k), k[0]) for k in table}, reverse=True):
+        lengths.setdefault(first, []).append(n)
+    starts = re.compile("[" + "".join(map(re.escape, lengths)) + "]") if lengths else None
+
+    def one(t: str) -> str:
+        out, at = [], 0
+        while m := starts.search(t, at):
+            i = m.start()
+            out.append(t[at:i])
+            n = next((n for n in lengths[t[i]] if t[i : i + n] in table), 1)
+            out.append(table.get(t[i : i + n], t[i : i + n]))
+            at = i + n
+        return "".join([*out, t[at:]])
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: one(t) if t is not None and starts else t)
+
+    return run(text)

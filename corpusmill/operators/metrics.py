@@ -294,8 +294,8 @@ def corpus_bleu4(pairs: DataFrame, candidate: str, reference: str, by: list[str]
     return df.select(*by, F.when((F.col("n8") > 0) & (F.col("n0") > 0), brevity * F.exp(logs)).otherwise(0.0).alias("bleu4"))
 
 
-def distinct_n(df: DataFrame, text: str, n: int, by: list[str], unit: str = "char") -> DataFrame:
-    """Distinct n-grams over all n-grams of each group's texts."""
+def _n_grams(df: DataFrame, text: str, n: int, by: list[str], unit: str) -> DataFrame:
+    """(by ..., g): a row for each n-gram of each text."""
     if unit == "char":
         grams = T.grams(T.filled(F.col(text)), n)
     else:
@@ -303,10 +303,33 @@ def distinct_n(df: DataFrame, text: str, n: int, by: list[str], unit: str = "cha
         df = T.once(df, "_w", words)
         size = F.size("_w") - n + 1
         grams = F.when(size > 0, F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.concat_ws(" ", *(F.get("_w", i + k) for k in range(n)))))
-    each = df.select(*by, F.explode(grams).alias("g")).groupBy(*by, "g").agg(F.count("*").alias("c"))
+    return df.select(*by, F.explode(grams).alias("g"))
+
+
+def distinct_n(df: DataFrame, text: str, n: int, by: list[str], unit: str = "char") -> DataFrame:
+    """Distinct n-grams over all n-grams of each group's texts."""
+    each = _n_grams(df, text, n, by, unit).groupBy(*by, "g").agg(F.count("*").alias("c"))
     return each.groupBy(*by).agg((F.count("*") / F.sum("c")).alias(f"distinct_{n}"))
 
 
+#: The logarithm of the registers of a sketch: 1.04 / sqrt(2^14), a relative standard error of 0.8 %, in 16 KB at most.
+SKETCH = 14
+
+
+def distinct_sketches(df: DataFrame, text: str, n: int, by: list[str], unit: str = "char", size: int = SKETCH) -> DataFrame:
+    """(by ..., sketch, grams): what distinct_of needs of each group's texts. N-grams are taken up where they are made and
+    sketches are shuffled in their place. Kept per label and part of a growing collection, parts are never read again."""
+    each = _n_grams(df, text, n, by, unit)
+    return each.groupBy(*by).agg(F.hll_sketch_agg("g", size).alias("sketch"), F.count("*").alias("grams"))
+
+
+def distinct_of(sketches: DataFrame, by: list[str], n: int) -> DataFrame:
+    """(by ..., distinct_n) of the union of all sketches of a group, at most 1, with the relative error of SKETCH; groups
+    may be coarser than those of the sketches."""
+    own = sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("d"), F.sum("grams").alias("c"))
+    return own.select(*by, F.least(F.lit(1.0), F.col("d") / F.col("c")).alias(f"distinct_{n}"))
+
+
 def evaluate(pairs: DataFrame, by: list[str], instruction: str = "instruction", response: str = "response", source: str = "source", quality: str | None = None) -> DataFrame:
     """Means of the row metrics of each group; rows without a source don't count in those that need one. Over whole
     groups: distinct_1 and distinct_2 of the responses' characters, and the metrics that need a model, null."""

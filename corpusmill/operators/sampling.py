@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 #: Shares of the years of a weighted sample.
 YEAR_WEIGHTS = {2024: 0.40, 2023: 0.30, 2022: 0.20, 2021: 0.10}
 
@@ -114,8 +116,8 @@ def newest_first(df: DataFrame, year: str, target: int, key: str) -> DataFrame:
 
 def batch(df: DataFrame, number: int, size: int, key: str, done: DataFrame | None = None) -> DataFrame:
     """The number-th slice (from 1) of `size` rows in key order, less what is done."""
-    rows = df.orderBy(key).limit(number * size).withColumn("_r", F.row_number().over(Window.orderBy(key)))
-    rows = rows.where(F.col("_r") > (number - 1) * size).drop("_r")
+    rows = running_sums(df, [], [key], _r=F.lit(1))
+    rows = rows.where((F.col("_r") > (number - 1) * size) & (F.col("_r") <= number * size)).drop("_r")
     return rows.join(done.select(key), key, "left_anti") if done is not None else rows
 
 
@@ -132,7 +134,8 @@ def latest(df: DataFrame, n: int, order: str, value: str) -> DataFrame:
 
 def running_mean(df: DataFrame, by: str, order: str, value: str, out: str = "running_mean") -> DataFrame:
     """The mean of all rows of the group so far."""
-    return df.withColumn(out, F.avg(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = running_sums(df, [by], [order], _s=F.col(value).cast("double"), _n=F.col(value).isNotNull().cast("long"))
+    return rows.withColumn(out, F.when(F.col("_n") > 0, F.col("_s") / F.col("_n"))).drop("_s", "_n")
 
 
 def unprocessed(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Scratch
+from .ranges import running_sums
 
 #: Upper bounds of the histograms of lengths and of the bins of quality.
 CHAR_RANGES = (200, 400, 512, 800, 1200)
@@ -257,14 +258,13 @@ def wilcoxon(pairs: DataFrame, metric: str, va: str = "va", vb: str = "vb") -> D
     most EXACT differences without ties and zeros p is exact, else by the normal approximation with the correction for
     ties.
 
-    Ranks come from counts of equal differences, summed over the distinct values, so a metric of very many rows is
-    ranked from its table of values.
+    Ranks come from counts of equal differences, summed by ranges of the distinct values, so that a metric of very many
+    rows isn't ranked in one task.
     """
     d = pairs.select(metric, va, vb, (F.col(va) - F.col(vb)).alias("d"))
     means = d.groupBy(metric).agg(F.avg(va).alias("mean_a"), F.avg(vb).alias("mean_b"))
     sizes = d.where("d <> 0").groupBy(metric, F.abs("d").alias("m")).agg(F.count("*").alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    w = Window.partitionBy(metric).orderBy("m").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = sizes.withColumn("rank", F.sum("c").over(w) - (F.col("c") - 1) / 2.0)
+    ranked = running_sums(sizes, [metric], ["m"], upto=F.col("c")).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2.0)
     zeros = d.groupBy(metric).agg(F.count_if(F.col("d") == 0).alias("zeros"))
     s = ranked.groupBy(metric).agg(F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")

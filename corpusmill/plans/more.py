@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import dedup, gates, generation, metrics, replies, sampling, stats
 from ..session import Scratch, table
 from ..sources import files, sinks
+from ..streaming import monitor
 from .queries import QUERIES, SQL, CNT, D_S, MD5, PAIRS_S, PUNCT_S, RECORDS_S, STRIP, _chunks, _docs, _more, _pairs, _records, accepted_chunks, query, quoted, sql_chunks
 
 __all__ = ["QUERIES", "SQL"]
@@ -323,3 +324,44 @@ def appended_rows(spark, d):
     sinks.append_new(rows.where("doc_id % 2 = 0"), at, "doc_id")
     sinks.append_new(rows.where("doc_id % 2 = 0 or doc_id % 3 = 0"), at, "doc_id")
     return spark.read.parquet(at)
+
+
+@query("""WITH e AS (SELECT event_type, event_id, value, CAST(ts AS TIMESTAMP) AS ts, count(*) OVER (PARTITION BY event_type) AS total,
+  row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC, CAST(ts AS TIMESTAMP) DESC, value DESC) AS back FROM events WHERE event_type IS NOT NULL AND event_id IS NOT NULL AND value IS NOT NULL AND ts IS NOT NULL
+), l AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY back DESC) AS r, row_number() OVER (PARTITION BY event_type ORDER BY value) AS s, count(*) OVER (PARTITION BY event_type) AS n FROM e WHERE back <= 200
+), a AS (SELECT event_type, any_value(total) AS total, any_value(n) AS n, max(value) FILTER (WHERE s = n // 2 + 1) AS upper_median, avg(value) FILTER (WHERE r <= n // 2) AS first_half, avg(value) FILTER (WHERE r > n // 2) AS second_half,
+  (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM l GROUP BY event_type
+), b AS (SELECT *, CASE WHEN span > 0 THEN (n - 1) / span END AS rate FROM a)
+SELECT event_type, total, CAST(n AS INTEGER) AS n, upper_median, round(first_half, 6) AS first_half, round(second_half, 6) AS second_half, round(second_half - first_half, 6) AS trend, round(rate, 9) AS rate, round(greatest(100000 - total, 0) / rate, 3) AS seconds_left FROM b""")
+def live_latest(spark, d):
+    """The live figures of each kind of event, over the table."""
+    out = monitor.latest_by(table(spark, d, "events"), "event_type", "event_id", "value", "ts", 200, 100_000)
+    six = lambda c: F.round(c, 6).alias(c)
+    return out.select("event_type", "total", "n", "upper_median", six("first_half"), six("second_half"), six("trend"), F.round("rate", 9).alias("rate"), F.round("seconds_left", 3).alias("seconds_left"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders")
+def committed_appends(spark, d):
+    """K2, K3: two overlapping runs and a repeated one are appended; each key is there once."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    ledger = sinks.Ledger(spark, Scratch(spark, "ledger").at)
+    ledger.append(orders.where("o_orderkey % 3 < 2"), "o_orderkey", "first")
+    ledger.append(orders.where("o_orderkey % 3 > 0"), "o_orderkey", "second")
+    ledger.append(orders, "o_orderkey", "second")
+    ledger.append(orders.where("o_orderkey % 3 = 2 or o_orderkey % 5 = 0"), "o_orderkey", "third")
+    return ledger.read()
+
+
+@query(r"""WITH m AS (SELECT l_returnflag || l_linestatus AS mode, CAST(count(*) AS DOUBLE) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS quantity, CAST(nullif(count(*) FILTER (WHERE l_linenumber > 3 AND l_linestatus = 'F'), 0) AS DOUBLE) AS late FROM lineitem GROUP BY 1
+), c AS (SELECT mode, [n, quantity, late] AS v, [max(n) OVER (), max(quantity) OVER (), max(late) OVER ()] AS best FROM m
+), r AS (SELECT mode || ' & ' || array_to_string(list_transform([1, 2, 3], lambda i: CASE WHEN v[i] IS NULL THEN '--' WHEN v[i] = best[i] THEN '\textbf{' || printf('%.2f', v[i]) || '}' ELSE printf('%.2f', v[i]) END), ' & ') || ' \\' AS line FROM c
+), t AS (SELECT row_number() OVER (ORDER BY line) AS place, line, count(*) OVER () AS n FROM r)
+SELECT place, line FROM t UNION ALL SELECT * FROM (VALUES (-3, '\begin{tabular}{lrrr}'), (-2, '\toprule'), (-1, 'mode & n & quantity & late \\'), (0, '\midrule')) UNION ALL SELECT any_value(n) + 1, '\bottomrule' FROM t UNION ALL SELECT any_value(n) + 2, '\end{tabular}' FROM t""")
+def latex_of_metrics(spark, d):
+    """K6: a table as lines, the best of a column in bold."""
+    rows = table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("mode")).agg(
+        F.count("*").cast("double").alias("n"),
+        F.sum(F.col("l_quantity").cast("long")).cast("double").alias("quantity"),
+        F.nullif(F.count_if((F.col("l_linenumber") > 3) & (F.col("l_linestatus") == "F")), F.lit(0)).cast("double").alias("late"),
+    )
+    return sinks.latex_lines(rows, "mode", ["n", "quantity", "late"], 2)

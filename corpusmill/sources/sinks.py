@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running_sums
 from ..operators.sampling import unprocessed
 
 
@@ -132,3 +133,19 @@ def latex_table(wide: list[dict], label: str, metrics: list[str], digits: int =
     head = " & ".join([label, *metrics]) + r" \\"
     rows = [" & ".join([str(r[label]), *(cell(r, m) for m in metrics)]) + r" \\" for r in wide]
     return "\n".join([r"\begin{tabular}{l" + "r" * len(metrics) + "}", r"\toprule", head, r"\midrule", *rows, r"\bottomrule", r"\end{tabular}"])
+
+
+def latex_lines(wide: DataFrame, label: str, metrics: list[str], digits: int = 4) -> DataFrame:
+    """(place, line): the same table as rows, by label; a row for each line, so that the table may be of any length. The
+    best of a column come from one pass, a null is `--`, of equally good cells each is in bold."""
+    best = wide.agg(*(F.max(m).alias(f"_{m}") for m in metrics))
+    shown = lambda m: F.format_string(f"%.{digits}f", F.col(m).cast("double"))
+    cells = [F.when(F.col(m).isNull(), "--").when(F.col(m) == F.col(f"_{m}"), F.concat(F.lit(r"\textbf{"), shown(m), F.lit("}"))).otherwise(shown(m)) for m in metrics]
+    rows = wide.crossJoin(F.broadcast(best))  # one row
+    rows = running_sums(rows.select(F.col(label).cast("string").alias("_label"), F.concat(F.concat_ws(" & ", F.col(label).cast("string"), *cells), F.lit(r" \\")).alias("line")), [], ["_label", "line"], place=F.lit(1))
+    head = [r"\begin{tabular}{l" + "r" * len(metrics) + "}", r"\toprule", " & ".join([label, *metrics]) + r" \\", r"\midrule"]
+    fixed = wide.sparkSession.createDataFrame([(k - len(head) + 1, x) for k, x in enumerate(head)] + [(None, r"\bottomrule"), (None, r"\end{tabular}")], "place int, line string")
+    last = wide.agg(F.count("*").alias("_n"))
+    foot = F.col("_n") + F.when(F.col("line") == r"\bottomrule", 1).otherwise(2)
+    fixed = fixed.crossJoin(F.broadcast(last)).select(F.coalesce("place", foot).cast("long").alias("place"), "line")  # one row
+    return rows.select(F.col("place").cast("long").alias("place"), "line").unionByName(fixed)

@@ -137,3 +137,54 @@ def test_lines_of_a_text_are_deduplicated_in_order(spark):
     long = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("line "), (i % 50_000).cast("string"))), "\n").alias("text"))
     began = time.time()
     assert dedup.dedup_lines(long).select("line_dedup_removed").first()[0] == 50_000 and time.time() - began < 20
+
+
+def test_running_sums_and_what_stands_on_them(spark):
+    from corpusmill.operators import ranges, sampling, stats
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice([None, float(rng.randrange(9))])) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, k int, v double").repartition(3)
+    got = {r.k: r for r in ranges.running_sums(df, ["g"], ["k"], s=F.col("v"), n=F.lit(1)).collect()}
+    means = {r.k: r.running_mean for r in sampling.running_mean(df, "g", "k", "v").collect()}
+    for g in ("a", "b", None):
+        total, n, seen = 0.0, 0, []
+        for _, k, v in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]):
+            total, n, seen = total + (v or 0), n + 1, seen + ([v] if v is not None else [])
+            assert (got[k].s, got[k].n) == (total, n) and means[k] == (pytest.approx(sum(seen) / len(seen)) if seen else None)
+    assert [r.k for r in sampling.batch(df, 3, 40, "k").orderBy("k").collect()] == list(range(80, 120)) and sampling.batch(df, 9, 40, "k").isEmpty()
+    assert ranges.running_sums(df.limit(0), [], ["k"], n=F.lit(1)).isEmpty()
+    pairs = spark.createDataFrame([("m", i, float(rng.randrange(40)), float(rng.randrange(40))) for i in range(200)], "metric string, i int, va double, vb double")
+    d = [(r.va - r.vb) for r in pairs.collect() if r.va != r.vb]
+    size = sorted(abs(x) for x in d)
+    rank = lambda x: sum(k + 1 for k, y in enumerate(size) if y == x) / size.count(x)
+    assert stats.wilcoxon(pairs, "metric").first().w_plus == pytest.approx(sum(rank(x) for x in d if x > 0))
+
+
+def test_sketches_merge(spark):
+    from corpusmill.operators import metrics
+
+    rng = random.Random(7)
+    rows = [(("en", "de")[i % 2], i % 5, "".join(rng.choice("abcdefghijklmnop ") for _ in range(200))) for i in range(400)]
+    df = spark.createDataFrame(rows, "lang string, part int, text string")
+    for n in (1, 2, 3):
+        exact = {r[0]: r[1] for r in metrics.distinct_n(df, "text", n, ["lang"]).collect()}
+        parts = metrics.distinct_sketches(df, "text", n, ["lang", "part"])
+        merged = {r[0]: r[1] for r in metrics.distinct_of(parts, ["lang"], n).collect()}
+        whole = {r[0]: r[1] for r in metrics.distinct_of(metrics.distinct_sketches(df, "text", n, ["lang"]), ["lang"], n).collect()}
+        assert set(exact) == set(merged) and all(merged[k] == pytest.approx(v, rel=0.03) and merged[k] == pytest.approx(whole[k], rel=0.03) for k, v in exact.items()), n
+
+
+def test_phrases_before_characters(spark):
+    from corpusmill.functions import text as T
+
+    pairs = {"後": "后", "乾": "干", "髮": "发", "發": "发", "著": "着"}
+    phrases = {"乾坤": "乾坤", "著作": "著作", "乾": "干", "乾隆年間": "乾隆年间", "乾隆": "乾隆"}
+    texts = ["乾坤之後", "乾燥著作", "看著乾隆年間的著作", "乾隆髮", "plain", "", None, "乾"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.select("i", T.to_simplified_phrases(F.col("t"), phrases, pairs).alias("x")).orderBy("i").collect()]
+    assert got == ["乾坤之后", "干燥著作", "看着乾隆年间的著作", "乾隆发", "plain", "", None, "干"]
+    assert [r.x for r in df.select(T.to_simplified_phrases(F.col("t"), {}).alias("x"), "i").orderBy("i").collect()] == texts
+    long = spark.range(1).select(T.to_simplified_phrases(F.repeat(F.lit("乾隆年間乾"), 200_000), phrases).alias("x")).first().x
+    assert long == "乾隆年间干" * 200_000
