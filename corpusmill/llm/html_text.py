@@ -3,9 +3,13 @@
 A forgiving parser builds a tree. What is never part of an article (scripts, menus, page headers, footers, sidebars,
 notices, adverts, forms, reader comments) is taken out by element, role and name. Every paragraph then passes points
 for its length and commas to its ancestors, less with each level; an ancestor's total is discounted by its link
-density. The best container is kept, block by block, with those of its siblings that score well and all that stands
-between the first and the last of these. A name takes an element out only if nothing in it says otherwise: headings and
-inline elements aren't judged by names, nor are names such as `related-work` or `comments-on-method`.
+density. From the best container the way goes up to the article element that holds it, or else as long as what stands
+beside it is text and not links. That container is kept, block by block, with those of its siblings that score well and
+all that stands between the first and the last of these.
+
+Headings and inline elements aren't judged by names. Beside an article element one word decides; elsewhere a name takes an
+element out only if nothing in it says otherwise (`related-work`, `comments-on-method`), and inside an article only some
+words do so by themselves: the others ask for links, reader comments or short text.
 """
 
 from __future__ import annotations
@@ -31,19 +35,28 @@ DROPPED = frozenset("nav footer aside form script style noscript template iframe
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NEGATIVE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
-    "disclaimer discussion disqus foot footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination "
+    "disclaimer discussion disqus feedback foot footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices pager pagination "
     "popup promo promoted promotion recommend recommendations recommended related replies reply respond share sharing sidebar sidebars "
     "signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar tracking widget widgets".split()
 )
 #: Of these, words that articles use of their own parts too: they count outside an article, and inside it only where
 #: the element is full of links or holds reader comments.
 WEAK = frozenset("discussion related recommend recommendations recommended replies reply respond tags teaser skip disclaimer".split())
+#: Words that take nothing of length out of an article: what bears them goes where its text is short or full of links.
+SOFT = frozenset("banner foot footer login masthead menu nav navbar navigation notice notices skip social toolbar topbar tracking widget widgets".split())
+#: A block of so many characters is text of its own; one of FAIR is enough beside the best container.
+LONG, FAIR = 200, 140
+#: Headings of lists of links that belong to an article.
+REFERENCES = frozenset(
+    "references|sources|bibliography|notes|footnotes|endnotes|literature|citations|works cited|further reading|see also|external links|links|"
+    "références|sources et références|bibliographie|quellen|literatur|einzelnachweise|weblinks|referencias|fuentes|bibliografía|enlaces externos".split("|")
+)
 #: Words that may stand beside a negative one in a name without changing what it says.
 NEUTRAL = frozenset(
     "area articles bar block body bottom box center col column container content count embed form global group header inner item items left link links list "
-    "main mobile module more outer page panel post posts primary right row secondary section site slot stories story thread top unit user wrap wrapper".split()
+    "main mobile module more outer page panel post posts primary reader readers right row secondary section site slot stories story thread top unit user users visitor visitors wrap wrapper".split()
 )
-READERS = frozenset("comment comments commentlist disqus".split())
+READERS = frozenset("comment comments commentlist disqus feedback".split())
 POSITIVE = frozenset("article body content entry main page post story text".split())
 EXCEPT = frozenset("has with no without is not".split())
 #: Elements that are judged by their names.
@@ -57,12 +70,13 @@ PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "role", "hidden", "points", "text", "linked", "links", "commas")
+    __slots__ = ("tag", "parent", "children", "names", "role", "hidden", "points", "text", "linked", "links", "commas", "readers", "bodies", "longest", "inline")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = ""):
         self.tag, self.parent, self.children = tag, parent, []
         self.names, self.role, self.hidden = [], "", False
         self.points, self.text, self.linked, self.links, self.commas = 0.0, 0, 0, 0, 0
+        self.readers, self.bodies, self.longest, self.inline = False, 0, 0, 0
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -127,60 +141,61 @@ def _close(at: Node, tags: tuple[str, ...]) -> Node:
 
 
 def _pieces(node: Node) -> list[set[str]]:
-    return [{p.lower() for p in PIECE.findall(t)} for t in node.names]
+    return [{w for p in PIECE.findall(t) for w in _words(p.lower())} for t in node.names]
 
 
-def _holds(node: Node, tags: frozenset[str], least: int = 1, readers: bool = False) -> bool:
-    """Whether node has so many elements of these tags below it (or of names of reader comments)."""
-    stack = [c for c in node.children if isinstance(c, Node)]
-    while stack:
-        c = stack.pop()
-        least -= c.tag in tags or (readers and any(p & READERS for p in _pieces(c)))
-        if least <= 0:
-            return True
-        stack += [x for x in c.children if isinstance(x, Node)]
-    return False
+def _words(piece: str) -> tuple[str, ...]:
+    """A piece of a name, or the two known words that it is made of (`cookiebanner`)."""
+    if piece in NEGATIVE or piece in NEUTRAL or len(piece) > 24:
+        return (piece,)
+    for i in range(4, len(piece) - 2):
+        first, second = piece[:i], piece[i:]
+        if (first in NEGATIVE and (second in NEGATIVE or second in NEUTRAL)) or (first in NEUTRAL and second in NEGATIVE and len(second) > 3):
+            return first, second
+    return (piece,)
 
 
-def _link_share(node: Node) -> float:
-    every, linked, stack = 0, 0, [(node, node.tag == "a")]
-    while stack:
-        x, inside = stack.pop()
-        for c in x.children:
-            if isinstance(c, str):
-                n = len("".join(c.split()))
-                every += n
-                linked += n if inside else 0
-            else:
-                stack.append((c, inside or c.tag == "a"))
-    return linked / every if every else 0.0
+def _own(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.role in ("main", "article")
 
 
-def _named_away(node: Node, inside: bool) -> bool:
+def _named_away(node: Node, inside: bool, beside: bool) -> bool:
+    """inside: an article or main element stands above; beside: the page has one elsewhere."""
     for pieces in _pieces(node):
-        found = {p for p in pieces & NEGATIVE}
-        if not found or pieces & EXCEPT or any(p not in NEUTRAL and not p.isdigit() for p in pieces - NEGATIVE):
+        found = pieces & NEGATIVE
+        if not found or pieces & EXCEPT:
+            continue
+        unknown = any(p not in NEUTRAL and not p.isdigit() and len(p) > 1 for p in pieces - NEGATIVE)
+        if unknown and (inside or not beside):
             continue
-        if found - WEAK or not inside or _link_share(node) > 0.3 or _holds(node, frozenset(), readers=True):
+        linked = density(node) > 0.3 or node.readers
+        if not inside or found - WEAK - SOFT or linked or (found & SOFT and node.longest < LONG):
             return True
     return False
 
 
-def dropped(node: Node, inside: bool) -> bool:
-    """inside: an article or main element stands above."""
-    if node.tag == "form" and not node.hidden and _holds(node, frozenset(("p", "article", "main")), 3):
+def dropped(node: Node, inside: bool, beside: bool) -> bool:
+    if node.tag == "form" and not node.hidden and node.bodies >= 3:
         return False  # a form round the whole page: only its controls go
     if node.tag in DROPPED or node.hidden or node.role in ROLES or (node.tag == "header" and not inside):
         return True
-    return node.tag in NAMED and _named_away(node, inside)
+    return node.tag in NAMED and _named_away(node, inside, beside)
 
 
 def prune(root: Node) -> None:
+    """Takes out what is never part of an article. Measures come first, once and from the leaves up."""
+    order = _measure(root)
+    holds = {id(n) for n in order if _own(n)}
+    beside = bool(holds)
+    for n in reversed(order):
+        if id(n) in holds and n.parent is not None:
+            holds.add(id(n.parent))
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
-        inside = inside or node.tag in ("article", "main") or node.role in ("main", "article")
-        node.children = [c for c in node.children if isinstance(c, str) or not dropped(c, inside)]
+        inside = inside or _own(node)
+        # what holds an article is judged as on a page without one
+        node.children = [c for c in node.children if isinstance(c, str) or not dropped(c, inside, beside and id(c) not in holds)]
         stack += [(c, inside) for c in node.children if isinstance(c, Node)]
 
 
@@ -220,7 +235,8 @@ def blocks(node: Node) -> list[tuple[Node, str]]:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Fills text, linked, links and commas of all nodes from the leaves up; returns all nodes, parents first."""
+    """Fills the counts of all nodes from the leaves up: text, linked text, links, commas, whether reader comments stand
+    below, paragraphs and articles below, the longest block. Returns all nodes, parents first."""
     order, stack = [], [(root, False)]
     linked: dict[int, bool] = {}
     while stack:
@@ -230,10 +246,12 @@ def _measure(root: Node) -> list[Node]:
         order.append(node)
         stack += [(c, in_link) for c in node.children if isinstance(c, Node)]
     for node in reversed(order):
+        node.text = node.linked = node.links = node.commas = node.bodies = node.longest = node.inline = 0
         for c in node.children:
             if isinstance(c, str):
                 n = len("".join(c.split()))
                 node.text += n
+                node.inline += n
                 node.linked += n if linked[id(node)] else 0
                 node.commas += c.count(",")
             else:
@@ -241,6 +259,12 @@ def _measure(root: Node) -> list[Node]:
                 node.linked += c.linked
                 node.links += c.links + (c.tag == "a")
                 node.commas += c.commas
+                node.readers = node.readers or c.readers or any(p & READERS for p in _pieces(c))
+                node.bodies += c.bodies + (c.tag in ("p", "article", "main"))
+                node.longest = max(node.longest, c.longest)
+                node.inline += 0 if c.tag in BLOCK else c.inline
+        if node.tag in BLOCK:
+            node.longest = max(node.longest, node.inline)
     return order
 
 
@@ -255,15 +279,47 @@ def _initial(node: Node) -> float:
     return own + (10 if {p.lower() for t in node.names for p in PIECE.findall(t)} & POSITIVE else 0)
 
 
+def _refers(node: Node) -> bool:
+    """Whether the heading before a list says that its links are references."""
+    before = None
+    for c in node.parent.children:
+        if c is node:
+            break
+        if not isinstance(c, str):
+            before = c
+    return before is not None and before.tag in ("h2", "h3", "h4", "h5", "h6") and " ".join(t for _, t in blocks(before)).lower().strip(" :") in REFERENCES
+
+
+def _container(best: Node) -> Node:
+    """The article that holds the best node; else the highest ancestor to which what is beside is text and not links."""
+    node = best
+    while node is not None:
+        if node.tag == "article" or node.role == "article":
+            return node
+        node = node.parent
+    node = best
+    while not _own(node) and node.parent is not None and node.parent.tag not in ("body", "html", "#root"):
+        up = node.parent
+        text, linked = up.text - node.text, up.linked - node.linked
+        if text and linked >= 0.25 * text:
+            break
+        node = up
+    return node
+
+
 def extract(html: str | None, least: int = 25) -> list[str]:
-    """The blocks of the main text. Lists of links inside it count as menus."""
+    """The blocks of the main text. Lists of links inside it count as menus, those under a heading of references don't."""
     root = parse(html or "")
     prune(root)
-    order = _measure(root)
+    order, menus = _measure(root), set()
     for node in order:
         menu = node.tag in ("ul", "ol", "div", "section", "table", "dl") and node.links >= 3 and density(node) > 0.66
-        if menu and node.parent is not None:
-            node.parent.children = [c for c in node.parent.children if c is not node]
+        if menu and node.parent is not None and not (node.tag in ("ul", "ol", "dl") and _refers(node)):
+            menus.add(id(node))
+    if menus:
+        for node in order:
+            node.children = [c for c in node.children if isinstance(c, str) or id(c) not in menus]
+        order = _measure(root)
     found = blocks(root)
     scored: dict[int, Node] = {}
     for owner, text in found:
@@ -283,6 +339,7 @@ def extract(html: str | None, least: int = 25) -> list[str]:
         return [t for _, t in blocks(max(named, key=lambda n: n.text))]
     rank = {id(n): k for k, n in enumerate(order)}
     best = max(scored.values(), key=lambda n: (total(n), -rank[id(n)]))
+    best = _container(best)
     if best.parent is None or best.tag in ("body", "html"):
         return [t for _, t in blocks(best)]
     limit, good = max(10.0, 0.2 * total(best)), []
@@ -293,6 +350,8 @@ def extract(html: str | None, least: int = 25) -> list[str]:
         if not fits and id(c) in scored:
             alike = bool(c.names) and c.names == best.names
             fits = total(c) + (0.2 * total(best) if alike else 0) >= limit and c.tag in ("article", "section", "div", "main", "td", "p")
+        if not fits and c.tag == best.tag and best.tag not in ("article", "main"):
+            fits = c.longest >= FAIR and density(c) < 0.25
         if not fits and c.tag == "p":
             long = c.text >= 80 and density(c) < 0.25
             fits = long or (0 < c.text < 80 and density(c) == 0 and best.tag not in ("article", "main"))
