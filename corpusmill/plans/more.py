@@ -102,11 +102,14 @@ SAID = [
     "Instruction: Do it\nSummary: Short: one\nmore", "指令：做\n摘要：短", "Instruction:\nSummary:", "指令: 提取\n提取结果：甲", "Instruction: x\nThe classification result: E", "分类结果：S\n指令：分类", "Instruction: a\nAnalysis result: good\nanalysis RESULT: better", "指令：答\n回答：好", " instruction: padded\n  answer: padded too", "Answer: only", "Instruction: only",
     "Instruction: do\nAnswer: one long line\nand more of it", "Answer: short", "指令：总结以下内容\n回答：这是一个足够长的答复内容", "1. 指令: 分析全文内容\n2. 回答: 第一部分内容足够长的一句话",
 ]
-SAID_S = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(t)})" for i, t in enumerate(SAID)) + ") v(i, reply)), e AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}')" for e in replies.READERS) + ") v(expert))"
+#: Replies made of the turns of all conversations, with the labels of five kinds of reply around them.
+_TURNS = "SELECT 1000 + conv_id * 100 + turn AS i, CASE (conv_id + turn) % 5 WHEN 0 THEN 'Question: ' || t || {nl} || 'Answer: ' || role || ' ' || t WHEN 1 THEN '指令：' || t || {nl} || '回答：' || t WHEN 2 THEN 'Instruction: as the ' || role || {nl} || 'Summary: ' || t WHEN 3 THEN t ELSE t || {nl} || {nl} || 'Analysis result: ' || t END AS reply FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)"
+SAID_S = "s AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {quoted(t)})" for i, t in enumerate(SAID)) + ") v(i, reply) UNION ALL " + _TURNS.format(nl="chr(10)") + "), e AS (SELECT * FROM (VALUES " + ", ".join(f"('{e}')" for e in replies.READERS) + ") v(expert))"
 
 
-def _said(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(SAID)), "i int, reply string")
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    turns = spark.sql(_TURNS.format(nl="chr(10)").replace("FROM conversations", "FROM {conversations}"), conversations=table(spark, d, "conversations"))
+    return spark.createDataFrame(list(enumerate(SAID)), "i int, reply string").unionByName(turns.select(F.col("i").cast("int").alias("i"), "reply"))
 
 
 def _after_sql(x: str) -> str:
@@ -134,7 +137,7 @@ SELECT CAST(i AS INTEGER) AS i, expert, coalesce(CASE WHEN expert = 'qa_expert'
 def expert_replies(spark, d):
     """the replies of all twelve kinds of experts."""
     names = spark.createDataFrame([(e,) for e in replies.READERS], "expert string")
-    each = _said(spark).join(F.broadcast(names))  # a dozen kinds
+    each = _said(spark, d).join(F.broadcast(names))  # a dozen kinds
     return each.select("i", "expert", replies.read_any(F.col("expert"), F.col("reply")).alias("p")).select("i", "expert", "p.*")
 
 
@@ -147,13 +150,13 @@ f AS (SELECT i, reply, list_reduce(l, lambda a, x: CASE WHEN regexp_matches(x, '
 SELECT CAST(i AS INTEGER) AS i, CASE WHEN f.q = '' THEN 'Analyze the following ESG-related content.' ELSE f.q END AS instruction, CASE WHEN length({STRIP("array_to_string(f.a, chr(10))")}) < 10 THEN {STRIP("reply")} ELSE {STRIP("array_to_string(f.a, chr(10))")} END AS response FROM f""")
 def baseline_replies(spark, d):
     """F23."""
-    return _said(spark).select("i", generation.parse_multiline(F.col("reply")).alias("p")).select("i", "p.*")
+    return _said(spark, d).select("i", generation.parse_multiline(F.col("reply")).alias("p")).select("i", "p.*")
 
 
 @query()
 def marked_replies(spark, d):
     """against a plain version in the tests."""
-    return _said(spark).select("i", replies.read_marks(F.col("reply")).alias("p")).select("i", "p.*")
+    return _said(spark, d).select("i", replies.read_marks(F.col("reply")).alias("p")).select("i", "p.*")
 
 
 @query(f"WITH {RECORDS_S} SELECT source, round(avg(CASE WHEN quality > 0 THEN quality END), 9) AS mean, count(*) AS n FROM r GROUP BY source")
