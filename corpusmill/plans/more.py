@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dedup, gates, generation, metrics, replies, sampling, stats
+from ..operators import contains, dedup, gates, generation, metrics, replies, sampling, stats
 from ..session import Scratch, table
-from ..sources import files, sinks
+from ..sources import corpus_files, files, sinks
 from ..streaming import monitor
 from .queries import QUERIES, SQL, CNT, D_S, MD5, PAIRS_S, PUNCT_S, RECORDS_S, STRIP, _chunks, _docs, _more, _pairs, _records, accepted_chunks, query, quoted, sql_chunks
 
@@ -368,3 +368,22 @@ def latex_of_metrics(spark, d):
         F.nullif(F.count_if((F.col("l_linenumber") > 3) & (F.col("l_linestatus") == "F")), F.lit(0)).cast("double").alias("late"),
     )
     return sinks.latex_lines(rows, "mode", ["n", "quantity", "late"], 2)
+
+
+@query("""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM benchmark)
+SELECT doc_id, count(word) AS n, min(word) AS first_word, max(word) AS last_word FROM (SELECT doc_id, text FROM documents WHERE text <> '') d JOIN (SELECT word FROM w WHERE length(word) > 6) v ON contains(d.text, v.word) GROUP BY doc_id""")
+def words_in_texts(spark, d):
+    """J4 for many words: which long words of the benchmark stand anywhere in which documents."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where(F.length("word") > 6)
+    found = contains.contains_join(table(spark, d, "documents").select("doc_id", "text"), words)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("word").alias("first_word"), F.max("word").alias("last_word"))
+
+
+@query("SELECT doc_id, md5(coalesce(text, '')) AS hash FROM documents")
+def files_in_ranges(spark, d):
+    """Documents as files of JSON lines, read back by tasks of equal size in ranges of whole lines."""
+    folder = Scratch(spark, "files").at
+    table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).write.json(folder)
+    ranges = corpus_files.corpus_files(spark, folder, kinds="json", range_bytes=1 << 20)
+    lines = ranges.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.from_json("line", "doc_id long, text string").alias("r")).select("r.doc_id", F.md5("r.text").alias("hash"))

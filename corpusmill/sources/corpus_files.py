@@ -21,7 +21,7 @@ SCHEMA = "path string, suffix string, begin long, size long, modified long, cont
 #: Bytes of a range of a text file, and of what a task reads.
 RANGE, TASK = 64 << 20, 128 << 20
 #: Kinds of files that may be read from the middle, at a line's beginning.
-LINES = ("txt", "jsonl", "csv")
+LINES = ("txt", "json", "jsonl")
 
 
 @dataclass

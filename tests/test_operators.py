@@ -344,3 +344,23 @@ def test_layers_config_and_tables(spark, tmp_path):
     assert (r.chunks, r.unique_docs, r.empty_chunks, r.short_chunks, r.coverage) == (4, 2, 1, 1, 50.0)
     d = stats.dataset_stats(docs.withColumnRenamed("text", "output").withColumn("instruction", F.lit("ab")), tokens=F.length("output"), most=50).first()
     assert (d.n, d.max_output, d.avg_instruction, d.exceeding) == (4, 60, 2.0, 2)
+
+
+def test_contains_join(spark):
+    from corpusmill.operators.contains import contains_join
+
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcde é中") for _ in range(n))
+    docs = [(i, text(rng.choice([0, 2, 30, 300])), "w") for i in range(120)] + [(3, "abcabc", "w"), (None, "abc", "w"), (500, None, "w")]
+    words = [text(rng.randrange(1, 7)) for _ in range(400)] + ["abc", "a", "", None, "zzz", "abc"]
+    got = contains_join(spark.createDataFrame(docs, "doc_id long, text string, word string").repartition(3), spark.createDataFrame([(w,) for w in words], "word string"))
+    want = sorted(((i, w) for i, t, _ in docs if t for w in {w for w in words if w} if w in t), key=str)
+    assert sorted(((r.doc_id, r.word) for r in got.collect()), key=str) == want and len(want) > 500
+    assert contains_join(spark.createDataFrame(docs, "doc_id long, text string, word string"), spark.createDataFrame([], "word string")).isEmpty()
+    # a million words, most of which stand nowhere
+    many = spark.range(1_000_000).select(F.concat(F.lit("k"), F.conv(F.col("id").cast("string"), 10, 36)).alias("word"))
+    held = spark.createDataFrame([(i, " ".join(f"K{k}" for k in range(i, i + 30)).lower()) for i in range(300)], "doc_id long, text string")
+    counted = {r.doc_id: r.n for r in contains_join(held, many.select(F.lower("word").alias("word"))).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for i in (0, 7, 299):
+        own = " ".join(f"k{k}" for k in range(i, i + 30))
+        assert counted[i] == len({own[a:b] for a in range(len(own)) if own[a] == "k" for b in range(a + 2, a + 6) if " " not in own[a:b] and (own[a + 1] != "0" or b == a + 2) and int(own[a + 1 : b], 36) < 1_000_000})
