@@ -12,8 +12,8 @@ from ..functions import text as T
 from ..operators import contains, dedup, gates, generation, metrics, replies, sampling, stats
 from ..session import Scratch, table
 from ..sources import corpus_files, files, sinks
-from ..streaming import monitor
-from .queries import QUERIES, SQL, CNT, D_S, MD5, PAIRS_S, PUNCT_S, RECORDS_S, STRIP, _chunks, _docs, _more, _pairs, _records, accepted_chunks, query, quoted, sql_chunks
+from ..streaming import monitor, streams
+from .queries import QUERIES, SQL, CNT, D_S, MD5, PAIRS_S, PUNCT_S, RECORDS_S, STRIP, _chunks, _docs, _more, _pairs, _records, accepted_chunks, query, quoted, sql_chunks, sql_gate, sql_sanitize
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -387,3 +387,60 @@ def files_in_ranges(spark, d):
     ranges = corpus_files.corpus_files(spark, folder, kinds="json", range_bytes=1 << 20)
     lines = ranges.select(F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line <> ''")
     return lines.select(F.from_json("line", "doc_id long, text string").alias("r")).select("r.doc_id", F.md5("r.text").alias("hash"))
+
+
+def _streamed(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    """The documents and odd rows as files of JSON lines, and a folder for what streams make of them."""
+    at = Scratch(spark, "stream").at
+    rows = _more(spark, d).select("doc_id", "text")
+    rows.where("doc_id % 2 = 0").write.json(f"{at}/in")
+    return rows.where("doc_id % 2 <> 0"), at
+
+
+_STATUS_S = f"WITH {D_S}, c AS (SELECT doc_id, text, {sql_sanitize('text')} AS clean FROM d), g AS (SELECT doc_id, text, clean, {sql_gate('text', True)} AS reason, {sql_gate('clean', True)} AS again FROM c), q AS (SELECT doc_id, reason, CASE WHEN reason = 'Valid text' THEN 'valid' WHEN again = 'Valid text' AND clean <> text THEN 'salvaged' ELSE 'invalid' END AS status FROM g)"
+
+
+@query(f"{_STATUS_S} SELECT status, reason, count(*) AS n FROM q GROUP BY ALL")
+def streamed_check(spark, d):
+    """The quality check as a stream that stops and goes on from its checkpoint when more files have come."""
+    later, at = _streamed(spark, d)
+    for _ in range(2):
+        stream = streams.read_stream(spark, f"{at}/in", "doc_id long, text string", files=4)
+        streams.run_available(streams.checked(stream), f"{at}/out", f"{at}/mark").awaitTermination()
+        if later is not None:
+            later.write.mode("append").json(f"{at}/in")
+            later = None
+    return spark.read.parquet(f"{at}/out").groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+@query(f"{_STATUS_S} SELECT doc_id, status = 'invalid' AS failed FROM q")
+def failure_log(spark, d):
+    """What passed and what failed, each in a table of its own, from one stream."""
+    later, at = _streamed(spark, d)
+    later.write.mode("append").json(f"{at}/in")
+    stream = streams.checked(streams.read_stream(spark, f"{at}/in", "doc_id long, text string", files=4))
+    streams.with_failure_log(stream, f"{at}/good", f"{at}/bad", f"{at}/mark").awaitTermination()
+    good, bad = (spark.read.parquet(f"{at}/{name}").select("doc_id", F.lit(failed).alias("failed")) for name, failed in (("good", False), ("bad", True)))
+    return good.unionByName(bad)
+
+
+@query("SELECT kind, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM (SELECT 'entity' AS kind, coalesce(text, '') AS body FROM benchmark UNION ALL SELECT 'relation', replace(url, ' ', '') || ' has ' || page_id FROM pages) GROUP BY kind")
+def knowledge_files(spark, d):
+    """Entities and relations written and loaded as a knowledge base."""
+    at = Scratch(spark, "knowledge").at
+    items = table(spark, d, "benchmark")
+    items.select(F.col("item_id").cast("string").alias("name"), F.lit("item").alias("description"), F.coalesce("text", F.lit("")).alias("text")).write.json(f"{at}/esg_entities.jsonl")
+    table(spark, d, "pages").select(F.concat(F.replace("url", F.lit(" "), F.lit("")), F.lit(" has "), F.col("page_id").cast("string"))).write.text(f"{at}/esg_relations.jsonl")
+    entities, relations = files.knowledge_base(spark, at)
+    each = entities.select(F.lit("entity").alias("kind"), F.col("text").alias("body")).unionByName(relations.select(F.lit("relation").alias("kind"), F.col("raw").alias("body")))
+    return each.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.length("body")).cast("long").alias("chars"))
+
+
+@query("SELECT lang, n, shown FROM (SELECT coalesce(lang, '') AS lang, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), '|') AS shown FROM documents GROUP BY lang)")
+def csv_lists(spark, d):
+    """K7: a table with lists written as CSV and read back."""
+    at = Scratch(spark, "csv").at
+    rows = table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("source")).alias("shown"))
+    sinks.write_csv(rows, at)
+    back = spark.read.option("header", True).schema("lang string, n long, shown string").csv(at)
+    return back.select(F.coalesce("lang", F.lit("")).alias("lang"), "n", F.coalesce("shown", F.lit("")).alias("shown"))
