@@ -128,6 +128,19 @@ def run_batches(chunks: DataFrame, out: str, failures: str, generator: Generator
     return spark.read.parquet(out).select("status").unionByName(lost.select("status")).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _best() -> Column:
+    """The best answer of a group: the highest score, of equal ones the expert chosen first."""
+    return F.max_by(F.struct("expert", "p.instruction", "p.response", F.col("q").alias("quality_score"), "error"), F.struct("q", -F.col("at")))
+
+
+def _answers(each: DataFrame, generator: Generator) -> DataFrame:
+    """each (text, knowledge, expert) with the expert's answer `p`, its score `q` and `error`."""
+    each = generate(each.withColumn("prompt", expert_prompt(F.col("expert"), F.col("text"), F.col("knowledge"))), generator)
+    each = T.once(each, "p", replies.read_any(F.col("expert"), F.col("reply")))
+    score = F.when(F.col("reply") == "", 0.0).otherwise(metrics.collaboration_quality(F.col("p.instruction"), F.col("p.response"), F.col("text")))
+    return each.withColumn("q", score)
+
+
 def pairs(chunks: DataFrame, generator: Generator = extractive, key: str = "chunk_id", mode: str = "parallel", least: int = 50, passes: int = 2, good: float = 0.7, with_knowledge: bool = True, **routing_options) -> DataFrame:
     """A record per chunk of at least `least` characters: topics, routing, knowledge, generation, score and status.
 
@@ -141,16 +154,17 @@ def pairs(chunks: DataFrame, generator: Generator = extractive, key: str = "chun
     # both sides of the join below, and every expert's row, start from this table: it is worked out once
     df = Scratch(chunks.sparkSession, "pairs").keep(df, "routed")
     if mode == "sequential":
-        df = _sequential(df, generator, passes, good)
+        df = _sequential(df.withColumn("_passes", F.lit(passes)), generator, good).drop("_passes")
     else:
         chosen = F.slice("experts", 1, 1) if mode == "single" else F.col("experts")
-        each = df.select(key, "text", "knowledge", F.posexplode(chosen).alias("at", "expert"))
-        each = generate(each.withColumn("prompt", expert_prompt(F.col("expert"), F.col("text"), F.col("knowledge"))), generator)
-        each = T.once(each, "p", replies.read_any(F.col("expert"), F.col("reply")))
-        score = F.when(F.col("reply") == "", 0.0).otherwise(metrics.collaboration_quality(F.col("p.instruction"), F.col("p.response"), F.col("text")))
-        best = F.max_by(F.struct("expert", "p.instruction", "p.response", F.col("q").alias("quality_score"), "error"), F.struct("q", -F.col("at")))
-        df = df.join(each.withColumn("q", score).groupBy(key).agg(best.alias("best")), key)
-    df = df.select(*chunks.columns, "core_topics", "experts", "selection_reasons", F.size("knowledge").alias("knowledge_items_count"), F.col("best.expert").alias("expert"), F.col("best.instruction").alias("instruction"), F.col("best.response").alias("response"), F.col("best.quality_score").alias("quality_score"), F.col("best.error").alias("error"))
+        each = _answers(df.select(key, "text", "knowledge", F.posexplode(chosen).alias("at", "expert")), generator)
+        df = df.join(each.groupBy(key).agg(_best().alias("best")), key)
+    return _records(df, chunks.columns)
+
+
+def _records(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The record of each row by its `best` answer, with its status."""
+    df = df.select(*columns, "core_topics", "experts", "selection_reasons", F.size("knowledge").alias("knowledge_items_count"), F.col("best.expert").alias("expert"), F.col("best.instruction").alias("instruction"), F.col("best.response").alias("response"), F.col("best.quality_score").alias("quality_score"), F.col("best.error").alias("error"))
     empty = (T.filled(F.col("instruction")) == "") | (T.filled(F.col("response")) == "")
     return df.withColumn("status", F.when(F.col("error").isNotNull(), "exception").when(empty, "empty_or_parse_failed").otherwise("success"))
 
@@ -164,11 +178,13 @@ def _score(instruction: str, response: str, text: str) -> float:
     return min(0.3 + min(share * 0.4, 0.4) + 0.2 * (len(response) > 50) + 0.1 * (len(response) > 100), 1.0)
 
 
-def _sequential(df: DataFrame, generator: Generator, passes: int, good: float) -> DataFrame:
+def _sequential(df: DataFrame, generator: Generator, good: float) -> DataFrame:
+    """df (text, experts, knowledge, _passes) with the `best` answer of its experts in turn."""
+
     @F.pandas_udf("expert string, instruction string, response string, quality_score double, error string")
-    def run(texts: pd.Series, experts: pd.Series, prompts: pd.Series) -> pd.DataFrame:
+    def run(texts: pd.Series, experts: pd.Series, prompts: pd.Series, rounds: pd.Series) -> pd.DataFrame:
         out = []
-        for text, names, tasks in zip(texts, experts, prompts, strict=True):
+        for text, names, tasks, passes in zip(texts, experts, prompts, rounds, strict=True):
             best, before, failed = (None, "", "", 0.0), "", None
             for k in range(passes * len(names)):
                 task = tasks[k % len(names)] + (f"\n\nEarlier answer:\n{before}" if before else "")
@@ -187,7 +203,7 @@ def _sequential(df: DataFrame, generator: Generator, passes: int, good: float) -
         return pd.DataFrame(out, columns=["expert", "instruction", "response", "quality_score", "error"])
 
     prompts = F.transform("experts", lambda e: expert_prompt(e, F.col("text"), F.col("knowledge")))
-    return df.withColumn("_prompts", prompts).withColumn("best", run("text", "experts", "_prompts")).drop("_prompts")
+    return df.withColumn("_prompts", prompts).withColumn("best", run("text", "experts", "_prompts", "_passes")).drop("_prompts")
 
 
 def baseline(chunks: DataFrame, method: str, generator: Generator = extractive, key: str = "chunk_id", rounds: int = 2) -> DataFrame:
@@ -218,11 +234,36 @@ def baseline(chunks: DataFrame, method: str, generator: Generator = extractive,
 GRID = [("experts", f"K={k}", k, "parallel", 2, True) for k in (1, 2, 3, 5)] + [("mode", m, 3, m, 2, True) for m in ("none", "sequential", "parallel")] + [("feedback", f"R={r}", 3, "sequential", r + 1, True) for r in (0, 1, 2)] + [("knowledge", "off", 3, "parallel", 2, False), ("knowledge", "on", 3, "parallel", 2, True)]
 
 
-def ablation(chunks: DataFrame, generator: Generator = extractive, grid: list | None = None, key: str = "chunk_id") -> DataFrame:
-    """Records of every condition of the grid, with `dimension` and `condition`."""
-    out = None
-    for dimension, condition, k, mode, passes, known in grid or GRID:
-        own = pairs(chunks, generator, key, {"none": "single"}.get(mode, mode), passes=passes, with_knowledge=known, most=k)
-        own = own.withColumn("dimension", F.lit(dimension)).withColumn("condition", F.lit(condition))
-        out = own if out is None else out.unionByName(own)
-    return out
+def ablation(chunks: DataFrame, generator: Generator = extractive, grid: list | None = None, key: str = "chunk_id", least: int = 50, good: float = 0.7) -> DataFrame:
+    """Records of every condition of the grid, with `dimension` and `condition`: those of `pairs` with its settings.
+
+    Conditions are rows. Features, routes and knowledge of a chunk are worked out once for all of them: fewer experts are
+    the first ones of more. An expert is asked once about a text, with knowledge and without; conditions that don't ask in
+    turn choose among these answers. Those that do are run once for each distinct setting.
+    """
+    spark, grid = chunks.sparkSession, grid or GRID
+    scratch = Scratch(spark, "ablation")
+    df = chunks.where(F.length("text") >= least).withColumn("core_topics", knowledge.topics(F.col("text")))
+    df = routing.route(df, most=max(g[2] for g in grid))
+    df = knowledge.retrieve(df, key=key) if any(g[5] for g in grid) else df.withColumn("knowledge", F.array().cast(knowledge.ITEM))
+    routed = scratch.keep(df, "routed")
+    rows = [(d, c, k, "single" if mode == "none" else mode, passes if mode == "sequential" else 0, known) for d, c, k, mode, passes, known in grid]
+    conditions = spark.createDataFrame(rows, "dimension string, condition string, most int, mode string, _passes int, known boolean")
+    sent = lambda df: F.broadcast(df)  # noqa: E731  a row for each condition
+    items = F.when(F.col("known"), F.col("knowledge")).otherwise(F.array().cast(knowledge.ITEM))
+    asked = conditions.where("mode <> 'sequential'").withColumn("ask", F.when(F.col("mode") == "single", 1).otherwise(F.col("most")))
+    each = routed.join(sent(asked.groupBy("known").agg(F.max("ask").alias("ask")))).select(key, "text", items.alias("knowledge"), "known", F.posexplode(F.slice("experts", F.lit(1), F.col("ask"))).alias("at", "expert"))
+    answers = scratch.keep(_answers(each, generator).select(key, "known", "at", "expert", "p", "q", "error"), "answers")
+    best = answers.join(sent(asked), "known").where("at < ask").groupBy(key, "dimension", "condition").agg(_best().alias("best"))
+    turns = conditions.where("mode = 'sequential'")
+    own = routed.join(sent(turns.select("most", "_passes", "known").distinct())).select(key, "text", F.slice("experts", F.lit(1), F.col("most")).alias("experts"), items.alias("knowledge"), "most", "_passes", "known")
+    own = _sequential(own, generator, good).select(key, "most", "_passes", "known", "best").join(sent(turns), ["most", "_passes", "known"])
+    best = best.unionByName(own.select(key, "dimension", "condition", "best"))
+    out = best.join(sent(conditions.select("dimension", "condition", "most", "known")), ["dimension", "condition"]).join(routed, key)
+    out = out.withColumn("knowledge", items).withColumn("experts", F.slice("experts", F.lit(1), F.col("most")))
+    out = out.withColumn("selection_reasons", F.col("selection_reasons").withField("selected_count", F.size("experts")))
+    return _records(out, [*chunks.columns, "dimension", "condition"]).select(*chunks.columns, *RECORD, "dimension", "condition")
+
+
+#: The columns of a record beside those of its chunk.
+RECORD = ["core_topics", "experts", "selection_reasons", "knowledge_items_count", "expert", "instruction", "response", "quality_score", "error", "status"]

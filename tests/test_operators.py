@@ -364,3 +364,25 @@ def test_contains_join(spark):
     for i in (0, 7, 299):
         own = " ".join(f"k{k}" for k in range(i, i + 30))
         assert counted[i] == len({own[a:b] for a in range(len(own)) if own[a] == "k" for b in range(a + 2, a + 6) if " " not in own[a:b] and (own[a + 1] != "0" or b == a + 2) and int(own[a + 1 : b], 36) < 1_000_000})
+
+
+def test_ablation_shares_what_its_conditions_have_in_common(spark):
+    rng = random.Random(4)
+    said = ["The company reports its emissions.", "They fell by 15% in 2020.", "Compared with the industry, waste is higher than in 2019.", "We will strive to improve carbon and water management.", "GRI standards apply.", "The table shows 12 figures: a, b, c."]
+    rows = [(f"c{i}", " ".join(rng.choice(said) for _ in range(6)), i) for i in range(12)] + [("short", "x", 1)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string, other int")
+
+    def picky(prompt, text):
+        if len(prompt) % 7 == 0:
+            raise RuntimeError("down")
+        return generation.extractive(prompt, text)
+
+    grid = [g for g in generation.GRID if g[1] in ("K=1", "K=5", "none", "sequential", "R=0", "off")]
+    got = generation.ablation(df, picky, grid)
+    want = None
+    for dimension, condition, k, mode, passes, known in grid:
+        own = generation.pairs(df, picky, mode={"none": "single"}.get(mode, mode), passes=passes, with_knowledge=known, most=k)
+        own = own.withColumn("dimension", F.lit(dimension)).withColumn("condition", F.lit(condition))
+        want = own if want is None else want.unionByName(own)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 12 * len(grid)
