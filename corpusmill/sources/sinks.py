@@ -27,10 +27,10 @@ def append_new(df: DataFrame, path: str, key: str) -> None:
 
 class Ledger:
     """A table that several writers append to, each key once. Its folder holds parts and numbered commits; a commit names
-    its run and its part. A part counts when its commit is there, and a commit's number is taken by whoever creates its
-    file first, which Hadoop file systems decide (object stores need conditional writes). So an append is whole or
-    nothing, one that lost the race is worked out anew over what is there now, and a run that is repeated after its commit
-    does nothing.
+    its run and its part. A part counts when its commit is there, and a commit's number goes to whoever first moves a
+    finished file to it: a rename that fails where the target is there, as HDFS has it, a hard link on a local disk
+    (object stores need conditional writes instead). So an append is whole or nothing, one that lost the race is worked
+    out anew over what is there now, and a run that is repeated after its commit does nothing.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -42,7 +42,7 @@ class Ledger:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
     def commits(self) -> list[dict]:
-        """{run, part} of the commits in order. One whose file isn't complete yet ends the list."""
+        """{run, part} of the commits in order."""
         out: list[dict] = []
         while self._fs.exists(at := self._at(f"commits/{len(out):08d}")):
             stream = self._fs.open(at)
@@ -50,8 +50,6 @@ class Ledger:
                 text = self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
             finally:
                 stream.close()
-            if not text.endswith("\n"):
-                break
             out.append(json.loads(text))
         return out
 
@@ -78,15 +76,22 @@ class Ledger:
             self._fs.delete(self._at(f"parts/{part}"), True)
 
     def _commit(self, number: int, commit: dict) -> bool:
+        own, target = self._at(f"commits/.{uuid.uuid4().hex}"), self._at(f"commits/{number:08d}")
+        stream = self._fs.create(own, False)
+        stream.write(json.dumps(commit).encode())
+        stream.close()
         try:
-            stream = self._fs.create(self._at(f"commits/{number:08d}"), False)
+            if self._fs.getUri().getScheme() != "file":
+                return not self._fs.exists(target) and self._fs.rename(own, target)
+            local = lambda path: self._jvm.java.io.File(path.toUri().getPath()).toPath()
+            self._jvm.java.nio.file.Files.createLink(local(target), local(own))
+            return True
         except Exception as error:  # the number is taken
             if "FileAlreadyExists" in str(error):
                 return False
             raise
-        stream.write((json.dumps(commit) + "\n").encode())
-        stream.close()
-        return True
+        finally:
+            self._fs.delete(own, False)
 
     def vacuum(self) -> int:
         """Deletes the parts that no commit names, of appends that failed; only while nobody appends."""

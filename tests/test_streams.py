@@ -113,6 +113,14 @@ def test_ledger_holds_each_key_once(spark, tmp_path):
     assert done == [True, True] and sorted(r.id for r in ledger.read().collect()) == list(range(30)) and len(ledger.commits()) == 3
     spark.range(3).write.parquet(f"{ledger.path}/parts/left-by-a-writer-that-died")
     assert ledger.read().count() == 30 and ledger.vacuum() == 1 and ledger.vacuum() == 0
+    # a number goes to one of many
+    taken = []
+    rivals = [threading.Thread(target=lambda k=k: taken.append(sinks.Ledger(spark, f"{ledger.path}/race")._commit(0, {"run": str(k), "part": "p"}))) for k in range(12)]
+    for r in rivals:
+        r.start()
+    for r in rivals:
+        r.join()
+    assert sorted(taken) == [False] * 11 + [True] and len(sinks.Ledger(spark, f"{ledger.path}/race").commits()) == 1
     # whoever finds the number taken works its rows out anew
     stale, real = sinks.Ledger(spark, ledger.path), ledger.commits()
     views = iter([real[:-1], real])
