@@ -33,6 +33,13 @@ def mounted(path: str) -> str | None:
     return bare if bare.startswith("/") else None
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system: one without a scheme is on the default one, which need not be the
+    machine's."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
 def _encoded(batch: pa.RecordBatch, encode, end_id: int) -> Iterator[tuple[int | None, np.ndarray]]:
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
         yield doc_id, np.array([*encode(text or ""), end_id], dtype="<u2")
@@ -196,12 +203,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     """Writes all documents to flat token files and counts by scanning these: doc_id, n_tokens (without the separator),
     file, start. A null text has no tokens."""
     scratch, docs, vocabulary = Scratch(spark, "tokens"), table(spark, sf_dir, "documents"), vocabulary or tokens.default_vocabulary()
-    if mounted(scratch.at) is None:
+    at = qualified(spark, scratch.at)
+    if mounted(at) is None:
         blocks = scratch.keep(write_blocks(docs, vocabulary), "blocks")
         manifest = blocks.select(F.col("file").cast("string"), "first", F.posexplode("doc_ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
         blocks = blocks.withColumn("file", F.col("file").cast("string"))
     else:
-        folder = f"{scratch.at}/flat"
+        folder = f"{at}/flat"
         manifest = scratch.keep(write_files(docs, folder, vocabulary), "manifest")
         if manifest.isEmpty():
             return spark.createDataFrame([], "doc_id long, n_tokens long, file string, start long")

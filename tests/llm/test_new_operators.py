@@ -171,3 +171,18 @@ def test_empty_tables(spark, empty):
     assert rows.isEmpty() and pairs.isEmpty()
     assert lexicon.digests(empty, lexicon.build(spark, empty)).isEmpty() and lexicon.encode(empty, lexicon.build(spark, empty)).isEmpty()
     assert collocations.collocations(spark, empty).isEmpty()
+
+
+def test_paths_without_a_scheme_are_of_the_default_file_system(spark, tmp_path):
+    from corpusmill.llm import token_files
+
+    assert token_files.mounted(token_files.qualified(spark, str(tmp_path))) == str(tmp_path)
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://shared/")
+    conf.set("fs.viewfs.mounttable.shared.link./data", tmp_path.as_uri())
+    try:
+        assert token_files.qualified(spark, "/data/x") == "viewfs://shared/data/x" and token_files.mounted("viewfs://shared/data/x") is None
+        assert token_files.mounted(token_files.qualified(spark, f"file://{tmp_path}")) == str(tmp_path)
+    finally:
+        conf.set("fs.defaultFS", before)
