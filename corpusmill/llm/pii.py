@@ -6,7 +6,10 @@ discloses, with probabilities over distinct texts. Among the words around an ent
 stands with one owner only discloses most. A term anywhere else in the text counts too, if that isn't chance: texts of
 one entity whose surroundings of it are alike (copies with edits elsewhere) count once there, and one occurrence
 together is taken off. Terms at or above a threshold are generalised to their first letters or, if they disclose nearly
-all, removed, wherever they occur.
+all, removed, wherever they occur. What was seen once beside an address may be chance, though, and says little of texts without
+the address. With `support` 2 a term goes from such texts only where two surroundings of the entity or more hold it, and
+with `z` by a share with the lower confidence bound of P(e | t); from the texts of the entity it goes by the share itself.
+The query and the pipeline take SURE, the values for both.
 """
 
 from __future__ import annotations
@@ -34,12 +37,14 @@ IP_VALID = rf"^{BYTE}\.{BYTE}\.{BYTE}\.{BYTE}$"
 CONTEXT = 60
 #: Share of the entity's information: generalised from the first on, removed from the second on.
 GENERALISE, REMOVE, STEM = 0.8, 0.95, 3
+#: For texts that don't hold the entity: two surroundings, and a one-sided confidence bound of 95 %.
+SURE = {"support": 2, "z": 1.645}
 #: Bits of the table of terms that rows are tested with before anything is shuffled, at two places for each term: a
 #: table of fixed size (256 KB) however many terms there are. What it lets through is decided by a join.
 BITS, PROBES = 1 << 21, (0, 1)
 
 #: Names of columns that are held for a while.
-ROW, SPOTS, TERMS = "__pii_row", "__pii_spots", "__pii_terms"
+ROW, SPOTS, TERMS, SAME = "__pii_row", "__pii_spots", "__pii_terms", "__pii_same"
 
 
 def _digits(x: Column) -> Column:
@@ -89,13 +94,15 @@ def _words(x: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(x), r"[^\p{L}]+"), lambda w: F.length(w) >= 3))
 
 
-def _bit(w: Column, probe: int) -> Column:
-    return F.pmod(F.xxhash64(w, F.lit(probe)), F.lit(BITS))
+def _bit(w: tuple[Column, ...], probe: int) -> Column:
+    return F.pmod(F.xxhash64(*w, F.lit(probe)), F.lit(BITS))
 
 
-def _test(terms: DataFrame):
-    """A column function that is true for every term of the table, and for few other words; None for an empty table."""
-    each = terms.select(F.explode(F.array(*(_bit(F.col("term"), k) for k in PROBES))).alias("bit"))
+def _test(terms: DataFrame, *by: str):
+    """A function of columns that is true for every row of the table (its term, or the columns `by`), and for few other
+    values; None for an empty table."""
+    key = tuple(F.col(c) for c in by or ("term",))
+    each = terms.select(F.explode(F.array(*(_bit(key, k) for k in PROBES))).alias("bit"))
     word = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
     rows = each.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("i")).agg(F.bit_or(word).alias("b")).collect()
     if not rows:
@@ -105,7 +112,7 @@ def _test(terms: DataFrame):
         longs[r.i] = r.b
     table_ = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folded to one literal
 
-    def test(w: Column) -> Column:
+    def test(*w: Column) -> Column:
         held = [F.call_function("shiftright", F.get(table_, F.floor(_bit(w, k) / 64).cast("int")), (_bit(w, k) % 64).cast("int")).bitwiseAND(F.lit(1)) == 1 for k in PROBES]
         return held[0] & held[1]
 
@@ -117,10 +124,18 @@ def _share(both: Column, texts_e: Column, texts_t: Column, texts: Column) -> Col
     return F.log(both * texts / (texts_e * texts_t)) / F.log(texts / texts_e)
 
 
-def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float) -> DataFrame:
-    """(entity, term, both, texts_e), entities as hashes: terms around an entity, in however few texts, and terms anywhere in its texts. A
+def _lower_share(both: Column, texts_e: Column, texts_t: Column, texts: Column, z: float) -> Column:
+    """The share with the lower bound of P(e | t) = both / texts_t (Wilson's score interval)."""
+    p, zz = both / texts_t, z * z / texts_t
+    bound = (p + zz / 2 - z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / texts_t + zz / (4 * texts_t))) / (1 + zz)
+    return _share(bound * texts_t, texts_e, texts_t, texts)
+
+
+def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float) -> tuple[DataFrame, DataFrame]:
+    """(entity, term, both, texts_e, around, many), entities as hashes: terms around an entity, in however few texts,
+    and terms anywhere in its texts (then not around); many: two surroundings of the entity or more hold the term. A
     term is in at least as many texts as it was counted in here, so a pair whose share is too low even with that number
-    is left out."""
+    is left out. Beside it the surroundings: (same, entity, terms)."""
     own = base_spans(docs.select(text_of().alias("text")).where(F.col("text").rlike(r"[@+]|[0-9]")))
     text = F.col("text")
 
@@ -137,16 +152,18 @@ def _candidates(docs: DataFrame, scratch: Scratch, texts: Column, least: float)
     own = scratch.keep(few(own.select("same", "x.*"), docs), "contexts")
     # an entity or a word that stands in very many texts is joined in parts
     seen = with_groups(own, ["entity"], "same", F.count("*").alias("texts_e"), over=own.select("entity", "same").distinct())
-    pairs = seen.select("entity", "texts_e", "same", F.explode("terms").alias("term")).distinct()
-    pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both"))
+    pairs = seen.select("entity", "texts_e", "same", F.xxhash64(F.sort_array("terms")).alias("at"), F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "texts_e", "same", "term").agg(F.min("at").alias("at"))
+    pairs = pairs.groupBy("entity", "texts_e", "term").agg(F.count("*").alias("both"), (F.min("at") != F.max("at")).alias("many"))
+    pairs = pairs.withColumn("around", F.lit(True))
     around = own.select("same", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("texts_c"))
     pairs = join_unique(pairs, around, ["term"], "entity").where(F.col("texts_e") < texts)
     pairs = pairs.where(_share(F.col("both"), F.col("texts_e"), F.col("texts_c"), texts) >= least).drop("texts_c")
     wide = _wide(docs, scratch, own)
     if wide is not None:
-        far = wide.where((F.col("texts_e") < texts) & (_share(F.col("both"), F.col("texts_e"), F.col("both") + 1, texts) >= least))
+        far = wide.withColumns({"around": F.lit(False), "many": F.lit(True)}).where((F.col("texts_e") < texts) & (_share(F.col("both"), F.col("texts_e"), F.col("both") + 1, texts) >= least))
         pairs = pairs.unionByName(far)
-    return pairs
+    return pairs, own
 
 
 def _wide(docs: DataFrame, scratch: Scratch, own: DataFrame) -> DataFrame | None:
@@ -155,10 +172,10 @@ def _wide(docs: DataFrame, scratch: Scratch, own: DataFrame) -> DataFrame | None
     texts = own.groupBy("entity", F.xxhash64(F.sort_array("terms")).alias("around")).agg(F.min("same").alias("same"))
     many = texts.groupBy("entity").agg(F.count_distinct("same").alias("texts_e")).where("texts_e > 1")
     texts = scratch.keep(few(texts.join(many, "entity").select("entity", "texts_e", "same").distinct(), docs), "wide")
-    test = _test(texts.select(F.col("same").cast("string").alias("term")))
+    test = _test(texts, "same")
     if test is None:
         return None
-    words = docs.select(text_of().alias("text")).where(test(F.xxhash64("text").cast("string")))
+    words = docs.select(text_of().alias("text")).where(test(F.xxhash64("text")))
     words = words.select(F.xxhash64("text").alias("same"), _words(F.col("text")).alias("terms")).dropDuplicates(["same"])
     each = words.join(texts, "same").select("entity", "texts_e", F.explode("terms").alias("term"))
     each = each.groupBy("entity", "texts_e", "term").agg((F.count("*") - 1).alias("both"))
@@ -169,14 +186,12 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _spots(text: Column, test) -> Column:
-    """(start, end, term, stem) of the words that pass the test, in the whole text."""
+def _spots(text: Column, known: Column) -> Column:
+    """(start, end, term, stem) of the known words in the whole text."""
     none = F.array().cast("array<struct<start:int,end:int,term:string,stem:string>>")
-    if test is None:
-        return none
     spot = lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["found"])).cast("int").alias("end"), F.lower(x["found"]).alias("term"), F.left(x["found"], F.lit(STEM)).alias("stem"))
     pattern = lambda hits: F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(hits, "|"), F.lit(r")(?!\p{L})"))
-    return let(F.filter(_words(text), test), lambda hits: F.when(F.size(hits) > 0, F.transform(places(text, pattern(hits)), spot)).otherwise(none))
+    return let(known, lambda hits: F.when(F.size(hits) > 0, F.transform(places(text, pattern(hits)), spot)).otherwise(none))
 
 
 def _masked(text: Column, spans: Column) -> Column:
@@ -193,30 +208,41 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
 
 
-def _risky(docs: DataFrame, scratch: Scratch, least: float) -> DataFrame:
-    """(term, share): the terms that disclose at least that share of the information in some entity."""
+def _risky(docs: DataFrame, scratch: Scratch, least: float, support: int = 1, z: float = 0.0) -> DataFrame:
+    """(term, same, share): the terms that disclose at least that share of the information in some entity. Where same is
+    null they go from all texts, else from the text of the entity that has this hash."""
     same = F.xxhash64("text").alias("same")
     own = docs.select(text_of().alias("text"))
     copies = scratch.keep(few(own.groupBy(same).agg(F.count("*").alias("n")), docs), "copies")
     total = F.lit(float(max(2, copies.count())))
-    candidates = scratch.keep(few(_candidates(docs, scratch, total, least), docs), "candidates")
+    candidates, contexts = _candidates(docs, scratch, total, least)
+    candidates = scratch.keep(few(candidates, docs), "candidates")
     test = _test(candidates)
     if test is None:
-        return scratch.keep(candidates.select("term", F.lit(1.0).alias("share")), "risky")
+        return candidates.select("term", F.lit(None).cast("long").alias("same"), F.lit(1.0).alias("share"))
     # only texts that may have copies go through pairs of text and term; the terms of all others are counted in place
-    each = lambda rows: rows.select(same, F.explode(F.filter(_words(F.col("text")), test)).alias("term"))
-    copied = _test(copies.where("n > 1").select(F.col("same").cast("string").alias("term")))
+    each = lambda rows: rows.select(same, F.explode(F.filter(_words(F.col("text")), lambda w: test(w))).alias("term"))
+    copied = _test(copies.where("n > 1"), "same")
     if copied is None:
         terms = each(own).select("term")
     else:
-        repeats = copied(F.xxhash64("text").cast("string"))
+        repeats = copied(F.xxhash64("text"))
         terms = each(own.where(~repeats)).select("term").unionByName(each(own.where(repeats)).distinct().select("term"))
     counts = terms.groupBy("term").agg(F.count("*").alias("texts_t"))
-    shares = candidates.join(counts, "term").select("term", _share(F.col("both"), F.col("texts_e"), F.col("texts_t"), total).alias("share"))
-    return scratch.keep(few(shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= least), docs), "risky")
-
-
-def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = True) -> DataFrame:
+    figures = [F.col(c) for c in ("both", "texts_e", "texts_t")]
+    shares = candidates.join(counts, "term").select("entity", "term", "around", "many", _share(*figures, total).alias("share"), _lower_share(*figures, total, z).alias("lower"))
+    shares = scratch.keep(few(shares.where(F.col("share") >= least), docs), "shares")
+    sure = (F.col("lower") >= least) & (F.col("many") | F.lit(support < 2))
+    risky = shares.where(sure).groupBy("term").agg(F.max("lower").alias("share")).withColumn("same", F.lit(None).cast("long"))
+    if support > 1 or z > 0:
+        # what stands around an entity goes from its texts; the texts of an entity are joined in parts
+        around = contexts.select("same", "entity", F.explode("terms").alias("term"))
+        inside = join_unique(around, shares.where("around").select("entity", "term", "share"), ["entity", "term"], "same")
+        risky = risky.unionByName(inside.groupBy("same", "term").agg(F.max("share").alias("share")))
+    return scratch.keep(few(risky.select("term", "same", "share"), docs), "risky")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = True, support: int = 1, z: float = 0.0) -> DataFrame:
     """Finds and masks personal data and what discloses it in the whole text of docs (text; all other columns stay).
 
     Adds `_base` (base spans: start, rank, kind, end, found), `_spans` (all spans: start, rank, kind, end, mask; code
@@ -227,18 +253,26 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
     """
     docs = docs.drop("_base", "_spans")
     scratch = Scratch(spark, "pii")
-    risky = _risky(docs, scratch, generalise)
-    test = _test(risky)
+    risky = _risky(docs, scratch, generalise, support, z)
+    everywhere, inside = risky.where("same IS NULL").drop("same"), risky.where("same IS NOT NULL")
+    anywhere, here = _test(everywhere), _test(inside, "same", "term")
     own = base_spans(docs.withColumn("text", text_of()), "_base")
-    own = own.withColumn(ROW, F.monotonically_increasing_id()).withColumn(SPOTS, _spots(F.col("text"), test))
+    own = own.withColumn(ROW, F.monotonically_increasing_id()).withColumn(SAME, F.xxhash64("text"))
+    no = lambda *x: F.lit(False)
+    known = lambda w: (anywhere or no)(w) | ((F.size("_base") > 0) & (here or no)(F.col(SAME), w))
+    words = F.filter(_words(F.col("text")), known) if anywhere or here else F.array().cast("array<string>")
+    own = own.withColumn(SPOTS, _spots(F.col("text"), words))
     if not keep_text:  # then no text is shuffled: the places of terms are known here
         own = own.withColumn("text", F.lit(None).cast("string"))
     own = scratch.keep(few(own, docs), "texts")
     masks = F.transform("_base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
     own = own.withColumn("_spans", masks)
-    if test:
+    if anywhere or here:
         plain, own = own.where(F.size(SPOTS) == 0), own.where(F.size(SPOTS) > 0)
-        each = own.select(ROW, F.explode(SPOTS).alias("x")).select(ROW, "x.*").join(risky, "term")
+        each = own.select(ROW, F.col(SAME).alias("same"), F.explode(SPOTS).alias("x")).select(ROW, "same", "x.*")
+        # the rows of a term, or of many copies of a text, are joined in parts
+        each = join_unique(each, everywhere, ["term"], ROW).unionByName(join_unique(each, inside, ["same", "term"], ROW))
+        each = each.groupBy(ROW, "start", "end", "stem").agg(F.max("share").alias("share"))
         mask = F.when(F.col("share") >= remove, F.lit("[TERM]")).otherwise(F.concat("stem", F.lit("*")))
         each = each.select(ROW, F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", mask.alias("mask")).alias("t"))
         own = own.join(each.groupBy(ROW).agg(F.collect_list("t").alias(TERMS)), ROW, "left")  # the places of one text
@@ -251,7 +285,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
 
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sanitise(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = sanitise(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False, **SURE)
     count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(_joined(F.col("_base")), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
 

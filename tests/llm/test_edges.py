@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_llm import base_spans, words
 
 from corpusmill.llm import chat, neardup, packing, pii, quality, toxicity
@@ -131,3 +132,36 @@ def test_islands_share_tasks(spark, written):
     assert sorted(r.doc_id for r in out) == list(range(80))
     islands = [n for name, n in files.items() if name.endswith("islands")]
     assert islands and max(islands) <= 16 and max(n for name, n in files.items() if name.endswith("pieces")) <= 16
+
+
+def test_terms_of_other_texts_need_two_surroundings(spark):
+    rows = [f"lorem and more words of Wobblegate mail joe.doe@corp.example.com lorem and more {i}" for i in range(3)]  # one surrounding
+    rows += ["Wobblegate and lorem", "lorem words of Quuxby mail +1 555 555 1234 and more", "Quuxby and lorem"]
+    rows += ["lorem words here of Zanzit mail ann@corp.example.org and more Zanzit", "mail words to ann@corp.example.org Zanzit lorem"]
+    rows += ["Zanzit and lorem", "lorem " * 20_000, None, ""]
+    rows += [f"lorem and more words of mail here {i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, t, 1.0, i) for i, t in enumerate(rows + rows[:1])], "doc_id long, text string, share double, same long")
+    got = {r.doc_id: r for r in pii.sanitise(spark, docs, **pii.SURE).collect()}
+    assert len(got) == len(rows) + 1 and got[len(rows)].text == got[0].text
+    for i in range(3):
+        assert "[TERM] mail [EMAIL]" in got[i].text
+    assert "[TERM] mail [PHONE]" in got[4].text or "Quu* mail [PHONE]" in got[4].text
+    assert got[3].text == rows[3] and got[5].text == rows[5]  # seen in one surrounding: other texts keep it
+    for i in (6, 7, 8):  # seen in two, and in one text of three without the address: no text keeps it
+        assert "Zanzit" not in got[i].text
+    assert got[6].text.count("[EMAIL]") == 1 and [s.kind for s in got[6]._spans].count("term") == 2  # the whole text of the owner
+    assert got[10].text == got[11].text == "" and all(got[i].text == rows[i] for i in (9, *range(12, len(rows))))
+    assert pii.sanitise(spark, docs.limit(0), **pii.SURE).collect() == []
+
+
+def test_lower_shares_equal_plain_ones(spark):
+    """The share with Wilson's bound, by the bound's own definition: p is where (phat - p)^2 = z^2 p (1 - p) / n."""
+    rows = [(float(b), float(e), float(t)) for t in (1, 2, 3, 7, 40) for b in range(1, t + 1) for e in (1, 3)]
+    df = spark.createDataFrame(rows, "b double, e double, t double")
+    x = df.select("b", "e", "t", pii._lower_share(*(F.col(c) for c in "bet"), F.lit(1000.0), 1.645).alias("x")).collect()
+    for b, e, t, got in x:
+        lo, hi = 0.0, b / t
+        for _ in range(200):
+            p = (lo + hi) / 2
+            lo, hi = (lo, p) if b / t - p < 1.645 * math.sqrt(p * (1 - p) / t) else (p, hi)
+        assert abs(got - math.log(lo * 1000 / e) / math.log(1000 / e)) < 1e-9
