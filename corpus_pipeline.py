@@ -56,7 +56,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and what discloses it is masked; a column n_chars follows the text. A null text becomes empty."""
-    return _rows(pii.sanitise(spark, _held(docs)), docs.columns, n_chars=F.length("text").cast("long"))
+    return _rows(pii.sanitise(spark, _held(docs), **pii.SURE), docs.columns, n_chars=F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
