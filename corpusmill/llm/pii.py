@@ -254,24 +254,26 @@ def sanitise(spark: SparkSession, docs: DataFrame, generalise: float = GENERALIS
     docs = docs.drop("_base", "_spans")
     scratch = Scratch(spark, "pii")
     risky = _risky(docs, scratch, generalise, support, z)
-    everywhere, inside = risky.where("same IS NULL").drop("same"), risky.where("same IS NOT NULL")
-    anywhere, here = _test(everywhere), _test(inside, "same", "term")
+    test = _test(risky, "same", "term")  # a hash skips nulls, so that a row without a text is one of its term
     own = base_spans(docs.withColumn("text", text_of()), "_base")
     own = own.withColumn(ROW, F.monotonically_increasing_id()).withColumn(SAME, F.xxhash64("text"))
-    no = lambda *x: F.lit(False)
-    known = lambda w: (anywhere or no)(w) | ((F.size("_base") > 0) & (here or no)(F.col(SAME), w))
-    words = F.filter(_words(F.col("text")), known) if anywhere or here else F.array().cast("array<string>")
+    places_of = F.when(F.size("_base") > 0, F.array(F.lit(None).cast("long"), F.col(SAME))).otherwise(F.array(F.lit(None).cast("long")))
+    words = F.array().cast("array<string>")
+    if test is not None:
+        words = F.filter(_words(F.col("text")), lambda w: F.exists(places_of, lambda at: test(at, w)))
     own = own.withColumn(SPOTS, _spots(F.col("text"), words))
     if not keep_text:  # then no text is shuffled: the places of terms are known here
         own = own.withColumn("text", F.lit(None).cast("string"))
     own = scratch.keep(few(own, docs), "texts")
     masks = F.transform("_base", lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("mask")))
     own = own.withColumn("_spans", masks)
-    if anywhere or here:
+    if test is not None:
         plain, own = own.where(F.size(SPOTS) == 0), own.where(F.size(SPOTS) > 0)
-        each = own.select(ROW, F.col(SAME).alias("same"), F.explode(SPOTS).alias("x")).select(ROW, "same", "x.*")
-        # the rows of a term, or of many copies of a text, are joined in parts
-        each = join_unique(each, everywhere, ["term"], ROW).unionByName(join_unique(each, inside, ["same", "term"], ROW))
+        # a spot is looked up twice, for all texts and for this one; rows of a term or of a copied text are joined in parts
+        both = F.explode(F.array(F.struct(F.lit(True).alias("all"), F.lit(0).cast("long").alias("same")), F.struct(F.lit(False).alias("all"), F.col(SAME).alias("same"))))
+        each = own.select(ROW, SAME, F.explode(SPOTS).alias("x")).select(ROW, "x.*", both.alias("k")).select("*", "k.*").drop("k")
+        known = risky.select("term", "share", F.isnull("same").alias("all"), F.coalesce("same", F.lit(0)).alias("same"))
+        each = join_unique(each, known, ["term", "all", "same"], ROW)
         each = each.groupBy(ROW, "start", "end", "stem").agg(F.max("share").alias("share"))
         mask = F.when(F.col("share") >= remove, F.lit("[TERM]")).otherwise(F.concat("stem", F.lit("*")))
         each = each.select(ROW, F.struct("start", F.lit(len(KINDS)).alias("rank"), F.lit("term").alias("kind"), "end", mask.alias("mask")).alias("t"))
