@@ -152,15 +152,16 @@ def pair_blocks(blocks: DataFrame, level: DataFrame, by: list[str]) -> DataFrame
                     yield _up(b["block"][k].as_py(), np.frombuffer(b["sequence"][k].as_buffer(), "<i4"), ids)
 
         return blocks.mapInArrow(run, UP)
-    named = join_unique(entries(blocks), ids, by, "block").groupBy("block").agg(F.collect_list(F.struct("local", "id")).alias("ids"))
+    # a block meets its ids as rows, which are sorted and may spill, not as arrays of the heap
+    named = join_unique(entries(blocks), ids, by, "block").select(F.col("block").alias("of"), "local", "id")
 
-    def up(one: pa.Table) -> pa.Table:
+    def up(one: pa.Table, own: pa.Table) -> pa.Table:
         ids = np.full(one["size"][0].as_py(), -1, dtype=np.int64)
-        own = one["ids"].combine_chunks().values
-        ids[own.field("local").to_numpy()] = own.field("id").to_numpy()
+        ids[own["local"].to_numpy()] = own["id"].to_numpy()
         return pa.Table.from_batches([_up(one["block"][0].as_py(), np.frombuffer(one["sequence"][0].as_py(), "<i4"), ids)])
 
-    return blocks.select("block", "sequence", F.size("names").alias("size")).join(named, "block").groupBy("block").applyInArrow(up, UP)
+    whole = blocks.select("block", "sequence", F.size("names").alias("size"))
+    return whole.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(up, UP)
 
 
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
@@ -180,7 +181,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     """
     ship(spark)
     scratch = Scratch(spark, "collocations")
-    blocks = scratch.keep(word_blocks(docs, block_bytes), "words")
+    blocks = scratch.keep(word_blocks(docs, block_bytes), "words", large=True)
     words = scratch.keep(entries(blocks).groupBy("lang", "word").agg(F.sum("n").alias("a")), "counts")
     level = join_unique(words.where(F.col("a") >= least), words.groupBy("lang").agg(F.sum("a").alias("n")), ["lang"], "word")
     level = level.select("lang", "word", F.col("word").alias("phrase"), "a", "n", F.array("a").alias("heads"), F.array("a").alias("tails"), F.monotonically_increasing_id().alias("id"))
@@ -189,7 +190,7 @@ def phrases(spark: SparkSession, docs: DataFrame, least: int = LEAST, longest: i
     for size in range(2, longest + 1):
         below, by = blocks, by if size == 2 else ["left", "right"]
         with arrow_batches(spark, block_bytes):
-            blocks = scratch.keep(pair_blocks(blocks, level, by), f"blocks-{size}")
+            blocks = scratch.keep(pair_blocks(blocks, level, by), f"blocks-{size}", large=True)
         scratch.drop(below)
         pairs = scratch.keep(entries(blocks).groupBy("left", "right").agg(F.sum("n").alias("a")).where(F.col("a") >= least), f"pairs-{size}")
         first = level.select(F.col("id").alias("left"), "lang", "n", F.col("phrase").alias("_first"), "heads")

@@ -6,7 +6,9 @@ import hashlib
 import itertools
 import random
 import re
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -152,6 +154,18 @@ def collocations_plainly(rows, least, best, within):
     return sorted(out)
 
 
+def test_rows_of_megabytes_are_held_a_few_at_a_time(spark, monkeypatch):
+    kept, keep = {}, collocations.Scratch.keep
+    monkeypatch.setattr(collocations.Scratch, "keep", lambda self, df, name="t", **options: kept.setdefault(name, keep(self, df, name, **options)))
+    monkeypatch.setattr(collocations.Scratch, "drop", lambda self, *frames: None)
+    word = lambda i: F.concat(F.lit("w"), F.xxhash64(i, "id").cast("string"))
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(50_000)), word), " ")
+    collocations.phrases(spark, spark.range(0, 40, 1, 1).select(F.lit("en").alias("lang"), text.alias("text")), least=1000, longest=2, block_bytes=1 << 19)
+    files = [pq.ParquetFile(f).metadata for f in Path(kept["words"]._scratch_path).glob("*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.total_byte_size for g in groups) < 32 << 20
+
+
 @pytest.mark.parametrize(("least", "best", "within", "block_bytes"), [(100, 2000, 100, 4 << 20), (3, 2000, 100, 300), (2, 15, 60, 1)])
 def test_collocations(spark, docs, rows, monkeypatch, least, best, within, block_bytes):
     monkeypatch.setattr(collocations, "SENT_ROWS", 0 if block_bytes == 300 else 1 << 19)  # both ways that ids reach blocks
