@@ -9,9 +9,9 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vocab as V
@@ -123,7 +123,7 @@ def near_edges(signed: DataFrame, key: str = "doc_id", near: int = NEAR) -> Data
     star = with_groups(signed, ["signature"], key, F.min(key).alias("head")).where(F.col(key) != F.col("head")).select(F.col("head").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
     banded = _banded(groups, near, "head")
     left, right = banded.select("i", "band", F.col("head").alias("a"), F.col("signature").alias("s")), banded.select("i", "band", F.col("head").alias("b"), F.col("signature").alias("t"))
-    pairs = left.join(right, ["i", "band"]).where("a < b").select("a", "b", F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).where(F.col("distance") <= near).distinct()
+    pairs = _met(left, right, ["i", "band"]).where("a < b").select("a", "b", F.bit_count(F.col("s").bitwiseXOR(F.col("t"))).alias("distance")).where(F.col("distance") <= near).distinct()
     return pairs.unionByName(star)
 
 
@@ -135,6 +135,12 @@ def near_any(new: DataFrame, old: DataFrame, key: str, near: int = NEAR) -> Data
     return left.join(right, ["i", "band"]).where(close).select(key).distinct()
 
 
+def _met(rows: DataFrame, others: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the input, by sorting: Spark sends what seems small to all tasks, which
+    the driver then holds, and compressed ids and flags seem small at any size that is met in practice."""
+    return rows.join(others.hint("merge"), on, how)
+
+
 def greedy(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", front: int = FRONT) -> DataFrame:
     """(key, kept) of the greedy scan in key order: a node goes iff an earlier kept node is its neighbour.
 
@@ -148,8 +154,8 @@ def greedy(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", front: int =
     edges = scratch.keep(edges.select("a", "b").distinct(), "edges")
     state = scratch.keep(nodes.select(F.col(key).alias("id"), F.lit(None).cast("boolean").alias("kept")), "state")
     while True:
-        earlier = edges.join(state.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("wait"))
-        now = state.join(earlier, "id", "left").select("id", F.coalesce("kept", F.when(F.col("hit"), F.lit(False)).when(F.col("wait"), F.lit(None).cast("boolean")).otherwise(F.lit(True))).alias("kept"))
+        earlier = _met(edges, state.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("wait"))
+        now = _met(state, earlier, "id", "left").select("id", F.coalesce("kept", F.when(F.col("hit"), F.lit(False)).when(F.col("wait"), F.lit(None).cast("boolean")).otherwise(F.lit(True))).alias("kept"))
         now = scratch.keep(now, "state")
         scratch.drop(state)
         state = now
@@ -158,10 +164,11 @@ def greedy(nodes: DataFrame, edges: DataFrame, key: str = "doc_id", front: int =
             break
         # edges from nodes that are gone decide nothing; those from nodes that this round kept still do
         still = state.where("kept is null or kept").select(F.col("id").alias("a"))
-        open_ = edges.join(still, "a", "left_semi").join(waiting.withColumnRenamed("id", "b"), "b", "left_semi")
-        decided = _front([(r.a, r.b) for r in open_.select("a", "b").orderBy("b", "a").limit(front + 1).collect()], front)
+        open_ = _met(_met(edges, still, "a", "left_semi"), waiting.withColumnRenamed("id", "b"), "b", "left_semi")
+        ahead = open_.select("a", "b").orderBy("b", "a").limit(front + 1).toArrow()
+        decided = _front(list(zip(ahead["a"].to_pylist(), ahead["b"].to_pylist(), strict=True)), front)
         if decided:
-            known = spark.createDataFrame(list(decided.items()), StructType([StructField("id", state.schema["id"].dataType), StructField("_kept", BooleanType())]))
+            known = spark.createDataFrame(pa.table({"id": pa.array(decided.keys(), ahead.schema.field("a").type), "_kept": pa.array(decided.values(), pa.bool_())}))
             now = scratch.keep(state.join(known, "id", "left").select("id", F.coalesce("kept", "_kept").alias("kept")), "state")
             scratch.drop(state)
             state = now
@@ -190,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ne
     signed = scratch.keep(docs.select(key, simhash(F.col(text)).alias("signature")), "signed")
     heads = signed.where("signature is not null").groupBy("signature").agg(F.min(key).alias(key))
     chosen = greedy(heads, near_edges(heads, key, near), key).where("kept").select(key, F.lit(True).alias("chosen"))
-    out = signed.join(chosen, key, "left")
+    out = _met(signed, chosen, key, "left")
     return out.select(key, (F.col("signature").isNull() | F.coalesce("chosen", F.lit(False))).alias("kept"))
 
 
@@ -231,7 +238,7 @@ def keep_fuller(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     heads = scratch.keep(heads.select(key, place.alias("place")), "heads")
     pairs = jaccard_pairs(docs, key, text, n, least).select("a", "b")
     at = lambda c, p: heads.select(F.col(key).alias(c), F.col("place").alias(p))
-    edges = pairs.join(at("a", "pa"), "a").join(at("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
+    edges = _met(_met(pairs, at("a", "pa"), "a"), at("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
     kept = greedy(heads.select("place"), edges, "place").where("kept")
-    chosen = heads.join(kept.select("place"), "place").select(key, F.lit(True).alias("_k"))
-    return docs.select(key).join(chosen, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("kept"))
+    chosen = _met(heads, kept.select("place"), "place").select(key, F.lit(True).alias("_k"))
+    return _met(docs.select(key), chosen, key, "left").select(key, F.coalesce("_k", F.lit(False)).alias("kept"))
