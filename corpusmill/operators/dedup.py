@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections import Counter
 from functools import lru_cache
 from itertools import combinations, groupby
@@ -21,6 +22,8 @@ from .groups import with_groups
 NEAR, EXEMPT = 3, 20
 #: Edges to undecided nodes that are scanned on the driver at once.
 FRONT = 100_000
+#: Cells (a power of two) that grams are counted in for their order: 8 MB in each task, however many grams there are.
+CELLS = 1 << 20
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", removed: str = "line_dedup_removed") -> DataFrame:
@@ -205,7 +208,8 @@ def jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
     """(a, b, jaccard), a < b: pairs of distinct texts whose sets of word n-grams are similar.
 
     Prefix filter: of a set of s grams in global order, rarest first, a similar set must share one of the first
-    s - ceil(least * s) + 1; only those are joined, and candidates are verified on the whole sets.
+    s - ceil(least * s) + 1; only those are joined, and candidates are verified on the whole sets. Any order will do:
+    grams are ordered by the counts of CELLS cells that they hash to, so that no gram outside the first ones is shuffled.
     """
     one = docs.groupBy(F.md5(T.filled(F.col(text))).alias("same")).agg(F.min(key).alias(key), F.first(text).alias("_t"))
     words = F.filter(F.split(T.filled(F.col("_t")), f"[{V.SPACE}]+"), lambda w: w != "")
@@ -216,10 +220,19 @@ def jaccard_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", n: i
         m = F.size("w") - k
         base = base.withColumn("g", F.zip_with(F.slice("g", F.lit(1), m), F.slice("w", F.lit(k + 1), m), lambda a, b: F.xxhash64(a, b)))
     base = Scratch(docs.sparkSession, "grams").keep(base.select(key, F.array_distinct("g").alias("g")), "grams")
-    often = base.select(F.explode("g").alias("h")).groupBy("h").agg(F.count("*").alias("c"))
-    ranked = base.select(key, F.explode("g").alias("h")).join(often, "h").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("c", "h"))).alias("o"))
-    prefix = F.size("o") - F.ceil(F.size("o") * least).cast("int") + 1
-    heads = ranked.select(key, F.size("o").alias("s"), F.explode(F.slice("o", F.lit(1), prefix)).alias("x")).select(key, "s", "x.h", "x.c").where("c > 1")
+    cells = base.select(F.explode("g").alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(CELLS - 1)).alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    often = np.zeros(CELLS, dtype=np.int64)
+    often[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(often)
+
+    @F.pandas_udf("array<long>")
+    def first(grams: pd.Series) -> pd.Series:
+        def of(g: np.ndarray) -> np.ndarray:
+            return g[np.lexsort((g, sent.value[g & (CELLS - 1)]))[: len(g) - math.ceil(len(g) * least) + 1]]
+
+        return grams.map(of)
+
+    heads = base.select(key, F.size("g").alias("s"), F.explode(first("g")).alias("h"))
     left, right = heads.select("h", F.col(key).alias("a"), F.col("s").alias("sa")), heads.select("h", F.col(key).alias("b"), F.col("s").alias("sb"))
     near = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= least * F.greatest("sa", "sb"))).select("a", "b").distinct()
     both = near.join(base.select(F.col(key).alias("a"), F.col("g").alias("ga")), "a").join(base.select(F.col(key).alias("b"), F.col("g").alias("gb")), "b")
