@@ -220,6 +220,34 @@ def test_baselines_and_dynamic_instructions(spark):
     assert {r.instruction for r in generation.instructions(asked, lambda p, t: "Work instruction: look at water").collect()} == {"look at water"}
 
 
+def test_baselines_take_all_their_calls(spark):
+    def says(prompt, text):
+        return f" <{prompt.replace(text, 'T')}> "
+
+    df = spark.createDataFrame([("a", "The company reports its emissions."), ("b", "x {y}")], "chunk_id string, text string")
+    got = {(r.chunk_id, r.method): r for r in generation.baselines(df, generator=says).collect()}
+    assert len(got) == 10
+    for key in "ab":
+        first = "<Write an instruction for the text.\n\nText:\nT>"
+        once = f"<Make this instruction harder: {first}\n\nText:\nT>"
+        twice = f"<Make this instruction harder: {once}\n\nText:\nT>"
+        assert got[key, "evol"].instruction == twice and got[key, "evol"].evolution_rounds == 2
+        assert got[key, "evol"].output == f"<Instruction: {twice}\n\nInput: T\n\nGenerate the response.>"
+        asked = "<Write one instruction for the text, and nothing else.\n\nText:\nT>"
+        assert got[key, "alpaca"].instruction == asked and f"### Instruction:\n{asked}\n\n### Input:\nT\n" in got[key, "alpaca"].output
+        assert got[key, "self_instruct"].seed_instruction in generation.SEEDS
+    prompt = df.select(knowledge.alpaca_prompt(F.lit("do {x}"), F.col("text")).alias("p")).collect()
+    assert [r.p for r in prompt] == [knowledge.alpaca_text("do {x}", t) for t in ("The company reports its emissions.", "x {y}")]
+
+
+def test_baseline_records_has_every_record(spark):
+    from corpusmill.plans import more
+
+    rows = more.QUERIES["baseline_records"](spark, "/root/testdata/sf0.001").select("chunk_id", "method").collect()
+    chunks = {r.chunk_id for r in more.QUERIES["chunk_docs"](spark, "/root/testdata/sf0.001").where("doc_id >= 0").collect()}
+    assert sorted((r.chunk_id, r.method) for r in rows) == sorted((c, m) for c in chunks for m in ("direct", "self_instruct", "evol", "alpaca", "api_direct"))
+
+
 def test_bleu_rubric_and_stems(spark):
     import math
 
