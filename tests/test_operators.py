@@ -414,3 +414,18 @@ def test_ablation_shares_what_its_conditions_have_in_common(spark):
         want = own if want is None else want.unionByName(own)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 12 * len(grid)
+
+
+def test_ablation_asks_nothing_twice(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def logged(prompt, text):
+        with log.open("a") as f:
+            f.write(repr((prompt, text)) + "\n")
+        return "Question: what is said?\nAnswer: no" + "t" * (len(prompt) % 5)
+
+    df = spark.createDataFrame([("a", "Plain words about nothing in particular, and some more of them. " * 3), ("b", "The company reports its carbon emissions under GRI. They fell by 15% in 2020. " * 3)], "chunk_id string, text string").coalesce(1)
+    grid = [g for g in generation.GRID if g[1] in ("K=2", "sequential", "R=0", "R=2", "off")]
+    assert len(generation.ablation(df, logged, grid).collect()) == 2 * len(grid)
+    first = [x for x in log.read_text().splitlines() if "Earlier answer" not in x]
+    assert first and len(first) == len(set(first))
