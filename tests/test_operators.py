@@ -394,6 +394,24 @@ def test_contains_join(spark):
         assert counted[i] == len({own[a:b] for a in range(len(own)) if own[a] == "k" for b in range(a + 2, a + 6) if " " not in own[a:b] and (own[a + 1] != "0" or b == a + 2) and int(own[a + 1 : b], 36) < 1_000_000})
 
 
+def test_contains_join_does_not_move_texts(spark):
+    from corpusmill.operators.contains import contains_join
+
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(60)]
+    docs = [(i, " ".join(f"<{rng.choice(stems)}>" for _ in range(4000)) + " the end" * 2000) for i in range(40)] + [(99, "x" * 9 + stems[0] + "\n" + stems[1])]
+    words = [s[a : a + 7] for s in stems for a in (0, 1, 2)] + ["nowhere", stems[0] + "\n"]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    df.cache().count()
+    stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (x.apply(i) for x in [spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(x.size()))}
+    before = stages()
+    got = sorted((r.doc_id, r.word) for r in contains_join(df, spark.createDataFrame([(w,) for w in words], "word string")).collect())
+    shuffled = sum(v for k, v in stages().items() if k not in before)
+    df.unpersist()
+    assert got == sorted((i, w) for i, t in docs for w in set(words) if w in t)
+    assert 0 < shuffled < sum(len(t) for _, t in docs) / 10
+
+
 def test_ablation_shares_what_its_conditions_have_in_common(spark):
     rng = random.Random(4)
     said = ["The company reports its emissions.", "They fell by 15% in 2020.", "Compared with the industry, waste is higher than in 2019.", "We will strive to improve carbon and water management.", "GRI standards apply.", "The table shows 12 figures: a, b, c."]
