@@ -399,17 +399,19 @@ def test_contains_join_does_not_move_texts(spark):
 
     rng = random.Random(8)
     stems = ["".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(60)]
-    docs = [(i, " ".join(f"<{rng.choice(stems)}>" for _ in range(4000)) + " the end" * 2000) for i in range(40)] + [(99, "x" * 9 + stems[0] + "\n" + stems[1])]
+    docs = [(i, " ".join(f"<{rng.choice(stems)}>" for _ in range(1000)) + "".join(" " + "".join(rng.choices("ijklmnopqrstuvwxyz", k=5)) for _ in range(4000))) for i in range(40)] + [(99, "x" * 9 + stems[0] + "\n" + stems[1])]
     words = [s[a : a + 7] for s in stems for a in (0, 1, 2)] + ["nowhere", stems[0] + "\n"]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     df.cache().count()
     stages = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (x.apply(i) for x in [spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)] for i in range(x.size()))}
     before = stages()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of size
     got = sorted((r.doc_id, r.word) for r in contains_join(df, spark.createDataFrame([(w,) for w in words], "word string")).collect())
     shuffled = sum(v for k, v in stages().items() if k not in before)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     df.unpersist()
     assert got == sorted((i, w) for i, t in docs for w in set(words) if w in t)
-    assert 0 < shuffled < sum(len(t) for _, t in docs) / 10
+    assert 0 < shuffled < sum(len(t) for _, t in docs) / 4
 
 
 def test_ablation_shares_what_its_conditions_have_in_common(spark):
